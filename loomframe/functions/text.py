@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 TOKEN = r"([\p{L}\p{N}_]{2,})"
 
@@ -44,28 +44,26 @@ def tokens(text: Column, stop_words: list[str] | None = None) -> Column:
 
 def with_bigrams(words: Column) -> Column:
     """The words followed by all pairs of neighbouring words."""
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))),
-        lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)),
-    )
-    return F.when(F.size(words) >= 2, F.concat(words, pairs)).otherwise(words)
+    size = F.size(words)
+    pairs = F.zip_with(F.slice(words, 1, size - 1), F.slice(words, 2, size - 1), lambda a, b: F.concat_ws(" ", a, b))
+    return F.when(size >= 2, F.concat(words, pairs)).otherwise(words)
 
 
 def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != ""))
 
 
-def run_lengths(items: Column) -> Column:
+def count_terms(df: DataFrame, words: Column, out: str) -> DataFrame:
     """Distinct items of an array with their counts, as sorted structs (term, tf).
 
     Works inside the row in the time of one sort; no shuffle is needed to
-    count the words of a document.
+    count the words of a document.  Each step is a column of its own: an
+    expression used inside a lambda would be evaluated again per element.
     """
-    ordered = F.array_sort(items)
-    starts = F.filter(
-        F.sequence(F.lit(0), F.greatest(F.size(ordered) - 1, F.lit(0))),
-        lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)),
-    )
+    ordered, starts = F.col("__ordered"), F.col("__starts")
+    staged = df.withColumn("__ordered", F.sort_array(words))
+    first = F.transform(ordered, lambda w, i: F.when((i == 0) | (w != F.get(ordered, i - 1)), i))
+    staged = staged.withColumn("__starts", F.filter(first, lambda i: i.isNotNull()))
     counted = F.transform(
         starts,
         lambda s, j: F.struct(
@@ -73,4 +71,4 @@ def run_lengths(items: Column) -> Column:
             (F.coalesce(F.get(starts, j + 1), F.size(ordered)) - s).alias("tf"),
         ),
     )
-    return F.when(F.size(items) > 0, counted).otherwise(F.slice(counted, 1, 0))
+    return staged.withColumn(out, counted).drop("__ordered", "__starts")

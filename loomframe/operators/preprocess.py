@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from loomframe.functions import columns as C
 from loomframe.operators import encode, features, impute, outliers, quality, scale
+from loomframe.session import materialize
 
 
 def split_target(df: DataFrame, target: str | None = None) -> tuple[list[str], str]:
@@ -155,8 +156,10 @@ def fit_advanced(
     model = TF.word_vectors(df, key, text, size=8) if use_embedding else None
     lengths = [f"{text}_{c}" for c in ("char_count", "word_count", "sentence_count", "avg_word_length")]
     state = AdvancedPreprocessor(key, target, text, vocabulary, model, lengths if use_polynomial else [], {}, [])
+    # text features are computed once; fences and scores read them back
     wide = _expand(df, state)
     names = [c for c in C.numeric_columns(wide) if c not in (key, target)]
+    wide = materialize(wide.select(key, target, *[F.col(f"`{c}`") for c in names]), "advanced")
     if use_outliers:
         state.fences = outliers.iqr_fences(wide, names)
         wide = outliers.clip_outliers(wide, list(state.fences), state.fences)

@@ -20,13 +20,18 @@ class Vocabulary:
     plain: bool
     stop_words: list[str]
 
-    def terms_of(self, text: Column) -> Column:
-        return analyse(text, self.bigrams, self.plain, self.stop_words)
+    def known_terms(self, df: DataFrame, text: Column, out: str) -> DataFrame:
+        """Counts of the vocabulary's terms in each text."""
+        found = analyse(df, text, self.bigrams, self.plain, self.stop_words)
+        kept = F.filter("__terms", lambda w: w.isin(self.terms))
+        return X.count_terms(found, kept, out).drop("__terms")
 
 
-def analyse(text: Column, bigrams: bool, plain: bool, stop_words: list[str] | None) -> Column:
+def analyse(df: DataFrame, text: Column, bigrams: bool, plain: bool, stop_words: list[str] | None) -> DataFrame:
+    """The table with the terms of a text in ``__terms``."""
     words = X.tokens(X.strip_accents(text) if plain else text, stop_words)
-    return X.with_bigrams(words) if bigrams else words
+    found = df.withColumn("__terms", words)
+    return found.withColumn("__terms", X.with_bigrams(F.col("__terms"))) if bigrams else found
 
 
 def fit_tfidf(
@@ -46,11 +51,13 @@ def fit_tfidf(
     holds one row per term and task, not one per (document, term).
     """
     stop_words = X.STOP_WORDS if stop_words is None else stop_words
-    parts = [df.select(analyse(t, bigrams, plain, stop_words).alias("terms")) for t in texts]
+    parts = [analyse(df.select(t.alias("__text")), F.col("__text"), bigrams, plain, stop_words).select("__terms") for t in texts]
     corpus = reduce(DataFrame.unionAll, parts)
     n_docs = df.count() * len(texts)
     counted = (
-        corpus.select(F.inline(X.run_lengths(F.col("terms"))))
+        X.count_terms(corpus, F.col("__terms"), "__counts")
+        .select(F.inline_outer("__counts"))
+        .where(F.col("term").isNotNull())
         .groupBy("term")
         .agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
         .where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
@@ -68,32 +75,32 @@ def apply_tfidf(df: DataFrame, key: str, text: Column, vocabulary: Vocabulary) -
     """
     terms = F.array(*[F.lit(t) for t in vocabulary.terms])
     idf = F.array(*[F.lit(i) for i in vocabulary.idf])
-    known = F.filter(vocabulary.terms_of(text), lambda w: w.isin(vocabulary.terms))
+    known = vocabulary.known_terms(df, text, "__counts")
     weighted = F.transform(
-        X.run_lengths(known),
+        "__counts",
         lambda s: F.struct(
             s["term"].alias("term"),
             (F.array_position(terms, s["term"]) - 1).alias("feature"),
             (s["tf"] * F.element_at(idf, F.array_position(terms, s["term"]).cast("int"))).alias("w"),
         ),
     )
-    rows = df.select(F.col(key), weighted.alias("ws"))
+    # inline_outer: a plain inline adds a size filter that the optimizer pushes
+    # down through the staged columns, undoing the staging
+    rows = known.select(F.col(key), weighted.alias("ws"))
     norm = F.sqrt(F.aggregate("ws", F.lit(0.0), lambda a, s: a + s["w"] * s["w"]))
-    return rows.select(key, norm.alias("__norm"), F.inline("ws")).select(
-        key, F.col("feature").cast("bigint").alias("feature"), "term", (F.col("w") / F.col("__norm")).alias("weight")
-    )
+    terms_of = rows.select(key, norm.alias("__norm"), F.inline_outer("ws")).where(F.col("term").isNotNull())
+    return terms_of.select(key, F.col("feature").cast("bigint").alias("feature"), "term", (F.col("w") / F.col("__norm")).alias("weight"))
 
 
 def tfidf_columns(df: DataFrame, key: str, text: Column, vocabulary: Vocabulary, prefix: str) -> DataFrame:
     """One column per term, for model input; built from the row, no pivot."""
     terms = F.array(*[F.lit(t) for t in vocabulary.terms])
-    known = F.filter(vocabulary.terms_of(text), lambda w: w.isin(vocabulary.terms))
-    pairs = F.transform(X.run_lengths(known), lambda s: F.struct(F.array_position(terms, s["term"]), s["tf"]))
-    named = df.withColumn("__tf", F.map_from_entries(pairs))
+    pairs = F.transform("__counts", lambda s: F.struct(F.array_position(terms, s["term"]), s["tf"]))
+    named = vocabulary.known_terms(df, text, "__counts").withColumn("__tf", F.map_from_entries(pairs))
     raw = [F.coalesce(F.element_at("__tf", F.lit(i + 1).cast("bigint")), F.lit(0)) * F.lit(v) for i, v in enumerate(vocabulary.idf)]
     named = named.withColumn("__w", F.array(*raw)).withColumn("__n", F.sqrt(F.aggregate("__w", F.lit(0.0), lambda a, w: a + w * w)))
     unit = {f"{prefix}{i}": F.when(F.col("__n") > 0, F.get("__w", F.lit(i)) / F.col("__n")).otherwise(0.0) for i in range(len(raw))}
-    return named.withColumns(unit).drop("__tf", "__w", "__n")
+    return named.withColumns(unit).drop("__counts", "__tf", "__w", "__n")
 
 
 def length_features(df: DataFrame, column: str, prefix: str = "") -> DataFrame:

@@ -199,7 +199,7 @@ def _correlation_sql() -> str:
     parts = []
     for i, c in enumerate(names):
         tests = [f"abs(corr({e}, {c})) > 0.95" for e in names[:i]]
-        parts.append(f"select {i} as pos, '{c}' as column_name, {' or '.join(tests) or 'false'} as dropped from b")
+        parts.append(f"select {i} as pos, '{c}' as column_name, {' or '.join(tests) or 'count(*) < 0'} as dropped from b")
     return f"with b as ({base}) select {whole('pos', 'position')}, column_name, dropped from ({union(parts)}) x"
 
 
