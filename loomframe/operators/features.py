@@ -108,24 +108,16 @@ def f_classif(df: DataFrame, names: list[str], target: str) -> DataFrame:
     exprs = []
     for i, c in enumerate(names):
         x = C.as_number(df, c) - C.literal(means[c])
-        exprs += [F.sum(x).alias(f"s{i}"), F.sum(x * x).alias(f"q{i}"), F.count(x).alias(f"n{i}")]
+        exprs += [F.count(x).alias(f"n{i}"), F.sum(x).alias(f"s{i}"), F.sum(x * x).alias(f"q{i}")]
     groups = df.where(F.col(target).isNotNull()).groupBy(target).agg(*exprs)
-    totals = []
-    for i in range(len(names)):
-        totals += [
-            F.sum(f"s{i}").alias(f"s{i}"),
-            F.sum(f"q{i}").alias(f"q{i}"),
-            F.sum(f"n{i}").alias(f"n{i}"),
-            F.sum(F.try_divide(F.col(f"s{i}") * F.col(f"s{i}"), F.col(f"n{i}"))).alias(f"g{i}"),
-            F.count_if(F.col(f"n{i}") > 0).alias(f"k{i}"),
-        ]
-    rows = []
-    for i, c in enumerate(names):
-        s, q, n, g, k = (F.col(f"{p}{i}") for p in "sqngk")
-        between = (g - s * s / n) / (k - 1)
-        within = (q - g) / (n - k)
-        rows.append({"column_name": F.lit(c), "score": F.try_divide(between, within)})
-    return C.inline_rows(groups.agg(*totals), rows)
+    cells = [{"column_name": F.lit(c), "n": F.col(f"n{i}"), "s": F.col(f"s{i}"), "q": F.col(f"q{i}")} for i, c in enumerate(names)]
+    long = C.inline_rows(groups, cells).where("n > 0")
+    sums = long.groupBy("column_name").agg(
+        F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("n").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("g"), F.count(F.lit(1)).alias("k")
+    )
+    s, q, n, g, k = (F.col(c) for c in "sqngk")
+    between, within = F.try_divide(g - s * s / n, k - 1), F.try_divide(q - g, n - k)
+    return sums.select("column_name", F.try_divide(between, within).alias("score"))
 
 
 def f_regression(df: DataFrame, names: list[str], target: str) -> DataFrame:
