@@ -59,60 +59,71 @@ def exact_quantiles(
 
 
 def order_statistics(values: DataFrame, wanted: set, counts: dict[str, int], small: int) -> dict:
-    """Value at each (column, zero-based rank), by interval narrowing."""
-    found: dict = {}
-    # target -> (low, high, rows at or below low, rows inside the open interval)
-    open_ranges = {t: (-math.inf, math.inf, 0, counts[t[0]]) for t in wanted}
+    """Value at each (column, zero-based rank), by interval narrowing.
 
-    def inside(target):
-        low, high, _, _ = open_ranges[target]
-        v = F.col(target[0])
+    Ranks of a column that lie in the same open interval share its sketch and
+    its final sort, so the first pass costs one sketch per column.
+    """
+    found: dict = {}
+    # open interval (column, low, high) -> (rows at or below low, rows inside, wanted ranks)
+    spans: dict = {}
+    for name, rank in wanted:
+        spans.setdefault((name, -math.inf, math.inf), (0, counts[name], []))[2].append(rank)
+
+    def inside(span):
+        name, low, high = span
+        v = F.col(name)
         return F.when((v > F.lit(low)) & (v < F.lit(high)), v)
 
-    while True:
-        ready = [t for t, r in open_ranges.items() if t not in found and r[3] <= small]
+    while spans:
+        ready = [s for s, (_, size, _) in spans.items() if size <= small]
         if ready:
             picks = []
-            for i, t in enumerate(ready):
-                place = t[1] - open_ranges[t][2]
-                picks.append(F.element_at(F.sort_array(F.collect_list(inside(t))), place + 1).alias(f"p{i}"))
+            for i, span in enumerate(ready):
+                below, _, ranks = spans[span]
+                ordered = F.sort_array(F.collect_list(inside(span)))
+                picks.append(F.array(*[F.get(ordered, F.lit(r - below)) for r in ranks]).alias(f"p{i}"))
             row = wide_aggregate(values, picks, chunk=8)
-            for i, t in enumerate(ready):
-                found[t] = row[f"p{i}"]
-        pending = [t for t in open_ranges if t not in found]
-        if not pending:
-            return found
-
-        exprs = []
-        for i, t in enumerate(pending):
-            _, _, below, size = open_ranges[t]
-            share = (t[1] - below) / max(size - 1, 1)
-            step = 2.0 / _ACCURACY
-            around = [max(0.0, share - step), min(1.0, share + step)]
-            exprs.append(F.percentile_approx(inside(t), around, _ACCURACY).alias(f"b{i}"))
+            for i, span in enumerate(ready):
+                found.update({(span[0], r): x for r, x in zip(spans.pop(span)[2], row[f"p{i}"])})
+        if not spans:
+            break
+
+        pending = list(spans)
+        exprs, step = [], 2.0 / _ACCURACY
+        for i, span in enumerate(pending):
+            below, size, ranks = spans[span]
+            shares = [(r - below) / max(size - 1, 1) for r in ranks]
+            around = [min(max(s + d, 0.0), 1.0) for s in shares for d in (-step, step)]
+            exprs.append(F.percentile_approx(inside(span), around, _ACCURACY).alias(f"b{i}"))
         bounds = wide_aggregate(values, exprs, chunk=50)
 
+        edges = sorted({(span[0], e) for i, span in enumerate(pending) for e in bounds[f"b{i}"]})
         exprs = []
-        for i, t in enumerate(pending):
-            v = F.col(t[0])
-            for side, edge in zip("lh", bounds[f"b{i}"]):
-                exprs.append(F.count(F.when(v < F.lit(edge), 1)).alias(f"{side}{i}_lt"))
-                exprs.append(F.count(F.when(v <= F.lit(edge), 1)).alias(f"{side}{i}_le"))
-        tally = wide_aggregate(values, exprs)
-
-        for i, t in enumerate(pending):
-            rank = t[1]
-            low, high, below, size = open_ranges[t]
-            a, b = bounds[f"b{i}"]
-            a_lt, a_le = tally[f"l{i}_lt"], tally[f"l{i}_le"]
-            b_lt, b_le = tally[f"h{i}_lt"], tally[f"h{i}_le"]
-            if a_lt <= rank < a_le:
-                found[t] = a
-            elif b_lt <= rank < b_le:
-                found[t] = b
-            elif rank < a_lt:
-                open_ranges[t] = (low, a, below, a_lt - below)
-            elif rank >= b_le:
-                open_ranges[t] = (b, high, b_le, below + size - b_le)
-            else:
-                open_ranges[t] = (a, b, a_le, b_lt - a_le)
+        for j, (name, edge) in enumerate(edges):
+            v = F.col(name)
+            exprs += [F.count_if(v < F.lit(edge)).alias(f"lt{j}"), F.count_if(v <= F.lit(edge)).alias(f"le{j}")]
+        row = wide_aggregate(values, exprs)
+        tally = {edge: (row[f"lt{j}"], row[f"le{j}"]) for j, edge in enumerate(edges)}
+
+        narrowed: dict = {}
+        for i, span in enumerate(pending):
+            name, low, high = span
+            below, size, ranks = spans[span]
+            for r, a, b in zip(ranks, bounds[f"b{i}"][::2], bounds[f"b{i}"][1::2]):
+                (a_lt, a_le), (b_lt, b_le) = tally[(name, a)], tally[(name, b)]
+                if a_lt <= r < a_le:
+                    found[(name, r)] = a
+                    continue
+                if b_lt <= r < b_le:
+                    found[(name, r)] = b
+                    continue
+                if r < a_lt:
+                    part, state = (name, low, a), (below, a_lt - below)
+                elif r >= b_le:
+                    part, state = (name, b, high), (b_le, below + size - b_le)
+                else:
+                    part, state = (name, a, b), (a_le, b_lt - a_le)
+                narrowed.setdefault(part, (*state, []))[2].append(r)
+        spans = narrowed
+    return found

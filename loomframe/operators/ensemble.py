@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomframe.functions import columns as C
 from loomframe.operators import metrics, models, split
@@ -94,8 +92,9 @@ def diversity_weights(preds: DataFrame, key: str, task: str, model: str = "model
                 total = total + F.coalesce(F.col(f"d{i}"), F.lit(0.0))
         rows.append({"model": F.lit(m), "diversity": total, "n_models": F.lit(len(names))})
     long = C.inline_rows(row, rows)
-    everything = long.agg(F.sum("diversity")).first()[0] or 0.0
-    weight = F.col("diversity") / F.lit(everything) if everything else 1.0 / F.col("n_models")
+    # a window over one row per model
+    everything = F.sum("diversity").over(Window.partitionBy())
+    weight = F.when(everything != 0, F.col("diversity") / everything).otherwise(1.0 / F.col("n_models"))
     return long.select("model", "diversity", weight.alias("weight"))
 
 
@@ -126,7 +125,3 @@ def ensemble_cv(
     if task == "classification":
         return joined.groupBy("fold").agg(F.avg((F.col("y") == F.col("pred")).cast("double")).alias("score"))
     return metrics.regression_errors(joined, "y", "pred", ["fold"]).select("fold", F.col("r2").alias("score"))
-
-
-def model_pairs(names: list[str]) -> list[tuple[str, str]]:
-    return list(combinations(sorted(names), 2))

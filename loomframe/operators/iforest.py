@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from loomframe.functions import columns as C
 from loomframe.functions.quantiles import exact_quantiles
-from loomframe.session import materialize
+from loomframe.session import materialize, spread
 
 SAMPLE_ROWS = 256
 _FLOATS = "tree int, node int, feature int, threshold double, left int, right int, path double"
@@ -103,7 +103,7 @@ def score_forest(df: DataFrame, key: str, names: list[str], forest: pd.DataFrame
                 depth += path[at]
             yield pd.DataFrame({key: batch[key], "score": np.power(2.0, -depth / (len(packed) * expected))})
 
-    rows = df.select(key, *[F.coalesce(C.as_number(df, c), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(names)])
+    rows = spread(df.select(key, *[F.coalesce(C.as_number(df, c), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(names)]))
     return rows.mapInPandas(score, f"{key} {df.schema[key].dataType.simpleString()}, score double")
 
 

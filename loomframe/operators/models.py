@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from loomframe.operators import metrics, split
-from loomframe.session import materialize
+from loomframe.session import materialize, spread
 
 # Search ranges per model family.
 # (kind, low, high) for numbers, ("choice", values) for the rest.
@@ -132,6 +132,7 @@ def make_estimator(family: str, task: str, label: str, params: dict | None = Non
 
 def fit_model(df: DataFrame, features: list[str], label: str, family: str, task: str, params: dict | None = None, seed: int = 42) -> PipelineModel:
     """Assemble the features and fit one model."""
+    df = spread(df.select(*[F.col(f"`{c}`") for c in features], label))
     n_rows = df.count() if family == "logistic_regression" else 1
     n_classes = 2
     if task == "classification" and family in ("gradient_boosting", "boosted_preset", "mlp"):
@@ -262,7 +263,7 @@ def random_search(
     metric = metric or default_metric(task)
     needed = df.select(key, *features, label)
     folded = split.folds_stratified(needed, key, label, k, seed) if task == "classification" else split.folds_plain(needed, key, k, seed)
-    folded = materialize(folded, "search")
+    folded = materialize(spread(folded), "search")
     started = time.monotonic()
     jobs = []
 

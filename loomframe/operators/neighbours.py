@@ -17,6 +17,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from loomframe.functions.quantiles import exact_quantiles
+from loomframe.session import materialize
+
 DIGITS = 9
 BLOCK_POINTS = 2_048
 BLOCK_QUERIES = 4_096
@@ -74,9 +77,9 @@ def knn_join(
     """
     own = points is None
     keep = k + 1 if own else k
-    spark = queries.sparkSession
-    point_set = _distinct_vectors(queries if own else points, key, vector, keep)
-    query_set = point_set if own else _distinct_vectors(queries, key, vector, 1)
+    # both are read by several jobs below, so each is written once
+    point_set = materialize(_distinct_vectors(queries if own else points, key, vector, keep), "knn-points")
+    query_set = point_set if own else materialize(_distinct_vectors(queries, key, vector, 1), "knn-queries")
 
     n_points = point_set.count()
     n_rows = queries.count()
@@ -213,9 +216,6 @@ def knn_predict(
 
 def local_outlier_factor(df: DataFrame, key: str, vector: str, k: int = 20, contamination: float = 0.1) -> DataFrame:
     """(key, lof, outlier): density of the neighbours over the own density."""
-    from loomframe.functions.quantiles import exact_quantiles
-    from loomframe.session import materialize
-
     pairs = materialize(knn_join(df, key, vector, k), "lof-pairs")
     reach = pairs.groupBy(key).agg(F.max("distance").alias("kdist"))
     far = reach.select(F.col(key).alias("neighbour"), "kdist")

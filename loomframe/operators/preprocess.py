@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from loomframe.functions import columns as C
 from loomframe.operators import encode, features, impute, outliers, quality, scale
-from loomframe.session import materialize
+from loomframe.session import materialize, spread
 
 
 def split_target(df: DataFrame, target: str | None = None) -> tuple[list[str], str]:
@@ -124,7 +124,7 @@ def _expand(df: DataFrame, state: AdvancedPreprocessor) -> DataFrame:
     from loomframe.functions import text as X
     from loomframe.operators import textfeatures as TF
 
-    out = TF.length_features(df, state.text, f"{state.text}_")
+    out = TF.length_features(spread(df), state.text, f"{state.text}_")
     if state.vocabulary is not None:
         out = TF.tfidf_columns(out, state.key, F.col(state.text), state.vocabulary, f"{state.text}_tfidf_")
     if state.word_model is not None:

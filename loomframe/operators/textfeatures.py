@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomframe.functions import text as X
+from loomframe.session import spread
 
 
 @dataclass(frozen=True)
@@ -51,7 +52,7 @@ def fit_tfidf(
     holds one row per term and task, not one per (document, term).
     """
     stop_words = X.STOP_WORDS if stop_words is None else stop_words
-    parts = [analyse(df.select(t.alias("__text")), F.col("__text"), bigrams, plain, stop_words).select("__terms") for t in texts]
+    parts = [analyse(spread(df.select(t.alias("__text"))), F.col("__text"), bigrams, plain, stop_words).select("__terms") for t in texts]
     corpus = reduce(DataFrame.unionAll, parts)
     n_docs = df.count() * len(texts)
     counted = (
@@ -75,7 +76,7 @@ def apply_tfidf(df: DataFrame, key: str, text: Column, vocabulary: Vocabulary) -
     """
     terms = F.array(*[F.lit(t) for t in vocabulary.terms])
     idf = F.array(*[F.lit(i) for i in vocabulary.idf])
-    known = vocabulary.known_terms(df, text, "__counts")
+    known = vocabulary.known_terms(spread(df.select(key, text.alias("__text"))), F.col("__text"), "__counts")
     weighted = F.transform(
         "__counts",
         lambda s: F.struct(
@@ -142,7 +143,7 @@ def word_vectors(df: DataFrame, key: str, text: str, size: int = 16, min_count:
     """Fit word vectors; the model averages them over each document."""
     from pyspark.ml.feature import Word2Vec
 
-    words = df.select(key, X.tokens(F.col(text)).alias("words"))
+    words = spread(df.select(key, text)).select(key, X.tokens(F.col(text)).alias("words"))
     # the default of one partition would train the whole corpus in one task
     parts = max(1, df.sparkSession.sparkContext.defaultParallelism)
     stage = Word2Vec(vectorSize=size, minCount=min_count, seed=seed, maxIter=iterations, numPartitions=parts)
@@ -152,7 +153,7 @@ def word_vectors(df: DataFrame, key: str, text: str, size: int = 16, min_count:
 def embed_text(df: DataFrame, key: str, text: str, model) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
-    words = df.select(key, X.tokens(F.col(text)).alias("words"))
+    words = spread(df.select(key, text)).select(key, X.tokens(F.col(text)).alias("words"))
     return model.transform(words).select(key, vector_to_array("vector").alias("embedding"))
 
 

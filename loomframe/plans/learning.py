@@ -11,7 +11,7 @@ from loomframe.operators import ensemble, explain, history, metrics, models, nei
 from loomframe.plans import views
 from loomframe.plans.profiles import knn_sql
 from loomframe.plans.registry import Tables, num, query, union, whole
-from loomframe.session import scratch_path
+from loomframe.session import materialize, scratch_path, spread
 from loomframe.sources import tables
 
 LINE_FEATURES = ["l_quantity", "l_discount", "l_tax"]
@@ -59,6 +59,7 @@ select {whole('f.fold', 'fold')}, {num('1 - avg(power(l_extendedprice - a - b *
 @query("cv_scores", _cv_sql(5))
 def cv_scores(t: Tables) -> DataFrame:
     rows = split.folds_plain(t.lineitem.select("l_orderkey", "l_quantity", "l_extendedprice"), "l_orderkey", 5)
+    rows = materialize(spread(rows.select("fold", "l_quantity", "l_extendedprice")), "cv")
     scores = models.cross_validate(rows, ["l_quantity"], "l_extendedprice", "linear_regression", "regression", metric="r2", k=5)
     return models.cv_table(t.spark, scores)
 

@@ -63,6 +63,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for heavy work on a table that lies in very few files.
+
+    A large table has more files than the cluster has cores and passes
+    through untouched; only a small one pays for a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = len(df.inputFiles())
+    return df.repartition(cores) if 0 < files < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; the time zone is pinned for timestamp work."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
