@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from loomframe.operators import explain, history, quality
@@ -191,7 +189,3 @@ def importance_topk(t: Tables) -> DataFrame:
 def importance_plot(t: Tables) -> DataFrame:
     total = F.aggregate("values", F.lit(0.0), lambda a, v: a + v)
     return explain.plot_data(_importances(t)).select(F.array_join("features", ",").alias("features"), total.alias("total"), "title")
-
-
-def both(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from loomframe.operators import ensemble, explain, history, metrics, models, neighbours, preprocess, scoring, split
@@ -333,20 +330,19 @@ def model_card(t: Tables) -> DataFrame:
     return explain.model_card(rows, models.predict(rows, model, ["quality"]), "logistic_regression", "quality", shown)
 
 
-def order_pipeline(t: Tables):
+def order_model(t: Tables):
     """Preprocessor and classifier over orders, label = order status code."""
-    state = preprocess.fit_preprocessor(t.orders.drop("o_orderstatus"), "o_orderkey", None)
-    ready = preprocess.apply_preprocessor(t.orders.drop("o_orderstatus"), state)
     codes = F.when(F.col("o_orderstatus") == "F", 0.0).when(F.col("o_orderstatus") == "O", 1.0).otherwise(2.0)
-    rows = ready.join(t.orders.select("o_orderkey", codes.alias("label")), "o_orderkey")
-    model = models.fit_model(rows, state.output_names(), "label", "logistic_regression", "classification", {"max_iter": 20})
-    return state, model
+    rows = t.orders.withColumn("label", codes).drop("o_orderstatus")
+    state = preprocess.fit_preprocessor(rows, "o_orderkey", "label")
+    ready = preprocess.apply_preprocessor(rows, state)
+    return state, models.fit_model(ready, state.output_names(), "label", "logistic_regression", "classification", {"max_iter": 20})
 
 
 @query("score_batch")
 def score_batch(t: Tables) -> DataFrame:
     """New rows go through the stored preprocessor, then the model."""
-    state, model = order_pipeline(t)
+    state, model = order_model(t)
     return scoring.score(t.orders.drop("o_orderstatus"), model, "o_orderkey", state, 3, "run-1", "logistic_regression")
 
 
@@ -357,12 +353,3 @@ def score_file(t: Tables) -> DataFrame:
     source, sink = scratch_path(t.spark, "score-in") + ".csv", scratch_path(t.spark, "score-out") + ".csv"
     tables.write_table(rows, source)
     return scoring.score_file(t.spark, source, sink, rows.schema, model, "p_partkey")
-
-
-def probability_columns(df: DataFrame, n: int) -> DataFrame:
-    p = vector_to_array("probability")
-    return df.withColumns({f"p{i}": F.get(p, F.lit(i)) for i in range(n)})
-
-
-def stack_frames(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

@@ -72,8 +72,8 @@ def read_table(spark: SparkSession, path: str, kind: str | None = None, schema:
     kind = kind or infer_format(path)
     if kind == "csv":
         reader = spark.read.option("header", True)
-        # an empty quoted field is an empty string, not a null
-        reader = reader.option("escape", '"').option("multiLine", True).option("nullValue", "\\N").option("emptyValue", "")
+        # nulls are \N, so an empty field stays an empty string
+        reader = reader.option("escape", '"').option("multiLine", True).option("nullValue", "\\N")
         return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
     if kind == "json":
         first = _first_bytes(path).lstrip()[:1]
@@ -155,7 +155,7 @@ def write_table(df: DataFrame, path: str, kind: str | None = None, mode: str = "
         kind = next((k for s, k in SUFFIXES.items() if path.rstrip("/").lower().endswith(s)), "csv")
     writer = df.write.mode(mode)
     if kind == "csv":
-        writer.option("header", True).option("escape", '"').option("nullValue", "\\N").option("emptyValue", "").csv(path)
+        writer.option("header", True).option("escape", '"').option("nullValue", "\\N").csv(path)
     elif kind == "json":
         writer.json(path)
     elif kind == "parquet":
