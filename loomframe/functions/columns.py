@@ -42,6 +42,13 @@ def present(df: DataFrame, name: str) -> Column:
     return column
 
 
+def distinct_key(df: DataFrame, name: str) -> Column:
+    """What a distinct count compares: 16-byte digests instead of long text."""
+    if isinstance(df.schema[name].dataType, T.StringType):
+        return F.unhex(F.md5(F.col(f"`{name}`").cast("binary")))
+    return present(df, name)
+
+
 def as_number(df: DataFrame, name: str) -> Column:
     """Numeric view of a column as double, NaN read as NULL."""
     return present(df, name).cast("double")

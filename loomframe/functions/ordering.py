@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 ROWS_PER_BUCKET = 250_000
 MAX_BUCKETS = 1_024
+MAX_SCORE_RANGES = 4_096
 _EXACT_DOUBLE = float(2**53)
 
 
@@ -139,11 +140,12 @@ def order_index(df: DataFrame, column: str, out: str = "code", rows_per_bucket:
 
 
 def score_edges(df: DataFrame, score: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> list[float]:
-    """Cut points of a score column for ordered running sums, one pass."""
-    found = df.agg(F.count(score).alias("n"), F.percentile_approx(F.col(score).cast("double"), _shares(64), 10_000).alias("e")).first()
-    if found["n"] <= rows_per_bucket:
+    """Cut points of a score column for ordered running sums."""
+    ranges = min(MAX_SCORE_RANGES, math.ceil(df.count() / rows_per_bucket))
+    if ranges <= 1:
         return []
-    return sorted(set(found["e"]))
+    found = df.agg(F.percentile_approx(F.col(score).cast("double"), _shares(ranges), 10_000).alias("e")).first()
+    return sorted(set(found["e"] or []))
 
 
 def cut_by_edges(df: DataFrame, score: str, edges: list[float], out: str = "__cut") -> DataFrame:

@@ -34,7 +34,9 @@ def exact_quantiles(
     near = [v for v in ids if 0 < counts[v] <= small]
     if near:
         literals = F.array(*[F.lit(float(p)) for p in probs])
-        found = wide_aggregate(values, [F.percentile(v, literals).alias(v) for v in near], chunk=50)
+        # a task holds the distinct values of all columns of a chunk
+        chunk = max(1, min(50, 4 * small // max(counts[v] for v in near)))
+        found = wide_aggregate(values, [F.percentile(v, literals).alias(v) for v in near], chunk=chunk)
         for v in near:
             result[columns[int(v[1:])]] = list(found[v])
 

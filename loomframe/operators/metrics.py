@@ -201,12 +201,29 @@ def probability_summary(probs: DataFrame, label: str = "class", score: str = "p"
     return per_class.agg(F.avg("m").alias("mean_probability"), F.avg("s").alias("mean_std"))
 
 
+def label_metrics(df: DataFrame, y: str = "y", pred: str = "pred", by: list[str] | None = None) -> DataFrame:
+    """Accuracy, balanced accuracy, weighted scores, macro F1 and sample count from one count of the cells."""
+    support = F.sum("support")
+
+    def weighted(name: str) -> Column:
+        return C.safe_divide(F.sum(F.col(name) * F.col("support")), support).alias(f"{name}_weighted")
+
+    return class_scores(df, y, pred, by).groupBy(*(by or [])).agg(
+        C.safe_divide(F.sum("tp"), support).alias("accuracy"),
+        F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"),
+        weighted("precision"),
+        weighted("recall"),
+        weighted("f1"),
+        F.avg("f1").alias("f1_macro"),
+        support.cast("double").alias("n_samples"),
+    )
+
+
 def evaluation_record(df: DataFrame, model: str, run: str, y: str = "y", pred: str = "pred", score: str | None = "p") -> DataFrame:
     """Long (model, run, metric, value) rows, the shape the metric log keeps."""
-    frames = [accuracy(df, y, pred), balanced_accuracy(df, y, pred), prf_weighted(df, y, pred), f1_macro(df, y, pred)]
-    frames.append(df.agg(F.count(F.lit(1)).cast("double").alias("n_samples")))
+    frames = [label_metrics(df, y, pred)]
     if score:
-        frames.append(auc_binary(df, y, score).withColumnRenamed("auc", "auc"))
+        frames.append(auc_binary(df, y, score))
     parts = [C.inline_rows(f, [{"metric": F.lit(c), "value": F.col(c)} for c in f.columns]) for f in frames]
     rows = reduce(DataFrame.unionByName, parts)
     return rows.select(F.lit(model).alias("model_name"), F.lit(run).alias("run_id"), "metric", "value")
@@ -216,14 +233,9 @@ def metric_value(df: DataFrame, metric: str, y: str = "y", pred: str = "pred", s
     """One metric as a number; error metrics keep their natural sign."""
     if metric in ("mae", "mse", "rmse", "r2"):
         return regression_errors(df, y, pred).first()[metric]
-    if metric == "accuracy":
-        return accuracy(df, y, pred).first()["accuracy"]
-    if metric == "balanced_accuracy":
-        return balanced_accuracy(df, y, pred).first()["balanced_accuracy"]
-    if metric == "f1_macro":
-        return f1_macro(df, y, pred).first()["f1_macro"]
-    if metric in ("f1", "f1_weighted", "precision", "recall"):
-        return prf_weighted(df, y, pred).first()[f"{metric.split('_')[0]}_weighted"]
+    named = {"f1": "f1_weighted", "precision": "precision_weighted", "recall": "recall_weighted"}.get(metric, metric)
+    if named in ("accuracy", "balanced_accuracy", "f1_macro", "f1_weighted", "precision_weighted", "recall_weighted"):
+        return label_metrics(df, y, pred).first()[named]
     if metric == "auc" and score:
         return auc_binary(df, y, score).first()["auc"]
     raise ValueError(f"unknown metric {metric!r}")

@@ -51,7 +51,7 @@ def type_map(df: DataFrame, key: str) -> dict[str, str]:
             .agg(F.avg(dated.cast("int")).alias("dated"), F.avg(F.char_length("value")).alias("length"))
         )
         seen = {r["column_name"]: r for r in sampled.collect()}
-        distinct = [F.count_distinct(F.col(c)).alias(c) for c in strings]
+        distinct = [F.count_distinct(C.distinct_key(df, c)).alias(c) for c in strings]
         counts = C.wide_aggregate(df, [F.count(F.lit(1)).alias("__rows"), *distinct])
         for name in strings:
             sample = seen.get(name)
@@ -114,7 +114,7 @@ def task_types(df: DataFrame, names: list[str] | None = None, threshold: float =
     """classification / regression per column, from one distinct-count pass."""
     names = names or df.columns
     counts = df.agg(
-        F.count(F.lit(1)).alias("__rows"), *[F.count_distinct(C.present(df, c)).alias(f"__u{i}") for i, c in enumerate(names)]
+        F.count(F.lit(1)).alias("__rows"), *[F.count_distinct(C.distinct_key(df, c)).alias(f"__u{i}") for i, c in enumerate(names)]
     )
     rows = []
     for i, c in enumerate(names):
@@ -195,7 +195,7 @@ def dataset_profile(df: DataFrame, target: str | None = None) -> DataFrame:
     strings = C.string_columns(df)
     exprs = [F.count(F.lit(1)).alias("__rows")]
     exprs += [F.count_if(C.is_missing(df, c)).alias(f"__m{i}") for i, c in enumerate(df.columns)]
-    # a missing cell counts with the length of its printed form, three characters or so in pandas; here it is skipped
+    # missing cells are left out of the average length
     exprs += [F.avg(F.char_length(c)).alias(f"__l{i}") for i, c in enumerate(strings)]
     found = C.wide_aggregate(df, exprs)
     n_rows, n_cols = found["__rows"], len(df.columns)

@@ -139,11 +139,30 @@ def sentiment(df: DataFrame, key: str, text: str, lexicon: dict[str, tuple[float
     return scored.select(key, mean("p").alias("polarity"), mean("s").alias("subjectivity"))
 
 
-def word_vectors(df: DataFrame, key: str, text: str, size: int = 16, min_count: int = 5, seed: int = 42, iterations: int = 1):
-    """Fit word vectors; the model averages them over each document."""
+def _count_floor(words: DataFrame, limit: int) -> int:
+    """Smallest word count that leaves no more than ``limit`` words."""
+    counts = words.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    by_count = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
+    # one row per distinct count; rare counts share most words
+    total = 0
+    for row in by_count.orderBy(F.desc("n")).toLocalIterator():
+        total += row["words"]
+        if total > limit:
+            return row["n"] + 1
+    return 1
+
+
+def word_vectors(df: DataFrame, key: str, text: str, size: int = 16, min_count: int = 5, seed: int = 42, iterations: int = 1, max_words: int = 500_000):
+    """Fit word vectors; the model averages them over each document.
+
+    The vocabulary and its vectors live on the driver while they are trained,
+    so the count below which a word is left out grows until at most
+    ``max_words`` remain.
+    """
     from pyspark.ml.feature import Word2Vec
 
     words = spread(df.select(key, text)).select(key, X.tokens(F.col(text)).alias("words"))
+    min_count = max(min_count, _count_floor(words, max_words))
     # the default of one partition would train the whole corpus in one task
     parts = max(1, df.sparkSession.sparkContext.defaultParallelism)
     stage = Word2Vec(vectorSize=size, minCount=min_count, seed=seed, maxIter=iterations, numPartitions=parts)

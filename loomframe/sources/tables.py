@@ -67,13 +67,17 @@ def infer_format(path: str) -> str:
     raise ValueError(f"cannot tell the format of {path!r}")
 
 
-def read_table(spark: SparkSession, path: str, kind: str | None = None, schema: T.StructType | str | None = None) -> DataFrame:
-    """Read a table; a given schema saves the inference pass over the data."""
+def read_table(spark: SparkSession, path: str, kind: str | None = None, schema: T.StructType | str | None = None, multi_line: bool = True) -> DataFrame:
+    """Read a table; a given schema saves the inference pass over the data.
+
+    ``multi_line`` lets CSV fields hold line breaks, at the price of one task
+    per file; turn it off for large files without such fields.
+    """
     kind = kind or infer_format(path)
     if kind == "csv":
         reader = spark.read.option("header", True)
         # nulls are \N, so an empty field stays an empty string
-        reader = reader.option("escape", '"').option("multiLine", True).option("nullValue", "\\N")
+        reader = reader.option("escape", '"').option("multiLine", multi_line).option("nullValue", "\\N")
         return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
     if kind == "json":
         first = _first_bytes(path).lstrip()[:1]

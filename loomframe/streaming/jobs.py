@@ -68,28 +68,45 @@ def route_rejects(stream: DataFrame, column: str, good: str, bad: str, mark: str
     return validated(stream, column).writeStream.foreachBatch(write).option("checkpointLocation", mark).trigger(availableNow=True).start()
 
 
-def upsert_stream(stream: DataFrame, snapshot: str, mark: str, key: str = "run_id", version: str = "version"):
-    """Latest row per key, merged batch by batch into Parquet snapshots.
+def upsert_stream(stream: DataFrame, snapshot: str, mark: str, key: str = "run_id", version: str = "version", compact_every: int = 20):
+    """Latest row per key as a stream: small deltas, now and then a new base.
 
-    Snapshot ``n`` is built from snapshot ``n - 1`` and batch ``n``; a replayed
-    batch rebuilds its own snapshot, and readers take the newest complete one.
+    A micro-batch writes only its own latest rows, so its cost does not grow
+    with the table; every ``compact_every`` batches the deltas are folded into
+    a new base.  The folder carries the batch number, so a replayed batch
+    replaces itself.
     """
     spark = stream.sparkSession
     schema = stream.schema
 
     def merge(batch: DataFrame, number: int) -> None:
-        before = batch if number == 0 else spark.read.schema(schema).parquet(f"{snapshot}/v={number - 1}")
-        changes = batch.limit(0) if number == 0 else batch
-        history.upsert_runs(before, changes, key, version).write.mode("overwrite").parquet(f"{snapshot}/v={number}")
+        if number and number % compact_every == 0:
+            rows = history.upsert_runs(latest_snapshot(spark, snapshot, schema, key, version, number), batch, key, version)
+            rows.write.mode("overwrite").parquet(f"{snapshot}/base={number}")
+        else:
+            rows = history.upsert_runs(batch, batch.limit(0), key, version)
+            rows.write.mode("overwrite").parquet(f"{snapshot}/delta={number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", mark).trigger(availableNow=True).start()
 
 
-def latest_snapshot(spark: SparkSession, snapshot: str, schema: T.StructType) -> DataFrame:
+def latest_snapshot(
+    spark: SparkSession, snapshot: str, schema: T.StructType, key: str = "run_id", version: str = "version", before: int | None = None
+) -> DataFrame:
+    """Newest base and the deltas after it, merged (only batches below ``before``)."""
     from loomframe.sources.tables import data_files
 
-    versions = {int(f.split("/v=")[1].split("/")[0]) for f in data_files(snapshot)}
-    return spark.read.schema(schema).parquet(f"{snapshot}/v={max(versions)}")
+    found: dict[str, set[int]] = {"base": set(), "delta": set()}
+    for name in data_files(snapshot):
+        for kind in found:
+            if f"/{kind}=" in name:
+                found[kind].add(int(name.split(f"/{kind}=")[1].split("/")[0]))
+    usable = {kind: {n for n in numbers if before is None or n < before} for kind, numbers in found.items()}
+    base = max(usable["base"], default=-1)
+    paths = [f"{snapshot}/base={base}"] if base >= 0 else []
+    paths += [f"{snapshot}/delta={n}" for n in sorted(usable["delta"]) if n > base]
+    rows = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    return history.upsert_runs(rows, rows.limit(0), key, version)
 
 
 def window_counts(df: DataFrame, key: str, ts: str, minutes: int = 60) -> DataFrame:

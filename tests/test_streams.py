@@ -54,7 +54,7 @@ def test_rejects_go_to_their_own_table(spark):
 def test_upsert_keeps_the_latest(spark):
     rows = spark.range(300).selectExpr("id % 20 as run_id", "id * 7919 % 1009 as version", "cast(id as double) as best_score")
     base = scratch_path(spark, "upsert")
-    jobs.upsert_stream(as_stream(rows, 4, 1), f"{base}/runs", f"{base}/mark").awaitTermination()
+    jobs.upsert_stream(as_stream(rows, 7, 1), f"{base}/runs", f"{base}/mark", compact_every=3).awaitTermination()
     got = {r["run_id"]: r["version"] for r in jobs.latest_snapshot(spark, f"{base}/runs", rows.schema).collect()}
     want = {r["run_id"]: r["v"] for r in rows.groupBy("run_id").agg(F.max("version").alias("v")).collect()}
     assert got == want
