@@ -19,13 +19,14 @@ def top_trials(trials: DataFrame, k: int = 3) -> DataFrame:
 
 def vote_soft(probs: DataFrame, key: str, label: str = "class", score: str = "p") -> DataFrame:
     """Class with the largest mean probability, ties to the smallest class."""
-    means = probs.groupBy(key, label).agg(F.round(F.avg(score), 12).alias("m"))
+    # one shuffle on the row key serves both aggregates
+    means = probs.repartition(key).groupBy(key, label).agg(F.round(F.avg(score), 12).alias("m"))
     best = F.min_by(label, F.struct((-F.col("m")).alias("m"), F.col(label).alias("c")))
     return means.groupBy(key).agg(best.alias("pred"))
 
 
 def vote_hard(preds: DataFrame, key: str, pred: str = "pred") -> DataFrame:
-    votes = preds.groupBy(key, pred).agg(F.count(F.lit(1)).alias("n"))
+    votes = preds.repartition(key).groupBy(key, pred).agg(F.count(F.lit(1)).alias("n"))
     best = F.min_by(pred, F.struct((-F.col("n")).alias("n"), F.col(pred).alias("c")))
     return votes.groupBy(key).agg(best.alias("pred"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from itertools import combinations, combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from loomframe.functions import columns as C
 from loomframe.functions.quantiles import exact_quantiles
@@ -139,8 +139,6 @@ def f_scores(df: DataFrame, names: list[str], target: str, class_limit: int = 20
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:
     """Score rows with the ``k`` best marked; a feature table, never data rows."""
-    from pyspark.sql import Window
-
     order = Window.orderBy(F.desc_nulls_last("score"), "column_name")
     return scores.withColumn("rank", F.row_number().over(order)).withColumn("selected", F.col("rank") <= k)
 
@@ -162,12 +160,12 @@ def mutual_information(df: DataFrame, names: list[str], target: str, bins: int =
         F.col(target).alias("y"), F.inline(F.filter(F.array(*cells), lambda s: s.isNotNull()))
     )
     joint = long.groupBy("column_name", "bin", "y").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    by_bin = joint.groupBy("column_name", "bin").agg(F.sum("n").alias("n_bin"))
-    by_class = joint.groupBy("column_name", "y").agg(F.sum("n").alias("n_class"))
-    total = joint.groupBy("column_name").agg(F.sum("n").alias("n_all"))
-    full = joint.join(by_bin, ["column_name", "bin"]).join(by_class, ["column_name", "y"]).join(total, "column_name")
-    share = F.col("n") / F.col("n_all")
-    term = share * F.log(F.col("n") * F.col("n_all") / (F.col("n_bin") * F.col("n_class")))
+    # the joint table has one row per (feature, bin, class): windows over it are small
+    def total(*parts: str) -> Column:
+        return F.sum("n").over(Window.partitionBy("column_name", *parts))
+
+    full = joint.select("column_name", "n", total("bin").alias("n_bin"), total("y").alias("n_class"), total().alias("n_all"))
+    term = F.col("n") / F.col("n_all") * F.log(F.col("n") * F.col("n_all") / (F.col("n_bin") * F.col("n_class")))
     return full.groupBy("column_name").agg(F.sum(term).alias("score"))
 
 

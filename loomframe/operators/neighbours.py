@@ -209,7 +209,8 @@ def knn_predict(
     if task == "regression":
         mean = F.sum(F.col("__w") * F.col("__y")) / F.sum("__w")
         return joined.groupBy(key).agg(mean.alias("prediction"))
-    votes = joined.groupBy(key, "__y").agg(F.round(F.sum("__w"), DIGITS).alias("__v"))
+    # one shuffle on the row key serves both aggregates
+    votes = joined.repartition(key).groupBy(key, "__y").agg(F.round(F.sum("__w"), DIGITS).alias("__v"))
     best = F.min_by("__y", F.struct((-F.col("__v")).alias("v"), F.col("__y").alias("y")))
     return votes.groupBy(key).agg(best.alias("prediction"))
 

@@ -20,7 +20,17 @@ def _as_stream(df: DataFrame, label: str, files: int = 4, per_trigger: int | Non
     return jobs.read_stream(df.sparkSession, path, df.schema, per_trigger)
 
 
-@query("rate_limit")
+def _limit_sql(limit: int, minutes: int) -> str:
+    """One request per user and step, carrying the accepted times along."""
+    alive = f"list_filter(r.held, lambda x: x > e.t - {minutes * 60_000_000})"
+    return f"""with recursive e as (select event_id, user_id, epoch_us(ts) as t, row_number() over (partition by user_id order by ts, event_id) as rn from events),
+r as (select event_id, user_id, rn, true as accepted, [t] as held from e where rn = 1
+ union all select e.event_id, e.user_id, e.rn, len({alive}) < {limit}, case when len({alive}) < {limit} then list_append({alive}, e.t) else {alive} end
+ from r join e on e.user_id = r.user_id and e.rn = r.rn + 1)
+select {whole('event_id', 'event_id')}, {whole('user_id', 'user_id')}, accepted from r"""
+
+
+@query("rate_limit", _limit_sql(2, 1440))
 def rate_limit(t: Tables) -> DataFrame:
     return jobs.rate_limit(t.events, "event_id", "user_id", "ts", limit=2, minutes=1440)
 
