@@ -12,6 +12,8 @@ from loomframe.plans import views
 from loomframe.plans.profiles import ORDERS, iqr_sql, missing_sql, robust_sql, types_sql
 from loomframe.plans.registry import Tables, num, query, quote, union, whole
 from loomframe.plans.views import with_views
+from loomframe.session import scratch_path
+from loomframe.sources import catalog
 
 
 @query(
@@ -232,6 +234,14 @@ def preprocess_default(t: Tables) -> DataFrame:
     return preprocess.apply_preprocessor(t.orders, preprocess.fit_preprocessor(t.orders, "o_orderkey", "o_orderstatus"))
 
 
+@query("preprocessor_roundtrip", _default_sql())
+def preprocessor_roundtrip(t: Tables) -> DataFrame:
+    """Stored, reloaded and applied state gives the same features."""
+    path = scratch_path(t.spark, "preprocessor")
+    catalog.save_preprocessor(t.spark, preprocess.fit_preprocessor(t.orders, "o_orderkey", "o_orderstatus"), path)
+    return preprocess.apply_preprocessor(t.orders, catalog.load_preprocessor(t.spark, path))
+
+
 @query("preprocess_advanced")
 def preprocess_advanced(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id", "text", "n_chars").join(t.labels.select("doc_id", "quality"), "doc_id")

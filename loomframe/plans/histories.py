@@ -170,6 +170,17 @@ def key_usage_audit(t: Tables) -> DataFrame:
     return history.key_usage_audit(t.events, "user_id", F.col("event_type").isin("view", "click"), "ts")
 
 
+@query(
+    "summary_card",
+    """select '# Model summary' || chr(10) || chr(10) || '- model: linear' || chr(10) || '- task: regression' || chr(10) || '- score: ' ||
+ printf('%.4f', (select max((p_retailprice - 900) / 100) from part where p_partkey % 17 <> 0)) || chr(10) || '- features: 2' || chr(10) || '- rows: ' || format('{:,}', count(*)) as card from part""",
+)
+def summary_card(t: Tables) -> DataFrame:
+    """Short card with the best score of the leaderboard."""
+    best = history.leaderboard_top(views.trials(t), 1).first()["score"]
+    return explain.summary_card(t.part, "linear", "regression", best, 2)
+
+
 IMPORTANCES = "(select p_type as feature, avg(p_size) as importance from part group by 1) i"
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -53,6 +56,22 @@ def retention(runs: DataFrame, keep: int = 10) -> DataFrame:
     return runs.join(F.broadcast(newest), "run_id", "left_anti")
 
 
+def save_preprocessor(spark: SparkSession, state, path: str) -> None:
+    """Fitted preprocessing state as one JSON document next to the model."""
+    spark.createDataFrame([(json.dumps(asdict(state)),)], "value string").coalesce(1).write.text(path)
+
+
+def load_preprocessor(spark: SparkSession, path: str):
+    from loomframe.operators.preprocess import Preprocessor
+
+    return Preprocessor(**json.loads(spark.read.text(path, wholetext=True).first()["value"]))
+
+
+def save_card(card: DataFrame, path: str) -> None:
+    """A model card as Markdown text."""
+    card.select(F.col("card").alias("value")).coalesce(1).write.text(path)
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().save(path)
 

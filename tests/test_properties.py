@@ -79,6 +79,15 @@ def test_importance_sums_to_one(spark, parts):
     assert explain.builtin_importance(spark, model, ["size", "length"]).agg(F.sum("importance")).first()[0] == pytest.approx(1.0)
 
 
+def test_stored_state_scores_the_same(spark, sf):
+    orders = table(spark, sf, "orders")
+    state = preprocess.fit_preprocessor(orders, "o_orderkey", "o_orderstatus")
+    path = scratch_path(spark, "state")
+    catalog.save_preprocessor(spark, state, path)
+    again = catalog.load_preprocessor(spark, path)
+    assert preprocess.apply_preprocessor(orders, state).exceptAll(preprocess.apply_preprocessor(orders, again)).count() == 0
+
+
 def test_scoring_applies_the_preprocessor(spark, sf):
     orders = table(spark, sf, "orders").withColumn("label", (F.col("o_totalprice") > 250000).cast("int")).drop("o_orderstatus")
     state = preprocess.fit_preprocessor(orders, "o_orderkey", "label")
