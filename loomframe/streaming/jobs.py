@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomframe.operators import history, validate
-from loomframe.session import scratch_path
+from loomframe.session import materialize, scratch_path
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -109,20 +109,38 @@ def latest_snapshot(
     return history.upsert_runs(rows, rows.limit(0), key, version)
 
 
+SLICES = 60
+
+
+def _sliced(df: DataFrame, ts: str, minutes: int) -> DataFrame:
+    """Time in microseconds and the number of its slice, 1/60 of the window."""
+    width = minutes * 60_000_000 // SLICES
+    return df.withColumn("__t", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("__slice", F.floor(F.col("__t") / F.lit(width)))
+
+
 def window_counts(df: DataFrame, key: str, ts: str, minutes: int = 60) -> DataFrame:
     """Requests of the same key in the last ``minutes``, the row included.
 
-    Rows are grouped by key and time slice and each row is also sent to the
-    following slice as history, so a hot key spreads over its slices and no
-    window spans a whole key.  A request exactly ``minutes`` old is out.
+    A window of 60 slices ends in the row's own slice and begins in the slice
+    60 before.  Whole slices come from a table of slice sizes; inside the own
+    slice each request adds one and each request of 60 slices ago takes one
+    away once it is out of the window (exactly ``minutes`` old is out).  So a
+    hot key spreads over its slices and no window spans a key.
     """
     span = minutes * 60_000_000
-    rows = df.withColumn("__t", F.unix_micros(F.col(ts).cast("timestamp")))
-    home = F.floor(F.col("__t") / F.lit(span))
-    copies = F.array(F.struct(home.alias("slice"), F.lit(True).alias("own")), F.struct((home + 1).alias("slice"), F.lit(False).alias("own")))
-    spread = rows.select("*", F.inline(copies))
-    frame = Window.partitionBy(key, "slice").orderBy("__t").rangeBetween(-(span - 1), 0)
-    return spread.withColumn("window_count", F.count(F.lit(1)).over(frame)).where("own").drop("__t", "slice", "own")
+    rows = _sliced(df, ts, minutes)
+    before = Window.partitionBy(key).orderBy("__slice").rangeBetween(-SLICES, -1)
+    sizes = rows.groupBy(key, "__slice").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = sizes.select(key, "__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__earlier"))
+    copies = F.array(
+        F.struct(F.col("__slice").alias("__at"), F.col("__t").alias("__pos"), F.lit(1).alias("__step")),
+        F.struct((F.col("__slice") + SLICES).alias("__at"), (F.col("__t") + span).alias("__pos"), F.lit(-1).alias("__step")),
+    )
+    moves = rows.select(*df.columns, F.inline(copies))
+    running = Window.partitionBy(key, "__at").orderBy("__pos").rangeBetween(Window.unboundedPreceding, 0)
+    counted = moves.withColumn("__run", F.sum("__step").over(running)).where("__step = 1")
+    joined = counted.withColumnRenamed("__at", "__slice").join(earlier, [key, "__slice"])
+    return joined.select(*df.columns, (F.col("__earlier") + F.col("__run")).alias("window_count"))
 
 
 def _accept(times: list[int], held: list[int], limit: int, span: int) -> list[bool]:
@@ -148,8 +166,9 @@ def rate_limit(df: DataFrame, row: str, key: str, ts: str, limit: int = 100, min
     in bounded memory (at most ``limit`` timestamps are held).
     """
     span = minutes * 60_000_000
-    rows = window_counts(df.select(row, key, ts), key, ts, minutes)
-    rows = rows.withColumn("__t", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("slice", F.floor(F.col("__t") / F.lit(span)))
+    rows = _sliced(window_counts(df.select(row, key, ts), key, ts, minutes), ts, minutes).withColumnRenamed("__slice", "slice")
+    # read by the span search and by both branches below, so written once
+    rows = materialize(rows.select(row, key, "__t", "slice", "window_count"), "limiter")
     # one row per key and slice: no quiet gap fits inside a slice
     slices = rows.groupBy(key, "slice").agg(F.min("__t").alias("first"), F.max("__t").alias("last"), F.max("window_count").alias("peak"))
     order = Window.partitionBy(key).orderBy("slice")
