@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomframe.llm.common import LOWER, ORACLES, QUERIES, UPPER, query, read
 from loomframe.llm.exact_dedup import exact_dedup
+from loomframe.llm.packing import default_tokenizer, pack
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -20,3 +21,9 @@ __all__ = ["ORACLES", "QUERIES"]
 )
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op9_best_fit_packing")
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack(read(spark, sf_dir, "documents"), default_tokenizer(), with_ids=False)
+    return packed.drop("ids").withColumnRenamed("id", "doc_id")
