@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loomframe.llm.common import LOWER, ORACLES, QUERIES, UPPER, query, read
 from loomframe.llm.exact_dedup import exact_dedup
 from loomframe.llm.packing import default_tokenizer, pack
+from loomframe.llm.secrets import scan_secrets
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -27,3 +28,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(read(spark, sf_dir, "documents"), default_tokenizer(), with_ids=False)
     return packed.drop("ids").withColumnRenamed("id", "doc_id")
+
+
+@query("op10_secret_scans")
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scan_secrets(read(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda f: f["kind"].isin("assign", "access", "hex"))
+    line = lambda spans: F.array_join(F.transform(spans, lambda f: F.concat_ws(":", f["kind"], f["first"], f["last"])), ",")
+    count = lambda kind: F.size(F.filter("found", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return rows.select(F.col("id").alias("doc_id"), count("assign"), count("access"), count("hex"), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("found")).alias("spans"))
