@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loomframe.llm.common import LOWER, ORACLES, QUERIES, UPPER, query, read
 from loomframe.llm.exact_dedup import exact_dedup
 from loomframe.llm.packing import default_tokenizer, pack
+from loomframe.llm.quality import score_quality
 from loomframe.llm.secrets import scan_secrets
+from loomframe.llm.toxicity import score_toxicity
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -37,3 +39,15 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = lambda spans: F.array_join(F.transform(spans, lambda f: F.concat_ws(":", f["kind"], f["first"], f["last"])), ",")
     count = lambda kind: F.size(F.filter("found", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return rows.select(F.col("id").alias("doc_id"), count("assign"), count("access"), count("hex"), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("found")).alias("spans"))
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return rows.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted", F.size("segments").alias("n_segments"))
+
+
+@query("op2_quality_classifier")
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return rows.withColumnRenamed("id", "doc_id")
