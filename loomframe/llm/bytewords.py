@@ -42,9 +42,9 @@ class _Powers:
 
     def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, 2 * len(self.up), CHUNK_BYTES + CHUNK_BYTES // 8)
+            size = max(n, 2 * len(self.up), CHUNK_BYTES + CHUNK_BYTES // 8)
             inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-            make = lambda b: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)]), dtype=np.uint64)
+            make = lambda b: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)]), dtype=np.uint64)
             self.up, self.down = make(_BASE), make(inverse)
         return self.up[:n], self.down[:n]
 

@@ -28,8 +28,9 @@ BUCKETS = 1 << 20
 #: A word counts as itself and through its beginnings of these lengths in bytes, which
 #: carry over to inflected and compound forms.
 PREFIXES = (5, 6, 7, 8)
-#: Weight of the prior against the labelled words; standard errors taken off a log-odds; score of an ordinary word.
-PRIOR, CAUTION, DRIFT = 0.05, 2.5, -0.2
+#: Weight of the prior against the labelled words; standard errors taken off a log-odds (a
+#: million buckets are tested at once); score of an ordinary word.
+PRIOR, CAUTION, DRIFT = 0.05, 5.0, -0.5
 SEGMENTS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))
 
 
@@ -132,10 +133,18 @@ def _surprise(score: Column, rate: float, scale: float) -> Column:
     return F.greatest(F.lit(0.0), F.lit(rate) * score - F.log(F.lit(scale) * F.greatest(F.col("n_words"), F.lit(1))))
 
 
+#: What the probability is fitted on.
+FEATURES = ("top", "rest", "amount", "size")
+
+
 def features(found: DataFrame, rate: float, scale: float) -> DataFrame:
-    """top: surprise of the best segment; rest: that of all segments together."""
-    return found.withColumn("top", F.least(F.lit(50.0), _surprise(F.col("best"), rate, scale))).withColumn(
-        "rest", F.log1p(F.aggregate("segments", F.lit(0.0), lambda a, s: a + _surprise(s["score"], rate, scale)))
+    """Surprise of the best segment and of all together, summed scores, length of the text."""
+    total = lambda of: F.log1p(F.aggregate("segments", F.lit(0.0), lambda a, s: a + of(s["score"])))
+    return (
+        found.withColumn("top", F.least(F.lit(50.0), _surprise(F.col("best"), rate, scale)))
+        .withColumn("rest", total(lambda x: _surprise(x, rate, scale)))
+        .withColumn("amount", total(lambda x: x))
+        .withColumn("size", F.log1p("n_words"))
     )
 
 
@@ -174,9 +183,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
     least = float(np.median(positive)) if len(positive) else 1.0
     above, mass = known.filter("label = 0").agg(F.count_if(F.col("best") >= least), F.sum(F.col("n_words") * float(np.exp(-rate * least)))).first()
     scale = (above + 1) / max(mass or 0.0, 1.0)
-    rows = features(known, rate, scale).select("label", "top", "rest").toPandas()  # the documented sample
+    rows = features(known, rate, scale).select("label", *FEATURES).toPandas()  # the documented sample
     y = rows["label"].to_numpy(float)
-    w = fit_logistic(rows[["top", "rest"]].to_numpy(), y) if len(y) and 0 < y.sum() else (-40.0, 0.0, 0.0)
-    score = 1 / (1 + F.exp(-(F.lit(w[0]) + w[1] * F.col("top") + w[2] * F.col("rest"))))
+    w = fit_logistic(rows[[*FEATURES]].to_numpy(), y) if 0 < y.sum() < len(y) else (-40.0, *[0.0] * len(FEATURES))
+    logit = sum((F.col(name) * weight for name, weight in zip(FEATURES, w[1:])), F.lit(w[0]))
+    score = 1 / (1 + F.exp(-logit))
     out = features(found, rate, scale).withColumn("score", score)
     return out.select("id", held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_words", "segments")
