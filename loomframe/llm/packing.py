@@ -19,74 +19,154 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
+from loomframe.llm.bytewords import FOLD, text_bytes, text_chunks, tokens
 from loomframe.llm.common import id_and_text
 from loomframe.session import materialize
 
-#: Bytes of text handled at once in a task, and words remembered by a worker.
-CHUNK_BYTES, WORD_CACHE = 4 << 20, 300_000
+#: Words remembered by a Python worker, and the slots of their table.
+WORD_CACHE, SLOTS = 1_000_000, 1 << 21
+
+# Byte classes for cutting words into parts that are encoded on their own: 1 letters
+# and digits, 2 ASCII symbols, 3 anything that makes the whole word stay in one part
+# (the apostrophe of contractions, and characters that normalisation might join).
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[[0x20, 9, 10, 11, 12, 13]] = 0
+_CLASS[33:127] = 2
+_CLASS[[b for b in range(128) if chr(b).isalnum()]] = 1
+_CLASS[ord("'")] = 3
+
+
+def part_classes(data: np.ndarray) -> np.ndarray:
+    """Class of each byte; two-byte letters U+00C0 to U+017F count as letters."""
+    kind = _CLASS[data]
+    lead = (data[:-1] >= 0xC3) & (data[:-1] <= 0xC5) & (data[1:] >= 0x80) & (data[1:] < 0xC0)
+    pair = data[:-1].astype(np.uint16) * 256 + data[1:]
+    lead &= (pair != 0xC397) & (pair != 0xC3B7) & (pair != 0xC4B0)  # no letters, and one that lower-cases to two
+    at = np.flatnonzero(lead)
+    kind[at] = 1
+    kind[at + 1] = 1
+    odd = np.flatnonzero(kind == 3)
+    if len(odd):
+        gaps = np.flatnonzero(kind == 0)
+        k = np.searchsorted(gaps, odd)
+        edges = np.concatenate([[-1], gaps, [len(data)]])
+        whole = np.zeros(len(data) + 1, np.int32)
+        k = np.unique(k)
+        whole[edges[k] + 1] += 1
+        whole[edges[k + 1]] -= 1
+        kind[np.cumsum(whole[:-1]) > 0] = 3
+    return kind
 
 
 class WordEncoder:
-    """Token ids of texts, each distinct word encoded once by the tokenizer.
+    """Token ids of texts, each distinct part of a word encoded once by the tokenizer.
 
-    Valid for tokenizers that drop white space and never join across it.
+    Valid for tokenizers that lower-case, drop white space, and cut between letters
+    and symbols. Parts are told apart by 64-bit hashes.
     """
 
+    #: White space around it makes it a token of its own, so it separates parts that are encoded together.
+    MARK = "|"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        (self.mark,) = self.raw(self.MARK)
         self.clear()
 
+    def raw(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.keys = np.zeros(SLOTS, np.uint64)
+        self.spots = np.full(SLOTS, -1, np.int32)
         self.ids = np.zeros(1 << 16, "<u4")
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def learn(self, words: list[str]) -> None:
-        for word, code in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False)):
-            ids = code.ids
-            k = len(self.place)
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            if k + 2 > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.place[word] = k
-            self.starts[k + 1] = self.used
+        self.starts = np.zeros(1 << 16, np.int64)
+        self.known = self.used = 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 where it is new."""
+        slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+        place = self.spots[slot]
+        open_ = np.flatnonzero((place >= 0) & (self.keys[slot] != hashes))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (SLOTS - 1)
+            place[open_] = self.spots[slot[open_]]
+            open_ = open_[(place[open_] >= 0) & (self.keys[slot[open_]] != hashes[open_])]
+        return place
+
+    def add(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Encode distinct new parts and remember them."""
+        plain = [w for w in words if self.MARK not in w]
+        joined = np.array(self.raw(f" {self.MARK} ".join(plain)), "<u4") if plain else np.zeros(0, "<u4")
+        cuts = np.concatenate([[-1], np.flatnonzero(joined == self.mark), [len(joined)]])
+        body = iter([joined[a + 1 : b] for a, b in zip(cuts[:-1], cuts[1:])])
+        lists = [next(body) if self.MARK not in w else np.array(self.raw(w), "<u4") for w in words]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        fresh = np.concatenate(lists)
+        while self.used + len(fresh) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.known + len(words) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.ids[self.used : self.used + len(fresh)] = fresh
+        self.starts[self.known + 1 : self.known + 1 + len(words)] = self.used + np.cumsum(sizes)
+        self.used += len(fresh)
+        slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+        left = np.arange(len(words))
+        while len(left):
+            free = left[self.spots[slot[left]] < 0]
+            _, one = np.unique(slot[free], return_index=True)
+            won = free[one]
+            self.keys[slot[won]] = hashes[won]
+            self.spots[slot[won]] = self.known + won
+            left = np.setdiff1d(left, won, assume_unique=True)
+            slot[left] = (slot[left] + 1) & (SLOTS - 1)
+        self.known += len(words)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's ids start (one more entry at the end)."""
-        lists = pc.ascii_split_whitespace(texts)
-        ends = np.asarray(lists.offsets).astype(np.int64)
-        coded = lists.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.place) > WORD_CACHE:
-            self.clear()
-        self.learn([w for w in words if w not in self.place])
-        spot = np.fromiter((self.place[w] for w in words), np.int64, len(words))
-        spot = spot[np.asarray(coded.indices)] if len(words) else spot
-        first = self.starts[spot]
-        size = self.starts[spot + 1] - first
-        bounds = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.repeat(first - bounds[:-1], size) + np.arange(bounds[-1])]
-        return ids, bounds[ends - ends[0]]
-
-
-def chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK_BYTES) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """(ids, texts without nulls) of bounded size; a longer text is a chunk of its own."""
-    for batch in batches:
-        texts = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
-        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < len(texts):
-            base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
-            yield batch.column("id").slice(at, to - at), texts.slice(at, to - at)
-            at = to
+        hashes, first, end, bounds = tokens(texts, part_classes, FOLD, relative=False)
+        place = self.find(hashes)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            if self.known + len(new) > WORD_CACHE:
+                self.clear()
+                new = np.arange(len(hashes))
+            data = text_bytes(texts).tobytes()
+            fresh, where = np.unique(hashes[new], return_index=True)
+            for at in range(0, len(fresh), 50_000):
+                spans = zip(first[new[where[at : at + 50_000]]].tolist(), end[new[where[at : at + 50_000]]].tolist())
+                self.add(fresh[at : at + 50_000], [data[a:b].decode("utf-8", "replace") for a, b in spans])
+            place = self.find(hashes)
+        begin = self.starts[place]
+        size = self.starts[place + 1] - begin
+        total = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
+        bounds = total[bounds]
+        return self.with_specials(texts, ids, bounds)
+
+    def with_specials(self, texts: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts that spell out a special token are encoded whole."""
+        odd = np.zeros(len(texts), bool)
+        for special in self.specials:
+            odd |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return ids, bounds
+        rows = [np.array(self.raw(texts[k].as_py()), "<u4") if odd[k] else ids[bounds[k] : bounds[k + 1]] for k in range(len(texts))]
+        return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """One for each Python worker, kept from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,13 +178,13 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordEncoder(tokenizer_path)
+        coder = encoder(tokenizer_path)
         seen = [0] * (capacity + 1)
         part = TaskContext.get().partitionId()
-        for keys, texts in chunks(batches):
+        for batch, texts in text_chunks(batches):
             ids, bounds = coder.encode(texts)
             out: list[list] = [[] for _ in range(8)]
-            for key, lo, hi in zip(keys.to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+            for key, lo, hi in zip(batch.column("id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
                 own = np.append(ids[lo:hi], np.uint32(end_id)).astype("<u4")
                 for piece, start in enumerate(range(0, len(own), capacity)):
                     body = own[start : start + capacity].tobytes()
