@@ -28,9 +28,10 @@ BUCKETS = 1 << 20
 #: A word counts as itself and through its beginnings of these lengths in bytes, which
 #: carry over to inflected and compound forms.
 PREFIXES = (5, 6, 7, 8)
-#: Weight of the prior against the labelled words; standard errors taken off a log-odds (a
-#: million buckets are tested at once); score of an ordinary word.
-PRIOR, CAUTION, DRIFT = 0.05, 5.0, -0.5
+#: Weight of the prior against the labelled words; standard errors taken off a log-odds;
+#: least signed root of the likelihood ratio (a million buckets are tested at once);
+#: score of an ordinary word.
+PRIOR, CAUTION, TEST, DRIFT = 0.05, 2.0, 5.0, -0.5
 SEGMENTS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))
 
 
@@ -60,16 +61,24 @@ def count_words(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     return add_up(marked.mapInArrow(run, EMITTED), (BUCKETS, 3), "int64")
 
 
-def word_scores(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Score of each bucket, and its share among the words of clean documents."""
+def word_scores(counts: np.ndarray, n_toxic: int, n_clean: int) -> tuple[np.ndarray, np.ndarray]:
+    """Score of each bucket, and its share among the words of clean documents.
+
+    A bucket scores its log-odds less CAUTION standard errors if a likelihood-ratio
+    test over the labelled documents finds it tied to the toxic ones.
+    """
     corpus, toxic, clean = counts.T.astype(np.float64)
     n1, n0 = max(toxic.sum(), 1.0), max(clean.sum(), 1.0)
-    weight = PRIOR * (n1 + n0)
-    prior = 0.1 + weight * corpus / max(corpus.sum(), 1.0)
+    prior = 0.5 + PRIOR * (n1 + n0) * corpus / max(corpus.sum(), 1.0)
     y1, y0 = toxic + prior * n1 / (n1 + n0), clean + prior * n0 / (n1 + n0)
     odds = np.log(y1 / (y1.sum() - y1)) - np.log(y0 / (y0.sum() - y0))
     sure = odds - CAUTION * np.sqrt(1 / y1 + 1 / y0)
-    return np.where((sure > 0) & (toxic > 0), sure, DRIFT).astype(np.float32), y0 / y0.sum()
+    holds, lacks = toxic + clean, n_toxic + n_clean - toxic - clean
+    share = n_toxic / max(n_toxic + n_clean, 1)
+    gain = lambda seen, of: np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(of, 1e-9)), 0.0)
+    ratio = 2 * (gain(toxic, holds * share) + gain(clean, holds * (1 - share)) + gain(n_toxic - toxic, lacks * share) + gain(n_clean - clean, lacks * (1 - share)))
+    tied = (ratio > TEST**2) & (toxic > holds * share)
+    return np.where(tied & (sure > 0), sure, DRIFT).astype(np.float32), y0 / y0.sum()
 
 
 def decay_rate(scores: np.ndarray, share: np.ndarray) -> float:
@@ -175,7 +184,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
     """
     base = id_and_text(docs, id_col, text_col)
     sample = materialize(training_labels(labels, label_col, most_labels), "toxicity-labels")
-    scores, share = word_scores(count_words(base, sample))
+    n_labels = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    scores, share = word_scores(count_words(base, sample), n_labels.get(1, 0), n_labels.get(0, 0))
     found = materialize(find_segments(base, scores), "toxic-segments")
     rate = decay_rate(scores, share)
     known = found.join(F.broadcast(sample), "id")
