@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomframe.llm.common import LOWER, ORACLES, QUERIES, UPPER, query, read
 from loomframe.llm.exact_dedup import exact_dedup
+from loomframe.llm.jaccard import near_duplicates
 from loomframe.llm.packing import default_tokenizer, pack
 from loomframe.llm.quality import score_quality
 from loomframe.llm.secrets import scan_secrets
@@ -51,3 +52,28 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return rows.withColumnRenamed("id", "doc_id")
+
+
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+
+@query(
+    "op1_ngram_jaccard_join",
+    f"""
+    with recursive w as (select doc_id, {WORDS.format(f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')")} as w from documents),
+    s as (
+        select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))
+        when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from w
+    ),
+    e as (select doc_id, len(s) as n, unnest(s) as x from s),
+    p as (
+        select a.doc_id as a, b.doc_id as b from e a join e b on a.x = b.x and a.doc_id <> b.doc_id and 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)
+        group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))
+    ),
+    r(a, b) as (select a, b from p union select r.a, p.b from r join p on r.b = p.a)
+    select s.doc_id, cast(len(s.s) as bigint) as n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) as component_id
+    from s left join r on r.a = s.doc_id group by s.doc_id, s.s
+    """,
+)
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
