@@ -8,8 +8,8 @@ Texts are never shuffled, and no group of similar documents becomes all of its p
    (shingle, group) entries, packed by ranges of shingles. Short lists of groups that
    share a shingle give all their pairs of fitting size; long ones give each member
    a pivot and two random neighbours, and are kept for step 4.
-3. Group pairs are expand to their members, sound bounds drop most of them, and the
-   shingle sets of the others are compared.
+3. Group pairs are expanded to their members, and the shingle sets of those are
+   fetched and compared.
 4. What step 2 left out are pairs in long lists. Of these only pairs whose members are
    still in different components can change the result; they are verified until
    no list holds an open pair.
@@ -245,7 +245,7 @@ def join_lists(entries: DataFrame, buckets: int) -> DataFrame:
 
 def fetch_sets(docs: DataFrame, readers: DataFrame) -> DataFrame:
     """(sid, n, body) of the sets in ``readers`` (sid, n, id of a document that has it); body: shortened sorted hashes."""
-    shared = docs.sparkSession.sparkContext.broadcast(build(readers.select("id")))
+    shared = docs.sparkSession.sparkContext.broadcast(build(readers.select("id"), readers.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -331,7 +331,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     pairs = materialize(_ordered(direct.unionByName(inside)), "set-pairs")
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(lists.select("s")).distinct()
-    sets = materialize(fetch_sets(base, readers.join(wanted, "sid", "left_semi")), "shingle-sets")
+    sets = materialize(fetch_sets(base, materialize(readers.join(wanted, "sid", "left_semi"), "sets-wanted")), "shingle-sets")
     links = materialize(verify(pairs, sets), "set-links")
     while True:
         found = materialize(components(links), "set-components")

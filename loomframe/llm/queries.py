@@ -10,6 +10,7 @@ from loomframe.llm.jaccard import near_duplicates
 from loomframe.llm.packing import default_tokenizer, pack
 from loomframe.llm.quality import score_quality
 from loomframe.llm.secrets import scan_secrets
+from loomframe.llm.substrings import remove_repeats
 from loomframe.llm.toxicity import score_toxicity
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -77,3 +78,24 @@ WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 )
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query(
+    "op8_substring_dedup",
+    f"""
+    with w as (select doc_id, {WORDS.format("coalesce(text, '')")} as w from documents),
+    g as (select doc_id, unnest(range(1, len(w) - 48)) as i, w from w where len(w) >= 50),
+    h as (select doc_id, i, hash(array_to_string(w[i:i+49], ' ')) as h from g),
+    m as (select h, min(doc_id) as low from h group by h),
+    c as (select distinct doc_id, unnest(range(i, i + 50)) as k from h join m using (h) where low < doc_id),
+    r as (select doc_id, list(k) as ks from c group by doc_id),
+    f as (
+        select w.doc_id, len(w) as n, coalesce(len(ks), 0) as gone,
+        list_filter(w, lambda x, i: not list_contains(coalesce(ks, []), i)) as kept from w left join r using (doc_id)
+    )
+    select doc_id, cast(n as bigint) as n_words, cast(gone as bigint) as n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) as kept_sha256 from f
+    """,
+)
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = remove_repeats(read(spark, sf_dir, "documents"))
+    return rows.drop("kept").withColumnRenamed("id", "doc_id")
