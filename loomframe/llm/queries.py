@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from loomframe.llm.chat import CLOSE, OPEN, PART, format_chats
 from loomframe.llm.common import LOWER, ORACLES, QUERIES, UPPER, query, read
 from loomframe.llm.exact_dedup import exact_dedup
 from loomframe.llm.jaccard import near_duplicates
 from loomframe.llm.packing import default_tokenizer, pack
+from loomframe.llm.pieces import decode_pieces, default_pieces, encode_pieces
 from loomframe.llm.quality import score_quality
 from loomframe.llm.secrets import scan_secrets
 from loomframe.llm.substrings import remove_repeats
@@ -15,6 +17,9 @@ from loomframe.llm.toxicity import score_toxicity
 
 __all__ = ["ORACLES", "QUERIES"]
 
+#: The words of a text in SQL.
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
 
 @query(
     "op4_exact_dedup",
@@ -55,9 +60,6 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("id", "doc_id")
 
 
-WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
-
-
 @query(
     "op1_ngram_jaccard_join",
     f"""
@@ -99,3 +101,33 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = remove_repeats(read(spark, sf_dir, "documents"))
     return rows.drop("kept").withColumnRenamed("id", "doc_id")
+
+
+@query("op6_sentencepiece")
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = encode_pieces(read(spark, sf_dir, "documents"), default_pieces())
+    decoded = decode_pieces(ids, default_pieces())
+    return decoded.select(F.col("id").alias("doc_id"), F.size("ids").alias("n_ids"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query(
+    "op7_chat_formatting",
+    f"""
+    with t as (
+        select conv_id, coalesce(cast(floor(turn / {PART}.0) as bigint), -1) as part,
+        row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as nth,
+        '{OPEN}' || coalesce(role, '') || chr(10) || coalesce(text, '') || '{CLOSE.strip()}' || chr(10) as line from conversations where conv_id is not null
+    ),
+    p as (select conv_id, nth, sha256(array_to_string(list(line) over (partition by conv_id order by nth), '')) as prefix, count(*) over (partition by conv_id) as n from t),
+    d as (select n, prefix, min(conv_id) as conv_id from p where nth = n group by n, prefix),
+    i as (select p.conv_id, p.nth, p.prefix from p join d using (conv_id) where p.nth < p.n),
+    k as (
+        select d.conv_id, 1 + count(e.conv_id) as n_snapshots from d left join i on i.conv_id = d.conv_id left join d e on e.n = i.nth and e.prefix = i.prefix
+        where not exists (select 1 from i x where x.nth = d.n and x.prefix = d.prefix) group by d.conv_id
+    )
+    select conv_id, part, count(*) as n_turns, any_value(n_snapshots) as n_snapshots, string_agg(line, '' order by nth) as text
+    from t join k using (conv_id) group by conv_id, part
+    """,
+)
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(read(spark, sf_dir, "conversations"))
