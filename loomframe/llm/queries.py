@@ -14,6 +14,7 @@ from loomframe.llm.quality import score_quality
 from loomframe.llm.secrets import scan_secrets
 from loomframe.llm.substrings import remove_repeats
 from loomframe.llm.toxicity import score_toxicity
+from loomframe.llm.vectors import near_vectors
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -131,3 +132,21 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(read(spark, sf_dir, "conversations"))
+
+
+@query(
+    "op5_embedding_near_dedup",
+    """
+    with recursive v as (
+        select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+        where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ),
+    p as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.9),
+    r(a, b) as (select a, b from p union select r.a, p.b from r join p on r.b = p.a),
+    n as (select a, count(*) as n_links from p group by a),
+    c as (select e.vec_id, least(e.vec_id, coalesce(min(r.b), e.vec_id)) as component_id from embeddings e left join r on r.a = e.vec_id group by e.vec_id)
+    select vec_id, coalesce(n_links, 0) as n_links, component_id, component_id = vec_id as kept from c left join n on n.a = vec_id
+    """,
+)
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
