@@ -33,7 +33,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads, under fixed names, so that other columns cannot clash."""
-    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
 def fold(text: Column) -> Column:

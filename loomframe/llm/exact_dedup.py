@@ -85,10 +85,13 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that agree in identifier and text beyond case are one document; one of
     them stays.
     """
-    kept = exact_dedup(docs, id_col, text_col, best).filter("kept").select(F.col("id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    marked = docs.withColumn("_sha", F.sha2(fold(F.col(text_col).cast("string")), 256))
-    repeats = docs.groupBy(F.col(id_col).alias("_id")).count().filter("count > 1").select("_id")
-    matched = marked.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
-    once = matched.join(repeats, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
-    again = matched.join(repeats, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi").dropDuplicates([id_col, "_sha"])
-    return once.unionByName(again).select(*docs.columns)
+    verdicts = exact_dedup(docs, id_col, text_col, best).groupBy(F.col("id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    others = materialize(verdicts.filter("not kept or n > 1"), "copies")
+    marked = docs.withColumn("__own_sha", F.sha2(fold(F.col(text_col).cast("string")), 256))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own_sha") == F.col("__sha"))
+    # One plan at every size: texts are dealt by identifier, and the list of copies is hashed beside them.
+    out = marked.join(others.hint("shuffle_hash"), same, "left_anti")
+    repeats = others.filter("kept and n > 1")
+    if not repeats.isEmpty():
+        out = out.unionByName(marked.join(repeats.hint("shuffle_hash"), same, "left_semi").dropDuplicates([id_col, "__own_sha"]))
+    return out.select(*docs.columns)

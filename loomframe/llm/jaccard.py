@@ -27,6 +27,7 @@ from loomframe.llm.bytewords import mix, text_chunks
 from loomframe.llm.common import id_and_text
 from loomframe.llm.components import components
 from loomframe.llm.membership import build, perhaps
+from loomframe.llm.rows import text_key
 from loomframe.llm.shingles import shingle_sets
 from loomframe.session import materialize
 
@@ -54,7 +55,7 @@ def signature(sets: np.ndarray) -> int:
 
 
 def scan_sets(docs: DataFrame) -> DataFrame:
-    """Step 1: rows (id, n, sid) of all documents, and rows (token, times) of shingles seen more than once nearby."""
+    """Step 1: rows (id, text_key, n, sid) of all documents, and rows (token, times) of shingles seen more than once nearby."""
 
     def flush(kept: list[np.ndarray]) -> pa.RecordBatch | None:
         token, times = np.unique(np.concatenate(kept), return_counts=True) if kept else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -70,7 +71,7 @@ def scan_sets(docs: DataFrame) -> DataFrame:
                 sizes.append(len(own))
                 kept.append(own)
                 held += len(own)
-            yield _rows(id=batch.column("id"), n=sizes, sid=names)
+            yield _rows(id=batch.column("id"), text_key=batch.column("text_key"), n=sizes, sid=names)
             if held > COUNTED:
                 yield flush(kept)
                 kept, held = [], 0
@@ -81,8 +82,8 @@ def scan_sets(docs: DataFrame) -> DataFrame:
         empty = pa.nulls(size, pa.int64())
         return pa.record_batch([pa.array(columns[c], pa.int64()) if c in columns else empty for c in names_], names=names_)
 
-    names_ = ["id", "n", "sid", "token", "times"]
-    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in names_)).withColumn("row", F.col("token").isNull())
+    names_ = ["id", "text_key", "n", "sid", "token", "times"]
+    return docs.select("id", "text", text_key(F.col("text")).alias("text_key")).mapInArrow(run, ", ".join(f"{c} long" for c in names_)).withColumn("row", F.col("token").isNull())
 
 
 def frequent(scan: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -296,7 +297,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id.
+    """One row per document: id, n_shingles, component_id, text_key.
 
     Documents link when their sets of five-word shingles (A-Z folded; all words of a
     shorter text as one) have a Jaccard similarity of 0.75 or more; component_id is
@@ -307,7 +308,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     base = id_and_text(docs, id_col, text_col)
     scan = materialize(scan_sets(base), "shingle-scan")
-    rows = scan.filter("row").select("id", "n", "sid")
+    rows = scan.filter("row").select("id", "text_key", "n", "sid")
     readers = materialize(rows.filter("sid is not null and id is not null").groupBy("sid").agg(F.first("n").alias("n"), F.min("id").alias("id")), "set-names")
     total = readers.agg(F.sum(F.col("n") - need_column("n") + 1)).first()[0] or 0
     buckets = max(8, -(-total // ENTRIES))
@@ -349,7 +350,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = named.join(named.groupBy("component").agg(F.min("id").alias("component_id")), "component").select(F.col("node").alias("sid"), "component_id")
     names = readers.join(smallest, "sid", "left").select("sid", F.coalesce("component_id", "id").alias("component_id"))
     joined = rows.join(names, "sid", "left")
-    return joined.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    return joined.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"), "text_key")
 
 
 def need_column(n: str) -> Column:

@@ -80,7 +80,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("text_key").withColumnRenamed("id", "doc_id")
 
 
 @query(

@@ -21,6 +21,7 @@ from loomframe.llm.bytewords import FOLD, LETTERS, segment_ids, text_chunks, tok
 from loomframe.llm.common import id_and_text
 from loomframe.llm.dense import EMITTED, add_up, emit
 from loomframe.llm.labelled import held_out, training_labels
+from loomframe.llm.rows import text_key
 from loomframe.session import materialize
 
 #: Word buckets; their size bounds everything that reaches the driver.
@@ -118,7 +119,7 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def find_segments(docs: DataFrame, scores: np.ndarray) -> DataFrame:
-    """id, label, n_words, best (largest segment score), segments (bytes of the text, end exclusive)."""
+    """id, text_key, n_words, best (largest segment score), segments (bytes of the text, end exclusive)."""
     shared = docs.sparkSession.sparkContext.broadcast(scores)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,9 +133,10 @@ def find_segments(docs: DataFrame, scores: np.ndarray) -> DataFrame:
                 lo, hi = bounds[k], bounds[k + 1]
                 found[k] = [{"first": int(starts[lo + f]), "last": int(ends[lo + e - 1]), "score": s} for f, e, s in maximal_segments(own[lo:hi])]
             best = [max((x["score"] for x in f), default=0.0) for f in found]
-            yield pa.record_batch([batch.column("id"), pa.array(np.diff(bounds), pa.int64()), pa.array(best, pa.float64()), pa.array(found, SEGMENTS)], names=["id", "n_words", "best", "segments"])
+            yield pa.record_batch([batch.column("id"), batch.column("text_key"), pa.array(np.diff(bounds), pa.int64()), pa.array(best, pa.float64()), pa.array(found, SEGMENTS)], names=["id", "text_key", "n_words", "best", "segments"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n_words long, best double, segments array<struct<first:long,last:long,score:double>>")
+    keyed = docs.select("id", "text", text_key(F.col("text")).alias("text_key"))
+    return keyed.mapInArrow(run, "id long, text_key long, n_words long, best double, segments array<struct<first:long,last:long,score:double>>")
 
 
 def _surprise(score: Column, rate: float, scale: float) -> Column:
@@ -173,7 +175,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most_labels: int = 40_000, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, held_out, score, predicted, n_words, segments.
+    """One row per document: id, held_out, score, predicted, n_words, segments, text_key.
 
     Fitted on at most ``most_labels`` labelled documents outside the held-out fold;
     word counts and the search cover all documents and whole texts. Null and empty
@@ -199,4 +201,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
     logit = sum((F.col(name) * weight for name, weight in zip(FEATURES, w[1:])), F.lit(w[0]))
     score = 1 / (1 + F.exp(-logit))
     out = features(found, rate, scale).withColumn("score", score)
-    return out.select("id", held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_words", "segments")
+    return out.select("id", held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_words", "segments", "text_key")
