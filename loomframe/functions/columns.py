@@ -90,19 +90,24 @@ def hmac_sha256(message: Column, key: bytes) -> Column:
 
 
 def row_text(df: DataFrame, names: list[str]) -> Column:
-    """A row as text that does not depend on how doubles are printed."""
+    """A row as text: no two different rows share one, whatever separators their cells hold.
+
+    Every cell starts with its length; a missing cell (NULL or NaN) is a lone
+    dash.  Doubles are written with fifteen significant digits.
+    """
     parts = []
     for name in names:
         kind = df.schema[name].dataType
         column = F.col(f"`{name}`")
         if isinstance(kind, FLOAT_TYPES):
-            text = F.round(column * 1e6).cast("bigint").cast("string")
+            number = column.cast("double") + F.lit(0.0)
+            text = F.when(number.isNotNull() & ~F.isnan(number), F.when(number == float("inf"), "inf").when(number == float("-inf"), "-inf").otherwise(F.format_string("%.14e", number)))
         elif isinstance(kind, TIME_TYPES):
             text = F.unix_micros(column.cast("timestamp")).cast("string")
         else:
             text = column.cast("string")
-        parts.append(F.coalesce(text, F.lit("~")))
-    return F.concat_ws("|", *parts)
+        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    return F.concat(*parts)
 
 
 def hash60(text: Column) -> Column:

@@ -13,10 +13,11 @@ import math
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from loomframe.session import materialize
+
 ROWS_PER_BUCKET = 250_000
-MAX_BUCKETS = 1_024
-MAX_SCORE_RANGES = 4_096
-_EXACT_DOUBLE = float(2**53)
+# cut points of a score that the driver holds; a range then holds equal scores counted once
+MAX_SCORE_RANGES = 65_536
 
 
 def seeded_digest(seed: str | int, key: str | Column) -> Column:
@@ -25,14 +26,16 @@ def seeded_digest(seed: str | int, key: str | Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), column.cast("string")).cast("binary"))
 
 
-def seeded_rank(df: DataFrame, seed, key: str, by: list[str] | None = None, out: str = "rn", width: int = 3) -> DataFrame:
+def seeded_rank(df: DataFrame, seed, key: str, by: list[str] | None = None, out: str = "rn", width: int | None = None) -> DataFrame:
     """1-based rank of each row in seeded order, per group ``by``.
 
     The first ``width`` hex digits of the digest are the bucket: uniform for
     any data, so a group holding a third of the table spreads over
-    16**width tasks.
+    16**width tasks.  By default the digits follow the number of rows.
     """
     by = list(by or [])
+    if width is None:
+        width = max(1, math.ceil(math.log(max(df.count() / ROWS_PER_BUCKET, 1), 16)) + 1)
     digest, bucket, before = f"__d_{out}", f"__b_{out}", f"__o_{out}"
     keyed = df.withColumn(digest, seeded_digest(seed, key)).withColumn(bucket, F.substring(digest, 1, width))
     sizes = keyed.groupBy(*by, bucket).agg(F.count(F.lit(1)).alias("__n"))
@@ -51,15 +54,6 @@ def seeded_rank(df: DataFrame, seed, key: str, by: list[str] | None = None, out:
     return joined.withColumn(out, F.col(before) + F.col("__in")).select(*df.columns, out)
 
 
-def _ordinal(df: DataFrame, name: str) -> Column:
-    """A double that grows with the column (timestamps in microseconds)."""
-    kind = df.schema[name].dataType
-    column = F.col(name)
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        column = F.unix_micros(column.cast("timestamp"))
-    return column.cast("double")
-
-
 def _bucketize(df: DataFrame, source: Column, edges: list[float], out: str) -> DataFrame:
     splits = [-math.inf, *sorted(set(edges)), math.inf]
     temp = f"__x_{out}"
@@ -71,72 +65,41 @@ def _shares(count: int) -> list[float]:
     return [i / count for i in range(1, count)]
 
 
+def _tie_breaker(df: DataFrame) -> Column:
+    """A hash of the whole row, so that a value shared by many rows can be cut."""
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in plain])
+
+
 def global_row_number(
     df: DataFrame, order: list[tuple[str, str]], out: str = "rn", rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
-    """``row_number() over (order by ...)`` for a numeric or time order.
+    """``row_number() over (order by ...)`` for columns of any orderable types.
 
-    ``order`` is one or two (column, "asc"|"desc") pairs; the second breaks
-    ties.  Values of the first column that fill a whole bucket by themselves
-    (a hot score) get a bucket of their own, cut further by the tie breaker.
+    ``order`` holds (column, "asc"|"desc") pairs; missing values come last.  Rows
+    are cut into ranges of the whole order, ties by a hash of the row, so a value
+    that fills many ranges is spread over them.  Each range is written with its
+    number, ranked on its own and shifted by the sizes of the ranges before it.
     """
-    names = [c for c, _ in order]
     keys = [F.col(c).desc_nulls_last() if d == "desc" else F.col(c).asc_nulls_last() for c, d in order]
-    rows = df.count()
-    buckets = min(MAX_BUCKETS, math.ceil(rows / rows_per_bucket))
+    marked = df.withColumn("__tie", _tie_breaker(df))
+    keys.append(F.col("__tie").asc())
+    buckets = math.ceil(df.count() / rows_per_bucket)
     if buckets <= 1:
-        return df.withColumn(out, F.row_number().over(Window.orderBy(*keys)).cast("bigint"))
-
-    exprs = [F.percentile_approx(_ordinal(df, c), _shares(buckets), 10_000).alias(f"e{i}") for i, c in enumerate(names)]
-    found = df.agg(*exprs).first()
-    edges = [e for e in (found["e0"] or []) if e is not None]
-    hot = sorted({e for a, e in zip(edges, edges[1:]) if a == e and abs(e) < _EXACT_DOUBLE})
-    first = _ordinal(df, names[0])
-    cut = _bucketize(df, first, edges + [math.nextafter(h, math.inf) for h in hot], "__b1")
-    if hot and len(names) > 1:
-        ties = [e for e in (found["e1"] or []) if e is not None]
-        cut = _bucketize(cut, _ordinal(df, names[1]), ties, "__b2")
-        cut = cut.withColumn("__b2", F.when(first.isin(hot), F.col("__b2")).otherwise(F.lit(0.0)))
-    else:
-        cut = cut.withColumn("__b2", F.lit(0.0))
-    # a missing order value sorts last whatever the direction
-    for flag, (name, direction) in zip(("__b1", "__b2"), order + [("", "asc")]):
-        if name and direction == "desc":
-            cut = cut.withColumn(flag, -F.col(flag))
-    cut = cut.withColumn("__b1", F.when(F.col(names[0]).isNull(), F.lit(math.inf)).otherwise(F.col("__b1")))
-
-    sizes = cut.groupBy("__b1", "__b2").agg(F.count(F.lit(1)).alias("__n"))
-    running = Window.orderBy("__b1", "__b2").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__b1", "__b2", F.coalesce(F.sum("__n").over(running), F.lit(0)).alias("__off"))
-    inner = Window.partitionBy("__b1", "__b2").orderBy(*keys)
-    ranked = cut.withColumn("__in", F.row_number().over(inner).cast("bigint"))
-    # at most MAX_BUCKETS ** 2 rows of three numbers, usually about MAX_BUCKETS
-    joined = ranked.join(offsets, ["__b1", "__b2"])
-    return joined.withColumn(out, F.col("__off") + F.col("__in")).select(*df.columns, out)
+        return marked.withColumn(out, F.row_number().over(Window.orderBy(*keys)).cast("bigint")).select(*df.columns, out)
+    cut = materialize(marked.repartitionByRange(buckets, *keys).withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = cut.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    # one row for each range
+    running = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(running), F.lit(0)).alias("__off"))
+    ranked = cut.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(*keys)).cast("bigint"))
+    return ranked.join(offsets, "__part").withColumn(out, F.col("__off") + F.col("__in")).select(*df.columns, out)
 
 
 def order_index(df: DataFrame, column: str, out: str = "code", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Distinct values of a string column with their 0-based sorted position.
-
-    Long dictionaries are cut at boundaries drawn from a hash sample of the
-    distinct values, so no task sorts the whole dictionary.
-    """
+    """Distinct values of a string column with their 0-based sorted position."""
     values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("value")).distinct()
-    total = values.count()
-    buckets = min(256, math.ceil(total / rows_per_bucket))
-    if buckets <= 1:
-        return values.withColumn(out, (F.row_number().over(Window.orderBy("value")) - 1).cast("bigint"))
-    keep = max(1, total // (buckets * 20))
-    drawn = values.where(F.pmod(F.xxhash64("value"), F.lit(keep)) == 0).orderBy("value").limit(buckets * 100)
-    sample = [r["value"] for r in drawn.collect()]
-    step = max(1, len(sample) // buckets)
-    edges = F.array(*[F.lit(v) for v in sample[step::step]]) if len(sample) > step else F.array(F.lit("").cast("string"))
-    cut = values.withColumn("__b", F.size(F.filter(edges, lambda e: e <= F.col("value"))))
-    sizes = cut.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-    running = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__b", F.coalesce(F.sum("__n").over(running), F.lit(0)).alias("__off"))
-    ranked = cut.withColumn("__in", F.row_number().over(Window.partitionBy("__b").orderBy("value")).cast("bigint"))
-    return ranked.join(F.broadcast(offsets), "__b").select("value", (F.col("__off") + F.col("__in") - 1).alias(out))
+    return global_row_number(values, [("value", "asc")], out, rows_per_bucket).withColumn(out, F.col(out) - 1)
 
 
 def score_edges(df: DataFrame, score: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> list[float]:
@@ -144,7 +107,7 @@ def score_edges(df: DataFrame, score: str, rows_per_bucket: int = ROWS_PER_BUCKE
     ranges = min(MAX_SCORE_RANGES, math.ceil(df.count() / rows_per_bucket))
     if ranges <= 1:
         return []
-    found = df.agg(F.percentile_approx(F.col(score).cast("double"), _shares(ranges), 10_000).alias("e")).first()
+    found = df.agg(F.percentile_approx(F.col(score).cast("double"), _shares(ranges), max(10_000, 4 * ranges)).alias("e")).first()
     return sorted(set(found["e"] or []))
 
 

@@ -54,12 +54,20 @@ def exact_quantiles(
             for p in probs:
                 place = p * (n - 1)
                 low, high = math.floor(place), math.ceil(place)
-                a, b = stats[(v, low)], stats[(v, high)]
-                row.append(a + (place - low) * (b - a) if high > low else a)
+                row.append(_between(stats[(v, low)], stats[(v, high)], place - low))
             result[columns[int(v[1:])]] = row
     return result
 
 
+def _between(a: float, b: float, share: float) -> float:
+    """Linear interpolation that also holds for infinite ends."""
+    if a == b or share == 0:
+        return a
+    if math.isinf(a) or math.isinf(b):
+        return a * (1 - share) + b * share
+    return a + share * (b - a)
+
+
 def order_statistics(values: DataFrame, wanted: set, counts: dict[str, int], small: int) -> dict:
     """Value at each (column, zero-based rank), by interval narrowing.
 
@@ -67,15 +75,18 @@ def order_statistics(values: DataFrame, wanted: set, counts: dict[str, int], sma
     its final sort, so the first pass costs one sketch per column.
     """
     found: dict = {}
-    # open interval (column, low, high) -> (rows at or below low, rows inside, wanted ranks)
+    # interval (column, low, high) without its ends, None where it has none, so that
+    # infinite values lie inside -> (rows at or below low, rows inside, wanted ranks)
     spans: dict = {}
     for name, rank in wanted:
-        spans.setdefault((name, -math.inf, math.inf), (0, counts[name], []))[2].append(rank)
+        spans.setdefault((name, None, None), (0, counts[name], []))[2].append(rank)
 
     def inside(span):
         name, low, high = span
         v = F.col(name)
-        return F.when((v > F.lit(low)) & (v < F.lit(high)), v)
+        above = F.lit(True) if low is None else v > F.lit(low)
+        below = F.lit(True) if high is None else v < F.lit(high)
+        return F.when(above & below, v)
 
     while spans:
         ready = [s for s, (_, size, _) in spans.items() if size <= small]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from loomframe.functions import columns as C
 from loomframe.functions.ordering import order_index
@@ -10,18 +10,27 @@ from loomframe.functions.ordering import order_index
 OTHER = "other"
 
 
-def fit_onehot(df: DataFrame, names: list[str], max_categories: int = 50) -> dict[str, dict]:
+def fit_onehot(df: DataFrame, names: list[str], max_categories: int | None = None) -> dict[str, dict]:
     """Sorted categories per column.
 
-    Past ``max_categories`` the most frequent are kept (ties to the smaller
-    value) and the rest map to ``other``, at fit and at apply time alike.  The
-    driver receives at most ``max_categories + 1`` values a column.
+    With ``max_categories`` only that many of the most frequent are kept (ties to
+    the smaller value) and the rest map to ``other``, at fit and at apply time
+    alike.  All columns are counted in one shuffle of (column, value) pairs.
     """
     state = {}
-    for c in names:
-        counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        top = [r["v"] for r in counts.orderBy(F.desc("n"), "v").limit(max_categories + 1).collect()]
-        folded = len(top) > max_categories
+    if not names:
+        return state
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(names)])
+    counts = df.select(F.inline(cells)).where(F.col("v").isNotNull()).groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    if max_categories is not None:
+        rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("n"), "v"))
+        counts = counts.withColumn("rank", rank).where(F.col("rank") <= max_categories + 1)
+    found: dict[int, list] = {i: [] for i in range(len(names))}
+    for r in counts.orderBy("i", F.desc("n"), "v").collect():
+        found[r["i"]].append(r["v"])
+    for i, c in enumerate(names):
+        top = found[i]
+        folded = max_categories is not None and len(top) > max_categories
         kept = top[:max_categories]
         state[c] = {"kept": kept, "folded": folded, "columns": sorted(set(kept) | ({OTHER} if folded else set()))}
     return state

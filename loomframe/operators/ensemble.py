@@ -8,8 +8,6 @@ from loomframe.functions import columns as C
 from loomframe.operators import metrics, models, split
 from loomframe.session import materialize
 
-MAX_MODELS = 64
-
 
 def top_trials(trials: DataFrame, k: int = 3) -> DataFrame:
     """The k best completed trials; with fewer than two, the single best."""
@@ -37,9 +35,7 @@ def vote_mean(preds: DataFrame, key: str, pred: str = "pred") -> DataFrame:
 
 def score_weights(scores: DataFrame, model: str = "model", score: str = "score") -> dict[str, float]:
     """Weights score / sum of scores; equal weights when the sum is zero."""
-    rows = scores.select(model, score).limit(MAX_MODELS + 1).collect()
-    if len(rows) > MAX_MODELS:
-        raise ValueError(f"more than {MAX_MODELS} models in one ensemble")
+    rows = scores.select(model, score).collect()  # one row for each model
     total = sum(r[score] for r in rows)
     return {r[model]: (r[score] / total if total else 1.0 / len(rows)) for r in rows}
 
@@ -70,9 +66,7 @@ def diversity_weights(preds: DataFrame, key: str, task: str, model: str = "model
     Predictions are laid side by side by one aggregate on the row key, and a
     second aggregate compares all model pairs; pairs of rows never exist.
     """
-    names = [r[model] for r in preds.select(model).distinct().limit(MAX_MODELS + 1).collect()]
-    if len(names) > MAX_MODELS:
-        raise ValueError(f"more than {MAX_MODELS} models in one ensemble")
+    names = [r[model] for r in preds.select(model).distinct().collect()]
     names.sort()
     wide = preds.groupBy(key).pivot(model, names).agg(F.first(pred))
     pairs = [(a, b) for a in names for b in names if a != b]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import dataclass
 from itertools import combinations, combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -58,34 +59,60 @@ def polynomial_features(
     degree: int = 2,
     interaction_only: bool = False,
     bias: bool = False,
-    max_features: int = 100,
-    max_inputs: int = 10,
+    max_features: int | None = None,
+    max_inputs: int | None = None,
 ) -> DataFrame:
     """Products and powers next to the original columns, nulls as medians.
 
-    Past ``max_features`` the terms with the highest variance stay.
+    With ``max_features`` the terms with the highest variance stay; with
+    ``max_inputs`` only the first inputs are multiplied.
     """
+    return apply_polynomial(df, fit_polynomial(df, names, degree, interaction_only, bias, max_features, max_inputs))
+
+
+@dataclass(frozen=True)
+class Polynomial:
+    """The kept terms and, for columns with gaps, the medians that fill them."""
+
+    terms: dict[str, list[str]]
+    medians: dict[str, float]
+
+
+def fit_polynomial(
+    df: DataFrame,
+    names: list[str] | None = None,
+    degree: int = 2,
+    interaction_only: bool = False,
+    bias: bool = False,
+    max_features: int | None = None,
+    max_inputs: int | None = None,
+) -> Polynomial:
+    """Everything that ``apply_polynomial`` needs, found on the table given here only."""
     names = (names or C.numeric_columns(df))[:max_inputs]
-    holes = C.wide_aggregate(df, [F.count_if(C.is_missing(df, c)).alias(c) for c in names])
-    gappy = [c for c in names if holes[c]]
-    medians = {c: q[0] for c, q in exact_quantiles(df, gappy, [0.5]).items()}
+    medians = {c: q[0] for c, q in exact_quantiles(df, names, [0.5]).items() if q[0] is not None}
+    state = Polynomial(polynomial_terms(names, degree, interaction_only, bias), medians)
+    if max_features is not None and len(state.terms) > max_features:
+        spread = C.wide_aggregate(df, [F.var_pop(v).alias(f"t{i}") for i, v in enumerate(_products(df, state).values())])
+        ranked = sorted(enumerate(state.terms), key=lambda p: (-(spread[f"t{p[0]}"] or 0.0), p[0]))
+        kept = {label for _, label in ranked[:max_features]}
+        state = Polynomial({k: v for k, v in state.terms.items() if k in kept}, medians)
+    return state
 
-    def base(c: str) -> Column:
-        value = C.as_number(df, c)
-        return F.coalesce(value, C.literal(medians[c])) if c in medians else value
 
+def _products(df: DataFrame, state: Polynomial) -> dict[str, Column]:
     products = {}
-    for label, group in polynomial_terms(names, degree, interaction_only, bias).items():
+    for label, group in state.terms.items():
         value = F.lit(1.0)
         for c in group:
-            value = value * base(c)
+            number = C.as_number(df, c)
+            value = value * (F.coalesce(number, C.literal(state.medians[c])) if c in state.medians else number)
         products[label] = value
-    if len(products) > max_features:
-        spread = C.wide_aggregate(df, [F.var_pop(v).alias(f"t{i}") for i, v in enumerate(products.values())])
-        ranked = sorted(enumerate(products), key=lambda p: (-(spread[f"t{p[0]}"] or 0.0), p[0]))
-        kept = {label for _, label in ranked[:max_features]}
-        products = {k: v for k, v in products.items() if k in kept}
-    return df.withColumns({k: v for k, v in products.items() if k not in df.columns})
+    return products
+
+
+def apply_polynomial(df: DataFrame, state: Polynomial) -> DataFrame:
+    """A projection: no job, so it also runs on a stream."""
+    return df.withColumns({k: v for k, v in _products(df, state).items() if k not in df.columns})
 
 
 def variances(df: DataFrame, names: list[str]) -> DataFrame:

@@ -40,16 +40,12 @@ def grow_forest(df: DataFrame, key: str, names: list[str], trees: int = 100, see
     def draw(*parts) -> F.Column:
         return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(scale))
 
-    # a pool of bounded size, then per-tree samples from the pool
-    pool_rows = 4 * SAMPLE_ROWS * trees
-    pool = rows
-    if total > pool_rows:
-        pool = rows.where(draw(F.lit("pool"), F.col("key")) < int(scale * pool_rows / total))
-    size = min(total, pool_rows)
-    chance = min(1.0, 2.0 * SAMPLE_ROWS / max(size, 1))
-    tree_ids = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-    sampled = pool.withColumn("tree", tree_ids).withColumn("draw", draw(F.col("tree"), F.col("key")))
-    sampled = sampled.where(F.col("draw") <= int(scale * chance))
+    # every row is drawn for every tree inside the row; only what a tree may take is spread
+    chance = min(1.0, 2.0 * SAMPLE_ROWS / max(total, 1))
+    limit = int(scale * chance)
+    draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), draw(t, F.col("key")).alias("draw")))
+    sampled = rows.withColumn("taken", F.filter(draws, lambda d: d["draw"] <= limit))
+    sampled = sampled.select("*", F.inline("taken")).drop("taken")
     width = len(names)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -219,14 +219,34 @@ def label_metrics(df: DataFrame, y: str = "y", pred: str = "pred", by: list[str]
     )
 
 
-def evaluation_record(df: DataFrame, model: str, run: str, y: str = "y", pred: str = "pred", score: str | None = "p") -> DataFrame:
-    """Long (model, run, metric, value) rows, the shape the metric log keeps."""
-    frames = [label_metrics(df, y, pred)]
-    if score:
-        frames.append(auc_binary(df, y, score))
-    parts = [C.inline_rows(f, [{"metric": F.lit(c), "value": F.col(c)} for c in f.columns]) for f in frames]
-    rows = reduce(DataFrame.unionByName, parts)
-    return rows.select(F.lit(model).alias("model_name"), F.lit(run).alias("run_id"), "metric", "value")
+def evaluation_record(
+    df: DataFrame, model: str, run: str, y: str = "y", pred: str = "pred", score: str | None = "p", task: str = "classification", probs: DataFrame | None = None, timestamp=None
+) -> DataFrame:
+    """Long (model, run, task, timestamp, metric, value) rows, the shape the metric log keeps.
+
+    Classification: label metrics, class counts, confusion cells, the binary AUC of
+    ``score`` and, from long class probabilities (y, class, p), both multi-class AUCs
+    and the probability summary.  Regression: errors and residual statistics.
+    ``timestamp`` defaults to the time of the run.
+    """
+
+    def listed(frame: DataFrame) -> DataFrame:
+        return C.inline_rows(frame, [{"metric": F.lit(c), "value": F.col(c).cast("double")} for c in frame.columns])
+
+    if task == "regression":
+        frames = [listed(regression_errors(df, y, pred)), listed(residual_statistics(df, y, pred))]
+    else:
+        cells = confusion_counts(df, y, pred)
+        frames = [listed(label_metrics(df, y, pred)), listed(class_totals(df, y, pred))]
+        name = F.concat_ws(":", F.lit("confusion"), F.col("y").cast("string"), F.col("pred").cast("string"))
+        frames.append(cells.select(name.alias("metric"), F.col("n").cast("double").alias("value")))
+        if score:
+            frames.append(listed(auc_binary(df, y, score)))
+        if probs is not None:
+            frames += [listed(auc_ovr(probs)), listed(auc_ovo(probs)), listed(probability_summary(probs))]
+    rows = reduce(DataFrame.unionByName, frames)
+    when = F.current_timestamp() if timestamp is None else F.lit(timestamp).cast("timestamp")
+    return rows.select(F.lit(model).alias("model_name"), F.lit(run).alias("run_id"), F.lit(task).alias("task_type"), when.alias("ts"), "metric", "value")
 
 
 def metric_value(df: DataFrame, metric: str, y: str = "y", pred: str = "pred", score: str | None = None) -> float:
@@ -241,6 +261,11 @@ def metric_value(df: DataFrame, metric: str, y: str = "y", pred: str = "pred", s
     raise ValueError(f"unknown metric {metric!r}")
 
 
+def class_auc(probs: DataFrame, kind: str) -> float:
+    """One-vs-rest or one-vs-one AUC of long rows (y, class, p) as a number."""
+    return (auc_ovo if kind == "auc_ovo" else auc_ovr)(probs).first()[0]
+
+
 def sortable_score(metric: str, value: float) -> float:
     """Larger is better: error metrics change sign."""
     return -value if metric in ("mae", "mse", "rmse") else value

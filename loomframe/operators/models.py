@@ -7,7 +7,9 @@ import random
 import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
+from typing import Any
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
@@ -17,8 +19,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from loomframe.operators import metrics, split
-from loomframe.session import materialize, spread
+from loomframe.operators import encode, metrics, neighbours, quality, split
+from loomframe.session import materialize
 
 # Search ranges per model family.
 # (kind, low, high) for numbers, ("choice", values) for the rest.
@@ -77,6 +79,11 @@ DEFAULTS: dict[str, dict] = {
 }
 
 
+def _leaf_rows(p: dict) -> int:
+    """Rows of a leaf; no node below the least size of a split can give two such leaves."""
+    return max(int(p.get("min_samples_leaf", 1)), math.ceil(int(p.get("min_samples_split", 2)) / 2))
+
+
 def make_estimator(family: str, task: str, label: str, params: dict | None = None, n_rows: int = 1, n_inputs: int = 1, n_classes: int = 2, seed: int = 42):
     """Spark ML estimator for a family with the family's parameter names."""
     p = {**DEFAULTS[family], **(params or {})}
@@ -100,7 +107,7 @@ def make_estimator(family: str, task: str, label: str, params: dict | None = Non
             **common,
             numTrees=int(p["n_estimators"]),
             maxDepth=min(30, int(p.get("max_depth", 5))),
-            minInstancesPerNode=int(p.get("min_samples_leaf", 1)),
+            minInstancesPerNode=_leaf_rows(p),
             featureSubsetStrategy=subset if "max_features" in p else "auto",
             bootstrap=bool(p.get("bootstrap", True)),
             seed=seed,
@@ -111,7 +118,7 @@ def make_estimator(family: str, task: str, label: str, params: dict | None = Non
             maxIter=int(p["n_estimators"]),
             stepSize=float(p.get("learning_rate", 0.1)),
             maxDepth=int(p.get("max_depth", 3)),
-            minInstancesPerNode=int(p.get("min_samples_leaf", 1)),
+            minInstancesPerNode=_leaf_rows(p),
             subsamplingRate=float(p.get("subsample", 1.0)),
             featureSubsetStrategy=subset,
             seed=seed,
@@ -124,30 +131,108 @@ def make_estimator(family: str, task: str, label: str, params: dict | None = Non
         if not classify:
             raise ValueError("the perceptron is a classifier only")
         hidden = [int(h) for h in str(p["hidden_layer_sizes"]).split(",")]
-        return MC.MultilayerPerceptronClassifier(
-            **common, layers=[n_inputs, *hidden, n_classes], maxIter=int(p["max_iter"]), stepSize=float(p.get("learning_rate_init", 0.03)), seed=seed
-        )
-    raise ValueError(f"{family!r} has no Spark ML estimator; k-NN lives in the neighbour operators")
+        # a learning rate asks for the solver that has one
+        step = {"solver": "gd", "stepSize": float(p["learning_rate_init"])} if "learning_rate_init" in p else {}
+        return MC.MultilayerPerceptronClassifier(**common, layers=[n_inputs, *hidden, n_classes], maxIter=int(p["max_iter"]), seed=seed, **step)
+    raise ValueError(f"{family!r} has no Spark ML estimator")
 
 
-def fit_model(df: DataFrame, features: list[str], label: str, family: str, task: str, params: dict | None = None, seed: int = 42) -> PipelineModel:
-    """Assemble the features and fit one model."""
-    df = spread(df.select(*[F.col(f"`{c}`") for c in features], label))
-    n_rows = df.count() if family == "logistic_regression" else 1
-    n_classes = 2
-    if task == "classification" and family in ("gradient_boosting", "boosted_preset", "mlp"):
-        n_classes = int(df.agg(F.max(label)).first()[0]) + 1
-    estimator = make_estimator(family, task, label, params, n_rows, len(features), n_classes, seed)
-    stages = [VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), estimator]
-    return Pipeline(stages=stages).fit(df)
+@dataclass(frozen=True)
+class Shape:
+    """What a fit needs to know of its table."""
+
+    rows: int
+    classes: int
+
+
+def table_shape(df: DataFrame, label: str, task: str) -> Shape:
+    """Rows, and classes of a label that must be coded 0..k-1, from one aggregate."""
+    value = F.col(label).cast("double")
+    odd = F.count_if(value.isNull() | F.isnan(value) | (value < 0) | (value != F.floor(value)))
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.max(value).alias("top"), odd.alias("odd")).first()
+    if task != "classification":
+        return Shape(row["n"], 0)
+    if row["odd"]:
+        raise ValueError(f"{row['odd']} labels of {label!r} are not class numbers from 0; encode them first")
+    return Shape(row["n"], int(row["top"] or 0) + 1)
+
 
+#: Rows of a part when a table is laid out for fitting.
+FIT_PART_ROWS = 250_000
 
-def predict(df: DataFrame, model: PipelineModel, keep: list[str]) -> DataFrame:
-    """``keep`` columns, the prediction and, for classifiers, probabilities."""
+
+def steady(df: DataFrame, rows: int) -> DataFrame:
+    """The table in parts and an order that follow from its values and size alone.
+
+    Trees and boosting draw their samples part by part; with this layout the same
+    seed gives the same model however the table was stored, on any number of cores.
+    """
+    parts = max(8, -(-rows // FIT_PART_ROWS))
+    return df.repartition(parts, F.xxhash64(*df.columns)).sortWithinPartitions(*df.columns)
+
+
+def fit_model(
+    df: DataFrame, features: list[str], label: str, family: str, task: str, params: dict | None = None, seed: int = 42, weight: str | None = None, shape: Shape | None = None
+):
+    """Assemble the features and fit one model; ``weight`` names a column of row weights."""
+    df = df.select(*[F.col(f"`{c}`") for c in features], label, *([weight] if weight else []))
+    shape = shape or table_shape(df, label, task)
+    if family == "knn":
+        if weight:
+            raise ValueError("k-NN takes no row weights")
+        return NeighbourModel(df, features, label, task, {**DEFAULTS["knn"], **(params or {})}, shape.classes)
+    n_classes = max(2, shape.classes)
+    estimator = make_estimator(family, task, label, params, shape.rows, len(features), n_classes, seed)
+    if weight:
+        if not estimator.hasParam("weightCol"):
+            raise ValueError(f"{family} takes no row weights")
+        estimator = estimator.setWeightCol(weight)
+    stages = [VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), estimator]
+    return Pipeline(stages=stages).fit(steady(df, shape.rows))
+
+
+class NeighbourModel:
+    """k-NN as a model: the training rows are kept as a table and joined when rows are scored."""
+
+    def __init__(self, df: DataFrame, features: list[str], label: str, task: str, params: dict, n_classes: int):
+        self.features, self.task, self.params, self.n_classes = features, task, params, n_classes
+        rows = df.where(F.col(label).isNotNull()).select(self._vector(), F.col(label).cast("double").alias("__y"))
+        self.points = materialize(rows.withColumn("__row", F.monotonically_increasing_id()), "knn-model")
+
+    def _vector(self):
+        return F.array(*[F.coalesce(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)), F.lit(0.0)) for c in self.features]).alias("__vec")
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with its prediction and, for classes, their vote shares."""
+        p = self.params
+        asked = materialize(df.withColumn("__row", F.monotonically_increasing_id()).withColumn("__vec", self._vector()), "knn-asked")
+        near = neighbours.knn_join(asked.select("__row", "__vec"), "__row", "__vec", int(p["n_neighbors"]), self.points.select("__row", "__vec"), p.get("metric", "euclidean"), float(p.get("p", 2)))
+        voted = near.join(self.points.select(F.col("__row").alias("neighbour"), "__y"), "neighbour")
+        if p.get("weights") == "distance":
+            # equal points decide alone
+            least = near.groupBy("__row").agg(F.min("distance").alias("__least"))
+            voted = voted.join(least, "__row").withColumn("__w", F.when(F.col("__least") == 0, (F.col("distance") == 0).cast("double")).otherwise(F.try_divide(F.lit(1.0), F.col("distance"))))
+        else:
+            voted = voted.withColumn("__w", F.lit(1.0))
+        total = F.sum("__w")
+        if self.task == "regression":
+            return asked.join(voted.groupBy("__row").agg((F.sum(F.col("__w") * F.col("__y")) / total).alias("prediction")), "__row", "left").drop("__row", "__vec")
+        shares = F.array(*[F.round(F.sum(F.when(F.col("__y") == i, F.col("__w")).otherwise(0.0)) / total, 9) for i in range(self.n_classes)])
+        votes = voted.groupBy("__row").agg(shares.alias("probability"))
+        best = (F.array_position("probability", F.array_max("probability")) - 1).cast("double")
+        return asked.join(votes, "__row", "left").withColumn("prediction", best).drop("__row", "__vec")
+
+
+def predict(df: DataFrame, model, keep: list[str]) -> DataFrame:
+    """``keep`` columns, the prediction and, for classifiers, probabilities (or raw scores in their place)."""
     scored = model.transform(df)
     columns = [F.col("prediction").alias("pred")]
-    if "probability" in scored.columns:
-        columns.append(vector_to_array("probability").alias("probability"))
+    kinds = dict(scored.dtypes)
+    for name in ("probability", "rawPrediction"):
+        if name in kinds:
+            values = F.col(name) if kinds[name].startswith("array") else vector_to_array(name)
+            columns.append(values.alias("probability" if name == "probability" else "scores"))
+            break
     return scored.select(*keep, *columns)
 
 
@@ -159,8 +244,22 @@ def run_parallel(tasks: list[Callable], parallelism: int) -> list:
         return [f.result() for f in [pool.submit(inheritable_thread_target(t)) for t in tasks]]
 
 
-def default_metric(task: str) -> str:
-    return "f1" if task == "classification" else "r2"
+def default_metric(df: DataFrame, label: str, task: str) -> str:
+    """The metric recommended for the target: by class balance, or r2."""
+    return "r2" if task == "regression" else quality.recommended_metric(df.select(F.col(label).cast("string").alias(label)), label).first()["metric"]
+
+
+def held_out_value(held: DataFrame, metric: str, label: str, n_classes: int) -> float:
+    """One metric of predictions; ranking metrics read the class scores."""
+    if not metric.startswith("auc"):
+        return metrics.metric_value(held, metric, label, "pred")
+    values = next((c for c in ("probability", "scores") if c in held.columns), None)
+    if values is None:
+        raise ValueError(f"{metric} needs class scores, which this family does not give")
+    if metric == "auc" and n_classes <= 2:
+        return metrics.metric_value(held.withColumn("__p", F.get(values, F.lit(1))), "auc", label, "pred", "__p")
+    long = held.select(F.col(label).cast("bigint").alias("y"), F.posexplode(values).alias("class", "p"))
+    return metrics.class_auc(long, "auc_ovo" if metric == "auc_ovo" else "auc_ovr")
 
 
 def cross_validate(
@@ -175,14 +274,17 @@ def cross_validate(
     k: int = 5,
     parallelism: int = 3,
     seed: int = 42,
+    weight: str | None = None,
+    shape: Shape | None = None,
 ) -> list[float]:
     """Held-out score of each fold; ``df`` carries the fold column."""
-    metric = metric or default_metric(task)
+    shape = shape or table_shape(df, label, task)
+    metric = default_metric(df, label, task) if metric in (None, "auto") else metric
 
     def run(i: int) -> float:
-        model = fit_model(df.where(F.col(fold) != i), features, label, family, task, params, seed)
+        model = fit_model(df.where(F.col(fold) != i), features, label, family, task, params, seed, weight, shape)
         held = predict(df.where(F.col(fold) == i), model, [label])
-        return metrics.metric_value(held, metric, label, "pred")
+        return held_out_value(held, metric, label, shape.classes)
 
     return run_parallel([lambda i=i: run(i) for i in range(k)], parallelism)
 
@@ -200,37 +302,52 @@ def cv_summary(scores: DataFrame, by: list[str], score: str = "score") -> DataFr
     )
 
 
-def custom_space(space: dict) -> dict[str, tuple]:
-    """Caller ranges: lists are choices (or a float range when int and float mix), pairs are ranges."""
-    out: dict[str, tuple] = {}
-    for name, value in space.items():
-        if isinstance(value, list):
-            numbers = all(isinstance(v, (int, float)) for v in value)
-            whole = all(isinstance(v, int) for v in value)
-            out[name] = ("float", min(value), max(value)) if numbers and not whole else ("choice", value)
-        elif isinstance(value, tuple) and len(value) == 2:
-            whole = all(isinstance(v, int) for v in value)
-            out[name] = ("int" if whole else "float", *value)
-    return out
+@dataclass(frozen=True)
+class Span:
+    """A declared range of numbers: whole ones or not, even on a linear or a log scale."""
 
+    low: float
+    high: float
+    whole: bool = False
+    log: bool = False
 
-def sample_trials(family: str, count: int, seed: int = 42, space: dict | None = None, first: list[dict] | None = None) -> list[dict]:
+    def at(self, share: float) -> float | int:
+        """The value at a share of the way from low to high."""
+        if self.log:
+            value = math.exp(math.log(self.low) + share * (math.log(self.high) - math.log(self.low)))
+        else:
+            value = self.low + share * (self.high - self.low)
+        return min(int(self.high), max(int(self.low), round(value))) if self.whole else min(self.high, max(self.low, value))
+
+    def share(self, value: float) -> float:
+        """Where a value lies, 0 at low and 1 at high; values outside count as the nearer end."""
+        value = min(self.high, max(self.low, float(value)))
+        if self.high == self.low:
+            return 0.0
+        place = math.log if self.log else float
+        return (place(value) - place(self.low)) / (place(self.high) - place(self.low))
+
+
+@dataclass(frozen=True)
+class Choice:
+    """A declared list of values."""
+
+    values: tuple
+
+
+def family_space(family: str) -> dict[str, Span | Choice]:
+    """The fixed ranges of a family as declared ranges."""
+    made = {"int": lambda a, b: Span(a, b, whole=True), "log": lambda a, b: Span(a, b, log=True), "float": Span, "choice": lambda v: Choice(tuple(v))}
+    return {name: made[kind](*bounds) for name, (kind, *bounds) in SEARCH_SPACES[family].items()}
+
+
+def sample_trials(family: str, count: int, seed: int = 42, space: dict[str, Span | Choice] | None = None, first: list[dict] | None = None) -> list[dict]:
     """Seeded random draws from a space, warm-start trials first."""
-    ranges = custom_space(space) if space else SEARCH_SPACES[family]
+    space = space or family_space(family)
     rng = random.Random(f"{seed}:{family}")
     trials = list(first or [])
     while len(trials) < count:
-        draw = {}
-        for name, (kind, *bounds) in ranges.items():
-            if kind == "choice":
-                draw[name] = rng.choice(bounds[0])
-            elif kind == "int":
-                draw[name] = rng.randint(*bounds)
-            elif kind == "log":
-                draw[name] = math.exp(rng.uniform(math.log(bounds[0]), math.log(bounds[1])))
-            else:
-                draw[name] = rng.uniform(*bounds)
-        trials.append(draw)
+        trials.append({name: rng.choice(r.values) if isinstance(r, Choice) else r.at(rng.random()) for name, r in space.items()})
     return trials[:count]
 
 
@@ -248,69 +365,74 @@ def random_search(
     task: str,
     families: dict[str, list[dict]],
     metric: str | None = None,
-    k: int = 3,
+    k: int = 5,
     seed: int = 42,
     parallelism: int = 2,
     deadline_seconds: float | None = None,
+    balance_classes: bool = False,
 ) -> DataFrame:
     """One row per trial: cross-validated value, sortable score and status.
 
-    ``families`` maps a family to its trials (see ``sample_trials``).  The
-    training table is written once with its folds; every fit is a Spark job
-    over it.  No trial starts after the deadline; a failing trial stays in the
-    table with score 0.
+    ``families`` maps a family to its trials (see ``sample_trials``).  A text label
+    is coded through its dictionary; without a metric the one recommended for the
+    target is used; ``balance_classes`` weighs rows by their class.  The training
+    table is written once with its folds; every fit is a Spark job over it.  A
+    failing trial, and one that the deadline leaves out, stays in the table with
+    its reason; neither has a score.
     """
-    metric = metric or default_metric(task)
+    metric = default_metric(df, label, task) if metric in (None, "auto") else metric
     needed = df.select(key, *features, label)
+    if dict(needed.dtypes)[label] == "string":
+        coded = encode.apply_ordinal(needed, label, encode.fit_ordinal(needed, label), "__code")
+        needed = coded.withColumn(label, F.col("__code").cast("double")).drop("__code")
+    weight = "__weight" if balance_classes and task == "classification" else None
+    if weight:
+        needed = split.weight_column(needed, label, weight)
     folded = split.folds_stratified(needed, key, label, k, seed) if task == "classification" else split.folds_plain(needed, key, k, seed)
-    folded = materialize(spread(folded), "search")
+    folded = materialize(folded, "search")
+    shape = table_shape(folded, label, task)
     started = time.monotonic()
     jobs = []
 
-    def run(number: int, family: str, params: dict) -> tuple | None:
-        if deadline_seconds is not None and time.monotonic() - started > deadline_seconds:
-            return None
+    def run(number: int, family: str, params: dict) -> tuple:
         shown = {n: str(v) for n, v in params.items()}
         begin = time.monotonic()
+
+        def row(value: float | None, scores: list[float], status: str) -> tuple:
+            score = None if value is None else metrics.sortable_score(metric, value)
+            return (number, family, shown, metric, value, score, scores, time.monotonic() - begin, status)
+
+        if deadline_seconds is not None and begin - started > deadline_seconds:
+            return row(None, [], "skipped: deadline")
         try:
-            scores = cross_validate(folded, features, label, family, task, params, metric, "fold", k, 1, seed)
-            value = sum(scores) / len(scores)
-            score = metrics.sortable_score(metric, value)
-            return (number, family, shown, metric, value, score, scores, time.monotonic() - begin, "completed")
+            scores = cross_validate(folded, features, label, family, task, params, metric, "fold", k, 1, seed, weight, shape)
+            return row(sum(scores) / len(scores), scores, "completed")
         except Exception as error:  # a bad parameter set must not end the search
-            return (number, family, shown, metric, None, 0.0, [], time.monotonic() - begin, f"failed: {type(error).__name__}")
+            return row(None, [], f"failed: {type(error).__name__}: {error}"[:500])
 
-    number = 0
     for family, trials in families.items():
         for params in trials:
-            jobs.append(lambda n=number, f=family, p=params: run(n, f, p))
-            number += 1
-    rows = [r for r in run_parallel(jobs, parallelism) if r is not None]
-    return df.sparkSession.createDataFrame(rows, TRIAL_SCHEMA)
-
-
-def vary_parameters(base: dict, share: float, seed: int) -> dict:
-    """Jittered copy of a parameter set, kept inside sensible bounds."""
-    rng = random.Random(f"{seed}:{share}")
-    out = {}
-    for name, value in base.items():
-        if isinstance(value, bool) or not isinstance(value, (int, float)):
-            out[name] = value
-            continue
-        moved = value + rng.uniform(-abs(value) * share, abs(value) * share)
-        if name in ("C", "alpha", "learning_rate"):
-            moved = max(0.001, moved)
-        elif name in ("n_estimators", "max_depth", "min_samples_split", "min_samples_leaf"):
-            moved = max(1, int(moved))
-        out[name] = moved
-    return out
-
-
-def warmstart_trials(base: dict | None, n_trials: int = 3, seed: int = 42) -> list[dict]:
-    """The stored best parameters, then copies jittered by 10 % and 20 %."""
+            jobs.append(lambda n=len(jobs), f=family, p=params: run(n, f, p))
+    return df.sparkSession.createDataFrame(run_parallel(jobs, parallelism), TRIAL_SCHEMA)
+
+
+def warmstart_trials(base: dict[str, Any] | None, family: str, n_trials: int = 3, seed: int = 42, step: float = 0.1) -> list[dict]:
+    """The stored best parameters, then copies drawn ever further around them.
+
+    Trial ``i`` moves each number by at most ``i * step`` of the family's own search
+    range, measured on the scale of that range, and stays inside it.  What the
+    family has no range of numbers for is kept.
+    """
     if not base:
         return []
-    return [dict(base)] + [vary_parameters(base, 0.1 * i, seed) for i in range(1, min(n_trials, 3))]
+    space = family_space(family)
+    trials = [dict(base)]
+    for i in range(1, n_trials):
+        rng = random.Random(f"{seed}:{family}:{i}")
+        reach = min(1.0, i * step)
+        moved = {n: space[n].at(min(1.0, max(0.0, space[n].share(v) + rng.uniform(-reach, reach)))) for n, v in base.items() if isinstance(space.get(n), Span)}
+        trials.append({**base, **moved})
+    return trials
 
 
 def out_of_fold(
@@ -318,9 +440,11 @@ def out_of_fold(
 ) -> DataFrame:
     """Held-out predictions of each base model: (key, label, fold, model, pred)."""
 
+    shape = table_shape(df, label, task)
+
     def run(name: str, i: int) -> DataFrame:
         family, params = bases[name]
-        model = fit_model(df.where(F.col(fold) != i), features, label, family, task, params)
+        model = fit_model(df.where(F.col(fold) != i), features, label, family, task, params, shape=shape)
         return predict(df.where(F.col(fold) == i), model, [key, label, fold]).select(key, label, fold, F.lit(name).alias("model"), "pred")
 
     jobs = [lambda n=n, i=i: run(n, i) for n in bases for i in range(k)]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from loomframe.functions import columns as C
 from loomframe.operators import encode, features, impute, outliers, quality, scale
-from loomframe.session import materialize, spread
+from loomframe.session import materialize
 
 
 def split_target(df: DataFrame, target: str | None = None) -> tuple[list[str], str]:
@@ -49,7 +49,7 @@ def fit_preprocessor(
     target: str | None = None,
     impute_strategy: str = "median",
     scaler: str = "standard",
-    max_categories: int = 50,
+    max_categories: int | None = 50,
     clip: bool = True,
 ) -> Preprocessor:
     """types -> impute -> dates -> one-hot -> scale -> clip, in that order."""
@@ -113,28 +113,26 @@ class AdvancedPreprocessor:
     text: str
     vocabulary: object
     word_model: object
-    polynomial: list[str]
+    polynomial: object
     fences: dict
     selected: list[str]
 
 
 def _expand(df: DataFrame, state: AdvancedPreprocessor) -> DataFrame:
+    """Text features, and polynomial terms once they are fitted; a projection without a job."""
     from pyspark.ml.functions import vector_to_array
 
-    from loomframe.functions import text as X
     from loomframe.operators import textfeatures as TF
 
-    out = TF.length_features(spread(df), state.text, f"{state.text}_")
+    out = TF.length_features(df, state.text, f"{state.text}_")
     if state.vocabulary is not None:
         out = TF.tfidf_columns(out, state.key, F.col(state.text), state.vocabulary, f"{state.text}_tfidf_")
     if state.word_model is not None:
-        out = state.word_model.transform(out.withColumn("words", X.tokens(F.col(state.text))))
+        out = state.word_model.transform(out.withColumn("words", TF.hashed_words(F.col(state.text), getattr(state.word_model, "buckets", 1 << 18))))
         width = state.word_model.getVectorSize()
         arr = out.withColumn("__e", vector_to_array("vector"))
         out = arr.withColumns({f"{state.text}_embed_{i}": F.get("__e", F.lit(i)) for i in range(width)}).drop("__e", "vector", "words")
-    if state.polynomial:
-        out = features.polynomial_features(out, state.polynomial)
-    return out
+    return features.apply_polynomial(out, state.polynomial) if state.polynomial else out
 
 
 def fit_advanced(
@@ -155,7 +153,9 @@ def fit_advanced(
     vocabulary = TF.fit_tfidf(df, [F.col(text)], max_features, bigrams=True, plain=True, max_df=0.95) if use_text else None
     model = TF.word_vectors(df, key, text, size=8) if use_embedding else None
     lengths = [f"{text}_{c}" for c in ("char_count", "word_count", "sentence_count", "avg_word_length")]
-    state = AdvancedPreprocessor(key, target, text, vocabulary, model, lengths if use_polynomial else [], {}, [])
+    state = AdvancedPreprocessor(key, target, text, vocabulary, model, None, {}, [])
+    if use_polynomial:
+        state.polynomial = features.fit_polynomial(TF.length_features(df, text, f"{text}_"), lengths)
     # text features are computed once; fences and scores read them back
     wide = _expand(df, state)
     names = [c for c in C.numeric_columns(wide) if c not in (key, target)]

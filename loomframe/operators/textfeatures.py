@@ -13,7 +13,7 @@ from loomframe.session import spread
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Terms in alphabetical order with their idf; at most ``max_features``."""
+    """Terms in alphabetical order with their idf; at most ``max_features`` if that was asked for."""
 
     terms: list[str]
     idf: list[float]
@@ -38,7 +38,7 @@ def analyse(df: DataFrame, text: Column, bigrams: bool, plain: bool, stop_words:
 def fit_tfidf(
     df: DataFrame,
     texts: list[Column],
-    max_features: int = 100,
+    max_features: int | None = None,
     min_df: int = 2,
     max_df: float = 1.0,
     bigrams: bool = False,
@@ -63,7 +63,7 @@ def fit_tfidf(
         .agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
         .where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
     )
-    top = counted.orderBy(F.desc("total"), "term").limit(max_features)
+    top = counted if max_features is None else counted.orderBy(F.desc("total"), "term").limit(max_features)
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0
     rows = sorted((r["term"], r["idf"]) for r in top.select("term", idf.alias("idf")).collect())
     return Vocabulary([t for t, _ in rows], [i for _, i in rows], bigrams, plain, list(stop_words))
@@ -139,44 +139,37 @@ def sentiment(df: DataFrame, key: str, text: str, lexicon: dict[str, tuple[float
     return scored.select(key, mean("p").alias("polarity"), mean("s").alias("subjectivity"))
 
 
-def _count_floor(words: DataFrame, limit: int) -> int:
-    """Smallest word count that leaves no more than ``limit`` words."""
-    counts = words.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    by_count = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
-    # one row per distinct count; rare counts share most words
-    total = 0
-    for row in by_count.orderBy(F.desc("n")).toLocalIterator():
-        total += row["words"]
-        if total > limit:
-            return row["n"] + 1
-    return 1
+def hashed_words(text: Column, buckets: int) -> Column:
+    """Every word of a text as the name of its hash bucket; none is left out."""
+    return F.transform(X.tokens(text), lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("string"))
 
 
-def word_vectors(df: DataFrame, key: str, text: str, size: int = 16, min_count: int = 5, seed: int = 42, iterations: int = 1, max_words: int = 500_000):
+def word_vectors(df: DataFrame, key: str, text: str, size: int = 16, min_count: int = 5, seed: int = 42, iterations: int = 1, buckets: int = 1 << 18, parts: int = 16):
     """Fit word vectors; the model averages them over each document.
 
-    The vocabulary and its vectors live on the driver while they are trained,
-    so the count below which a word is left out grows until at most
-    ``max_words`` remain.
+    The vectors live on the driver while they are trained, so words share
+    ``buckets`` hash buckets: a table of fixed size for any vocabulary.  Documents
+    are dealt by a hash of their key into ``parts`` ordered parts, on any number of
+    cores; words of equal count start in the order Spark's fit meets them.
     """
     from pyspark.ml.feature import Word2Vec
 
-    words = spread(df.select(key, text)).select(key, X.tokens(F.col(text)).alias("words"))
-    min_count = max(min_count, _count_floor(words, max_words))
-    # the default of one partition would train the whole corpus in one task
-    parts = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    words = df.select(key, hashed_words(F.col(text), buckets).alias("words"))
+    steady = words.repartition(parts, F.xxhash64(F.col(key))).sortWithinPartitions(key)
     stage = Word2Vec(vectorSize=size, minCount=min_count, seed=seed, maxIter=iterations, numPartitions=parts)
-    return stage.setInputCol("words").setOutputCol("vector").fit(words)
+    model = stage.setInputCol("words").setOutputCol("vector").fit(steady)
+    model.buckets = buckets
+    return model
 
 
 def embed_text(df: DataFrame, key: str, text: str, model) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
-    words = spread(df.select(key, text)).select(key, X.tokens(F.col(text)).alias("words"))
+    words = spread(df.select(key, text)).select(key, hashed_words(F.col(text), getattr(model, "buckets", 1 << 18)).alias("words"))
     return model.transform(words).select(key, vector_to_array("vector").alias("embedding"))
 
 
-def embedding_columns(df: DataFrame, key: str, column: str, width: int, max_features: int = 384) -> DataFrame:
-    """Vector entries as columns ``{column}_embed_i``, cut at ``max_features``."""
-    count = min(width, max_features)
+def embedding_columns(df: DataFrame, key: str, column: str, width: int, max_features: int | None = None) -> DataFrame:
+    """Vector entries as columns ``{column}_embed_i``, at most ``max_features`` if given."""
+    count = width if max_features is None else min(width, max_features)
     return df.select(key, *[F.get(F.col(column), F.lit(i)).cast("double").alias(f"{column}_embed_{i}") for i in range(count)])

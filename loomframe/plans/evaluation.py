@@ -156,7 +156,7 @@ def probability_summary(t: Tables) -> DataFrame:
 
 
 def _record_sql() -> str:
-    one = "'m2' as model_name, 'run-1' as run_id"
+    one = "'m2' as model_name, 'run-1' as run_id, 'classification' as task_type, '2024-01-01 00:00:00.000000' as ts"
     parts = [
         f"select {one}, 'accuracy' as metric, {num('avg(cast(y = pred as int))', 'value')} from preds where model = 'm2'",
         f"select {one}, 'balanced_accuracy', {num('avg(r)', 'v')} from f where model = 'm2' and support > 0",
@@ -165,6 +165,9 @@ def _record_sql() -> str:
         f"select {one}, 'f1_weighted', {num('sum(f1 * support) / sum(support)', 'v')} from f where model = 'm2'",
         f"select {one}, 'f1_macro', {num('avg(f1)', 'v')} from f where model = 'm2'",
         f"select {one}, 'n_samples', cast(count(*) as double) from preds where model = 'm2'",
+        f"select {one}, 'n_true_classes', cast(count(distinct y) as double) from preds where model = 'm2'",
+        f"select {one}, 'n_predicted_classes', cast(count(distinct pred) as double) from preds where model = 'm2'",
+        f"select {one}, 'confusion:' || y || ':' || pred, cast(count(*) as double) from preds where model = 'm2' group by y, pred",
         f"select {one}, 'auc', {num('auc', 'v')} from ({_rank_sql('model', 'y = 1', 'preds')}) a where model = 'm2'",
     ]
     return CLASS_SQL + union(parts)
@@ -173,7 +176,7 @@ def _record_sql() -> str:
 @query("evaluation_record", with_views("preds", _record_sql()))
 def evaluation_record(t: Tables) -> DataFrame:
     """The record of one scorer."""
-    return metrics.evaluation_record(views.preds(t).where(F.col("model") == "m2"), "m2", "run-1")
+    return metrics.evaluation_record(views.preds(t).where(F.col("model") == "m2"), "m2", "run-1", timestamp="2024-01-01 00:00:00")
 
 
 @query(

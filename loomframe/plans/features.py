@@ -147,7 +147,7 @@ def _poly_sql() -> str:
 
 @query("polynomial_features", _poly_sql())
 def polynomial_features(t: Tables) -> DataFrame:
-    return features.polynomial_features(t.lineitem.select("l_orderkey", *POLY), POLY)
+    return features.polynomial_features(t.lineitem.select("l_orderkey", *POLY), POLY, max_features=100, max_inputs=10)
 
 
 @query(

@@ -8,7 +8,7 @@ from loomframe.operators import ensemble, explain, history, metrics, models, nei
 from loomframe.plans import views
 from loomframe.plans.profiles import knn_sql
 from loomframe.plans.registry import Tables, num, query, union, whole
-from loomframe.session import materialize, scratch_path, spread
+from loomframe.session import materialize, scratch_path
 from loomframe.sources import tables
 
 LINE_FEATURES = ["l_quantity", "l_discount", "l_tax"]
@@ -56,7 +56,7 @@ select {whole('f.fold', 'fold')}, {num('1 - avg(power(l_extendedprice - a - b *
 @query("cv_scores", _cv_sql(5))
 def cv_scores(t: Tables) -> DataFrame:
     rows = split.folds_plain(t.lineitem.select("l_orderkey", "l_quantity", "l_extendedprice"), "l_orderkey", 5)
-    rows = materialize(spread(rows.select("fold", "l_quantity", "l_extendedprice")), "cv")
+    rows = materialize(rows.select("fold", "l_quantity", "l_extendedprice"), "cv")
     scores = models.cross_validate(rows, ["l_quantity"], "l_extendedprice", "linear_regression", "regression", metric="r2", k=5)
     return models.cv_table(t.spark, scores)
 
@@ -71,17 +71,36 @@ def cv_summary(t: Tables) -> DataFrame:
 
 @query("search_random")
 def search_random(t: Tables) -> DataFrame:
-    """Random trials of two families, warm-start trial first, small trees."""
-    small = {"n_estimators": (5, 10), "max_depth": (3, 5), "max_features": ["sqrt", "log2"]}
+    """Random trials of three families, the warm-start trials of the forest first."""
+    near = {"n_estimators": models.Span(80, 120, whole=True), "max_depth": models.Span(3, 6, whole=True), "max_features": models.Choice(("sqrt", "log2"))}
+    warm = models.warmstart_trials({"n_estimators": 100, "max_depth": 4}, "random_forest", 1)
     families = {
         "linear_regression": models.sample_trials("linear_regression", 2),
-        "random_forest": models.sample_trials("random_forest", 2, space=small, first=models.warmstart_trials({"n_estimators": 5, "max_depth": 4}, 1)),
+        "random_forest": models.sample_trials("random_forest", 2, space=near, first=warm),
+        "knn": models.sample_trials("knn", 2),
     }
-    rows = t.lineitem.select("l_orderkey", *LINE_FEATURES, "l_extendedprice")
-    found = models.random_search(rows, "l_orderkey", LINE_FEATURES, "l_extendedprice", "regression", families, k=3)
+    found = models.random_search(part_rows(t), "p_partkey", list(WEIGHTS), "y", "regression", families)
     return found.withColumn("params", F.to_json("params")).withColumn("cv_scores", F.to_json("cv_scores"))
 
 
+def _search_sql(k: int = 5) -> str:
+    return f"""with f as materialized (select c_custkey, c_acctbal as x, cast(c_nationkey as double) as y, {fold_sql('c_custkey', k)} as fold from customer),
+s as (select fold, var_pop(y) as v from f group by fold),
+b as (select h.fold, regr_slope(t.y, t.x) as b, regr_intercept(t.y, t.x) as a from f t join (select distinct fold from f) h on t.fold <> h.fold group by h.fold),
+n as (select h.c_custkey, h.fold, h.y, t.y as ty, row_number() over (partition by h.c_custkey order by round(abs(h.x - t.x), 9), t.c_custkey) as rn from f h join f t on h.fold <> t.fold),
+p as (select c_custkey, fold, any_value(y) as y, avg(ty) as pred from n where rn <= 5 group by 1, 2)
+select 'linear_regression' as model_type, {whole('f.fold', 'fold')}, {num('1 - avg(power(f.y - b.a - b.b * f.x, 2)) / any_value(s.v)', 'score')} from f join b on f.fold = b.fold join s on f.fold = s.fold group by f.fold
+union all select 'knn', {whole('p.fold', 'fold')}, {num('1 - avg(power(p.y - p.pred, 2)) / any_value(s.v)', 'score')} from p join s on p.fold = s.fold group by p.fold"""
+
+
+@query("search_linear_knn", _search_sql())
+def search_linear_knn(t: Tables) -> DataFrame:
+    """Fold scores of a linear and a nearest-neighbour trial."""
+    rows = t.customer.select("c_custkey", F.col("c_acctbal").alias("x"), F.col("c_nationkey").cast("double").alias("y"))
+    found = models.random_search(rows, "c_custkey", ["x"], "y", "regression", {"linear_regression": [{}], "knn": [{"n_neighbors": 5}]})
+    return found.select("model_type", F.posexplode("cv_scores").alias("fold", "score"))
+
+
 @query("warmstart_trials")
 def warmstart_trials(t: Tables) -> DataFrame:
     """Best parameters of runs like the customer table, then jittered copies."""
@@ -92,7 +111,7 @@ def warmstart_trials(t: Tables) -> DataFrame:
     runs = views.runs(t).withColumn("best_params", params)
     similar = history.similar_runs(runs, profile, 5)
     model = similar.orderBy(F.desc("similarity"), "run_id").first()["best_model"]
-    trials = models.warmstart_trials(history.stored_params(similar, model), 3)
+    trials = models.warmstart_trials(history.stored_params(similar, model), "gradient_boosting", 5)
     rows = [(i, model, {k: str(v) for k, v in p.items()}) for i, p in enumerate(trials)]
     made = t.spark.createDataFrame(rows, "trial bigint, model_type string, params map<string,string>")
     return made.select("trial", "model_type", F.explode("params").alias("name", "value"))
@@ -134,7 +153,7 @@ def _fit_rows(rows: DataFrame, key: str, features: list[str], label: str, family
 
 @query("fit_logistic")
 def fit_logistic(t: Tables) -> DataFrame:
-    out = _fit_rows(labelled(t), "doc_id", DOC_FEATURES, "quality", "logistic_regression", {"max_iter": 100})
+    out = _fit_rows(labelled(t), "doc_id", DOC_FEATURES, "quality", "logistic_regression")
     return out.withColumn("probability", F.get("probability", F.lit(1)))
 
 
@@ -151,7 +170,7 @@ def fit_linear(t: Tables) -> DataFrame:
     return error.select(F.lit(float(fitted.coefficients[0])).alias("slope"), F.lit(float(fitted.intercept)).alias("intercept"), "r2")
 
 
-def _line_errors(t: Tables, family: str, params: dict) -> DataFrame:
+def _line_errors(t: Tables, family: str, params: dict | None = None) -> DataFrame:
     rows = t.lineitem.select("l_extendedprice", *LINE_FEATURES)
     model = models.fit_model(rows, LINE_FEATURES, "l_extendedprice", family, "regression", params)
     return metrics.regression_errors(models.predict(rows, model, ["l_extendedprice"]), "l_extendedprice")
@@ -160,33 +179,33 @@ def _line_errors(t: Tables, family: str, params: dict) -> DataFrame:
 @query("fit_forest_c")
 def fit_forest_c(t: Tables) -> DataFrame:
     rows, names = vectors(t)
-    return _fit_rows(rows, "vec_id", names, "label", "random_forest", {"n_estimators": 20}).drop("probability")
+    return _fit_rows(rows, "vec_id", names, "label", "random_forest").drop("probability")
 
 
 @query("fit_forest_r")
 def fit_forest_r(t: Tables) -> DataFrame:
-    return _line_errors(t, "random_forest", {"n_estimators": 10, "max_depth": 4})
+    return _line_errors(t, "random_forest")
 
 
 @query("fit_gbt_c")
 def fit_gbt_c(t: Tables) -> DataFrame:
-    return _fit_rows(labelled(t), "doc_id", DOC_FEATURES, "quality", "gradient_boosting", {"n_estimators": 10}).drop("probability")
+    return _fit_rows(labelled(t), "doc_id", DOC_FEATURES, "quality", "gradient_boosting").drop("probability")
 
 
 @query("fit_gbt_r")
 def fit_gbt_r(t: Tables) -> DataFrame:
-    return _line_errors(t, "gradient_boosting", {"n_estimators": 10, "max_depth": 3})
+    return _line_errors(t, "gradient_boosting")
 
 
 @query("fit_gbt_preset")
 def fit_gbt_preset(t: Tables) -> DataFrame:
-    return _line_errors(t, "boosted_preset", {"n_estimators": 10})
+    return _line_errors(t, "boosted_preset")
 
 
 @query("fit_mlp")
 def fit_mlp(t: Tables) -> DataFrame:
     rows, names = vectors(t)
-    return _fit_rows(rows, "vec_id", names, "label", "mlp", {"hidden_layer_sizes": "32", "max_iter": 30}).drop("probability")
+    return _fit_rows(rows, "vec_id", names, "label", "mlp").drop("probability")
 
 
 @query(
@@ -225,22 +244,22 @@ def linear_scorer(df: DataFrame) -> DataFrame:
     return df.withColumn("pred", F.lit(INTERCEPT) + F.lit(0.4) * F.col("p_size") + F.lit(1.5) * F.col("name_length"))
 
 
-BASES = {"linear": ("linear_regression", {}), "forest": ("random_forest", {"n_estimators": 5, "max_depth": 4})}
+BASES = {"linear": ("linear_regression", {}), "forest": ("random_forest", {})}
 
 
 @query("stack")
 def stack(t: Tables) -> DataFrame:
-    return ensemble.stack(part_rows(t), "p_partkey", list(WEIGHTS), "y", "regression", BASES, k=3)
+    return ensemble.stack(part_rows(t), "p_partkey", list(WEIGHTS), "y", "regression", BASES)
 
 
 @query("ensemble_cv")
 def ensemble_cv(t: Tables) -> DataFrame:
-    return ensemble.ensemble_cv(part_rows(t), "p_partkey", list(WEIGHTS), "y", "regression", BASES, k=3)
+    return ensemble.ensemble_cv(part_rows(t), "p_partkey", list(WEIGHTS), "y", "regression", BASES)
 
 
 def _forest(t: Tables):
     rows = t.lineitem.select("l_extendedprice", *LINE_FEATURES)
-    return rows, models.fit_model(rows, LINE_FEATURES, "l_extendedprice", "random_forest", "regression", {"n_estimators": 5, "max_depth": 4})
+    return rows, models.fit_model(rows, LINE_FEATURES, "l_extendedprice", "random_forest", "regression")
 
 
 @query("importance_builtin")
@@ -297,7 +316,7 @@ def attribution_summary(t: Tables) -> DataFrame:
 def attribution_sampled(t: Tables) -> DataFrame:
     """Sampled Shapley values of a forest over all parts."""
     rows = part_rows(t)
-    model = models.fit_model(rows, list(WEIGHTS), "y", "random_forest", "regression", {"n_estimators": 5, "max_depth": 4})
+    model = models.fit_model(rows, list(WEIGHTS), "y", "random_forest", "regression")
     return explain.sampled_attributions(rows, "p_partkey", list(WEIGHTS), model, lambda d: F.col("prediction"), samples=4)
 
 
@@ -325,7 +344,7 @@ def explain_model(t: Tables) -> DataFrame:
 @query("model_card")
 def model_card(t: Tables) -> DataFrame:
     rows = labelled(t)
-    model = models.fit_model(rows, DOC_FEATURES, "quality", "logistic_regression", "classification", {"max_iter": 50})
+    model = models.fit_model(rows, DOC_FEATURES, "quality", "logistic_regression", "classification")
     shown = explain.builtin_importance(t.spark, model, DOC_FEATURES)
     return explain.model_card(rows, models.predict(rows, model, ["quality"]), "logistic_regression", "quality", shown)
 
@@ -336,7 +355,7 @@ def order_model(t: Tables):
     rows = t.orders.withColumn("label", codes).drop("o_orderstatus")
     state = preprocess.fit_preprocessor(rows, "o_orderkey", "label")
     ready = preprocess.apply_preprocessor(rows, state)
-    return state, models.fit_model(ready, state.output_names(), "label", "logistic_regression", "classification", {"max_iter": 20})
+    return state, models.fit_model(ready, state.output_names(), "label", "logistic_regression", "classification")
 
 
 @query("score_batch")

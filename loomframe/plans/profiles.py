@@ -106,13 +106,13 @@ def row_text_sql(columns: dict[str, str]) -> str:
     parts = []
     for c, kind in columns.items():
         if kind == "float":
-            text = f"cast(cast(round({c} * 1e6) as bigint) as varchar)"
+            text = f"printf('%.14e', cast({c} as double) + 0.0)"
         elif kind == "time":
             text = f"cast(epoch_us({c}) as varchar)"
         else:
             text = f"cast({c} as varchar)"
-        parts.append(f"coalesce({text}, '~')")
-    return f"concat_ws('|', {', '.join(parts)})"
+        parts.append(f"coalesce(length({text}) || ':' || {text}, '-')")
+    return f"concat({', '.join(parts)})"
 
 
 def fingerprint_sql(columns: dict[str, str]) -> str:

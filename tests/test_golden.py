@@ -111,12 +111,18 @@ def test_leaderboard(spark):
 
 
 def test_warm_start_bounds():
-    trials = models.warmstart_trials({"C": 0.0005, "n_estimators": 1, "penalty": "l1"}, 3)
-    assert len(trials) == 3 and trials[0] == {"C": 0.0005, "n_estimators": 1, "penalty": "l1"}
-    assert all(t["C"] >= 0.001 and t["n_estimators"] >= 1 and t["penalty"] == "l1" for t in trials[1:])
-    assert models.warmstart_trials(None) == []
-
-
-def test_custom_space():
-    got = models.custom_space({"a": [1, 2], "b": [1, 0.5], "c": ["x"], "d": (1, 5), "e": (0.1, 2)})
-    assert got == {"a": ("choice", [1, 2]), "b": ("float", 0.5, 1), "c": ("choice", ["x"]), "d": ("int", 1, 5), "e": ("float", 0.1, 2)}
+    base = {"C": 0.0005, "penalty": "l1", "max_iter": 1500, "note": "kept"}
+    trials = models.warmstart_trials(base, "logistic_regression", 8)
+    assert len(trials) == 8 and trials[0] == base
+    assert all(0.001 <= t["C"] <= 1000 and 100 <= t["max_iter"] <= 2000 and isinstance(t["max_iter"], int) for t in trials[1:])
+    assert all(t["penalty"] == "l1" and t["note"] == "kept" for t in trials)
+    assert abs(trials[1]["max_iter"] - 1500) <= 0.1 * 1900 + 1
+    assert models.warmstart_trials(None, "knn") == []
+
+
+def test_declared_ranges():
+    whole, log = models.Span(1, 5, whole=True), models.Span(0.01, 100, log=True)
+    assert [whole.at(s) for s in (0, 0.5, 1)] == [1, 3, 5] and whole.share(9) == 1
+    assert abs(log.at(0.5) - 1) < 1e-12 and abs(log.share(0.1) - 0.25) < 1e-12
+    draws = models.sample_trials("knn", 30, space={"a": whole, "b": models.Choice(("x", None))})
+    assert {d["a"] for d in draws} <= {1, 2, 3, 4, 5} and {d["b"] for d in draws} == {"x", None}

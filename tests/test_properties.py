@@ -50,7 +50,47 @@ def test_search_keeps_failures_and_order(spark, parts):
     status = {r["trial_id"]: r["status"] for r in got}
     assert status[0] == status[1] == "completed" and status[2].startswith("failed")
     assert all(len(r["cv_scores"]) == 2 for r in got if r["status"] == "completed")
-    assert models.random_search(parts, "p_partkey", ["size"], "y", "regression", trials, k=2, deadline_seconds=-1).count() == 0
+    assert [r["score"] for r in got if r["trial_id"] == 2] == [None] and "classifier only" in status[2]
+    late = models.random_search(parts, "p_partkey", ["size"], "y", "regression", trials, k=2, deadline_seconds=-1).collect()
+    assert len(late) == 3 and all(r["status"].startswith("skipped") and r["score"] is None for r in late)
+
+
+CLASS_METRICS = ["accuracy", "precision", "recall", "f1", "f1_macro", "f1_weighted", "auc", "balanced_accuracy", "auto"]
+
+
+@pytest.mark.parametrize("family", ["logistic_regression", "random_forest", "gradient_boosting", "knn", "mlp"])
+def test_search_on_text_targets(spark, parts, family):
+    """Every family searches a text label, with a ranking metric and, where it can, class weights."""
+    rows = parts.withColumn("label", F.when(F.col("size") > 25, "large").otherwise("small"))
+    small = {"n_estimators": 3, "max_iter": 10, "hidden_layer_sizes": "4"}
+    balance = family in ("logistic_regression", "random_forest")
+    got = models.random_search(rows, "p_partkey", ["size", "length"], "label", "classification", {family: [small]}, "auc", k=2, balance_classes=balance).first()
+    assert got["status"] == "completed" and got["score"] > 0.7
+
+
+def test_search_with_every_metric(spark, parts):
+    rows = parts.withColumn("label", F.when(F.col("size") > 35, 2).when(F.col("size") > 15, 1).otherwise(0)).cache()
+    for metric in CLASS_METRICS:
+        got = models.random_search(rows, "p_partkey", ["size", "length"], "label", "classification", {"knn": [{}]}, metric, k=2).first()
+        assert got["status"] == "completed" and got["score"] > 0.5, metric
+    for metric in ("mae", "mse", "rmse", "r2", "auto"):
+        got = models.random_search(parts, "p_partkey", ["size", "length"], "y", "regression", {"linear_regression": [{}]}, metric, k=2).first()
+        assert got["status"] == "completed" and got["metric"] == ("r2" if metric == "auto" else metric)
+
+
+def test_labels_must_be_class_numbers(spark, parts):
+    with pytest.raises(ValueError, match="not class numbers"):
+        models.fit_model(parts.withColumn("label", F.lit(1.5)), ["size"], "label", "random_forest", "classification")
+
+
+@pytest.mark.parametrize("family", ["random_forest", "gradient_boosting"])
+def test_models_do_not_depend_on_the_layout(spark, parts, family):
+    params = {"n_estimators": 4, "subsample": 0.5, "max_depth": 4}
+    made = []
+    for layout in (parts.coalesce(1), parts.repartition(4), parts.repartition(8, "length")):
+        model = models.fit_model(layout, ["size", "length"], "y", family, "regression", params)
+        made.append([round(r["pred"], 9) for r in models.predict(parts, model, ["p_partkey"]).orderBy("p_partkey").collect()])
+    assert made[0] == made[1] == made[2]
 
 
 def test_trials_are_seeded_and_in_range():

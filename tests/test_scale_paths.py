@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomframe.functions.ordering import global_row_number, order_index, seeded_rank
 from loomframe.functions.quantiles import exact_quantiles
-from loomframe.operators import metrics, neighbours, split
+from loomframe.operators import metrics, neighbours, quality, split
 from loomframe.streaming import jobs
 
 HOT = "cast(case when id % 3 = 0 then 7 else (id * 7919) % 10007 end as double)"
@@ -133,3 +133,33 @@ def test_no_row_is_lost_in_ranks(spark):
     df = spark.range(2000).select("id", F.lit(1.0).alias("s"))
     got = global_row_number(df, [("s", "desc"), ("id", "asc")], rows_per_bucket=100)
     assert got.where("rn <> id + 1").count() == 0
+
+
+def test_quantiles_with_infinite_and_missing_values(spark):
+    values = [float("-inf")] * 40 + [float("inf")] * 60 + [float("nan")] * 30 + [float(k % 97) for k in range(900)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)] * 20, "a double").repartition(4)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.97, 1.0]
+    assert exact_quantiles(df, ["a"], probs, small=100) == exact_quantiles(df, ["a"], probs)
+
+
+@pytest.mark.parametrize("rows_per_bucket", [100, 10**6])
+def test_ranks_with_text_and_mixed_tie_breakers(spark, rows_per_bucket):
+    df = spark.range(900).selectExpr("id", "if(id % 3 = 0, 7.5, cast(id % 11 as double)) as s", "concat('name ', id % 13) as t", "if(id % 50 = 0, null, id % 5) as u").repartition(5)
+    got = global_row_number(df, [("s", "desc"), ("t", "asc"), ("u", "desc"), ("id", "asc")], rows_per_bucket=rows_per_bucket)
+    want = sorted(df.collect(), key=lambda r: (-r["s"], r["t"], r["u"] is None, -(r["u"] or 0), r["id"]))
+    assert [r["id"] for r in got.orderBy("rn").collect()] == [r["id"] for r in want]
+    text = global_row_number(df.select("t"), [("t", "desc")], rows_per_bucket=rows_per_bucket)
+    assert sorted(r["rn"] for r in text.collect()) == list(range(1, 901))
+
+
+def test_fingerprint_tells_cells_apart(spark):
+    def print_of(rows, kinds="a string, b string"):
+        return quality.dataset_fingerprint(spark.createDataFrame(rows, kinds)).first()["fingerprint"]
+
+    texts = [[("a|b", "c")], [("a", "b|c")], [("a", None)], [("a", "~")], [("a", "-")], [("a", "")]]
+    assert len({print_of(r) for r in texts}) == len(texts)
+    numbers = [[(x, "t")] for x in (1e13, 1e300, float("inf"), float("-inf"), None, 1e-7, 2e-7, 0.0)]
+    assert len({print_of(r, "a double, b string") for r in numbers}) == len(numbers)
+    assert print_of([(float("nan"), "t")], "a double, b string") == print_of([(None, "t")], "a double, b string")
+    odd = spark.createDataFrame([(float("nan"), "x"), (1e13, "y"), (None, "z")], "a double, b string")
+    assert quality.dataset_profile(odd).first()["n_rows"] == 3
