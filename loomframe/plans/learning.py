@@ -365,7 +365,15 @@ def score_batch(t: Tables) -> DataFrame:
     return scoring.score(t.orders.drop("o_orderstatus"), model, "o_orderkey", state, 3, "run-1", "logistic_regression")
 
 
-@query("score_file")
+def plane_sql(run: str, name: str) -> str:
+    """Predictions of the least-squares plane over the two part features, in closed form."""
+    return f"""with p as {PART_SQL},
+s as (select avg(y) as my, avg(p_size) as m1, avg(name_length) as m2, var_pop(p_size) as v1, var_pop(name_length) as v2, covar_pop(p_size, name_length) as c, covar_pop(p_size, y) as c1, covar_pop(name_length, y) as c2 from p),
+b as (select *, (v2 * c1 - c * c2) / (v1 * v2 - c * c) as b1, (v1 * c2 - c * c1) / (v1 * v2 - c * c) as b2 from s)
+select {whole('p_partkey', 'p_partkey')}, {num('my + b1 * (p_size - m1) + b2 * (name_length - m2)', 'prediction')}, '{run}' as run_id, '{name}' as model_name from p, b"""
+
+
+@query("score_file", plane_sql("", ""))
 def score_file(t: Tables) -> DataFrame:
     rows = part_rows(t)
     model = models.fit_model(rows, list(WEIGHTS), "y", "linear_regression", "regression")

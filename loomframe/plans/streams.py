@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from loomframe.operators import models, scoring
 from loomframe.plans import views
 from loomframe.plans.histories import LATEST, CHANGES, run_versions
-from loomframe.plans.learning import WEIGHTS, part_rows
+from loomframe.plans.learning import WEIGHTS, part_rows, plane_sql
 from loomframe.plans.registry import Tables, num, query, stamp, whole
 from loomframe.plans.views import with_views
 from loomframe.session import scratch_path
@@ -71,7 +71,7 @@ def stream_performance_sliding(t: Tables) -> DataFrame:
     return jobs.run_to_table(jobs.windowed_performance(stream, "event_type", "value", slide="12 hours"), "performance")
 
 
-@query("stream_score")
+@query("stream_score", plane_sql("run-1", "linear_regression"))
 def stream_score(t: Tables) -> DataFrame:
     rows = part_rows(t)
     model = models.fit_model(rows, list(WEIGHTS), "y", "linear_regression", "regression")

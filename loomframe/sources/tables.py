@@ -27,35 +27,46 @@ def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), path
 
 
-def data_files(path: str) -> list[str]:
-    """Data files of a file or folder path, markers left out."""
-    system, inner = _filesystem(path)
-    info = system.get_file_info(inner)
-    if info.type == fs.FileType.File:
-        return [inner]
-    if info.type == fs.FileType.NotFound:
+def _spark_path(spark: SparkSession, path: str):
+    """The file system Spark uses for ``path``, and the path on it with its scheme."""
+    bare = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = bare.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system, system.makeQualified(bare)
+
+
+def data_files(spark: SparkSession, path: str) -> list[str]:
+    """Data files of a file or folder path on any file system Spark reads, markers left out."""
+    system, place = _spark_path(spark, path)
+    if not system.exists(place):
         raise FileNotFoundError(path)
-    found = system.get_file_info(fs.FileSelector(inner, recursive=True))
-    names = [f.path for f in found if f.type == fs.FileType.File and f.size]
+    found, names = system.listFiles(place, True), []
+    while found.hasNext():
+        status = found.next()
+        if status.getLen():
+            names.append(status.getPath().toString())
     return sorted(n for n in names if not posixpath.basename(n).startswith(("_", ".")))
 
 
-def _first_bytes(path: str, size: int = 64) -> bytes:
-    files = data_files(path)
+def _first_bytes(spark: SparkSession, path: str, size: int = 64) -> bytes:
+    files = data_files(spark, path)
     if not files:
         return b""
-    system, _ = _filesystem(path)
-    with system.open_input_file(files[0]) as handle:
-        return handle.read(size)
+    system, place = _spark_path(spark, files[0])
+    stream = system.open(place)
+    try:
+        found = (stream.read() for _ in range(size))
+        return bytes(b for b in found if b >= 0)
+    finally:
+        stream.close()
 
 
-def infer_format(path: str) -> str:
+def infer_format(spark: SparkSession, path: str) -> str:
     """Format by suffix, or by the first bytes of the data when there is none."""
     bare = path.rstrip("/").lower()
     for suffix, kind in SUFFIXES.items():
         if bare.endswith(suffix):
             return kind
-    head = _first_bytes(path)
+    head = _first_bytes(spark, path)
     if head.startswith(b"PAR1"):
         return "parquet"
     if head.startswith(b"ARROW1"):
@@ -67,20 +78,20 @@ def infer_format(path: str) -> str:
     raise ValueError(f"cannot tell the format of {path!r}")
 
 
-def read_table(spark: SparkSession, path: str, kind: str | None = None, schema: T.StructType | str | None = None, multi_line: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, path: str, kind: str | None = None, schema: T.StructType | str | None = None, multi_line: bool = False) -> DataFrame:
     """Read a table; a given schema saves the inference pass over the data.
 
     ``multi_line`` lets CSV fields hold line breaks, at the price of one task
-    per file; turn it off for large files without such fields.
+    per file; without it files are split.
     """
-    kind = kind or infer_format(path)
+    kind = kind or infer_format(spark, path)
     if kind == "csv":
         reader = spark.read.option("header", True)
         # nulls are \N, so an empty field stays an empty string
         reader = reader.option("escape", '"').option("multiLine", multi_line).option("nullValue", "\\N")
         return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
     if kind == "json":
-        first = _first_bytes(path).lstrip()[:1]
+        first = _first_bytes(spark, path).lstrip()[:1]
         reader = spark.read.option("multiLine", first == b"[")
         return (reader.schema(schema) if schema else reader).json(path)
     if kind == "parquet":
@@ -91,33 +102,28 @@ def read_table(spark: SparkSession, path: str, kind: str | None = None, schema:
 
 
 def read_arrow(spark: SparkSession, path: str) -> DataFrame:
-    """Arrow IPC files, one task per file, record batch by record batch."""
-    files = data_files(path)
-    system, _ = _filesystem(path)
-    with system.open_input_file(files[0]) as handle:
-        arrow_schema = pa.ipc.open_file(handle).schema
-    schema = from_arrow_schema(arrow_schema, prefer_timestamp_ntz=True)
-    anchor = path
+    """Arrow IPC files, one task per file; Spark hands the bytes of a file over."""
+    files = spark.read.format("binaryFile").load(data_files(spark, path))
+    schema = from_arrow_schema(pa.ipc.open_file(pa.BufferReader(files.orderBy("path").select("content").first()["content"])).schema, prefer_timestamp_ntz=True)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        source, _ = _filesystem(anchor)
         for batch in batches:
-            for name in batch.column("path").to_pylist():
-                with source.open_input_file(name) as opened:
-                    reader = pa.ipc.open_file(opened)
-                    for i in range(reader.num_record_batches):
-                        yield reader.get_batch(i)
+            for content in batch.column("content"):
+                reader = pa.ipc.open_file(pa.BufferReader(content.as_buffer()))
+                for i in range(reader.num_record_batches):
+                    yield reader.get_batch(i)
 
-    names = spark.createDataFrame([(f,) for f in files], "path string").repartition(len(files))
-    return names.mapInArrow(scan, schema)
+    return files.select("content").mapInArrow(scan, schema)
 
 
 def write_arrow(df: DataFrame, path: str, rows_per_file: int = ARROW_FILE_ROWS) -> int:
     """Each task streams its rows into Arrow IPC files of bounded length.
 
     Files carry the partition number and appear under their final name only
-    when complete, so a repeated task replaces its own files.
+    when complete, so a repeated task replaces its own files.  A path without a
+    scheme lies where Spark's default file system puts it.
     """
+    path = _spark_path(df.sparkSession, path)[1].toString()
 
     def sink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

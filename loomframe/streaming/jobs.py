@@ -97,7 +97,7 @@ def latest_snapshot(
     from loomframe.sources.tables import data_files
 
     found: dict[str, set[int]] = {"base": set(), "delta": set()}
-    for name in data_files(snapshot):
+    for name in data_files(spark, snapshot):
         for kind in found:
             if f"/{kind}=" in name:
                 found[kind].add(int(name.split(f"/{kind}=")[1].split("/")[0]))

@@ -215,11 +215,11 @@ def test_formats(spark, sf):
     base = scratch_path(spark, "formats")
     for suffix in ("csv", "json", "parquet", "feather"):
         tables.write_table(nation, f"{base}/n.{suffix}")
-        assert tables.infer_format(f"{base}/n.{suffix}") == {"feather": "arrow"}.get(suffix, suffix)
+        assert tables.infer_format(spark, f"{base}/n.{suffix}") == {"feather": "arrow"}.get(suffix, suffix)
         assert tables.read_table(spark, f"{base}/n.{suffix}").count() == 25
     tables.write_table(nation, f"{base}/bare", "arrow")
-    assert tables.infer_format(f"{base}/bare") == "arrow"
+    assert tables.infer_format(spark, f"{base}/bare") == "arrow"
     odd = spark.createDataFrame([(1, 'a "quoted", text\nwith lines'), (2, ""), (3, None)], "id int, s string")
     tables.write_table(odd, f"{base}/odd.csv")
-    back = {r["id"]: r["s"] for r in tables.read_table(spark, f"{base}/odd.csv", schema=odd.schema).collect()}
+    back = {r["id"]: r["s"] for r in tables.read_table(spark, f"{base}/odd.csv", schema=odd.schema, multi_line=True).collect()}
     assert back == {1: 'a "quoted", text\nwith lines', 2: "", 3: None}
