@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from loomframe.functions import columns as C
 from loomframe.functions.ordering import order_index
+from loomframe.session import materialize
 
 OTHER = "other"
 
@@ -65,7 +66,7 @@ def onehot_long(df: DataFrame, key: str, state: dict[str, dict]) -> DataFrame:
 
 def fit_ordinal(df: DataFrame, column: str) -> DataFrame:
     """Dictionary (value, code): codes follow the sorted values from 0."""
-    return order_index(df, column)
+    return materialize(order_index(df, column), "ordinal")
 
 
 def apply_ordinal(df: DataFrame, column: str, dictionary: DataFrame, out: str | None = None, unknown: str = "error") -> DataFrame:
@@ -94,7 +95,7 @@ def fit_target(df: DataFrame, column: str, target: str, smoothing: float = 10.0)
     overall = df.agg(F.avg(y).alias("m")).first()["m"]
     groups = df.where(y.isNotNull()).groupBy(F.col(column).alias("value")).agg(F.sum(y).alias("s"), F.count(y).alias("n"))
     mean = (F.col("s") + F.lit(smoothing) * C.literal(overall)) / (F.col("n") + F.lit(smoothing))
-    return groups.select("value", "n", mean.alias("encoding"), C.literal(overall).alias("fallback"))
+    return materialize(groups.select("value", "n", mean.alias("encoding"), C.literal(overall).alias("fallback")), "target-encoding")
 
 
 def apply_target(df: DataFrame, column: str, state: DataFrame, out: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomframe.functions import columns as C
@@ -130,9 +131,9 @@ def explain_instances(df: DataFrame, key: str, wanted: Column, weights: dict[str
 
 
 def sampled_attributions(
-    df: DataFrame, key: str, features: list[str], model: PipelineModel, output: Callable[[DataFrame], Column], samples: int = 8, seed: int = 42
+    df: DataFrame, key: str, features: list[str], model: PipelineModel, output: Callable[[DataFrame], Column], samples: int = 8, seed: int = 42, wanted: Column | None = None
 ) -> DataFrame:
-    """(key, feature, contribution) by sampled Shapley values for any model.
+    """(key, feature, contribution) by sampled Shapley values for any model; of the ``wanted`` rows only, if given.
 
     Each row is scored at the prefixes of a few feature orders, the rest of
     the features held at background rows (a bounded, hashed sample).  Scoring
@@ -151,7 +152,8 @@ def sampled_attributions(
             for i, order in enumerate(orders)
         ]
     )
-    steps = df.select(key, *[C.as_number(df, f).alias(f) for f in features]).withColumn("plan", F.explode(plans))
+    chosen = df if wanted is None else df.where(wanted)
+    steps = chosen.select(key, *[C.as_number(df, f).alias(f) for f in features]).withColumn("plan", F.explode(plans))
     steps = steps.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(len(features)))))
     mixed = steps.withColumns(
         {
@@ -168,6 +170,30 @@ def sampled_attributions(
     return moves.groupBy(key, "feature").agg((F.sum("part") / samples).alias("contribution"))
 
 
+def explain_fitted(
+    df: DataFrame, key: str, wanted: Column, features: list[str], model: PipelineModel, task: str, target_class: int = 1, samples: int = 32, seed: int = 42
+) -> DataFrame:
+    """Prediction, class probabilities and contributions of chosen rows for any fitted model, long form.
+
+    Contributions are sampled Shapley values against rows drawn from the whole
+    table: of the prediction for regression, else of the probability of ``target_class``.
+    """
+
+    def output(scored: DataFrame) -> Column:
+        if task == "regression":
+            return F.col("prediction")
+        kind = dict(scored.dtypes)["probability"]
+        values = F.col("probability") if kind.startswith("array") else vector_to_array("probability")
+        return F.get(values, F.lit(target_class))
+
+    rows = models.predict(df.where(wanted), model, [key, *features]).withColumnRenamed("pred", "prediction")
+    parts = sampled_attributions(df, key, features, model, output, samples, seed, wanted).withColumnRenamed(key, "__key")
+    values = F.create_map(*[x for f in features for x in (F.lit(f), C.as_number(df, f))])
+    shown = [c for c in ("prediction", "probability") if c in rows.columns]
+    joined = rows.join(parts, rows[key] == parts["__key"])
+    return joined.select(key, *shown, "feature", values[F.col("feature")].alias("value"), "contribution")
+
+
 def explain_model(df: DataFrame, model: PipelineModel, features: list[str], y: str, task: str) -> DataFrame:
     """Long (section, name, value) rows: type, size, score, errors, importances."""
     spark = df.sparkSession
@@ -177,6 +203,9 @@ def explain_model(df: DataFrame, model: PipelineModel, features: list[str], y: s
         tables = {"score": metrics.regression_errors(scored, y), "residuals": metrics.residual_statistics(scored, y)}
     else:
         tables = {"score": metrics.accuracy(scored, y), "weighted": metrics.prf_weighted(scored, y)}
+        if "probability" in scored.columns:
+            long = scored.select(F.posexplode("probability").alias("class", "p"))
+            tables["probability"] = metrics.probability_summary(long)
     parts = []
     for section, row in tables.items():
         parts.append(C.inline_rows(row, [{"section": F.lit(section), "name": F.lit(c), "value": F.col(c).cast("string")} for c in row.columns]))

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_BASE: dict[str, str] = {}
+# scratch tables of this process, for clear_scratch
+_MADE: list[str] = []
 
 
 def build_session(app: str = "loomframe", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -48,7 +50,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/loomframe/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/loomframe/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables this process has named so far; returns how many were there.
+
+    Call it when the results that were built on them have been written or collected.
+    """
+    gone = 0
+    while _MADE:
+        place = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        gone += place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return gone
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -223,3 +223,15 @@ def test_formats(spark, sf):
     tables.write_table(odd, f"{base}/odd.csv")
     back = {r["id"]: r["s"] for r in tables.read_table(spark, f"{base}/odd.csv", schema=odd.schema, multi_line=True).collect()}
     assert back == {1: 'a "quoted", text\nwith lines', 2: "", 3: None}
+
+
+def test_explains_single_rows_of_a_fitted_classifier(spark, parts):
+    rows = parts.withColumn("label", (F.col("size") > 25).cast("int"))
+    model = models.fit_model(rows, ["size", "length"], "label", "random_forest", "classification", {"n_estimators": 5})
+    got = explain.explain_fitted(rows, "p_partkey", F.col("p_partkey") < 3, ["size", "length"], model, "classification").collect()
+    assert len(got) == 6 and {r["feature"] for r in got} == {"size", "length"}
+    for r in got:
+        if r["feature"] == "size":
+            assert (r["contribution"] > 0) == (r["value"] > 25) and abs(sum(r["probability"]) - 1) < 1e-9
+    named = {(r["section"], r["name"]) for r in explain.explain_model(rows, model, ["size", "length"], "label", "classification").collect()}
+    assert ("probability", "mean_probability") in named
