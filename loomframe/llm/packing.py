@@ -23,6 +23,8 @@ from loomframe.llm.bytewords import FOLD, text_bytes, text_chunks, tokens
 from loomframe.llm.common import id_and_text
 from loomframe.session import materialize
 
+#: Rows of the rank table that may be sent to every executor (some 100 MB).
+SENT_ROWS = 2_000_000
 #: Words remembered by a Python worker, and the slots of their table.
 WORD_CACHE, SLOTS = 1_000_000, 1 << 21
 
@@ -274,7 +276,9 @@ def place(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """``pieces`` (with length, part, nth; written, so that they stay as they are) with sequence_id and offset."""
     spark = pieces.sparkSession
     sizes = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).drop("n")
+    before = materialize(sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).drop("n"), "pieces-before")
+    # A row for each length and partition: sent to all tasks while it is small, else the pieces are dealt to it.
+    before = F.broadcast(before) if before.count() <= SENT_ROWS else before
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     segments, _ = plan_bins(counts, capacity)
     plan = spark.createDataFrame(segments or [(0, 0, 0, 0, 1, 0)], "length int, low long, high long, first long, each long, base long")
