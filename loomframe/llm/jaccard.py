@@ -8,11 +8,12 @@ Texts are never shuffled, and no group of similar documents becomes all of its p
    (shingle, group) entries, packed by ranges of shingles. Short lists of groups that
    share a shingle give all their pairs of fitting size; long ones give each member
    a pivot and two random neighbours, and are kept for step 4.
-3. Group pairs are expanded to their members, and the shingle sets of those are
-   fetched and compared.
-4. What step 2 left out are pairs in long lists. Of these only pairs whose members are
-   still in different components can change the result; they are verified until
-   no list holds an open pair.
+3. Group pairs are expanded to their members. A small bit map of each set bounds what
+   two sets can share; pairs that cannot link go. One pair for each set is verified
+   on the shingles themselves, and the links found give components.
+4. Of the other pairs, and of those that step 2 left out in long lists, only pairs whose
+   members are still in different components can change the result; they are
+   verified until no such pair is left.
 """
 
 from __future__ import annotations
@@ -33,9 +34,11 @@ from loomframe.session import materialize
 
 #: Shingles that a task counts at once; frequent shingles kept for the order (8 bytes
 #: and a level each on every executor); they change the speed, never the result.
-COUNTED, FREQUENT = 2_000_000, 400_000
+COUNTED, FREQUENT = 1_000_000, 400_000
 #: Entries a task of step 2 handles at once, and entries of one shingle in one block.
-ENTRIES, BLOCK = 3_000_000, 1_000_000
+ENTRIES, BLOCK = 1_000_000, 1_000_000
+#: Rounds that verify one pair for each component before all open pairs are; each costs some jobs.
+THINNED = 1
 #: Longest list that gives all its pairs at once.
 SHORT = 8
 #: Bytes of a shingle's hash that the comparison reads; a wrong match of two of
@@ -54,8 +57,27 @@ def signature(sets: np.ndarray) -> int:
     return int((mixed.sum(dtype=np.uint64) + mix(np.array([len(sets)], np.uint64)) ^ np.bitwise_xor.reduce(mixed)).astype(np.int64)[0])
 
 
+def bit_map(sets: np.ndarray) -> bytes:
+    """A bit for each shingle in a map of twice to four times as many bits (a power of two, 64 at least)."""
+    size = max(64, 1 << (2 * len(sets) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(mix(sets) & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def at_most(x: bytes, n: int, y: bytes, m: int) -> int:
+    """A sure upper bound of the shingles that two sets of n and m share, from their bit maps."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    # A bit that only one map has stands for at least one shingle that only one set has.
+    return min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+
+
 def scan_sets(docs: DataFrame) -> DataFrame:
-    """Step 1: rows (id, text_key, n, sid) of all documents, and rows (token, times) of shingles seen more than once nearby."""
+    """Step 1: rows (id, text_key, n, sid, bits) of all documents, and rows (token, times) of shingles seen more than once nearby."""
 
     def flush(kept: list[np.ndarray]) -> pa.RecordBatch | None:
         token, times = np.unique(np.concatenate(kept), return_counts=True) if kept else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -65,13 +87,14 @@ def scan_sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, held = [], 0
         for batch, texts in text_chunks(batches):
-            names, sizes = [], []
+            names, sizes, maps = [], [], []
             for own in shingle_sets(texts):
                 names.append(signature(own) if len(own) else None)
+                maps.append(bit_map(own) if len(own) else None)
                 sizes.append(len(own))
                 kept.append(own)
                 held += len(own)
-            yield _rows(id=batch.column("id"), text_key=batch.column("text_key"), n=sizes, sid=names)
+            yield _rows(id=batch.column("id"), text_key=batch.column("text_key"), n=sizes, sid=names, bits=maps)
             if held > COUNTED:
                 yield flush(kept)
                 kept, held = [], 0
@@ -79,11 +102,10 @@ def scan_sets(docs: DataFrame) -> DataFrame:
 
     def _rows(**columns) -> pa.RecordBatch:
         size = len(next(iter(columns.values())))
-        empty = pa.nulls(size, pa.int64())
-        return pa.record_batch([pa.array(columns[c], pa.int64()) if c in columns else empty for c in names_], names=names_)
+        return pa.record_batch([pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in kinds.items()], names=[*kinds])
 
-    names_ = ["id", "text_key", "n", "sid", "token", "times"]
-    return docs.select("id", "text", text_key(F.col("text")).alias("text_key")).mapInArrow(run, ", ".join(f"{c} long" for c in names_)).withColumn("row", F.col("token").isNull())
+    kinds = {**dict.fromkeys(("id", "text_key", "n", "sid", "token", "times"), pa.int64()), "bits": pa.binary()}
+    return docs.select("id", "text", text_key(F.col("text")).alias("text_key")).mapInArrow(run, "id long, text_key long, n long, sid long, token long, times long, bits binary").withColumn("row", F.col("token").isNull())
 
 
 def frequent(scan: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -244,20 +266,33 @@ def join_lists(entries: DataFrame, buckets: int) -> DataFrame:
     return dealt.mapInArrow(run, "kind int, a long, b long")
 
 
+def may_link(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """The pairs (a, b) of set names that their bit maps do not rule out."""
+    left = names.select(F.col("sid").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("x"))
+    right = names.select(F.col("sid").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("x", "n1", "y", "n2")))
+            keep = [7 * at_most(x, n, y, m) >= 3 * (n + m) for x, n, y, m in rows]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
+
+
 def fetch_sets(docs: DataFrame, readers: DataFrame) -> DataFrame:
-    """(sid, n, body) of the sets in ``readers`` (sid, n, id of a document that has it); body: shortened sorted hashes."""
+    """(sid, body) of the sets whose document may be among ``readers`` (id); body: shortened sorted hashes."""
     shared = docs.sparkSession.sparkContext.broadcast(build(readers.select("id"), readers.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id").fill_null(0)
-            own = batch.filter(pa.array(perhaps(shared.value, ids.to_numpy(zero_copy_only=False))))
-            for chunk, texts in text_chunks([own]):
-                sets = list(shingle_sets(texts))
+            own = batch.filter(pa.array(perhaps(shared.value, batch.column("id").to_numpy(zero_copy_only=False))))
+            for _, texts in text_chunks([own]):
+                sets = [s for s in shingle_sets(texts) if len(s)]
                 body = [np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 8 - KEPT_BYTES :]).tobytes() for s in sets]
-                yield pa.record_batch([chunk.column("id"), pa.array([signature(s) if len(s) else None for s in sets], pa.int64()), pa.array(body, pa.binary())], names=["id", "sid", "body"])
+                yield pa.record_batch([pa.array([signature(s) for s in sets], pa.int64()), pa.array(body, pa.binary())], names=["sid", "body"])
 
-    return docs.mapInArrow(run, "id long, sid long, body binary").join(readers, ["id", "sid"]).select("sid", "n", "body").dropDuplicates(["sid"])
+    return docs.mapInArrow(run, "sid long, body binary")
 
 
 def unpack(body: bytes) -> np.ndarray:
@@ -309,11 +344,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = id_and_text(docs, id_col, text_col)
     scan = materialize(scan_sets(base), "shingle-scan")
     rows = scan.filter("row").select("id", "text_key", "n", "sid")
-    readers = materialize(rows.filter("sid is not null and id is not null").groupBy("sid").agg(F.first("n").alias("n"), F.min("id").alias("id")), "set-names")
+    named = scan.filter("row and sid is not null and id is not null")
+    readers = materialize(named.groupBy("sid").agg(F.first("n").alias("n"), F.min("id").alias("id"), F.first("bits").alias("bits")), "set-names")
     total = readers.agg(F.sum(F.col("n") - need_column("n") + 1)).first()[0] or 0
     buckets = max(8, -(-total // ENTRIES))
     order = frequent(scan)
-    step = materialize(join_lists(prefix_entries(base.filter("id is not null"), order, buckets), buckets), "prefix-join")
+    named_docs = base.filter("id is not null")
+    step = materialize(join_lists(prefix_entries(named_docs, order, buckets), buckets), "prefix-join")
 
     members = step.filter("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("s")).distinct()
     first = members.groupBy("g").agg(F.min("s").alias("pivot"), F.count("*").alias("c"))
@@ -330,20 +367,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = lists.unionByName(crowded).unionByName(members.filter("c > 2 and s = pivot").select(F.col("g").alias("list"), "g"))
     lists = materialize(lists.distinct().join(members.select("g", "s"), "g").select("list", "s", F.shiftrightunsigned("g", 40).alias("n")), "long-lists")
 
-    pairs = materialize(_ordered(direct.unionByName(inside)), "set-pairs")
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(lists.select("s")).distinct()
-    sets = materialize(fetch_sets(base, materialize(readers.join(wanted, "sid", "left_semi"), "sets-wanted")), "shingle-sets")
-    links = materialize(verify(pairs, sets), "set-links")
+    pairs = materialize(may_link(_ordered(direct.unionByName(inside)), readers), "set-pairs")
+    sets = materialize(sets_of(named_docs, readers, pairs), "shingle-sets")
+    done = links = found = None
+    rounds = 0
     while True:
-        found = materialize(components(links), "set-components")
-        fresh = materialize(open_pairs(lists, found, pairs), "open-pairs")
+        # First one pair for each component, which joins most of them; then all that is left.
+        left = pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
+        fresh = materialize(open_pairs(left, found, one_each=rounds < THINNED), "open-pairs")
+        rounds += 1
         if fresh.isEmpty():
-            break
-        pairs = materialize(pairs.unionByName(fresh), "set-pairs")
-        more = materialize(verify(fresh, sets), "set-links")
-        if more.isEmpty():
-            break
-        links = materialize(links.unionByName(more), "set-links")
+            if rounds <= THINNED:
+                rounds = THINNED
+                continue
+            # Lists are opened only when no known pair can join two components any more.
+            fresh = open_in_lists(lists, found, readers) if done is None else open_in_lists(lists, found, readers).join(done, ["a", "b"], "left_anti")
+            fresh = materialize(fresh, "open-in-lists")
+            if fresh.isEmpty():
+                break
+            pairs = materialize(pairs.unionByName(fresh), "set-pairs")
+            sets = materialize(sets.unionByName(sets_of(named_docs, readers, fresh)).dropDuplicates(["sid"]), "shingle-sets")
+            continue
+        found_links = verify(fresh, sets).distinct()
+        links = materialize(found_links if links is None else links.unionByName(found_links), "set-links")
+        done = fresh if done is None else materialize(done.unionByName(fresh), "pairs-verified")
+        found = materialize(components(links), "set-components")
+    if found is None:
+        found = components(pairs)
 
     # A component of sets takes the smallest identifier of their documents.
     named = found.join(readers.select(F.col("sid").alias("node"), "id"), "node")
@@ -361,13 +411,77 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("s1", "s2").alias("a"), F.greatest("s1", "s2").alias("b")).filter("a <> b").distinct()
 
 
-def open_pairs(lists: DataFrame, found: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs of a long list that fit in size, lie in different components and were not compared yet."""
+def open_pairs(pairs: DataFrame, found: DataFrame | None, one_each: bool) -> DataFrame:
+    """The pairs whose members lie in different components; with ``one_each`` one for each component, to a smaller one."""
+    if found is None:
+        found = pairs.sparkSession.createDataFrame([], "node long, component long")
+    left, right = (found.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in "ab")
+    known = pairs.join(left, "a", "left").join(right, "b", "left").select("a", "b", F.coalesce("c_a", "a").alias("c_a"), F.coalesce("c_b", "b").alias("c_b")).filter("c_a <> c_b")
+    if not one_each:
+        return known.select("a", "b")
+    if_any = F.min_by(F.struct("a", "b"), F.xxhash64("a", "b")).alias("pair")
+    return known.groupBy(F.greatest("c_a", "c_b")).agg(if_any).select("pair.a", "pair.b")
+
+
+def sets_of(docs: DataFrame, readers: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The shingle sets of all members of ``pairs``."""
+    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    return fetch_sets(docs, materialize(readers.join(wanted, "sid", "left_semi").select("id"), "sets-wanted"))
+
+
+def cross_pairs(names: np.ndarray, n: np.ndarray, component: np.ndarray, maps: list[bytes]) -> np.ndarray:
+    """Pairs of a list in different components that neither their sizes nor their bit maps rule out."""
+    order = np.argsort(n, kind="stable")
+    names, n, component, maps = names[order], n[order], component[order], [maps[k] for k in order]
+    rows: dict[int, list[int]] = {}
+    for k, body in enumerate(maps):
+        rows.setdefault(len(body), []).append(k)
+    places = {size: np.array(k) for size, k in rows.items()}
+    stacked = {size: np.stack([np.frombuffer(maps[k], np.uint64) for k in own]) for size, own in rows.items()}
+    out = []
+    for k, body in enumerate(maps):
+        mine = np.frombuffer(body, np.uint64)
+        # Sizes are ascending, so a partner's map is as long or twice as long.
+        for size in (len(body), 2 * len(body)):
+            if size not in places:
+                continue
+            at = places[size]
+            near = np.flatnonzero((at > k) & (component[at] != component[k]) & fits(n[k], n[at]))
+            if not len(near):
+                continue
+            others = stacked[size][near]
+            if size > len(body):
+                half = others.shape[1] // 2
+                others = others[:, :half] | others[:, half:]
+            m = n[at[near]]
+            most = np.minimum(n[k] - np.bitwise_count(mine & ~others).sum(1), m - np.bitwise_count(others & ~mine).sum(1))
+            may = at[near][7 * most >= 3 * (n[k] + m)]
+            out.append(np.column_stack([np.minimum(names[k], names[may]), np.maximum(names[k], names[may])]))
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+
+
+def open_in_lists(lists: DataFrame, found: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs of a long list in different components that may link; a list is at most a block of its shingle."""
     placed = lists.join(found.select(F.col("node").alias("s"), "component"), "s", "left").withColumn("component", F.coalesce("component", "s"))
     mixed = placed.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("list")
-    placed = materialize(placed.join(mixed, "list", "left_semi"), "open-lists")
-    other = placed.select("list", F.col("s").alias("t"), F.col("n").alias("m"), F.col("component").alias("other"))
-    cross = placed.join(other, "list").filter((F.col("component") != F.col("other")) & (F.col("s") < F.col("t")))
-    limit = (1 << 24) - 1
-    cross = cross.filter((4 * F.least("n", "m") >= 3 * F.greatest("n", "m")) | (F.greatest("n", "m") == limit))
-    return _ordered(cross.select(F.col("s").alias("s1"), F.col("t").alias("s2"))).join(done, ["a", "b"], "left_anti")
+    placed = placed.join(mixed, "list", "left_semi").join(names.select(F.col("sid").alias("s"), F.col("n").alias("size"), "bits"), "s")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(rows: list[tuple]) -> pa.RecordBatch:
+            name, size, component, maps = zip(*rows)
+            pairs = cross_pairs(*(np.array(x, np.int64) for x in (name, size, component)), list(maps))
+            return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        last, rows = None, []
+        for batch in batches:
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("list", "s", "size", "component", "bits"))):
+                if key != last and rows:
+                    yield close(rows)
+                    rows = []
+                last = key
+                rows.append(row)
+        if rows:
+            yield close(rows)
+
+    dealt = placed.select("list", "s", "size", "component", "bits").repartition("list").sortWithinPartitions("list")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
