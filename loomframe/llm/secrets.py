@@ -181,8 +181,10 @@ def scan_secrets(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule,
     return rows.join(by_blob, "address", "left").select("id", F.coalesce("found", F.array().cast(FOUND)).alias("found"))
 
 
-def mask_spans(text: str, found: list, mask: str) -> str:
-    """``text`` with each found span, or run of overlapping spans, replaced by ``mask``."""
+def mask_spans(text: str | None, found: list | None, mask: str) -> str | None:
+    """``text`` with each found span, or run of overlapping spans, replaced by ``mask``; as it is where none was found."""
+    if text is None or not found:
+        return text
     out, at = [], 0
     for f in found:
         if f["first"] >= at:
@@ -196,7 +198,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", ledger: str | None = None, r
     _, by_blob = findings(docs, ledger, rules, id_col, text_col)
     secret = materialize(by_blob, "secret-blobs")
     address = F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
-    kind = F.udf(lambda text, found: mask_spans(text or "", found, mask), "string")
+    masked = F.udf(lambda text, found: mask_spans(text, found, mask), "string")
     bits = build(secret.select(F.xxhash64("address")), secret.count())
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
@@ -206,5 +208,5 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", ledger: str | None = None, r
 
     marked = docs.withColumn("_address", address).withColumn("_maybe", may_hold(F.xxhash64("_address")))
     held = marked.filter("_maybe").join(secret.select(F.col("address").alias("_address"), F.col("found").alias("_found")), "_address", "left")
-    clean = held.withColumn(text_col, F.when(F.col("_found").isNotNull(), kind(F.col(text_col), F.col("_found"))).otherwise(F.col(text_col)))
+    clean = held.withColumn(text_col, masked(F.col(text_col).cast("string"), F.col("_found")))
     return marked.filter("not _maybe").select(*docs.columns).unionByName(clean.select(*docs.columns))

@@ -15,7 +15,7 @@ from loomframe.llm.exact_dedup import drop_copies, exact_dedup
 from loomframe.llm.jaccard import near_duplicates
 from loomframe.llm.packing import default_tokenizer, pack, plan_bins
 from loomframe.llm.pieces import default_pieces, decode_pieces, encode_pieces
-from loomframe.llm.secrets import Rule, RULES, redact, scan_secrets
+from loomframe.llm.secrets import Rule, RULES, mask_spans, redact, scan_secrets
 from loomframe.llm.substrings import remove_repeats
 from tests.llm.helpers import DOCS, document_rows, documents, fold, smallest, words
 
@@ -242,6 +242,12 @@ def test_redact(docs):
     assert not [t for _, t in texts if plain_secrets(t)]
 
 
+def test_mask_spans():
+    spans = [{"first": 1, "last": 4}, {"first": 2, "last": 6}, {"first": 8, "last": 9}]
+    assert mask_spans("0123456789", spans, "#") == "0#67#9"
+    assert mask_spans("text", None, "#") == mask_spans("text", [], "#") == "text" and mask_spans(None, spans, "#") is None
+
+
 # Pieces
 
 
