@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; only longer single words need more memory.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 Classes = np.ndarray | Callable[[np.ndarray], np.ndarray]
 _SPACES = np.array([0x20, 9, 10, 11, 12, 13])
@@ -111,6 +112,14 @@ def tokens(texts: pa.Array, classes: Classes = PLAIN, fold: np.ndarray = KEEP, p
     return hashes, starts - own, ends - own, bounds, heads
 
 
+def release() -> None:
+    """Give freed memory back to the system; Python workers outlive the tasks that filled them."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Slices of the batches with about ``most`` bytes of text, and that text as large_string without nulls."""
     for batch in batches:
@@ -122,6 +131,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK_BYTES) -> I
             to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
             yield batch.slice(at, to - at), texts.slice(at, to - at)
             at = to
+    release()
 
 
 def text_bytes(texts: pa.Array) -> np.ndarray:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: Texts handed to a Python worker at once.
+TEXT_ROWS = 1_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word is a run of anything but the space and the controls 9 to 13.
 WORD_BYTES = rb"[^\x20\x09-\x0D]+"
@@ -32,7 +34,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The two columns an operator reads, under fixed names, so that other columns cannot clash."""
+    """The two columns an operator reads, under fixed names, so that other columns cannot clash.
+
+    Texts reach Python in batches of TEXT_ROWS, which bounds what a worker and its
+    executor hold of them at once.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
