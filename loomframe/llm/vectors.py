@@ -38,14 +38,27 @@ AUDITED = 512
 
 def unit_vectors(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """id, unit (double array, null where the vector cannot link)."""
-    v = table[vec_col].cast("array<double>")
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    # Scaling by the largest component first keeps squares within range.
-    top = F.array_max(F.transform(v, F.abs))
-    usable = v.isNotNull() & ~bad & (top > 0)
-    scaled = F.when(usable, F.transform(v, lambda x: x / top))
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
-    return table.select(table[id_col].cast("long").alias("id"), F.transform(scaled, lambda x: x / norm).alias("unit"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("v")
+            flat = lists.flatten().to_numpy(zero_copy_only=False)  # null components become NaN
+            size = np.array([0 if n is None else n for n in lists.value_lengths().to_pylist()], np.int64)
+            bounds = np.concatenate([[0], np.cumsum(size)])
+            out: list[np.ndarray | None] = []
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                x = flat[lo:hi]
+                top = np.abs(x).max() if hi > lo else 0.0
+                if not (np.isfinite(top) and top > 0):
+                    out.append(None)
+                    continue
+                # Scaling by the largest component first keeps squares within range.
+                x = x / top
+                out.append(x / np.sqrt((x * x).sum()))
+            yield pa.record_batch([batch.column("id"), pa.array(out, pa.list_(pa.float64()))], names=["id", "unit"])
+
+    base = table.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    return base.mapInArrow(run, "id long, unit array<double>")
 
 
 def centres(sample: np.ndarray, k: int, rounds: int = 6, seed: int = 11) -> np.ndarray:
