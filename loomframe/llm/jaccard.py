@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomframe.llm.bytewords import mix, text_chunks
+from loomframe.llm.bytewords import mix, release, text_chunks
 from loomframe.llm.common import id_and_text
 from loomframe.llm.components import components
 from loomframe.llm.membership import build, perhaps
@@ -250,6 +250,8 @@ def join_lists(entries: DataFrame, buckets: int) -> DataFrame:
             found, long = list_pairs(token, group)
             for kind, rows in ((0, found), (1, np.unique(pair.reshape(-1, 2), axis=0)), (2, long)):
                 yield pa.record_batch([pa.array(np.full(len(rows), kind), pa.int32()), pa.array(rows[:, 0].astype(np.int64)), pa.array(rows[:, 1].astype(np.int64))], names=["kind", "a", "b"])
+            del token, group, pair, found, long
+            release()
 
         last, parts = None, []
         for batch in batches:
@@ -369,7 +371,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     pairs = materialize(may_link(_ordered(direct.unionByName(inside)), readers), "set-pairs")
     sets = materialize(sets_of(named_docs, readers, pairs), "shingle-sets")
-    done = links = found = None
+    done = links = None
+    found = docs.sparkSession.createDataFrame([], "node long, component long")
     rounds = 0
     while True:
         # First one pair for each component, which joins most of them; then all that is left.
@@ -392,9 +395,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = materialize(found_links if links is None else links.unionByName(found_links), "set-links")
         done = fresh if done is None else materialize(done.unionByName(fresh), "pairs-verified")
         found = materialize(components(links), "set-components")
-    if found is None:
-        found = components(pairs)
-
     # A component of sets takes the smallest identifier of their documents.
     named = found.join(readers.select(F.col("sid").alias("node"), "id"), "node")
     smallest = named.join(named.groupBy("component").agg(F.min("id").alias("component_id")), "component").select(F.col("node").alias("sid"), "component_id")
@@ -411,10 +411,8 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("s1", "s2").alias("a"), F.greatest("s1", "s2").alias("b")).filter("a <> b").distinct()
 
 
-def open_pairs(pairs: DataFrame, found: DataFrame | None, one_each: bool) -> DataFrame:
+def open_pairs(pairs: DataFrame, found: DataFrame, one_each: bool) -> DataFrame:
     """The pairs whose members lie in different components; with ``one_each`` one for each component, to a smaller one."""
-    if found is None:
-        found = pairs.sparkSession.createDataFrame([], "node long, component long")
     left, right = (found.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in "ab")
     known = pairs.join(left, "a", "left").join(right, "b", "left").select("a", "b", F.coalesce("c_a", "a").alias("c_a"), F.coalesce("c_b", "b").alias("c_b")).filter("c_a <> c_b")
     if not one_each:

@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from loomframe.llm.bytewords import release
 from loomframe.llm.common import id_and_text
 from loomframe.llm.membership import build, perhaps
 from loomframe.session import materialize, scratch_path
@@ -85,6 +86,7 @@ def scan_blobs(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
         for batch in batches:
             found = search(batch.column("text"), batch.column("todo").to_pylist(), rules)
             yield pa.record_batch([batch.column("address"), batch.column("todo"), pa.array(found, _TYPE)], names=["address", "todo", "found"])
+        release()
 
     return texts.mapInArrow(run, f"address binary, todo array<string>, found {FOUND}")
 
@@ -102,6 +104,7 @@ def scan_unless(texts: DataFrame, bits: np.ndarray, todo: list[str], rules: tupl
             out = [None if wait else next(found) for wait in later]
             kept = pc.if_else(now, pa.scalar(None, text.type), text)
             yield pa.record_batch([batch.column("id"), batch.column("address"), kept, pa.array([todo] * len(text), pa.list_(pa.string())), pa.array(out, _TYPE)], names=["id", "address", "text", "todo", "found"])
+        release()
 
     return texts.mapInArrow(run, f"id long, address binary, text string, todo array<string>, found {FOUND}")
 
