@@ -1,6 +1,7 @@
 """Near-duplicate embeddings through robust-pruned graphs on overlapping cluster shards.
 
-1. A bounded sample gives cluster centres; every vector joins its nearest few shards.
+1. A bounded sample gives cluster centres for each vector length; every vector joins
+   its nearest few shards.
 2. Each shard builds a flat graph: the nearest candidates of a vector, pruned so that
    kept neighbours point in different directions. The lists of a vector from all its
    shards are united.
@@ -74,24 +75,50 @@ def centres(sample: np.ndarray, k: int, rounds: int = 6, seed: int = 11) -> np.n
     return c
 
 
-def assign(units: DataFrame, c: np.ndarray, overlap: int) -> DataFrame:
-    """id, unit, shards: the ``overlap`` nearest centres, in ascending order."""
-    shared = units.sparkSession.sparkContext.broadcast(c)
+def fit_shards(sample: list[np.ndarray], counts: dict[int, int]) -> dict[int, tuple[int, np.ndarray | None]]:
+    """For each vector length its first shard and its centres, one shard a centre.
+
+    A length without a sampled vector, or with few vectors, is one shard without a centre.
+    """
+    drawn: dict[int, list[np.ndarray]] = {}
+    for v in sample:
+        drawn.setdefault(len(v), []).append(v)
+    out, first, total = {}, 0, sum(counts.values())
+    for size, n in sorted(counts.items()):
+        own = drawn.get(size, [])
+        k = min(len(own), -(-n // PER_SHARD), max(1, MOST_SHARDS * n // total))
+        out[size] = (first, centres(np.stack(own), k) if k > 1 else None)
+        first += max(1, k)
+    return out
+
+
+def assign(units: DataFrame, places: dict[int, tuple[int, np.ndarray | None]], overlap: int) -> DataFrame:
+    """All columns and shards: the ``overlap`` nearest centres of the vector's length, in ascending order."""
+    shared = units.sparkSession.sparkContext.broadcast(places)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column("unit"))
-            take = min(overlap, len(shared.value))
-            near = np.argpartition(-(x @ shared.value.T), take - 1, axis=1)[:, :take] if len(x) else np.zeros((0, take), int)
-            near = np.sort(near, axis=1).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * take), pa.array(near.reshape(-1)))
-            yield pa.record_batch([batch.column("id"), batch.column("unit"), lists], names=["id", "unit", "shards"])
+            shards: list[np.ndarray] = [np.zeros(0, np.int32)] * batch.num_rows
+            for rows, x in matrices(batch.column("unit")):
+                first, c = shared.value[x.shape[1]]
+                near = np.zeros((len(x), 1), int)
+                if c is not None:
+                    take = min(overlap, len(c))
+                    near = np.sort(np.argpartition(-(x @ c.T), take - 1, axis=1)[:, :take], axis=1)
+                for k, own in zip(rows.tolist(), (first + near).astype(np.int32)):
+                    shards[k] = own
+            yield pa.record_batch([*batch.columns, pa.array(shards, pa.list_(pa.int32()))], names=[*batch.schema.names, "shards"])
 
-    return units.mapInArrow(run, "id long, unit array<double>, shards array<int>")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in units.schema.fields)
+    return units.mapInArrow(run, f"{fields}, shards array<int>")
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+def matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, vectors) for each length in the column."""
+    sizes = np.array(column.value_lengths(), np.int64)
+    for size in np.unique(sizes):
+        rows = np.flatnonzero(sizes == size)
+        yield rows, np.asarray(column.take(pa.array(rows)).flatten(), np.float64).reshape(len(rows), -1)
 
 
 def pruned_graph(x: np.ndarray) -> np.ndarray:
@@ -291,17 +318,19 @@ def audit(units: DataFrame, found: DataFrame, least: float) -> float:
     sample = units.orderBy(F.xxhash64("id"), "id").limit(AUDITED).select("id", "unit").toPandas()
     if not len(sample):
         return 1.0
-    ids, x = sample["id"].to_numpy(), np.stack(sample["unit"].to_numpy())
-    shared = units.sparkSession.sparkContext.broadcast((ids, x))
+    by_size = {n: (g["id"].to_numpy(), np.stack(g["unit"].to_numpy())) for n, g in sample.groupby(sample["unit"].map(len))}
+    shared = units.sparkSession.sparkContext.broadcast(by_size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, queries = shared.value
-        total = np.zeros(len(own), np.int64)
+        total = {n: np.zeros(len(own), np.int64) for n, (own, _) in shared.value.items()}
         for batch in batches:
-            hit = queries @ matrix(batch.column("unit")).T >= least if batch.num_rows else np.zeros((len(own), 0), bool)
-            hit &= own[:, None] != batch.column("id").to_numpy(zero_copy_only=False)[None, :]
-            total += hit.sum(1)
-        yield pa.record_batch([pa.array(own), pa.array(total)], names=["id", "true"])
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            for rows, x in matrices(batch.column("unit")):
+                if x.shape[1] in total:
+                    own, queries = shared.value[x.shape[1]]
+                    total[x.shape[1]] += ((queries @ x.T >= least) & (own[:, None] != ids[rows][None, :])).sum(1)
+        for n, (own, _) in shared.value.items():
+            yield pa.record_batch([pa.array(own), pa.array(total[n])], names=["id", "true"])
 
     true = units.select("id", "unit").mapInArrow(run, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
     row = true.join(found, "id", "left").agg(F.sum("true").alias("all"), F.sum(F.least("true", F.coalesce("links", F.lit(0)))).alias("got")).first()
@@ -312,23 +341,25 @@ def near_vectors(table: DataFrame, least: float = 0.9, id_col: str = "vec_id", v
     """One row per vector: id, n_links, component_id, kept.
 
     Vectors link at a cosine of ``least`` or more, in double precision; never below
-    it. Null, zero and non-finite vectors, vectors with a null component, null
-    identifiers and vectors of another length than most link with nothing. Rows that
-    repeat an identifier are one vector (the smallest of them); each gets its result.
+    it. Vectors link with vectors of their own length, whatever lengths there are.
+    Null, zero and non-finite vectors, vectors with a null component and null
+    identifiers link with nothing. Rows that repeat an identifier are one vector
+    (the smallest of them); each gets its result.
     An empty table gives an empty result; other columns are not read.
     """
     every = materialize(unit_vectors(table, id_col, vec_col), "unit-vectors")
     usable = every.filter("unit is not null and id is not null")
-    usual = usable.groupBy(F.size("unit").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if usual is None:
+    if usable.isEmpty():
         return every.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    units = materialize(usable.filter(F.size("unit") == usual["n"]).groupBy("id").agg(F.min("unit").alias("unit")), "vectors")
-    n = units.count()
+    units = materialize(usable.groupBy("id").agg(F.min("unit").alias("unit")), "vectors")
+    # One row for each length; T components have at most the root of 2 T lengths.
+    counts = {r["n"]: r["count"] for r in units.groupBy(F.size("unit").alias("n")).count().collect()}
     sample = units.orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(SAMPLE).select("unit").toPandas()
-    c = centres(np.stack(sample["unit"].to_numpy()), min(MOST_SHARDS, len(sample), -(-n // PER_SHARD)))
+    places = fit_shards(list(sample["unit"]), counts)
+    shards = sum(1 if c is None else len(c) for _, c in places.values())
     for attempt in range(tries):
-        assigned = materialize(assign(units, c, overlap + attempt), "shard-members")
-        sizes = np.ones(len(c), np.int64)
+        assigned = materialize(assign(units, places, overlap + attempt), "shard-members")
+        sizes = np.ones(shards, np.int64)
         for r in assigned.select(F.explode("shards").alias("s")).groupBy("s").count().collect():  # one row per shard
             sizes[r["s"]] = -(-r["count"] // BLOCK)
         lists = materialize(build_lists(assigned, sizes), "neighbour-lists")

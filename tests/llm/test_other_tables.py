@@ -51,6 +51,29 @@ def test_near_vectors(spark, monkeypatch, per_shard, block):
     assert got == plain_vectors(rows)
 
 
+def links_of_every_length(rows, least=0.9):
+    """n_links, component and kept of finite vectors, each compared with all of its length."""
+    unit = {k: np.array(v) / np.linalg.norm(v) for k, v in rows}
+    links = [(a, b) for a in unit for b in unit if a < b and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= least]
+    count = Counter(k for pair in links for k in pair)
+    root = smallest(links, list(unit))
+    return {k: (count[k], root[k], root[k] == k) for k in unit}
+
+
+@pytest.mark.parametrize("per_shard", [1_000, 20])
+def test_near_vectors_of_several_lengths(spark, monkeypatch, per_shard):
+    monkeypatch.setattr(vectors, "PER_SHARD", per_shard)
+    rng = np.random.default_rng(5)
+    rows = []
+    for first, width, n in ((0, 8, 60), (1000, 5, 50), (2000, 3, 1), (3000, 2, 2)):
+        base = rng.normal(size=(n, width))
+        rows += [(first + k, v.tolist()) for k, v in enumerate(base)]
+        rows += [(first + 500 + k, (base[0] + 0.02 * rng.normal(size=width)).tolist()) for k in range(7)]
+    got = {r["id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()}
+    want = links_of_every_length(rows)
+    assert got == want and want[1500][0] >= 7 and want[2500][0] >= 7
+
+
 def test_vectors_without_any(spark):
     kinds = "vec_id long, embedding array<float>"
     assert near_vectors(spark.createDataFrame([], kinds)).count() == 0
