@@ -1,21 +1,19 @@
-"""Near-duplicate embeddings through robust-pruned graphs on overlapping cluster shards.
+"""Near-duplicate embeddings through overlapping cluster shards.
 
-1. A bounded sample gives cluster centres for each vector length; every vector joins
+1. Equal unit vectors become one, weighted by how many they are.
+2. A bounded sample gives cluster centres for each vector length; every vector joins
    its nearest few shards.
-2. Each shard builds a flat graph: the nearest candidates of a vector, pruned so that
-   kept neighbours point in different directions. The lists of a vector from all its
-   shards are united.
-3. Each shard searches its graph for every member: greedily from the medoid and the
-   member's own node, then expanding through everything within range.
-4. Matches are verified by cosine in double precision. A pair that meets in several
-   shards counts in the first one they share. Counts and local components leave a
-   task, pairs never do.
-5. An audit compares a bounded sample of vectors with all others; if too few links
-   were found, the search is repeated with more overlap and a wider beam.
+3. The members of a shard are dealt into blocks of bounded size, and each pair of
+   blocks is compared in double precision, a bounded number of pairs at a time. So
+   every link within a shard is found, and a pair that meets in several shards counts
+   in the first one they share. Counts and local components leave a task, pairs never do.
+4. An audit compares a bounded sample of vectors with all others; if too few links
+   were found, the search is repeated with more overlap.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,16 +27,18 @@ from loomframe.session import materialize
 #: Vectors that the centres are fitted on (documented bound), vectors a centre stands
 #: for, and centres at most: their table is what every executor gets.
 SAMPLE, PER_SHARD, MOST_SHARDS = 20_000, 1_000, 65_536
-#: Members a graph holds; larger shards are cut into blocks, each searched by the whole shard.
+#: Members of a block; larger shards are cut into blocks, and a task compares two of them.
 BLOCK = 20_000
-#: Candidates and neighbours of a node, slack of the pruning.
-CANDIDATES, DEGREE, SLACK = 48, 24, 1.2
+#: Pairs that a task compares at a time.
+PAIRS = 2_000_000
+#: Equal vectors from which on their result is sent to every executor; so it has a row for every HOT vectors at most.
+HOT = 1_000
 #: Vectors that the audit compares with all others.
 AUDITED = 512
 
 
 def unit_vectors(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """id, unit (double array, null where the vector cannot link)."""
+    """id, key (of equal units), unit (double array); both null where the vector cannot link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -47,19 +47,22 @@ def unit_vectors(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
             size = np.array([0 if n is None else n for n in lists.value_lengths().to_pylist()], np.int64)
             bounds = np.concatenate([[0], np.cumsum(size)])
             out: list[np.ndarray | None] = []
+            keys: list[bytes | None] = []
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 x = flat[lo:hi]
                 top = np.abs(x).max() if hi > lo else 0.0
                 if not (np.isfinite(top) and top > 0):
                     out.append(None)
+                    keys.append(None)
                     continue
                 # Scaling by the largest component first keeps squares within range.
                 x = x / top
-                out.append(x / np.sqrt((x * x).sum()))
-            yield pa.record_batch([batch.column("id"), pa.array(out, pa.list_(pa.float64()))], names=["id", "unit"])
+                out.append(x / np.sqrt((x * x).sum()) + 0.0)  # no negative zeros
+                keys.append(hashlib.blake2b(out[-1].tobytes(), digest_size=16).digest())
+            yield pa.record_batch([batch.column("id"), pa.array(keys, pa.binary()), pa.array(out, pa.list_(pa.float64()))], names=["id", "key", "unit"])
 
     base = table.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    return base.mapInArrow(run, "id long, unit array<double>")
+    return base.mapInArrow(run, "id long, key binary, unit array<double>")
 
 
 def centres(sample: np.ndarray, k: int, rounds: int = 6, seed: int = 11) -> np.ndarray:
@@ -121,200 +124,66 @@ def matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, np.asarray(column.take(pa.array(rows)).flatten(), np.float64).reshape(len(rows), -1)
 
 
-def pruned_graph(x: np.ndarray) -> np.ndarray:
-    """Neighbour places of each row, -1 where there are fewer than DEGREE."""
-    m = len(x)
-    out = np.full((m, DEGREE), -1, np.int64)
-    wide = min(CANDIDATES, m - 1)
-    if wide < 1:
-        return out
-    x32 = x.astype(np.float32)
-    for a in range(0, m, 512):
-        sims = x32[a : a + 512] @ x32.T
-        rows = np.arange(len(sims))
-        sims[rows, a + rows] = -2
-        cand = np.argpartition(-sims, wide - 1, axis=1)[:, :wide]
-        far = 2 - 2 * np.take_along_axis(sims, cand, 1)
-        bodies = x32[cand]
-        alive = np.ones(cand.shape, bool)
-        for k in range(min(DEGREE, wide)):
-            pick = np.where(alive, far, np.inf).argmin(1)
-            has = alive[rows, pick]
-            out[a + rows[has], k] = cand[rows[has], pick[has]]
-            # A candidate nearer to the pick than, with slack, to the node is reached through it.
-            to_pick = 2 - 2 * np.einsum("ijk,ik->ij", bodies, bodies[rows, pick])
-            alive &= ~(SLACK * to_pick <= far) | ~has[:, None]
-            alive[rows, pick] = False
-    return out
-
-
-def range_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, own: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) places of all nodes found within range. ``own`` is a query's node, or -1."""
-    m, q = len(x), len(queries)
-    x32, q32 = x.astype(np.float32), queries.astype(np.float32)
-    medoid = int((x32 @ x32.sum(0)).argmax())
-    seen = np.zeros((q, m + 1), bool)
-    seen[:, m] = True  # takes the places of absent neighbours
-    near = np.zeros((q, m), bool)
-    graph = np.where(graph >= 0, graph, m)
-    wide = min(beam, m)
-    node = np.full((q, wide), m)
-    score = np.full((q, wide), -3, np.float32)
-    spent = np.ones((q, wide), bool)
-
-    def look(rows: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-        """Similarities of nodes (one line for each row) that a query has not seen, -3 for others."""
-        fresh = ~seen[rows[:, None], nodes]
-        seen[rows[:, None], nodes] = True
-        sims = np.full(nodes.shape, -3, np.float32)
-        r, k = np.nonzero(fresh)
-        for at in range(0, len(r), 200_000):
-            i, j = r[at : at + 200_000], k[at : at + 200_000]
-            value = np.einsum("ij,ij->i", q32[rows[i]], x32[nodes[i, j]])
-            sims[i, j] = value
-            hit = value >= least - 1e-3
-            near[rows[i[hit]], nodes[i[hit], j[hit]]] = True
-        return sims
-
-    def push(rows: np.ndarray, nodes: np.ndarray) -> None:
-        sims = look(rows, nodes)
-        all_n, all_s = np.concatenate([node[rows], nodes], 1), np.concatenate([score[rows], sims], 1)
-        all_e = np.concatenate([spent[rows], sims <= -3], 1)
-        top = np.argpartition(-all_s, wide - 1, axis=1)[:, :wide]
-        node[rows], score[rows], spent[rows] = (np.take_along_axis(z, top, 1) for z in (all_n, all_s, all_e))
-
-    active = np.arange(q)
-    push(active, np.full((q, 1), medoid))
-    push(active, np.where(own >= 0, own, m)[:, None])
-    expanded = np.zeros((q, m + 1), bool)
-    while True:
-        # The best unexpanded node of each beam; a beam whose nodes are all expanded is finished.
-        open_ = np.where(spent[active], np.float32(-3), score[active])
-        best = open_.argmax(1)
-        go = open_[np.arange(len(active)), best] > -3
-        active, best = active[go], best[go]
-        if not len(active):
-            break
-        spent[active, best] = True
-        expanded[active, node[active, best]] = True
-        push(active, graph[node[active, best]])
+def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label`` (the smallest place of a place's component) after the links a-b."""
     while True:
-        r, n = np.nonzero(near & ~expanded[:, :m])
-        if not len(r):
-            return np.nonzero(near)
-        expanded[r, n] = True
-        for at in range(0, len(r), 20_000):
-            # Only new (query, neighbour) pairs are scored, each once.
-            i, j = r[at : at + 20_000], graph[n[at : at + 20_000]]
-            i = np.repeat(i, graph.shape[1])
-            key = np.unique((i * (m + 1) + j.reshape(-1))[~seen[i, j.reshape(-1)]])
-            look(key // (m + 1), (key % (m + 1))[:, None])
-
-
-def local_roots(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each place the smallest identifier of its component under the links a-b."""
-    root = ids.copy()
-    while len(a):
-        before = root.copy()
-        np.minimum.at(root, a, root[b])
-        np.minimum.at(root, b, root[a])
-        if (before == root).all():
-            break
-    return root
-
-
-def _spread(assigned: DataFrame, blocks: np.ndarray, queries: bool) -> DataFrame:
-    """A row for each (shard, block) that a vector is a node of, or, for ``queries``, is compared in."""
-    shared = assigned.sparkSession.sparkContext.broadcast(blocks)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from loomframe.llm.bytewords import mix
-
-        for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            salt = mix(ids.astype(np.int64).view(np.uint64))
-            shards = batch.column("shards").to_pylist()
-            out = []
-            for k, own in enumerate(shards):
-                for s in own:
-                    n = int(shared.value[s])
-                    home = int(salt[k] % np.uint64(n))
-                    out += [(k, s, b, b == home) for b in (range(n) if queries else (home,))]
-            rows, shard, block, node = zip(*out) if out else ((), (), (), ())
-            full = batch.take(pa.array(rows, pa.int64()))
-            yield pa.record_batch([pa.array(shard, pa.int32()), pa.array(block, pa.int32()), pa.array(node, pa.bool_()), *full.columns], names=["shard", "block", "node", *batch.schema.names])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in assigned.schema.fields)
-    return assigned.mapInArrow(run, f"shard int, block int, node boolean, {fields}")
-
-
-def build_lists(assigned: DataFrame, blocks: np.ndarray) -> DataFrame:
-    """(id, near): the united neighbour lists of each vector."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        ids = group["id"].to_numpy()
-        graph = pruned_graph(np.stack(group["unit"].to_numpy()))
-        return pd.DataFrame({"id": ids, "near": [ids[row[row >= 0]] for row in graph]})
-
-    built = _spread(assigned, blocks, False).groupBy("shard", "block").applyInPandas(run, "id long, near array<long>")
-    # At most DEGREE neighbours from each of a vector's few shards.
-    return built.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-
-
-def search_shards(assigned: DataFrame, blocks: np.ndarray, least: float, beam: int) -> DataFrame:
-    """(id, links, root) of every vector with a link, once for each block it was compared in."""
+        x, y = label[a], label[b]
+        differ = x != y
+        if not differ.any():
+            return label
+        a, b, x, y = a[differ], b[differ], x[differ], y[differ]
+        root = np.arange(len(label))
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+        label = root[label]
+
+
+def _spread(assigned: DataFrame, blocks: dict[int, int]) -> DataFrame:
+    """A row for each (shard, low, high) pair of blocks that a vector takes part in; ``own`` is its block."""
+    spark = assigned.sparkSession
+    # One row for each shard of more than one block.
+    cut = spark.createDataFrame([(s, n) for s, n in blocks.items() if n > 1], "shard int, n int")
+    rows = assigned.withColumn("shard", F.explode("shards")).join(F.broadcast(cut), "shard", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(F.lit(7), "id"), F.col("n")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return rows.select("shard", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "w", "unit", "shards")
+
+
+def search_shards(assigned: DataFrame, blocks: dict[int, int], least: float) -> DataFrame:
+    """(id, links, root) of the vectors with a link, for each pair of blocks they were compared in."""
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        shard, low, high = map(int, key)
         group = group.sort_values("id", ignore_index=True)
-        nodes = np.flatnonzero(group["node"].to_numpy())
-        ids, shard = group["id"].to_numpy(), int(key[0])
-        units = np.stack(group["unit"].to_numpy())
-        if not len(nodes):
-            return pd.DataFrame({"id": [], "links": [], "root": []})
-        x = units[nodes]
-        place = pd.Series(np.arange(len(nodes)), index=ids[nodes])
-        lists = [place.reindex(near).dropna().to_numpy(np.int64) for near in group["near"].iloc[nodes]]
-        # Lists are made mutual, so that whatever points at a node can be reached from it.
-        back: list[list[int]] = [[] for _ in nodes]
-        for k, near in enumerate(lists):
-            for j in near:
-                back[j].append(k)
-        lists = [np.unique(np.concatenate([near, np.array(b, np.int64)])) for near, b in zip(lists, back)]
-        graph = np.full((len(nodes), max(map(len, lists), default=0) or 1), -1, np.int64)
-        for k, near in enumerate(lists):
-            graph[k, : len(near)] = near
-        own = np.full(len(ids), -1, np.int64)
-        own[nodes] = np.arange(len(nodes))
-        step = max(64, 16_000_000 // (len(nodes) + 1))
-        a, b = [], []
-        for at in range(0, len(ids), step):
-            r, n = range_search(x, graph, units[at : at + step], own[at : at + step], least, beam)
-            a.append(r + at)
-            b.append(nodes[n])
-        a, b = np.concatenate(a), np.concatenate(b)
-        exact = np.zeros(len(a), bool)
-        for at in range(0, len(a), 200_000):
-            exact[at : at + 200_000] = np.einsum("ij,ij->i", units[a[at : at + 200_000]], units[b[at : at + 200_000]]) >= least
-        exact &= a != b
-        a, b = a[exact], b[exact]
-        # A link found from one end holds for both; only ends that are nodes here are completed.
-        whole = own[a] >= 0
-        pairs = np.unique(np.concatenate([np.column_stack([a, b]), np.column_stack([b[whole], a[whole]])]), axis=0)
-        a, b = pairs[:, 0], pairs[:, 1]
-        shards = np.stack(group["shards"].to_numpy())
-        common = (shards[a][:, :, None] == shards[b][:, None, :]).any(2)
-        first = np.where(common, shards[a], np.iinfo(np.int32).max).min(1) == shard
-        links = np.bincount(a[first], minlength=len(ids))
-        root = local_roots(ids, a, b)
-        some = np.unique(np.concatenate([a, b]))
-        return pd.DataFrame({"id": ids[some], "links": links[some], "root": root[some]})
-
-    spread = _spread(assigned, blocks, True)
-    return spread.groupBy("shard", "block").applyInPandas(run, "id long, links long, root long")
+        own, ids, weight = (group[c].to_numpy() for c in ("own", "id", "w"))
+        units, shards = np.stack(group["unit"].to_numpy()), np.stack(group["shards"].to_numpy())
+        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        others = units[right].T
+        links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        step = max(1, PAIRS // max(1, len(right)))
+        for at in range(0, len(left), step):
+            r, c = np.nonzero(units[left[at : at + step]] @ others >= least)
+            a, b = left[at + r], right[c]
+            if low == high:
+                a, b = a[a < b], b[a < b]
+            label = merged(label, a, b)
+            # What meets in an earlier shard as well counts there.
+            early = np.zeros(len(a), bool)
+            for k in range(shards.shape[1]):
+                mine = shards[a, k]
+                early |= (mine < shard) & (shards[b] == mine[:, None]).any(1)
+            a, b = a[~early], b[~early]
+            for x, y in ((a, b), (b, a)):
+                links += np.bincount(x, weight[y], len(ids)).astype(np.int64)
+        some = np.flatnonzero((links > 0) | (label != np.arange(len(ids))))
+        return pd.DataFrame({"id": ids[some], "links": links[some], "root": ids[label[some]]})
+
+    return _spread(assigned, blocks).groupBy("shard", "low", "high").applyInPandas(run, "id long, links long, root long")
 
 
 def audit(units: DataFrame, found: DataFrame, least: float) -> float:
-    """Share of the true links of a bounded sample of vectors that ``found`` (id, links) holds."""
+    """Share of the true links of a bounded sample of ``units`` (id, unit, w) that ``found`` (id, links) holds."""
     sample = units.orderBy(F.xxhash64("id"), "id").limit(AUDITED).select("id", "unit").toPandas()
     if not len(sample):
         return 1.0
@@ -324,20 +193,20 @@ def audit(units: DataFrame, found: DataFrame, least: float) -> float:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {n: np.zeros(len(own), np.int64) for n, (own, _) in shared.value.items()}
         for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            ids, weight = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "w"))
             for rows, x in matrices(batch.column("unit")):
                 if x.shape[1] in total:
                     own, queries = shared.value[x.shape[1]]
-                    total[x.shape[1]] += ((queries @ x.T >= least) & (own[:, None] != ids[rows][None, :])).sum(1)
+                    total[x.shape[1]] += ((queries @ x.T >= least) & (own[:, None] != ids[rows][None, :])) @ weight[rows]
         for n, (own, _) in shared.value.items():
             yield pa.record_batch([pa.array(own), pa.array(total[n])], names=["id", "true"])
 
-    true = units.select("id", "unit").mapInArrow(run, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
+    true = units.select("id", "unit", "w").mapInArrow(run, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
     row = true.join(found, "id", "left").agg(F.sum("true").alias("all"), F.sum(F.least("true", F.coalesce("links", F.lit(0)))).alias("got")).first()
     return 1.0 if not row["all"] else row["got"] / row["all"]
 
 
-def near_vectors(table: DataFrame, least: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", overlap: int = 3, beam: int = 32, recall: float = 0.99, tries: int = 3) -> DataFrame:
+def near_vectors(table: DataFrame, least: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", overlap: int = 3, recall: float = 0.99, tries: int = 3) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept.
 
     Vectors link at a cosine of ``least`` or more, in double precision; never below
@@ -351,23 +220,27 @@ def near_vectors(table: DataFrame, least: float = 0.9, id_col: str = "vec_id", v
     usable = every.filter("unit is not null and id is not null")
     if usable.isEmpty():
         return every.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    units = materialize(usable.groupBy("id").agg(F.min("unit").alias("unit")), "vectors")
+    units = materialize(usable.groupBy("id").agg(F.min(F.struct("unit", "key")).alias("v")).select("id", "v.key", "v.unit"), "vectors")
+    # Equal vectors are searched once, as the one with the smallest identifier.
+    equal = materialize(units.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("w")), "equal-vectors")
+    nodes = materialize(units.join(equal.select(F.col("least").alias("id"), "w"), "id").select("id", "unit", "w"), "distinct-vectors")
     # One row for each length; T components have at most the root of 2 T lengths.
-    counts = {r["n"]: r["count"] for r in units.groupBy(F.size("unit").alias("n")).count().collect()}
-    sample = units.orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(SAMPLE).select("unit").toPandas()
+    counts = {r["n"]: r["count"] for r in nodes.groupBy(F.size("unit").alias("n")).count().collect()}
+    sample = nodes.orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(SAMPLE).select("unit").toPandas()
     places = fit_shards(list(sample["unit"]), counts)
-    shards = sum(1 if c is None else len(c) for _, c in places.values())
     for attempt in range(tries):
-        assigned = materialize(assign(units, places, overlap + attempt), "shard-members")
-        sizes = np.ones(shards, np.int64)
-        for r in assigned.select(F.explode("shards").alias("s")).groupBy("s").count().collect():  # one row per shard
-            sizes[r["s"]] = -(-r["count"] // BLOCK)
-        lists = materialize(build_lists(assigned, sizes), "neighbour-lists")
-        rows = materialize(search_shards(assigned.join(lists, "id"), sizes, least, beam << attempt), "shard-links")
+        assigned = materialize(assign(nodes, places, overlap + attempt), "shard-members")
+        sizes = assigned.select(F.explode("shards").alias("s")).groupBy("s").count().collect()  # one row per shard
+        rows = materialize(search_shards(assigned, {r["s"]: -(-r["count"] // BLOCK) for r in sizes}, least), "shard-links")
         found = materialize(rows.groupBy("id").agg(F.sum("links").alias("links")), "vector-links")
-        if audit(units, found, least) >= recall:
+        if audit(nodes, found, least) >= recall:
             break
     parts = components(rows.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
-    result = every.select("id").join(found, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
+    own = equal.join(found.withColumnRenamed("id", "least"), "least", "left").join(parts.withColumnRenamed("node", "least"), "least", "left")
+    own = materialize(own.select("key", "w", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "least").alias("component")), "results-of-equals")
+    # Results of many equal vectors are sent, so that they do not meet in one task.
+    sent, dealt, keys = F.broadcast(own.filter(F.col("w") > HOT)), own.filter(F.col("w") <= HOT), units.select("id", "key")
+    each = keys.join(sent, "key").unionByName(keys.join(sent.select("key"), "key", "left_anti").join(dealt, "key"))
+    result = every.select("id").join(each, "id", "left")
     component = F.coalesce("component", "id")
-    return result.select("id", F.coalesce("links", F.lit(0)).alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+    return result.select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))

@@ -74,6 +74,23 @@ def test_near_vectors_of_several_lengths(spark, monkeypatch, per_shard):
     assert got == want and want[1500][0] >= 7 and want[2500][0] >= 7
 
 
+def test_near_vectors_of_a_large_group(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(40, 6))
+    rows = [(k, v.tolist()) for k, v in enumerate(base)] + [(1000 + k, base[0].tolist()) for k in range(300)]
+    rows += [(2000 + k, (base[1] + 0.01 * rng.normal(size=6)).tolist()) for k in range(60)]
+    monkeypatch.setattr(vectors, "BLOCK", 20)
+    monkeypatch.setattr(vectors, "PAIRS", 50)
+    monkeypatch.setattr(vectors, "HOT", 100)
+    members, spread = [], vectors._spread
+    monkeypatch.setattr(vectors, "_spread", lambda *args: members.append(spread(*args)) or members[-1])
+    got = {r["id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()}
+    assert got == links_of_every_length(rows)
+    # 400 vectors, 100 distinct; no task holds a whole shard or a copy.
+    assert all(m.select("id").distinct().count() == 100 for m in members)
+    assert max(r["count"] for m in members for r in m.groupBy("shard", "low", "high").count().collect()) < 80
+
+
 def test_vectors_without_any(spark):
     kinds = "vec_id long, embedding array<float>"
     assert near_vectors(spark.createDataFrame([], kinds)).count() == 0
