@@ -7,8 +7,9 @@
    blocks is compared in double precision, a bounded number of pairs at a time. So
    every link within a shard is found, and a pair that meets in several shards counts
    in the first one they share. Counts and local components leave a task, pairs never do.
-4. An audit compares a bounded sample of vectors with all others; if too few links
-   were found, the search is repeated with more overlap.
+4. An audit compares a hundredth of the vectors with all others; while too few of their
+   links were found, the search is repeated with twice the overlap, and at last with
+   one shard for each length, which misses nothing.
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ BLOCK = 20_000
 PAIRS = 2_000_000
 #: Equal vectors from which on their result is sent to every executor; so it has a row for every HOT vectors at most.
 HOT = 1_000
-#: Vectors that the audit compares with all others.
-AUDITED = 512
+#: Vectors that the audit compares with all others besides those with an identifier that
+#: SHARE divides, and vectors of a pass.
+AUDITED, SHARE, AUDIT_PASS = 512, 100, 20_000
 
 
 def unit_vectors(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -182,28 +184,47 @@ def search_shards(assigned: DataFrame, blocks: dict[int, int], least: float) ->
     return _spread(assigned, blocks).groupBy("shard", "low", "high").applyInPandas(run, "id long, links long, root long")
 
 
-def audit(units: DataFrame, found: DataFrame, least: float) -> float:
-    """Share of the true links of a bounded sample of ``units`` (id, unit, w) that ``found`` (id, links) holds."""
-    sample = units.orderBy(F.xxhash64("id"), "id").limit(AUDITED).select("id", "unit").toPandas()
-    if not len(sample):
-        return 1.0
-    by_size = {n: (g["id"].to_numpy(), np.stack(g["unit"].to_numpy())) for n, g in sample.groupby(sample["unit"].map(len))}
-    shared = units.sparkSession.sparkContext.broadcast(by_size)
+def true_links(nodes: DataFrame, queries: pd.DataFrame, least: float) -> DataFrame:
+    """(id, true) of each query: its links by comparison with all ``nodes``."""
+    by_size = {n: (g["id"].to_numpy(), np.stack(g["unit"].to_numpy())) for n, g in queries.groupby(queries["unit"].map(len))}
+    shared = nodes.sparkSession.sparkContext.broadcast(by_size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {n: np.zeros(len(own), np.int64) for n, (own, _) in shared.value.items()}
         for batch in batches:
             ids, weight = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "w"))
             for rows, x in matrices(batch.column("unit")):
-                if x.shape[1] in total:
-                    own, queries = shared.value[x.shape[1]]
-                    total[x.shape[1]] += ((queries @ x.T >= least) & (own[:, None] != ids[rows][None, :])) @ weight[rows]
+                if x.shape[1] not in total:
+                    continue
+                own, units = shared.value[x.shape[1]]
+                step = max(1, PAIRS // len(x))
+                for at in range(0, len(own), step):
+                    hit = (units[at : at + step] @ x.T >= least) & (own[at : at + step, None] != ids[rows][None, :])
+                    total[x.shape[1]][at : at + step] += hit @ weight[rows]
         for n, (own, _) in shared.value.items():
             yield pa.record_batch([pa.array(own), pa.array(total[n])], names=["id", "true"])
 
-    true = units.select("id", "unit", "w").mapInArrow(run, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
-    row = true.join(found, "id", "left").agg(F.sum("true").alias("all"), F.sum(F.least("true", F.coalesce("links", F.lit(0)))).alias("got")).first()
-    return 1.0 if not row["all"] else row["got"] / row["all"]
+    return nodes.select("id", "unit", "w").mapInArrow(run, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
+
+
+def audit_truth(nodes: DataFrame, least: float) -> DataFrame:
+    """(id, true) of the audited vectors that have a link to another distinct vector."""
+    some = nodes.orderBy(F.xxhash64("id"), "id").limit(AUDITED).select("id")
+    chosen = some.union(nodes.filter(F.col("id") % SHARE == 0).select("id")).distinct()
+    chosen = materialize(nodes.join(chosen, "id", "left_semi").select("id", "unit"), "audited")
+    passes = max(1, -(-chosen.count() // AUDIT_PASS))
+    found = nodes.sparkSession.createDataFrame([], "id long, true long")
+    for k in range(passes):
+        queries = chosen.filter(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(passes)) == k).toPandas()
+        if len(queries):
+            found = found.unionByName(materialize(true_links(nodes, queries, least), "audit-pass"))
+    return materialize(found.filter(F.col("true") > 0), "audit-truth")
+
+
+def audit(truth: DataFrame, found: DataFrame) -> float:
+    """Share of its true links that ``found`` (id, links) holds of a vector, on average over those with a link."""
+    share = F.avg(F.least("true", F.coalesce("links", F.lit(0))) / F.col("true"))
+    return truth.join(found, "id", "left").agg(share).first()[0]
 
 
 def near_vectors(table: DataFrame, least: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", overlap: int = 3, recall: float = 0.99, tries: int = 3) -> DataFrame:
@@ -213,7 +234,9 @@ def near_vectors(table: DataFrame, least: float = 0.9, id_col: str = "vec_id", v
     it. Vectors link with vectors of their own length, whatever lengths there are.
     Null, zero and non-finite vectors, vectors with a null component and null
     identifiers link with nothing. Rows that repeat an identifier are one vector
-    (the smallest of them); each gets its result.
+    (the smallest of them); each gets its result. The search ends when the audited
+    recall reaches ``recall``; after ``tries`` searches, each with twice the overlap of
+    the one before, all vectors of a length are compared with all.
     An empty table gives an empty result; other columns are not read.
     """
     every = materialize(unit_vectors(table, id_col, vec_col), "unit-vectors")
@@ -228,12 +251,19 @@ def near_vectors(table: DataFrame, least: float = 0.9, id_col: str = "vec_id", v
     counts = {r["n"]: r["count"] for r in nodes.groupBy(F.size("unit").alias("n")).count().collect()}
     sample = nodes.orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(SAMPLE).select("unit").toPandas()
     places = fit_shards(list(sample["unit"]), counts)
-    for attempt in range(tries):
-        assigned = materialize(assign(nodes, places, overlap + attempt), "shard-members")
+    # All are compared with all beyond the last try, where it costs as little, and where no link is known to measure by.
+    cheap = [(overlap << k) ** 2 * PER_SHARD >= sum(counts.values()) for k in range(tries)] + [True]
+    truth = None if cheap[0] else audit_truth(nodes, least)
+    for attempt in range(tries + 1):
+        wide = overlap << attempt
+        whole = cheap[attempt] or truth.isEmpty()
+        if whole:
+            places = {size: (k, None) for k, size in enumerate(sorted(counts))}
+        assigned = materialize(assign(nodes, places, wide), "shard-members")
         sizes = assigned.select(F.explode("shards").alias("s")).groupBy("s").count().collect()  # one row per shard
         rows = materialize(search_shards(assigned, {r["s"]: -(-r["count"] // BLOCK) for r in sizes}, least), "shard-links")
         found = materialize(rows.groupBy("id").agg(F.sum("links").alias("links")), "vector-links")
-        if audit(nodes, found, least) >= recall:
+        if whole or audit(truth, found) >= recall:
             break
     parts = components(rows.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     own = equal.join(found.withColumnRenamed("id", "least"), "least", "left").join(parts.withColumnRenamed("node", "least"), "least", "left")

@@ -91,6 +91,22 @@ def test_near_vectors_of_a_large_group(spark, monkeypatch):
     assert max(r["count"] for m in members for r in m.groupBy("shard", "low", "high").count().collect()) < 80
 
 
+def test_search_goes_on_until_the_links_are_found(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PER_SHARD", 10)
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(20, 4))
+    rows = [(k, (base[k % 20] + 0.3 * rng.normal(size=4)).tolist()) for k in range(300)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {r["id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(table, overlap=1, recall=1.0, tries=1).collect()}
+    assert got == links_of_every_length(rows)
+
+
+def test_audit_is_an_average_over_vectors(spark):
+    truth = spark.createDataFrame([(0, 1000)] + [(k, 1) for k in range(1, 10)], "id long, true long")
+    found = spark.createDataFrame([(0, 1000)], "id long, links long")
+    assert vectors.audit(truth, found) == pytest.approx(0.1)
+
+
 def test_vectors_without_any(spark):
     kinds = "vec_id long, embedding array<float>"
     assert near_vectors(spark.createDataFrame([], kinds)).count() == 0
