@@ -43,13 +43,20 @@ class Rule:
         return f"{self.kind}@{self.version}"
 
 
+# A private key reaches from its first to its last line; where no last line comes before the next
+# block, to the end of the base64 run: header lines, runs of 16 characters or more, and a shorter one after
+# them. Line breaks may be any white space or stand escaped.
+_BEGIN = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----"
+_GAP = r"(?:\s|\\[nrt])+"
+_REST = rf"(?:{_GAP}(?:Proc-Type|DEK-Info):\x20*[A-Za-z0-9,-]+)*(?:(?:{_GAP})?[A-Za-z0-9+/]{{16,}}={{0,2}})*(?:(?<=[A-Za-z0-9+/=]){_GAP}[A-Za-z0-9+/]{{1,15}}={{0,2}}(?![A-Za-z0-9+/=]))?"
+
 #: In the order in which spans that start together are listed.
 RULES = (
     Rule("assign", 1, r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]""", 2, 8),
     # Runs are maximal, so the least length may stand in the pattern.
     Rule("access", 1, r"AKIA[A-Z0-9]{12,}", r"AKIA[A-Z0-9]{12}"),
     Rule("hex", 1, r"[0-9a-f]{32,}", r"[0-9a-f]{32}"),
-    Rule("pem", 1, r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----"),
+    Rule("pem", 2, _BEGIN + rf"(?:(?:[^-]+|-(?!----(?:BEGIN|END)\x20))*+-----END [A-Z0-9 ]*PRIVATE KEY-----|{_REST})", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----"),
 )
 
 
