@@ -25,7 +25,7 @@ from loomframe.session import materialize
 
 #: Rows of the rank table that may be sent to every executor (some 100 MB).
 SENT_ROWS = 2_000_000
-#: Words remembered by a Python worker, and the slots of their table.
+#: Words remembered by a Python worker between texts, and the least slots of their table.
 WORD_CACHE, SLOTS = 1_000_000, 1 << 21
 
 # Byte classes for cutting words into parts that are encoded on their own: 1 letters
@@ -91,11 +91,12 @@ class WordEncoder:
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The place of each hash, -1 where it is new."""
-        slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+        last = len(self.keys) - 1
+        slot = (hashes & np.uint64(last)).astype(np.int64)
         place = self.spots[slot]
         open_ = np.flatnonzero((place >= 0) & (self.keys[slot] != hashes))
         while len(open_):
-            slot[open_] = (slot[open_] + 1) & (SLOTS - 1)
+            slot[open_] = (slot[open_] + 1) & last
             place[open_] = self.spots[slot[open_]]
             open_ = open_[(place[open_] >= 0) & (self.keys[slot[open_]] != hashes[open_])]
         return place
@@ -116,17 +117,34 @@ class WordEncoder:
         self.ids[self.used : self.used + len(fresh)] = fresh
         self.starts[self.known + 1 : self.known + 1 + len(words)] = self.used + np.cumsum(sizes)
         self.used += len(fresh)
-        slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
-        left = np.arange(len(words))
+        self.grow(self.known + len(words))
+        self.insert(hashes, self.known + np.arange(len(words)))
+        self.known += len(words)
+
+    def grow(self, words: int) -> None:
+        """Room for ``words`` at half load, so that free slots remain however many parts one text has."""
+        size = len(self.keys)
+        while size < 2 * words:
+            size *= 2
+        if size > len(self.keys):
+            held = np.flatnonzero(self.spots >= 0)
+            keys, places = self.keys[held], self.spots[held]
+            self.keys = np.zeros(size, np.uint64)
+            self.spots = np.full(size, -1, np.int32)
+            self.insert(keys, places)
+
+    def insert(self, hashes: np.ndarray, places: np.ndarray) -> None:
+        last = len(self.keys) - 1
+        slot = (hashes & np.uint64(last)).astype(np.int64)
+        left = np.arange(len(hashes))
         while len(left):
             free = left[self.spots[slot[left]] < 0]
             _, one = np.unique(slot[free], return_index=True)
             won = free[one]
             self.keys[slot[won]] = hashes[won]
-            self.spots[slot[won]] = self.known + won
+            self.spots[slot[won]] = places[won]
             left = np.setdiff1d(left, won, assume_unique=True)
-            slot[left] = (slot[left] + 1) & (SLOTS - 1)
-        self.known += len(words)
+            slot[left] = (slot[left] + 1) & last
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's ids start (one more entry at the end)."""

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+import signal
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from loomframe.llm import jaccard, substrings
+from loomframe.llm import jaccard, packing, substrings
 from loomframe.llm.exact_dedup import drop_copies, exact_dedup
 from loomframe.llm.jaccard import near_duplicates
 from loomframe.llm.packing import default_tokenizer, pack, plan_bins
@@ -176,6 +178,19 @@ def check_bins(places, capacity):
         assert at <= capacity
 
 
+def test_a_text_with_more_parts_than_slots(monkeypatch):
+    monkeypatch.setattr(packing, "SLOTS", 64)
+    coder = packing.WordEncoder(default_tokenizer())
+    texts = [" ".join(f"w{k}x{k * k}" for k in range(300)), "w1x1 other words"]
+    signal.signal(signal.SIGALRM, signal.default_int_handler)
+    signal.alarm(60)  # the search for a free slot must end
+    try:
+        ids, bounds = coder.encode(pa.array(texts, pa.large_string()))
+    finally:
+        signal.alarm(0)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [coder.raw(t) for t in texts]
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_plan_places_everything_once(seed):
     rng = np.random.default_rng(seed)
