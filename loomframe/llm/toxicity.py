@@ -100,22 +100,24 @@ def decay_rate(scores: np.ndarray, share: np.ndarray) -> float:
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (first, end, score), in order, in linear time.
 
-    Only positive scores start work; between them the running sum is looked up.
+    Only positive scores start work; between them the running sum is looked up. Each
+    candidate keeps the place of the nearest one before it whose left sum is smaller.
     """
     total = np.concatenate([[0.0], np.cumsum(scores, dtype=np.float64)])
-    kept: list[tuple[int, int, float, float]] = []
+    kept: list[tuple[int, int, float, float, int]] = []
     for k in np.flatnonzero(scores > 0).tolist():
         first, before, after = k, float(total[k]), float(total[k + 1])
+        at = len(kept) - 1
         while True:
-            at = len(kept) - 1
             while at >= 0 and kept[at][2] >= before:
-                at -= 1
+                at = kept[at][4]
             if at < 0 or kept[at][3] >= after:
-                kept.append((first, k + 1, before, after))
+                kept.append((first, k + 1, before, after, at))
                 break
-            first, before = kept[at][0], kept[at][2]
+            first, _, before, _, smaller = kept[at]
             del kept[at:]
-    return [(f, e, a - b) for f, e, b, a in kept]
+            at = smaller
+    return [(f, e, a - b) for f, e, b, a, _ in kept]
 
 
 def find_segments(docs: DataFrame, scores: np.ndarray) -> DataFrame:

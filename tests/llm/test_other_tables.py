@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -228,6 +229,14 @@ def test_maximal_segments():
     assert [s[:2] for s in maximal_segments(np.array([2.0, -1, 2, -9, 3]))] == [(0, 3), (4, 5)]
 
 
+def test_maximal_segments_of_a_long_declining_text():
+    scores = np.full(400_000, -0.5)
+    scores[::4] = 1.0  # each start lies below all before it
+    at = time.process_time()
+    assert maximal_segments(scores) == [(k, k + 1, 1.0) for k in range(0, 400_000, 4)]
+    assert time.process_time() - at < 30  # a walk to the front takes 5e9 steps
+
+
 def test_temperature_calibrates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 3))
