@@ -41,6 +41,8 @@ ENTRIES, BLOCK = 1_000_000, 1_000_000
 THINNED = 1
 #: Longest list that gives all its pairs at once.
 SHORT = 8
+#: Members of a part of a long list, two of which a task compares, and pairs that leave it at once.
+PART, EMITTED = 2_000, 500_000
 #: Bytes of a shingle's hash that the comparison reads; a wrong match of two of
 #: n shingles has the chance n * n / 2^48.
 KEPT_BYTES = 6
@@ -427,16 +429,16 @@ def sets_of(docs: DataFrame, readers: DataFrame, pairs: DataFrame) -> DataFrame:
     return fetch_sets(docs, materialize(readers.join(wanted, "sid", "left_semi").select("id"), "sets-wanted"))
 
 
-def cross_pairs(names: np.ndarray, n: np.ndarray, component: np.ndarray, maps: list[bytes]) -> np.ndarray:
-    """Pairs of a list in different components that neither their sizes nor their bit maps rule out."""
+def cross_pairs(names: np.ndarray, n: np.ndarray, component: np.ndarray, part: np.ndarray, maps: list[bytes], within: bool) -> Iterator[np.ndarray]:
+    """Pairs in different components that neither their sizes nor their bit maps rule out, in batches; of different parts unless ``within``."""
     order = np.argsort(n, kind="stable")
-    names, n, component, maps = names[order], n[order], component[order], [maps[k] for k in order]
+    names, n, component, part, maps = names[order], n[order], component[order], part[order], [maps[k] for k in order]
     rows: dict[int, list[int]] = {}
     for k, body in enumerate(maps):
         rows.setdefault(len(body), []).append(k)
     places = {size: np.array(k) for size, k in rows.items()}
     stacked = {size: np.stack([np.frombuffer(maps[k], np.uint64) for k in own]) for size, own in rows.items()}
-    out = []
+    out, held = [], 0
     for k, body in enumerate(maps):
         mine = np.frombuffer(body, np.uint64)
         # Sizes are ascending, so a partner's map is as long or twice as long.
@@ -444,7 +446,7 @@ def cross_pairs(names: np.ndarray, n: np.ndarray, component: np.ndarray, maps: l
             if size not in places:
                 continue
             at = places[size]
-            near = np.flatnonzero((at > k) & (component[at] != component[k]) & fits(n[k], n[at]))
+            near = np.flatnonzero((at > k) & (component[at] != component[k]) & (within | (part[at] != part[k])) & fits(n[k], n[at]))
             if not len(near):
                 continue
             others = stacked[size][near]
@@ -455,31 +457,44 @@ def cross_pairs(names: np.ndarray, n: np.ndarray, component: np.ndarray, maps: l
             most = np.minimum(n[k] - np.bitwise_count(mine & ~others).sum(1), m - np.bitwise_count(others & ~mine).sum(1))
             may = at[near][7 * most >= 3 * (n[k] + m)]
             out.append(np.column_stack([np.minimum(names[k], names[may]), np.maximum(names[k], names[may])]))
-    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+            held += len(may)
+        if held >= EMITTED:
+            yield np.concatenate(out)
+            out, held = [], 0
+    if held:
+        yield np.concatenate(out)
+
+
+def deal_lists(placed: DataFrame) -> DataFrame:
+    """The rows of lists that lie in several components, once for each pair (low, high) of parts they are compared in."""
+    kinds = placed.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c"))
+    mixed = kinds.filter("low <> high").select("list", F.ceil(F.col("c") / PART).cast("int").alias("parts"))
+    rows = placed.join(mixed, "list").withColumn("part", F.pmod(F.xxhash64(F.lit(7), "s"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.select("list", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "s", "component")
 
 
 def open_in_lists(lists: DataFrame, found: DataFrame, names: DataFrame) -> DataFrame:
-    """Pairs of a long list in different components that may link; a list is at most a block of its shingle."""
+    """Pairs of a long list in different components that may link; a task compares two parts of a list."""
     placed = lists.join(found.select(F.col("node").alias("s"), "component"), "s", "left").withColumn("component", F.coalesce("component", "s"))
-    mixed = placed.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("list")
-    placed = placed.join(mixed, "list", "left_semi").join(names.select(F.col("sid").alias("s"), F.col("n").alias("size"), "bits"), "s")
+    placed = deal_lists(placed).join(names.select(F.col("sid").alias("s"), F.col("n").alias("size"), "bits"), "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(rows: list[tuple]) -> pa.RecordBatch:
-            name, size, component, maps = zip(*rows)
-            pairs = cross_pairs(*(np.array(x, np.int64) for x in (name, size, component)), list(maps))
-            return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        def close(key: tuple, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            name, size, component, part, maps = zip(*rows)
+            for pairs in cross_pairs(*(np.array(x, np.int64) for x in (name, size, component, part)), list(maps), key[1] == key[2]):
+                yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         last, rows = None, []
         for batch in batches:
-            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("list", "s", "size", "component", "bits"))):
+            for *key, name, size, component, part, bits in zip(*(batch.column(c).to_pylist() for c in ("list", "low", "high", "s", "size", "component", "part", "bits"))):
                 if key != last and rows:
-                    yield close(rows)
+                    yield from close(last, rows)
                     rows = []
                 last = key
-                rows.append(row)
+                rows.append((name, size, component, part, bits))
         if rows:
-            yield close(rows)
+            yield from close(last, rows)
 
-    dealt = placed.select("list", "s", "size", "component", "bits").repartition("list").sortWithinPartitions("list")
+    dealt = placed.select("list", "low", "high", "s", "size", "component", "part", "bits").repartition("list", "low", "high").sortWithinPartitions("list", "low", "high")
     return dealt.mapInArrow(run, "a long, b long").distinct()

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from loomframe.llm import jaccard, packing, substrings
 from loomframe.llm.exact_dedup import drop_copies, exact_dedup
@@ -105,6 +106,18 @@ def test_near_duplicates_of_a_large_group(spark, monkeypatch, short, counted, bl
     assert near(documents(spark, rows, 5)) == plain_components(rows)
 
 
+def test_long_lists_are_dealt_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PART", 10)
+    members, bits = range(100), jaccard.bit_map(np.arange(20, dtype=np.uint64))
+    lists = spark.createDataFrame([(1, s) for s in members] + [(2, 0)], "list long, s long")
+    found = spark.createDataFrame([(s, s % 2) for s in members], "node long, component long")
+    names = spark.createDataFrame([(s, 20, bytearray(bits)) for s in members], "sid long, n long, bits binary")
+    dealt = jaccard.deal_lists(lists.withColumn("component", F.col("s") % 2))
+    assert max(r["count"] for r in dealt.groupBy("list", "low", "high").count().collect()) < 50
+    got = [(r["a"], r["b"]) for r in jaccard.open_in_lists(lists, found, names).collect()]
+    assert sorted(got) == [(a, b) for a in members for b in members if a < b and a % 2 != b % 2]
+
+
 # Long repeats
 
 
