@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loomframe.llm.chat import CLOSE, OPEN, PART, format_chats
 from loomframe.llm.common import LOWER, ORACLES, QUERIES, UPPER, query, read
 from loomframe.llm.exact_dedup import exact_dedup
+from loomframe.llm.fill_middle import fill_middle, restore
 from loomframe.llm.jaccard import near_duplicates
 from loomframe.llm.packing import default_tokenizer, pack
 from loomframe.llm.pieces import decode_pieces, default_pieces, encode_pieces
@@ -150,3 +151,27 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@query(
+    "op13_fill_in_middle",
+    r"""
+    with t as (select doc_id, coalesce(text, '') as x, sha256('42:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+    w as (select *, regexp_extract_all(x, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as u, list_transform(range(4), lambda k: cast('0x' || substr(h, 8 * k + 1, 8) as bigint)) as d from t),
+    c as (select *, len(u) as n, least(d[1] % (len(u) + 1), d[2] % (len(u) + 1)) as a, greatest(d[1] % (len(u) + 1), d[2] % (len(u) + 1)) as b from w),
+    p as (
+        select *, array_to_string(u[1:a], '') as pre, array_to_string(u[a + 1:b], '') as mid, array_to_string(u[b + 1:], '') as suf,
+        case when x = '' or contains(x, '<P>') or contains(x, '<S>') or contains(x, '<M>') or d[3] % 100 >= 50 then 'plain' when d[4] % 100 < 80 then 'spm' else 'psm' end as form from c
+    )
+    select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then length(pre) end as prefix_chars, case when form <> 'plain' then length(mid) end as middle_chars,
+    sha256(case form when 'plain' then x when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+    sha256(x) as restored_sha256 from p
+    """,
+)
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_middle(read(spark, sf_dir, "documents"))
+    sha = lambda text: F.sha2(text, 256)
+    return rows.select(
+        F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
+        sha(F.col("output")).alias("output_sha256"), sha(restore(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
