@@ -15,6 +15,7 @@ from loomframe.llm.quality import score_quality
 from loomframe.llm.secrets import scan_secrets
 from loomframe.llm.substrings import remove_repeats
 from loomframe.llm.toxicity import score_toxicity
+from loomframe.llm.urls import filter_urls, rules_table
 from loomframe.llm.vectors import near_vectors
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -175,3 +176,17 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
         sha(F.col("output")).alias("output_sha256"), sha(restore(F.col("output"), F.col("form"))).alias("restored_sha256"),
     )
+
+
+@query(
+    "op12_url_filters",
+    rf"""
+    with rules(h, p, v) as (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+    u as (select page_id, row_number() over () as row, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+    s as (select page_id, row, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+    m as (select s.*, h, p, v, row_number() over (partition by row order by length(h) + length(p) desc, length(h) desc) as rn from s left join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p))
+    select page_id, host, path, h || p as rule, coalesce(v, 'allow') as verdict from m where rn = 1
+    """,
+)
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(read(spark, sf_dir, "pages"), rules_table(spark)).withColumnRenamed("id", "page_id")
