@@ -10,6 +10,7 @@ from loomframe.llm.exact_dedup import exact_dedup
 from loomframe.llm.fill_middle import fill_middle, restore
 from loomframe.llm.jaccard import near_duplicates
 from loomframe.llm.packing import default_tokenizer, pack
+from loomframe.llm.phrases import mine_phrases
 from loomframe.llm.pieces import decode_pieces, default_pieces, encode_pieces
 from loomframe.llm.quality import score_quality
 from loomframe.llm.secrets import scan_secrets
@@ -190,3 +191,33 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"), rules_table(spark)).withColumnRenamed("id", "page_id")
+
+
+@query(
+    "op11_phrase_mining",
+    rf"""
+    with t as (select row_number() over () as d, coalesce(lang, 'und') as lang, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') as x from documents),
+    p as (select lang, unnest(regexp_split_to_array(x, '[.,;:!?
+-
+]')) as x from t),
+    w as (select lang, regexp_extract_all(x, '[^ 	]+') as w from p),
+    z as (select lang, unnest(list_zip(w, w[2:], w[3:], w[4:])) as z from w),
+    e as (
+        select lang, 1 as k, z[1] as phrase from z union all select lang, 2, concat_ws(' ', z[1], z[2]) from z where z[2] is not null
+        union all select lang, 3, concat_ws(' ', z[1], z[2], z[3]) from z where z[3] is not null union all select lang, 4, concat_ws(' ', z[1], z[2], z[3], z[4]) from z where z[4] is not null
+    ),
+    c as (select lang, k, phrase, count(*) as a from e group by all),
+    n as (select lang, sum(a) as n from c where k = 1 group by lang),
+    f as (select lang, k, phrase, a, string_split(phrase, ' ') as w from c where a >= 30),
+    i as (select lang, array_to_string(w[j:j + m - 1], ' ') as phrase, max(a) as longer from f, range(2, 4) as s(m), range(1, 4) as o(j) where m < k and j + m - 1 <= k group by all),
+    u as (
+        select f.lang, f.phrase, f.a, s.j, x.a as l, y.a as r, cast(2000000::hugeint * f.a // (x.a + y.a) as bigint) as score
+        from f cross join range(1, 4) as s(j) join f x on x.lang = f.lang and x.phrase = array_to_string(f.w[1:s.j], ' ') join f y on y.lang = f.lang and y.phrase = array_to_string(f.w[s.j + 1:], ' ')
+        where f.k > 1 and s.j < f.k qualify row_number() over (partition by f.lang, f.phrase order by score, s.j) = 1
+    ),
+    g as (select u.*, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from u left join i using (lang, phrase) where longer is null or 100 * longer < 80 * a)
+    select lang, rank, phrase, a, l, r, cast(n as bigint) as n, score from g join n using (lang) where rank <= 2000
+    """,
+)
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(read(spark, sf_dir, "documents"))
