@@ -10,7 +10,8 @@ never more frequent than its parts, every frequent phrase is then counted exactl
 
 Which phrases a pass counts is decided by a membership filter of bounded size over the
 parts. It never says no to a part, and what it lets through beyond them is counted in
-whole as well, so counts are exact whatever its size.
+whole as well. The passes count by keys of 64 bits; the texts of what may be frequent are
+counted at the end, so counts are exact whatever the filter and the keys do.
 
 Null texts count as empty, null languages as ``und``; repeated rows count each time, and
 identifiers, null or not, only help to draw the sample. Texts of any length are read whole, in slices of a few megabytes.
@@ -24,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomframe.llm.bytewords import FOLD, mix, text_bytes, text_chunks, tokens
@@ -38,7 +38,7 @@ LONGEST = 4
 #: One document in so many is in the sample.
 SAMPLE = 8
 #: Bytes of text whose phrases are counted together before they leave a worker.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Rows that one task ranks at most, before it passes on its best.
 RANK_ROWS = 100_000
 #: floor(2,000,000 * a / (l + r)); products may pass 64 bits.
@@ -69,10 +69,13 @@ class _Filters:
 
 
 def _number(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Equal values under one number, and where each number first occurs."""
-    code = pc.dictionary_encode(pa.array(values)).indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    head = np.empty(int(code.max()) + 1, np.int64)
-    head[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+    """Equal values under one number, and a place where each number occurs."""
+    order = np.argsort(values)
+    ranked = values[order]
+    fresh = np.append(True, ranked[1:] != ranked[:-1])
+    code = np.empty(len(values), np.int64)
+    code[order] = np.cumsum(fresh) - 1
+    head = order[fresh]
     return code, head
 
 
@@ -103,90 +106,108 @@ def _names(values: list[str]) -> np.ndarray:
 
 
 def _keys(words: np.ndarray, first: np.ndarray, size: int, lang: np.ndarray) -> np.ndarray:
-    """64 bits for the membership of the phrases of ``size`` words that begin at ``first``."""
+    """64 bits that name the phrases of ``size`` words that begin at ``first``; the last two hold the size, less one."""
     total = lang + np.uint64(size)
     for k in range(size):
         total = total + words[first + k] * _PLACES[k]
-    return mix(total)
+    return (mix(total) & ~np.uint64(3)) | np.uint64(size - 1)
 
 
-def count_phrases(batches: Iterator[pa.RecordBatch], filters: _Filters, longest: int) -> Iterator[pa.RecordBatch]:
-    """Phrases of each slice of text with their counts there (COUNTS).
-
-    The first pass counts every word, and in a row without a phrase all words of a
-    language. A longer phrase is counted where this pass's filter lets both its parts
-    through, and no earlier filter did. Words are numbered by language, a phrase by the
-    number of all but its last word and that of its last word, so a slice never mixes
-    two phrases up.
-    """
-    first_pass = len(filters) == 1
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """For each slice of text: languages, folded bytes, words, their language, and which are followed in their piece."""
     for part, texts in text_chunks(batches, SLICE_BYTES):
-        data = FOLD[text_bytes(texts)]
         hashes, starts, ends, bounds = tokens(texts, _WORDS, FOLD, relative=False)
-        if not len(hashes):
-            continue
-        langs = part.column("lang").to_pylist()
-        names = sorted(set(langs))
-        text = np.repeat(np.arange(len(langs)), np.diff(bounds))
-        lang = np.array([names.index(x) for x in langs])[text]
-        lang_key = _names(names)[lang]
+        if len(hashes):
+            data = FOLD[text_bytes(texts)]
+            langs = part.column("lang").to_pylist()
+            names = sorted(set(langs))
+            text = np.repeat(np.arange(len(langs)), np.diff(bounds))
+            lang = np.array([names.index(x) for x in langs])[text]
+            piece = np.cumsum(_STOP[data])[starts]
+            follows = np.append((text[1:] == text[:-1]) & (piece[1:] == piece[:-1]), False)
+            yield names, data, (hashes, starts, ends), lang, follows
+
+
+def _levels(hashes: np.ndarray, lang_key: np.ndarray, follows: np.ndarray, filters: _Filters, longest: int) -> Iterator[tuple]:
+    """For each size the places of the phrases whose parts the latest filter lets through.
+
+    With each place come the phrase's key, whether each filter lets the parts through
+    (a row a filter), and whether it lets the phrase itself through.
+    """
+    whole = np.ones(len(hashes), bool)
+    let = np.ones((len(filters), len(hashes)), bool)
+    for size in range(1, longest + 1):
+        place = np.flatnonzero(let[0])
+        if not len(place):
+            return
+        keys = _keys(hashes, place, size, lang_key[place])
+        member = filters.let(keys) & let[:, place]
+        yield size, place, keys, let[:, place], member
+        here = np.zeros_like(let)
+        here[:, place] = member
+        whole = np.append(whole[:-1] & whole[1:], False) & follows
+        let = here & np.append(here[:, 1:], np.zeros((len(here), 1), bool), axis=1) & whole
+
+
+def count_keys(batches: Iterator[pa.RecordBatch], filters: _Filters, longest: int) -> Iterator[pa.RecordBatch]:
+    """Keys of phrases with their counts in a slice of text.
+
+    The first pass counts every word. A longer phrase is counted where this pass's
+    filter lets both its parts through, and no earlier filter did.
+    """
+    for names, _, (hashes, _, _), lang, follows in _slices(batches):
+        found = []
+        for size, _, keys, let, _ in _levels(hashes, _names(names)[lang], follows, filters, longest):
+            if size > 1 or len(filters) == 1:
+                found.append(keys if size == 1 else keys[~let[1:].any(axis=0)])
+        if found:
+            keys, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+
+def count_phrases(batches: Iterator[pa.RecordBatch], frequent: _Filters, longest: int) -> Iterator[pa.RecordBatch]:
+    """Phrases whose keys may be frequent, with their texts and counts in a slice (COUNTS).
+
+    Words are numbered by language, a phrase by the number of all but its last word and
+    that of its last word, so a slice never mixes two phrases up. A row without a phrase
+    holds the number of words of a language.
+    """
+    for names, data, (hashes, starts, ends), lang, follows in _slices(batches):
         spaced, at, to = _single_spaced(data, starts, ends)
-        piece = np.cumsum(_STOP[data])[starts]
-        follows = np.append((text[1:] == text[:-1]) & (piece[1:] == piece[:-1]), False)
-
-        def rows(begin: np.ndarray, size: int, n: np.ndarray) -> pa.RecordBatch:
-            phrase = _pieces(spaced, at[begin], to[begin + size - 1] - at[begin])
-            return pa.record_batch([pa.array(names).take(pa.array(lang[begin])), phrase, pa.array(np.full(len(begin), size, np.int32)), pa.array(n)], names=["lang", "phrase", "size", "n"])
-
-        word, _ = _number(hashes.view(np.int64))
-        one, head = _number(word * len(names) + lang)
-        n_one = len(head)
-        if first_pass:
-            totals = np.bincount(lang, minlength=len(names))
-            yield pa.record_batch([pa.array(names), pa.nulls(len(names), pa.string()), pa.array(np.zeros(len(names), np.int32)), pa.array(totals)], names=["lang", "phrase", "size", "n"])
-            yield rows(head, 1, np.bincount(one))
-        code, whole = one.copy(), np.ones(len(one), bool)
-        passed = filters.let(_keys(hashes, head, 1, lang_key[head]))[:, one]
-        for size in range(2, longest + 1):
-            # whole: where a phrase of this size fits into its piece; let: a row of both parts for each filter
-            whole = np.append(whole[:-1] & whole[1:], False) & follows
-            let = passed & np.append(passed[:, 1:], np.zeros((len(passed), 1), bool), axis=1) & whole
-            place = np.flatnonzero(let[0])
+        totals = np.bincount(lang, minlength=len(names))
+        yield pa.record_batch([pa.array(names), pa.nulls(len(names), pa.string()), pa.array(np.zeros(len(names), np.int32)), pa.array(totals)], names=["lang", "phrase", "size", "n"])
+        one = _number(_number(hashes.view(np.int64))[0] * len(names) + lang)[0]
+        n_one = int(one.max()) + 1
+        code = one.copy()
+        for size, place, _, _, member in _levels(hashes, _names(names)[lang], follows, frequent, longest):
+            place = place[member[0]]
             if not len(place):
                 break
-            number, head = _number(code[place] * n_one + one[place + size - 1])
+            number, head = _number(code[place] * n_one + one[place + size - 1] if size > 1 else one[place])
+            if size > 1:
+                code[place] = number
             begin = place[head]
-            fresh = np.flatnonzero(~let[1:, begin].any(axis=0))
-            if len(fresh):
-                yield rows(begin[fresh], size, np.bincount(number)[fresh])
-            code[place] = number
-            if size < longest:
-                passed = np.zeros_like(let)
-                passed[:, place] = filters.let(_keys(hashes, begin, size, lang_key[begin]))[:, number] & let[:, place]
+            phrase = _pieces(spaced, at[begin], to[begin + size - 1] - at[begin])
+            yield pa.record_batch([pa.array(names).take(pa.array(lang[begin])), phrase, pa.array(np.full(len(begin), size, np.int32)), pa.array(np.bincount(number))], names=["lang", "phrase", "size", "n"])
 
 
-def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The membership keys of the phrases of a table (lang, phrase)."""
-    for batch in batches:
-        hashes, _, _, bounds = tokens(batch.column("phrase").cast(pa.large_string()), _WORDS)
-        lang = _names(batch.column("lang").to_pylist())
-        size, out = np.diff(bounds), np.zeros(batch.num_rows, np.uint64)
-        for k in range(1, LONGEST + 1):
-            own = np.flatnonzero(size == k)
-            out[own] = _keys(hashes, bounds[:-1][own], k, lang[own])
-        yield pa.record_batch([pa.array(out.view(np.int64))], names=["key"])
+def _count(docs: DataFrame, filters: list[np.ndarray], longest: int, least: int) -> DataFrame:
+    """Keys of phrases counted by one pass, as far as they occur ``least`` times."""
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
+    run = lambda batches: count_keys(batches, _Filters(shared.value), longest)
+    counts = docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return materialize(counts.filter(F.col("n") >= least).select("key"), f"phrase-keys-{len(filters)}")
 
 
-def _filter(parts: DataFrame) -> np.ndarray:
-    return build(parts.select("lang", "phrase").mapInArrow(_key_rows, "key long"), parts.count())
+def _any_outside(keys: DataFrame, bits: np.ndarray) -> bool:
+    """Whether the filter surely lacks one of the keys."""
+    shared = keys.sparkSession.sparkContext.broadcast(bits)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~perhaps(shared.value, batch.column(0).to_numpy(zero_copy_only=False))))
 
-def _count(docs: DataFrame, filters: list[np.ndarray], longest: int, least: int) -> DataFrame:
-    """Phrases counted by one pass that occur ``least`` times, and the words of each language."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)
-    run = lambda batches: count_phrases(batches, _Filters(shared.value), longest)
-    counts = docs.mapInArrow(run, COUNTS).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
-    return materialize(counts.filter(F.col("phrase").isNull() | (F.col("n") >= least)), f"phrases-{len(filters)}")
+    return not keys.mapInArrow(run, "key long").isEmpty()
 
 
 def frequent_phrases(
@@ -196,24 +217,31 @@ def frequent_phrases(
 
     Rows without a phrase hold the number of words of a language. One document in
     ``sample`` proposes what it holds ``least / (2 * sample)`` times, at least twice.
+    The passes count by keys of 64 bits, which may take two phrases for one but never
+    lose one; a last pass counts the texts of all that may be frequent.
     """
     if not 1 <= longest <= LONGEST:
         raise ValueError(f"phrases of 1 to {LONGEST} words can be counted")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text.alias("text"))
-    drawn = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(sample)) == 0)
-    proposed = _count(drawn.select("lang", "text"), [], longest, max(2, least // (2 * sample))).filter(F.col("phrase").isNotNull() & (F.col("size") < longest))
+    drawn = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(sample)) == 0).select("lang", "text")
+    rows = rows.select("lang", "text")
+    is_part = F.col("key").bitwiseAND(3) < longest - 1  # the last two bits hold the size, less one
+    parts = _count(drawn, [], longest - 1, max(2, least // (2 * sample))) if longest > 1 else rows.sparkSession.createDataFrame([], "key long")
     found, filters, passes = None, [], 0
-    while proposed is not None:
-        filters = [*filters, _filter(proposed)]
-        counted = _count(rows.select("lang", "text"), filters, longest, least)
+    while True:
+        filters = [*filters, build(parts, parts.count())]
+        counted = _count(rows, filters, longest, least)
         found = counted if found is None else found.unionByName(counted)
         passes += 1
-        # the border that fails: parts found frequent now that the filter was not made of
-        parts = found.filter(F.col("phrase").isNotNull() & (F.col("size") < longest))
-        missed = parts.join(proposed, ["lang", "phrase"], "left_anti")
-        proposed = None if missed.isEmpty() else parts
-    return found, passes
+        # the border that fails: parts found frequent that the filter was not made of
+        parts = found.filter(is_part)
+        if not _any_outside(parts, filters[-1]):
+            break
+    shared = docs.sparkSession.sparkContext.broadcast([build(found, found.count())])
+    run = lambda batches: count_phrases(batches, _Filters(shared.value), longest)
+    counts = rows.mapInArrow(run, COUNTS).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
+    return materialize(counts.filter(F.col("phrase").isNull() | (F.col("n") >= least)), "phrases"), passes
 
 
 def _best(rows: DataFrame, group: str, order: list[Column], top: int, spread_by: list[str]) -> DataFrame:

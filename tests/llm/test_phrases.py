@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,14 +90,32 @@ def test_ranked_rows(spark, monkeypatch, least, top):
     assert sorted(tuple(r) for r in got.collect()) == plain_rows(ROWS, least, top)
 
 
-def test_small_slices_and_full_filters(spark, monkeypatch):
-    """Slices of one text each, and filters that let everything through, change nothing."""
-    monkeypatch.setattr(phrases, "SLICE_BYTES", 1)
+def test_full_filters(spark, monkeypatch):
+    """Filters that let everything through change nothing."""
     monkeypatch.setattr(phrases, "build", lambda keys, n: np.full(1 << 13, 255, np.uint8))
     got = mine_phrases(frame(spark), least=5)
     assert sorted(tuple(r) for r in got.collect()) == plain_rows(ROWS, 5)
 
 
+@pytest.mark.parametrize("size", [1, 5_000, 1 << 30])
+def test_slices(monkeypatch, size):
+    """The counts of slices add up, however the texts are cut into slices."""
+    monkeypatch.setattr(phrases, "SLICE_BYTES", size)
+    table = pa.table({"lang": pa.array(["und" if r[2] is None else r[2] for r in ROWS]), "text": pa.array([r[1] or "" for r in ROWS])})
+    got = Counter()
+    for batch in phrases.count_phrases(iter(table.to_batches()), phrases._Filters([]), 4):
+        for row in batch.to_pylist():
+            got[row["lang"], row["size"], row["phrase"]] += row["n"]
+    counts, words = plain_counts(ROWS)
+    assert got == Counter({(lang, k, " ".join(w)): n for (lang, k), own in counts.items() for w, n in own.items()}) + Counter({(lang, 0, None): n for lang, n in words.items()})
+    keys = Counter()
+    for batch in phrases.count_keys(iter(table.to_batches()), phrases._Filters([]), 3):
+        for row in batch.to_pylist():
+            keys[row["key"]] += row["n"]
+    assert sorted(keys.values()) == sorted(n for (_, k), own in counts.items() for n in own.values() if k <= 3)
+    assert Counter(k & 3 for k in keys) == Counter({k - 1: sum(len(own) for (_, j), own in counts.items() if j == k) for k in (1, 2, 3)})
+
+
 def test_empty_tables(spark):
     assert mine_phrases(frame(spark, [(1, "a", "b")]).filter("false")).collect() == []
     assert mine_phrases(frame(spark, [(1, None, None), (None, " .\n", "")])).collect() == []
