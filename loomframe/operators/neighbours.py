@@ -1,9 +1,10 @@
 """Exact nearest-neighbour join, k-NN models and the local outlier factor.
 
-The join never forms all pairs of rows.  Points are grouped around pivots;
-the triangle inequality gives each query a bound on its k-th distance and
-with it the cells it has to visit.  Cells are cut into blocks of bounded size
-on both sides, a block keeps only its k best per query, and a last per-query
+The join never forms all pairs of rows.  Points lie in the leaves of a tree of
+pivots whose depth follows their number.  A query first searches the leaf it
+descends to; its k-th distance there and the triangle inequality tell which
+other leaves it has to visit.  Leaves are cut into blocks of bounded size on
+both sides, a block keeps only its k best per query, and a last per-query
 top-k merges the blocks.  Equal vectors are searched once, so a large group
 of copies costs as much as one row.
 """
@@ -11,11 +12,11 @@ of copies costs as much as one row.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from loomframe.functions.quantiles import exact_quantiles
 from loomframe.session import materialize
@@ -23,7 +24,10 @@ from loomframe.session import materialize
 DIGITS = 9
 BLOCK_POINTS = 2_048
 BLOCK_QUERIES = 4_096
-MAX_PIVOTS = 256
+# children of a node of the pivot tree
+FAN = 256
+# distances are rounded, bounds are not
+SLACK = 1e-8
 
 
 def _distances(a: np.ndarray, b: np.ndarray, metric: str, p: float) -> np.ndarray:
@@ -51,12 +55,154 @@ def _distinct_vectors(df: DataFrame, key: str, vector: str, keep: int) -> DataFr
     The rank filter is applied before the shuffle as well, so a vector held
     by a third of the rows sends only ``keep`` rows per task.
     """
-    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vec"))
+    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vec")).where("vec is not null")
     order = Window.partitionBy("vec").orderBy("id")
     first = rows.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= keep)
     return first.groupBy("vec").agg(F.min("id").alias("gid"), F.array_sort(F.collect_list("id")).alias("ids"))
 
 
+class PivotTree:
+    """Points under a tree of pivots, as tables: one row for each node of a level.
+
+    A level holds (parent, node, vec, far, reach): the pivot of a node, the distance of
+    its farthest point and that of its ``keep``-th nearest (infinite where there are
+    fewer). A node has at most ``fan`` children and the tree as many levels as leaves
+    of some ``leaf`` points ask for, so no node, and nothing sent to a task, grows with
+    the table. ``placed`` holds the points with their leaf.
+    """
+
+    def __init__(self, points: DataFrame, keep: int, leaf: int, fan: int, metric: str, p: float) -> None:
+        self.metric, self.p, self.keep, self.fan = metric, p, keep, fan
+        # what tasks get: no method of this object, which holds tables
+        self.gaps = lambda vectors, pivots: _distances(_stack(vectors), _stack(pivots), metric, p)
+        self.levels: list[DataFrame] = []
+        rows, n = points.withColumn("node", F.lit(0).cast("long")), points.count()
+        depth = 0
+        while leaf * fan**depth < n:
+            depth += 1
+        for _ in range(depth):
+            rows = self._grow(rows, leaf)
+        self.placed = rows
+
+    def _grow(self, rows: DataFrame, leaf: int) -> DataFrame:
+        """One level more: pivots are drawn in each node, its points go to the nearest one."""
+        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).withColumn("m", F.least(F.lit(self.fan), F.ceil(F.col("n") / leaf)))
+        # four times the pivots that are needed, by a hash, so that no node is sorted as a whole
+        draw = F.pmod(F.xxhash64(F.lit("pivot"), "gid"), F.lit(1 << 30)) * F.col("n") <= 4 * F.col("m") * (1 << 30)
+        order = Window.partitionBy("node").orderBy(F.xxhash64("gid"), "gid")
+        drawn = rows.join(sizes, "node").filter(draw).withColumn("k", F.row_number().over(order)).filter("k <= m")
+        # every node goes on, also one of which no point was drawn
+        first = rows.groupBy("node").agg(F.min_by("vec", F.struct(F.xxhash64("gid").alias("h"), F.col("gid"))).alias("vec"))
+        lone = first.join(drawn.select("node").distinct(), "node", "left_anti").withColumn("k", F.lit(1))
+        pivots = drawn.select("node", "vec", "k").unionByName(lone).select(F.col("node").alias("parent"), (F.col("node") * self.fan + F.col("k") - 1).alias("node"), "vec")
+        pivots, gap = materialize(pivots, "knn-pivots"), self.gaps
+
+        def place(batch: pd.DataFrame, children: pd.DataFrame) -> pd.DataFrame:
+            gaps = gap(batch["vec"], children["vec"])
+            best = gaps.argmin(axis=1)
+            return batch.assign(node=children["node"].to_numpy()[best], radius=gaps[np.arange(len(batch)), best])
+
+        kept = [c for c in rows.columns if c != "radius"]
+        schema = rows.select(*kept).withColumn("radius", F.lit(0.0)).schema
+        placed = materialize(self._each(rows.select(*kept), pivots, place, schema), "knn-placed")
+        inner = placed.select("node", "radius").withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy("radius"))).filter(F.col("k") <= self.keep)
+        reach = inner.groupBy("node").agg(F.max(F.when(F.col("k") == self.keep, F.col("radius"))).alias("reach"))
+        far = placed.groupBy("node").agg(F.max("radius").alias("far"))
+        level = pivots.join(far, "node").join(reach, "node").select("parent", "node", "vec", "far", F.coalesce("reach", F.lit(math.inf)).alias("reach"))
+        self.levels.append(materialize(level, "knn-level"))
+        return placed.drop("radius")
+
+    def _each(self, rows: DataFrame, level: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: T.StructType) -> DataFrame:
+        """``kernel(some rows, children)`` for the rows of every node and the children of that node."""
+        if not self.levels or level is self.levels[0]:
+            children = level.toPandas()  # of the root, at most ``fan``
+
+            def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for batch in batches:
+                    for start in range(0, len(batch), 1_000):
+                        yield kernel(batch[start : start + 1_000], children)[schema.names]
+
+            return rows.mapInPandas(run, schema)
+        lots = rows.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).alias("lanes"))
+        asked = rows.join(lots, "node").withColumn("lane", F.pmod(F.xxhash64("gid"), F.col("lanes"))).drop("lanes")
+        given = level.join(lots.withColumnRenamed("node", "parent"), "parent").withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lanes") - 1)))
+
+        def both(own: pd.DataFrame, children: pd.DataFrame) -> pd.DataFrame:
+            done = [kernel(own[start : start + 1_000], children)[schema.names] for start in range(0, len(own), 1_000)]
+            return pd.concat(done) if done else pd.DataFrame(columns=schema.names)
+
+        return asked.groupBy("node", "lane").cogroup(given.drop("lanes").groupBy("parent", "lane")).applyInPandas(both, schema)
+
+    def home(self, queries: DataFrame) -> DataFrame:
+        """(gid, vec) with the leaf nearest on the way down and a bound on the ``keep``-th distance."""
+        rows, gap = queries.select("gid", "vec", F.lit(0).cast("long").alias("node"), F.lit(math.inf).alias("bound")), self.gaps
+
+        def descend(batch: pd.DataFrame, children: pd.DataFrame) -> pd.DataFrame:
+            gaps = gap(batch["vec"], children["vec"])
+            best = gaps.argmin(axis=1)
+            bound = (gaps + children["reach"].to_numpy()).min(axis=1)
+            return batch.assign(node=children["node"].to_numpy()[best], bound=np.minimum(batch["bound"], bound))
+
+        for level in self.levels:
+            rows = materialize(self._each(rows, level, descend, rows.schema), "knn-home")
+        return rows
+
+    def visits(self, queries: DataFrame) -> DataFrame:
+        """(gid, vec, bound, home, node): leaves besides ``home`` that may hold a point within ``bound``."""
+        rows, gap = queries.select("gid", "vec", "bound", "home", F.lit(0).cast("long").alias("node")), self.gaps
+        if not self.levels:
+            return rows.filter("false")
+
+        def within(batch: pd.DataFrame, children: pd.DataFrame) -> pd.DataFrame:
+            gaps = gap(batch["vec"], children["vec"])
+            bound = batch["bound"].to_numpy()[:, None] + SLACK
+            nearest = gaps.min(axis=1, keepdims=True)
+            q, c = np.nonzero((gaps - children["far"].to_numpy() <= bound) & ((gaps - nearest) / 2 <= bound))
+            return batch.iloc[q].assign(node=children["node"].to_numpy()[c])
+
+        for level in self.levels:
+            rows = materialize(self._each(rows, level, within, rows.schema), "knn-visits")
+        return rows.filter("node <> home")
+
+
+def _search(asked: DataFrame, placed: DataFrame, tree: PivotTree, key_type: str, block_points: int, block_queries: int) -> DataFrame:
+    """(qid, neighbour, distance): the ``keep`` best of each query in each block of its leaf, within its bound."""
+    keep, gap = tree.keep, tree.gaps
+    lanes = asked.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / block_queries).alias("lanes"))
+    lots = lanes.join(placed.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / block_points).alias("blocks")), "node")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    one = lambda n: F.pmod(F.xxhash64("gid"), F.col(n))
+    sent = asked.join(lots, "node").withColumn("lane", one("lanes")).withColumn("block", every("blocks")).select("node", "block", "lane", F.col("gid").alias("qid"), F.col("vec").alias("qvec"), "bound")
+    held = placed.join(lots, "node").withColumn("block", one("blocks")).withColumn("lane", every("lanes")).select("node", "block", "lane", "gid", "ids", "vec")
+
+    def search(asked: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        found = {"qid": [], "neighbour": [], "distance": []}
+        if not len(asked) or not len(given):
+            return pd.DataFrame(found)
+        given = given.sort_values("gid").reset_index(drop=True)
+        ids, first = given["ids"].to_numpy(), given["gid"].to_numpy()
+        alone = all(len(x) == 1 for x in ids)
+        parts = []
+        for start in range(0, len(asked), 256):
+            part = asked[start : start + 256]
+            gaps = np.round(gap(part["qvec"], given["vec"]), DIGITS)
+            # stable sort on rows ordered by key: ties go to the smaller key
+            order = np.argsort(gaps, axis=1, kind="stable")[:, :keep]
+            best = np.take_along_axis(gaps, order, axis=1)
+            q, c = np.nonzero(best <= part["bound"].to_numpy()[:, None] + SLACK)
+            qid, at, near = part["qid"].to_numpy()[q], order[q, c], best[q, c]
+            if alone:
+                parts.append(pd.DataFrame({"qid": qid, "neighbour": first[at], "distance": near}))
+                continue
+            rows = pd.DataFrame({"q": q, "qid": qid, "neighbour": ids[at], "distance": near}).explode("neighbour")
+            rows["neighbour"] = rows["neighbour"].astype(given["gid"].dtype)
+            parts.append(rows.sort_values(["q", "distance", "neighbour"]).groupby("q").head(keep)[["qid", "neighbour", "distance"]])
+        return pd.concat(parts)
+
+    by = ["node", "block", "lane"]
+    return sent.groupBy(*by).cogroup(held.groupBy(*by)).applyInPandas(search, f"qid {key_type}, neighbour {key_type}, distance double")
+
+
 def knn_join(
     queries: DataFrame,
     key: str,
@@ -67,130 +213,46 @@ def knn_join(
     p: float = 2.0,
     block_points: int = BLOCK_POINTS,
     block_queries: int = BLOCK_QUERIES,
-    pivots: int | None = None,
+    pivots: int = FAN,
 ) -> DataFrame:
     """(key, rank, neighbour, distance): the k nearest points of every query.
 
     With no ``points`` the table is joined with itself and a row is not its
     own neighbour.  Distances are rounded to nine digits; ties go to the
-    smaller key.
+    smaller key.  Rows without a vector are left out.
+
+    A query searches the leaf it descends to first; the k-th distance found
+    there bounds which other leaves it has to visit.  A node of the tree has
+    at most ``pivots`` children, a leaf about ``block_points`` points.
     """
     own = points is None
     keep = k + 1 if own else k
     # both are read by several jobs below, so each is written once
     point_set = materialize(_distinct_vectors(queries if own else points, key, vector, keep), "knn-points")
     query_set = point_set if own else materialize(_distinct_vectors(queries, key, vector, 1), "knn-queries")
-
-    n_points = point_set.count()
-    n_rows = queries.count()
-    if pivots is None:
-        pivots = min(MAX_PIVOTS, max(1, math.isqrt(n_points) // 4))
-    chosen = point_set.orderBy(F.xxhash64("gid"), "gid").limit(pivots).select("vec").collect()
-    if not chosen:
-        return queries.select(F.col(key), F.lit(0).alias("rank"), F.col(key).alias("neighbour"), F.lit(0.0).alias("distance")).where("false")
-    centres = np.array([r["vec"] for r in chosen], dtype=np.float64)
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                gaps = _distances(_stack(batch["vec"]), centres, metric, p)
-                cell = gaps.argmin(axis=1)
-                yield batch.assign(cell=cell.astype("int32"), radius=gaps[np.arange(len(batch)), cell])
-
     key_type = queries.schema[key].dataType.simpleString()
-    placed = point_set.mapInPandas(assign, f"vec array<double>, gid {key_type}, ids array<{key_type}>, cell int, radius double")
-
-    # per cell: size, radius and the ``keep`` points nearest its pivot, a bounded summary
-    stats = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("far")).collect()}
-    near = Window.partitionBy("cell").orderBy("radius")
-    inner = placed.select("cell", "radius").withColumn("rn", F.row_number().over(near)).where(F.col("rn") <= keep).collect()
-    cells = sorted(stats)
-    far = np.array([stats[c]["far"] for c in cells])
-    closest = {c: sorted(r["radius"] for r in inner if r["cell"] == c) for c in cells}
-    slots = max(len(v) for v in closest.values())
-    ladder = np.array([closest[c] + [math.inf] * (slots - len(closest[c])) for c in cells])
-    blocks = {c: math.ceil(stats[c]["n"] / block_points) for c in cells}
-
-    def visited(vectors: np.ndarray) -> np.ndarray:
-        return np.concatenate([_visited(vectors[i : i + 500]) for i in range(0, len(vectors), 500)])
-
-    def _visited(vectors: np.ndarray) -> np.ndarray:
-        gaps = _distances(vectors, centres[cells], metric, p)
-        reach = np.sort((gaps[:, :, None] + ladder[None, :, :]).reshape(len(vectors), -1), axis=1)
-        bound = reach[:, min(keep, reach.shape[1]) - 1][:, None] + 1e-8
-        nearest = gaps.min(axis=1)[:, None]
-        return (gaps - far[None, :] <= bound) & ((gaps - nearest) / 2 <= bound)
-
-    def visit_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                yield pd.DataFrame({"cell": np.asarray(cells, dtype="int32")[np.nonzero(visited(_stack(batch["vec"])))[1]]})
-
-    if len(cells) == 1:
-        lanes = {cells[0]: math.ceil(n_rows / block_queries)}
-    else:
-        load = query_set.select("vec").mapInPandas(visit_cells, "cell int").groupBy("cell").count().collect()
-        lanes = {r["cell"]: math.ceil(r["count"] / block_queries) for r in load}
-
-    def send_queries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            rows, columns = np.nonzero(visited(_stack(batch["vec"])))
-            for start in range(0, len(rows), 20_000):
-                r, c = rows[start : start + 20_000], np.asarray(cells)[columns[start : start + 20_000]]
-                lane = batch["hash"].to_numpy()[r] % np.array([lanes[x] for x in c])
-                part = pd.DataFrame({"qid": batch["gid"].to_numpy()[r], "cell": c.astype("int32"), "lane": lane.astype("int32")})
-                part["qvec"] = batch["vec"].to_numpy()[r]
-                part["blocks"] = np.array([blocks[x] for x in c], dtype="int32")
-                yield part
-
-    spread = query_set.select("gid", "vec", F.pmod(F.xxhash64("gid"), F.lit(1 << 30)).alias("hash"))
-    sent = spread.mapInPandas(send_queries, f"qid {key_type}, cell int, lane int, qvec array<double>, blocks int")
-    sent = sent.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-
-    def per_cell(numbers: dict) -> Column:
-        table = F.create_map(*[x for c in cells for x in (F.lit(c), F.lit(numbers.get(c, 1)))])
-        return F.element_at(table, F.col("cell"))
-
-    held = placed.select("gid", "ids", "vec", "cell").withColumn("block", F.pmod(F.xxhash64("gid"), per_cell(blocks)).cast("int"))
-    held = held.withColumn("lane", F.explode(F.sequence(F.lit(0), per_cell(lanes) - 1)))
 
-    def search(asked: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked) or not len(given):
-            return pd.DataFrame({"qid": [], "neighbour": [], "distance": []})
-        given = given.sort_values("gid").reset_index(drop=True)
-        found = []
-        ids, target = given["ids"].to_numpy(), _stack(given["vec"])
-        sources = _stack(asked["qvec"])
-        for start in range(0, len(asked), 256):
-            gaps = np.round(_distances(sources[start : start + 256], target, metric, p), DIGITS)
-            take = min(keep, gaps.shape[1])
-            # stable sort on rows ordered by key: ties go to the smaller key
-            order = np.argsort(gaps, axis=1, kind="stable")[:, :take]
-            for i, row in enumerate(order):
-                qid = asked["qid"].iloc[start + i]
-                best = sorted((gaps[i, j], member) for j in row for member in ids[j])[:keep]
-                found += [(qid, member, d) for d, member in best]
-        return pd.DataFrame(found, columns=["qid", "neighbour", "distance"])
-
-    lots = ["cell", "block", "lane"]
-    partial = sent.groupBy(*lots).cogroup(held.groupBy(*lots)).applyInPandas(search, f"qid {key_type}, neighbour {key_type}, distance double")
+    tree = PivotTree(point_set, keep, block_points, pivots, metric, p)
+    home = tree.home(query_set)
+    near = materialize(_search(home, tree.placed, tree, key_type, block_points, block_queries), "knn-home-found")
     best = Window.partitionBy("qid").orderBy("distance", "neighbour")
-    merged = partial.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= keep)
-    lists = merged.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))).alias("near"))
+    top = lambda found: found.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= keep)
+    kth = top(near).where(F.col("rn") == keep).select(F.col("qid").alias("gid"), F.col("distance").alias("kth"))
+    bounded = home.join(kth, "gid", "left").select("gid", "vec", F.col("node").alias("home"), F.least("bound", "kth").alias("bound"))
+    elsewhere = _search(tree.visits(bounded), tree.placed, tree, key_type, block_points, block_queries)
+    lists = top(near.unionByName(elsewhere)).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))).alias("near"))
 
     # back to rows: equal vectors share one answer
     rows = queries.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vec"))
-    if own and n_points == n_rows:
+    if own and point_set.count() == queries.count():
         answered = lists.withColumnRenamed("qid", "id")
     else:
         groups = query_set.select(F.col("gid").alias("qid"), F.col("vec").alias("gvec"))
         answered = rows.join(groups, F.col("vec") == F.col("gvec")).join(lists, "qid").select("id", "near")
     if own:
         answered = answered.withColumn("near", F.filter("near", lambda s: s["neighbour"] != F.col("id")))
-    top = answered.select("id", F.posexplode(F.slice("near", 1, k)).alias("pos", "n"))
-    return top.select(
+    top_k = answered.select("id", F.posexplode(F.slice("near", 1, k)).alias("pos", "n"))
+    return top_k.select(
         F.col("id").alias(key), (F.col("pos") + 1).alias("rank"), F.col("n.neighbour").alias("neighbour"), F.col("n.distance").alias("distance")
     )
 

@@ -98,6 +98,48 @@ def test_knn_between_tables(spark):
     assert {(r["id"], r["rank"]): r["neighbour"] for r in found} == {(i, j + 1): want[i, j] for i in range(40) for j in range(3)}
 
 
+def clustered(spark, n):
+    """Ten points around each of n / 10 centres."""
+    rng = np.random.default_rng(4)
+    points = np.repeat(rng.uniform(0, 1000, size=(n // 10, 3)), 10, axis=0) + rng.normal(size=(n, 3))
+    return points, spark.createDataFrame([(i, [float(c) for c in v], [i]) for i, v in enumerate(points)], "gid bigint, vec array<double>, ids array<bigint>")
+
+
+def visited_pairs(spark, n, leaf=40, fan=8):
+    points, df = clustered(spark, n)
+    tree = neighbours.PivotTree(df, 4, leaf, fan, "euclidean", 2.0)
+    home = tree.home(df).withColumnRenamed("node", "home").withColumn("bound", F.lit(6.0))
+    sizes = tree.placed.groupBy("node").count()
+    assert tree.placed.count() == n and sizes.agg(F.max("count")).first()[0] < n / 4
+    both = tree.visits(home).select("gid", "node").unionByName(home.select("gid", F.col("home").alias("node")))
+    assert both.count() == both.distinct().count()
+    return len(tree.levels), both.join(sizes, "node").agg(F.sum("count")).first()[0]
+
+
+def test_tree_grows_and_pairs_do_not_square(spark):
+    (low, few), (high, many) = visited_pairs(spark, 1_000), visited_pairs(spark, 8_000)
+    assert low < high
+    assert many / few < 8**1.3 and many < 8_000**2 / 50
+
+
+def test_deep_tree_equals_brute_force(spark):
+    points, df = clustered(spark, 1_000)
+    found = neighbours.knn_join(df.select(F.col("gid").alias("id"), F.col("vec").alias("v")), "id", "v", 3, block_points=12, block_queries=50, pivots=4)
+    got: dict = {}
+    for r in found.orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append(r["neighbour"])
+    assert got == brute(points, 3, "euclidean", 2.0)
+
+
+def test_knn_odd_tables(spark):
+    kind = "id bigint, v array<double>"
+    join = lambda rows, **more: sorted((r["id"], r["rank"], r["neighbour"], r["distance"]) for r in neighbours.knn_join(spark.createDataFrame(rows, kind), "id", "v", 2, **more).collect())
+    assert join([]) == join([(1, [0.0])]) == join([(1, None)]) == []
+    assert join([(1, [0.0]), (2, None), (3, [4.0])]) == [(1, 1, 3, 4.0), (3, 1, 1, 4.0)]
+    none = spark.createDataFrame([], kind)
+    assert join([(1, [0.0])], points=none) == []
+
+
 def replay(rows, limit: int, span: int):
     held: dict = {}
     out = {}
