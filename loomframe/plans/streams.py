@@ -35,6 +35,13 @@ def rate_limit(t: Tables) -> DataFrame:
     return jobs.rate_limit(t.events, "event_id", "user_id", "ts", limit=2, minutes=1440)
 
 
+@query("stream_rate_limit", f"select l.* from ({_limit_sql(2, 1440)}) l join events e on e.event_id = l.event_id where e.ts < (select max(ts) - interval '1 hour' from events)")
+def stream_rate_limit(t: Tables) -> DataFrame:
+    """Requests that the watermark has passed: the last hour is still waiting."""
+    stream = _as_stream(t.events.select("event_id", "user_id", "ts"), "limiter")
+    return jobs.run_to_table(jobs.rate_limit_stream(stream, "event_id", "user_id", "ts", 2, 1440), "limited", settings=jobs.STATE_STORE)
+
+
 @query(
     "rate_window_count",
     f"""select {whole('event_id', 'event_id')}, {whole('user_id', 'user_id')}, {whole('''count(*) over (partition by user_id order by ts

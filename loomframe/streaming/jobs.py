@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from loomframe.operators import history, validate
 from loomframe.session import materialize, scratch_path
@@ -19,13 +21,27 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return reader.parquet(path)
 
 
-def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Drain the available input into Parquet and return the table."""
+# the store that states with timers need
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def run_to_table(stream: DataFrame, label: str, mode: str = "append", settings: dict[str, str] | None = None, path: str | None = None) -> DataFrame:
+    """Drain the available input into Parquet and return the table; ``settings`` hold for this query only.
+
+    With the same ``path`` again the query goes on where it stopped.
+    """
     spark = stream.sparkSession
-    out, mark = scratch_path(spark, label), scratch_path(spark, f"{label}-mark")
-    query = (
-        stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start()
-    )
+    path = path or scratch_path(spark, label)
+    out, mark = f"{path}/rows", f"{path}/mark"
+    earlier = {name: spark.conf.get(name, None) for name in settings or {}}
+    try:
+        for name, value in (settings or {}).items():
+            spark.conf.set(name, value)
+        writer = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", mark)
+        query = writer.trigger(availableNow=True).start()
+    finally:
+        for name, value in earlier.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
@@ -143,27 +159,91 @@ def window_counts(df: DataFrame, key: str, ts: str, minutes: int = 60) -> DataFr
     return joined.select(*df.columns, (F.col("__earlier") + F.col("__run")).alias("window_count"))
 
 
-def _accept(times: list[int], held: list[int], limit: int, span: int) -> list[bool]:
-    """Sliding-log decisions for sorted times; ``held`` keeps accepted ones."""
-    out = []
-    for t in times:
-        while held and held[0] <= t - span:
+def _walk(times: np.ndarray, held: list[int], limit: int, span: int) -> list[int]:
+    """Places of the accepted requests among sorted times; ``held`` keeps the accepted times in reach.
+
+    Once the limit is reached the next request that can be accepted is the first one
+    a whole window after the oldest in reach, so rejected requests are jumped over.
+    """
+    taken, at = [], 0
+    while at < len(times):
+        now = int(times[at])
+        while held and held[0] <= now - span:
             held.pop(0)
-        ok = len(held) < limit
-        if ok:
-            held.append(t)
-        out.append(ok)
-    return out
+        if len(held) < limit:
+            held.append(now)
+            taken.append(at)
+            at += 1
+        else:
+            at = int(np.searchsorted(times, held[0] + span, "left"))
+    return taken
+
+
+PACK_ROWS = 50_000
+
 
+def _packs(hot: DataFrame, row: str, key: str, minutes: int, pack_rows: int) -> DataFrame:
+    """(key, part, pack, first, times, rows): runs of requests of about ``pack_rows`` in time order.
 
-def rate_limit(df: DataFrame, row: str, key: str, ts: str, limit: int = 100, minutes: int = 60) -> DataFrame:
+    Slices with more rows are cut into shorter ones of equal time first.
+    """
+    width = minutes * 60_000_000 // SLICES
+    by = [key, "part", "slice"]
+    cuts = hot.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / pack_rows).alias("cuts"))
+    fine = hot.join(cuts, by).withColumn("bit", F.floor((F.col("__t") - F.col("slice") * width) * F.col("cuts") / width))
+    sizes = fine.groupBy(*by, "bit").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(key, "part").orderBy("slice", "bit").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = sizes.select(*by, "bit", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / pack_rows).alias("pack"))
+    runs = fine.join(numbered, [*by, "bit"]).groupBy(key, "part", "pack").agg(F.array_sort(F.collect_list(F.struct("__t", row))).alias("run"))
+    return runs.select(key, "part", "pack", F.col("run")[0]["__t"].alias("first"), F.col("run.__t").alias("times"), F.col(f"run.{row}").alias("rows"))
+
+
+def _entries(packs: DataFrame, key: str, limit: int, span: int) -> tuple[DataFrame, int]:
+    """(key, part, pack, entry): accepted times in reach where each pack begins, and the rounds it took.
+
+    All packs are walked at once, as if nothing was in reach before them. What a pack
+    leaves behind is what the next one begins with; packs for which that differs from
+    what they were walked with are walked again, until none does. What a pack began with
+    fades as soon as two walks accept the same requests for one window, so few rounds
+    are the rule; there are never more than packs in a row.
+    """
+    names = [key, "part", "pack"]
+    out = T.StructType([*packs.select(*names).schema.fields, T.StructField("entry", T.ArrayType(T.LongType())), T.StructField("left", T.ArrayType(T.LongType()))])
+
+    def leave(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            left = []
+            for times, entry in zip(batch["times"], batch["entry"]):
+                held = [int(t) for t in entry]
+                _walk(np.asarray(times, np.int64), held, limit, span)
+                left.append(held)
+            yield batch[[*names, "entry"]].assign(left=left)
+
+    nothing = F.array().cast("array<bigint>")
+    walked = materialize(packs.select(*names, "times", nothing.alias("entry")).mapInPandas(leave, out), "limiter-walk")
+    order = Window.partitionBy(key, "part").orderBy("pack")
+    firsts, rounds = packs.select(*names, "first"), 1
+    while True:
+        in_reach = F.filter(F.coalesce(F.lag("left").over(order), nothing), lambda t: t > F.col("first") - span)
+        known = walked.join(firsts, names).withColumn("due", in_reach)
+        known = materialize(known.select(*names, "entry", "left", "due"), "limiter-due")
+        due = known.filter("entry <> due")
+        if due.isEmpty():
+            return known.select(*names, "entry"), rounds
+        again = due.select(*names, F.col("due").alias("entry")).join(packs.select(*names, "times"), names)
+        same = known.filter("entry = due").select(*names, "entry", "left")
+        walked = materialize(same.unionByName(again.select(*names, "times", "entry").mapInPandas(leave, out)), "limiter-walk")
+        rounds += 1
+
+
+def rate_limit(df: DataFrame, row: str, key: str, ts: str, limit: int = 100, minutes: int = 60, pack_rows: int = PACK_ROWS) -> DataFrame:
     """(row, key, accepted) of a sliding-log limiter that does not store rejects.
 
     A decision depends on earlier ones only through requests closer than the
     window, so each key is cut at quiet gaps into spans.  Spans in which the
-    raw count never passes the limit are accepted by a plain projection; only
-    spans that do reach it go through an ordered scan, one span after another
-    in bounded memory (at most ``limit`` timestamps are held).
+    raw count never passes the limit are accepted by a plain projection.  Spans
+    that do reach it are cut into packs of some ``pack_rows`` requests, which are
+    walked side by side until each begins with what the one before it leaves.
     """
     span = minutes * 60_000_000
     rows = _sliced(window_counts(df.select(row, key, ts), key, ts, minutes), ts, minutes).withColumnRenamed("__slice", "slice")
@@ -179,40 +259,89 @@ def rate_limit(df: DataFrame, row: str, key: str, ts: str, limit: int = 100, min
     tagged = rows.join(parts, [key, "slice"])
     calm = tagged.where(F.col("heat") <= limit).select(row, key, F.lit(True).alias("accepted"))
 
-    schema = tagged.select(row, key).schema
-    names = [row, key]
+    # of requests at the same time no more than the limit can be accepted
+    tied = Window.partitionBy(key, "part", "__t").orderBy(row)
+    hot = tagged.where(F.col("heat") > limit).withColumn("nth", F.row_number().over(tied))
+    surplus = hot.where(F.col("nth") > limit).select(row, key, F.lit(False).alias("accepted"))
+    packs = materialize(_packs(hot.where(F.col("nth") <= limit).select(row, key, "part", "slice", "__t"), row, key, minutes, pack_rows), "limiter-packs")
+    entries, _ = _entries(packs, key, limit, span)
+    schema = T.StructType([*rows.select(row, key).schema.fields, T.StructField("accepted", T.BooleanType())])
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, held = None, []
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            decided = []
-            for who, part, t in zip(batch[key], batch["part"], batch["__t"]):
-                if (who, part) != current:
-                    current, held = (who, part), []
-                decided += _accept([t], held, limit, span)
-            yield batch[names].assign(accepted=decided)
+            for who, times, members, entry in zip(batch[key], batch["times"], batch["rows"], batch["entry"]):
+                accepted = np.zeros(len(times), bool)
+                accepted[_walk(np.asarray(times, np.int64), [int(t) for t in entry], limit, span)] = True
+                yield pd.DataFrame({row: members, key: who, "accepted": accepted})
 
-    hot = tagged.where(F.col("heat") > limit).select(row, key, "part", "__t")
-    ordered = hot.repartition(key, "part").sortWithinPartitions(key, "part", "__t", row)
-    scanned = ordered.mapInPandas(scan, T.StructType([*schema.fields, T.StructField("accepted", T.BooleanType())]))
-    return calm.unionByName(scanned)
+    walked = packs.join(entries, [key, "part", "pack"]).select(key, "times", "rows", "entry").mapInPandas(decide, schema)
+    return calm.unionByName(surplus).unionByName(walked)
 
 
-def rate_limit_stream(stream: DataFrame, row: str, key: str, ts: str, limit: int = 100, minutes: int = 60) -> DataFrame:
-    """The limiter as a stateful stream; the state of a key is its accepted times."""
-    span = minutes * 60_000_000
-    shaped = stream.select(F.col(row), F.col(key), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"))
-    kinds = {f.name: f.dataType.simpleString() for f in shaped.schema.fields}
-
-    def decide(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["t", row])
-        accepted = _accept(rows["t"].tolist(), held, limit, span)
-        state.update((held,))
-        yield pd.DataFrame({row: rows[row].to_numpy(), key: group[0], "accepted": accepted})
-
-    return shaped.groupBy(key).applyInPandasWithState(
-        decide, f"{row} {kinds[row]}, {key} {kinds[key]}, accepted boolean", "held array<bigint>", "append", GroupStateTimeout.NoTimeout
+@dataclass
+class _Limiter(StatefulProcessor):
+    """Requests wait until the watermark has passed them; then they are decided in order of time.
+
+    The state of a key is its waiting requests and the accepted times in reach. A timer
+    stands at the next waiting request or, if none waits, where the last accepted one
+    falls out of reach; there the state of the key ends.
+    """
+
+    row: str
+    key: str
+    kinds: tuple[str, str]
+    limit: int
+    span: int
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", f"t bigint, row {self.kinds[0]}")
+        self.held = handle.getListState("held", "t bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            self.waiting.appendList(list(zip(batch["t"].tolist(), batch["request"].tolist())))
+        yield from self._decide(key, timerValues.getCurrentWatermarkInMs() * 1_000)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._decide(key, timerValues.getCurrentWatermarkInMs() * 1_000)
+
+    def _decide(self, key: tuple, mark: int) -> Iterator[pd.DataFrame]:
+        waiting = sorted(tuple(x) for x in self.waiting.get())
+        held = [int(x[0]) for x in self.held.get()]
+        due = [x for x in waiting if x[0] < mark]
+        waiting = waiting[len(due) :]
+        if due:
+            accepted = np.zeros(len(due), bool)
+            accepted[_walk(np.array([x[0] for x in due], np.int64), held, self.limit, self.span)] = True
+            yield pd.DataFrame({self.row: [x[1] for x in due], self.key: key[0], "accepted": accepted})
+        held = [t for t in held if t > mark - self.span]
+        for state, left in ((self.waiting, waiting), (self.held, [(t,) for t in held])):
+            if left:
+                state.put(left)
+            else:
+                state.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if waiting or held:
+            due_at = min([waiting[0][0]] if waiting else [held[-1] + self.span])
+            self.handle.registerTimer(due_at // 1_000 + 1)
+
+    def close(self) -> None:
+        pass
+
+
+def rate_limit_stream(stream: DataFrame, row: str, key: str, ts: str, limit: int = 100, minutes: int = 60, late: str = "1 hour") -> DataFrame:
+    """The limiter as a stateful stream over event time: (row, key, accepted) once the watermark has passed a request.
+
+    Requests may arrive out of order by as much as ``late``; later ones are dropped.
+    Start the query with the state store of STATE_STORE.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    at = F.col(ts).cast("timestamp")
+    rows = stream.select(F.col(row).alias("request"), F.col(key).alias("who"), at.alias("at"), F.unix_micros(at).alias("t"))
+    return rows.withWatermark("at", late).groupBy("who").transformWithStateInPandas(
+        _Limiter(row, key, (kinds[row], kinds[key]), limit, minutes * 60_000_000), f"{row} {kinds[row]}, {key} {kinds[key]}, accepted boolean", "Append", "EventTime"
     )
 
 

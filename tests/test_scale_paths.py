@@ -165,6 +165,32 @@ def test_rate_limit_equals_replay(spark, limit):
     assert got == replay(rows, limit, 3600_000_000)
 
 
+def busy_key(spark, every):
+    """Half of all requests are of one key that never rests; times of some are equal."""
+    return spark.range(6_000).selectExpr(
+        "id", "if(id % 2 = 0, 0, id % 7 + 1) as k", f"timestamp_micros((1700000000 + id * {every} + (id * 7919 % {4 * every}) - id % 3 * {every}) * 1000000) as ts"
+    )
+
+
+@pytest.mark.parametrize("limit,every", [(1, 40), (2, 600), (3, 40), (5, 1_300), (40, 40)])
+def test_busy_key_is_walked_in_packs(spark, limit, every):
+    df = busy_key(spark, every)
+    rows = [(r["id"], r["k"], r["t"]) for r in df.selectExpr("id", "k", "unix_micros(ts) as t").collect()]
+    got = jobs.rate_limit(df, "id", "k", "ts", limit, 60, pack_rows=150).collect()
+    assert len(got) == len(rows)
+    assert {r["id"]: r["accepted"] for r in got} == replay(rows, limit, 3600_000_000)
+
+
+def test_packs_are_bounded(spark):
+    df = busy_key(spark, 40).selectExpr("id", "k", "unix_micros(ts) as __t").withColumn("slice", F.floor(F.col("__t") / 60_000_000)).withColumn("part", F.lit(1).cast("long"))
+    packs = jobs._packs(df, "id", "k", 60, 150)
+    sizes = [(r["k"], r["n"]) for r in packs.select("k", F.size("times").alias("n")).collect()]
+    assert max(n for _, n in sizes) <= 300 and sum(n for _, n in sizes) == 6_000
+    assert sum(k == 0 for k, _ in sizes) >= 15
+    first = jobs._entries(packs, "k", 3, 3600_000_000)
+    assert first[0].count() == len(sizes) and first[1] <= sum(k == 0 for k, _ in sizes) + 1
+
+
 def test_window_count_is_strict(spark):
     df = spark.createDataFrame([(1, 0), (2, 3600), (3, 3601), (4, 7000)], "id int, s bigint").selectExpr("id", "1 as k", "timestamp_seconds(s) as ts")
     got = {r["id"]: r["window_count"] for r in jobs.window_counts(df, "k", "ts", 60).collect()}

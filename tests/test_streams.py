@@ -1,5 +1,6 @@
 """Streams give what the batch gives."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomframe.session import scratch_path, table
@@ -23,22 +24,26 @@ def test_windows(spark, sf):
     assert sorted(map(tuple, got.select(keys).collect())) == sorted(map(tuple, want.select(keys).collect()))
 
 
-def test_stateful_limiter(spark):
-    """Micro-batches in time order give the same decisions as a replay."""
-    df = limiter_input(spark)
-    path = scratch_path(spark, "limit")
-    ordered = df.orderBy("ts")
-    cut = ordered.selectExpr("percentile(unix_micros(ts), 0.5) as m").first()["m"]
-    schema = df.schema
-    df.where(F.unix_micros("ts") <= cut).coalesce(1).write.parquet(f"{path}/a")
-    df.where(F.unix_micros("ts") > cut).coalesce(1).write.parquet(f"{path}/b")
-    out = {}
-    # one stream over both folders; files are taken in the order they were written
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
-    for r in jobs.run_to_table(jobs.rate_limit_stream(stream, "id", "k", "ts", 3, 60), "limited").collect():
-        out[r["id"]] = r["accepted"]
-    rows = [(r["id"], r["k"], r["t"]) for r in df.selectExpr("id", "k", "unix_micros(ts) as t").collect()]
-    assert out == replay(rows, 3, 3600_000_000)
+@pytest.mark.parametrize("limit", [1, 3])
+def test_stateful_limiter(spark, limit):
+    """Micro-batches that overlap by less than the watermark's delay give the decisions of a replay, and no state stays."""
+    df = limiter_input(spark).withColumn("at", F.unix_micros("ts"))
+    cuts = [df.selectExpr(f"percentile(at, {q}) as m").first()["m"] for q in (0.3, 0.6)]
+    # a request goes to an earlier or a later batch by up to half an hour
+    moved = df.withColumn("seen", F.col("at") + F.expr("(id * 31 % 60 - 30) * 60000000"))
+    path, kept = scratch_path(spark, "limit"), scratch_path(spark, "limited")
+    last = df.selectExpr("-1L as id", "-1L as k", "timestamp_micros(max(at) + 86400000000) as ts")
+    batches = [moved.where(F.col("seen") <= cuts[0]), moved.where((F.col("seen") > cuts[0]) & (F.col("seen") <= cuts[1])), moved.where(F.col("seen") > cuts[1]), last]
+    for number, batch in enumerate(batches):
+        batch.select("id", "k", "ts").coalesce(1).write.parquet(f"{path}/{number}")
+        stream = spark.readStream.schema(last.schema).option("recursiveFileLookup", True).parquet(path)
+        made = jobs.run_to_table(jobs.rate_limit_stream(stream, "id", "k", "ts", limit, 60, "2 hours"), "limited", settings=jobs.STATE_STORE, path=kept)
+    rows, got = [(r["id"], r["k"], r["at"]) for r in df.collect()], made.collect()
+    assert len(got) == len(rows) and {r["id"]: r["accepted"] for r in got} == replay(rows, limit, 3600_000_000)
+    assert "RocksDB" not in spark.conf.get(*jobs.STATE_STORE, "")
+    for name in ("waiting", "held"):
+        left = spark.read.format("statestore").option("stateVarName", name).load(f"{kept}/mark").selectExpr("key.who as k").distinct().collect()
+        assert [r["k"] for r in left] == ([-1] if name == "waiting" else [])
 
 
 def test_rejects_go_to_their_own_table(spark):
