@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations, combinations_with_replacement
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from loomframe.functions import columns as C
@@ -196,12 +201,71 @@ def mutual_information(df: DataFrame, names: list[str], target: str, bins: int =
     return full.groupBy("column_name").agg(F.sum(term).alias("score"))
 
 
+# columns in a block of the matrix of moments, and partial sums that meet in one group
+CORR_BLOCK, CORR_LANES = 64, 256
+
+
+def _moment_blocks(batches: Iterator[pa.RecordBatch], shift: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sums over the rows of one task for all pairs of columns, by block of columns.
+
+    For a pair: the rows where both are there, the sums and the sums of squares of the
+    first one over these rows, and the sums of products; each is one matrix product.
+    """
+    sums = np.zeros((4, len(shift), len(shift)))
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns]
+        x = np.column_stack(columns) - shift
+        there = ~np.isnan(x)
+        x, there = np.where(there, x, 0.0), there.astype(np.float64)
+        sums += np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x])
+    step = CORR_BLOCK
+    cuts = [(i, j) for i in range(0, len(shift), step) for j in range(i, len(shift), step)]
+    # the first column of a pair is that of the row, so both sides of the diagonal travel
+    body = [np.stack([sums[:, i : i + step, j : j + step], sums[:, j : j + step, i : i + step].transpose(0, 2, 1)]).tobytes() for i, j in cuts]
+    yield pa.record_batch([pa.array([i for i, _ in cuts], pa.int32()), pa.array([j for _, j in cuts], pa.int32()), pa.array(body, pa.binary())], names=["i", "j", "body"])
+
+
+def _added(rows: pd.DataFrame) -> np.ndarray:
+    total = np.zeros(len(rows["body"].iloc[0]) // 8)
+    for body in rows["body"]:
+        total += np.frombuffer(body)
+    return total
+
+
 def correlation_pairs(df: DataFrame, names: list[str]) -> DataFrame:
-    """Pearson correlation of each pair (earlier, later), all in one scan."""
-    pairs = list(combinations(names, 2))
-    found = C.wide_aggregate(df, [F.corr(C.as_number(df, a), C.as_number(df, b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    rows = [(a, b, found[f"p{i}"]) for i, (a, b) in enumerate(pairs)]
-    return df.sparkSession.createDataFrame(rows, "earlier string, later string, corr double")
+    """Pearson correlation of each pair (earlier, later) over the rows that have both, in one scan.
+
+    Each task sums a matrix of moments with one product a batch; the matrices are
+    added block by block, in two rounds. Null where a column is constant. Columns
+    are shifted by one of their values, so that large numbers do not cancel.
+    """
+    frame = df.select(*[C.as_number(df, c).alias(f"c{i}") for i, c in enumerate(names)])
+    head = frame.head(100)
+    if not head:
+        return df.sparkSession.createDataFrame([(a, b, None) for a, b in combinations(names, 2)], "earlier string, later string, corr double")
+    shift = np.array([next((r[i] for r in head if r[i] is not None and math.isfinite(r[i])), 0.0) for i in range(len(names))])
+    width, kind = len(names), "i int, j int, body binary"
+    blocks = frame.mapInArrow(lambda batches: _moment_blocks(batches, shift), kind).withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(CORR_LANES)))
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": rows["i"].iloc[:1], "j": rows["j"].iloc[:1], "body": [_added(rows).tobytes()]})
+
+    def finish(rows: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
+        shape = (2, 4, min(CORR_BLOCK, width - i), min(CORR_BLOCK, width - j))
+        (n, s, q, product), (_, t, r, _) = _added(rows).reshape(shape)
+        with np.errstate(all="ignore"):
+            first, second = q - s * s / n, r - t * t / n
+            corr = (product - s * t / n) / np.sqrt(first * second)
+            # what is left of a sum of squares that only rounding made
+            corr[(first <= 1e-13 * q) | (second <= 1e-13 * r)] = np.nan
+        a, b = np.nonzero(np.add.outer(np.arange(i, i + shape[2]), -np.arange(j, j + shape[3])) < 0)
+        text = lambda values: pd.Series(values, dtype=object)
+        return pd.DataFrame({"earlier": text([names[i + x] for x in a]), "later": text([names[j + x] for x in b]), "corr": np.clip(corr[a, b], -1.0, 1.0)})
+
+    some = blocks.groupBy("i", "j", "lane").applyInPandas(add, kind)
+    pairs = some.groupBy("i", "j").applyInPandas(finish, "earlier string, later string, corr double")
+    return pairs.withColumn("corr", F.when(~F.isnan("corr"), F.col("corr")))
 
 
 def select_correlation(df: DataFrame, names: list[str], threshold: float = 0.95, k: int | None = None) -> list[str]:

@@ -1,12 +1,13 @@
 """The paths that only large or skewed tables take, against brute force."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from loomframe.functions.ordering import global_row_number, order_index, seeded_rank
 from loomframe.functions.quantiles import exact_quantiles
-from loomframe.operators import metrics, neighbours, quality, split
+from loomframe.operators import features, metrics, neighbours, quality, split
 from loomframe.streaming import jobs
 
 HOT = "cast(case when id % 3 = 0 then 7 else (id * 7919) % 10007 end as double)"
@@ -231,3 +232,26 @@ def test_fingerprint_tells_cells_apart(spark):
     assert print_of([(float("nan"), "t")], "a double, b string") == print_of([(None, "t")], "a double, b string")
     odd = spark.createDataFrame([(float("nan"), "x"), (1e13, "y"), (None, "z")], "a double, b string")
     assert quality.dataset_profile(odd).first()["n_rows"] == 3
+
+
+def test_correlation_of_many_columns(spark):
+    """Against a plain pairwise calculation, with gaps, constant columns and large offsets; one scan for any width."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(400, 130))
+    base[:, 1] = base[:, 0] * -2 + 1e6
+    base[:, 2] += 1e9
+    base[:, 3] = 0.1
+    base[rng.random(base.shape) < 0.1] = np.nan
+    base[:, 4] = np.nan
+    names = [f"a b{i}" if i == 7 else f"x{i}" for i in range(130)]
+    df = spark.createDataFrame(pd.DataFrame(base, columns=names)).repartition(5)
+    got = {(r["earlier"], r["later"]): r["corr"] for r in features.correlation_pairs(df, names).collect()}
+    assert len(got) == 130 * 129 // 2
+    want = pd.DataFrame(base, columns=names).corr()
+    for (a, b), value in got.items():
+        assert (value is None) == (bool(np.isnan(want.loc[a, b])) or "x3" in (a, b)), (a, b)
+        assert value is None or value == pytest.approx(want.loc[a, b], abs=1e-7)
+    assert features.select_correlation(df, ["x0", "x1", "x2"]) == ["x0", "x2"]
+    assert features.correlation_pairs(df, names[:1]).collect() == []
+    none = features.correlation_pairs(df.where("false"), ["x0", "x2"]).collect()
+    assert [tuple(r) for r in none] == [("x0", "x2", None)]
