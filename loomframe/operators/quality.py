@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from loomframe.functions import columns as C
 from loomframe.functions.text import word_count
@@ -16,23 +17,90 @@ DATE_PATTERNS = [
     r"\d{2}-\d{2}-\d{4}",
     r"\d{4}/\d{2}/\d{2}",
 ]
+# Values looked at per column, the most classes of a numeric target,
+# and the share of different values below which text repeats.
 SAMPLE_VALUES = 10
 TASK_CLASSES = 20
+REPEATED_SHARE = 0.1
+
+
+# rows in key order that most columns find their first values in
+HEAD_ROWS = 50
+# size of the distinct-count sketches, their relative standard deviation, and how many of these count as near
+SKETCH_BITS, SKETCH_ERROR, SKETCH_SPREAD = 12, 0.017, 6
+# columns with at most about so many values are counted exactly within the row aggregate
+SET_VALUES = 4_096
+# columns counted side by side that way: bounds the sets that one task holds
+SET_COLUMNS = 50
 
 
 def first_values(df: DataFrame, key: str, names: list[str], count: int = SAMPLE_VALUES) -> DataFrame:
     """First ``count`` non-missing values per column in key order, long form.
 
-    One top-k per column: each task keeps ``count`` rows, nothing is sorted.
+    The first rows in key order hold them for all columns but those that are mostly
+    missing there; the cells of these few are ranked by column in one more pass. Each
+    task keeps ``count`` cells a column, nothing is sorted as a whole.
     """
-    parts = [
-        df.where(~C.is_missing(df, c)).orderBy(key).select(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")).limit(count)
-        for c in names
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    spark = df.sparkSession
+    cells = [F.when(~C.is_missing(df, c), F.col(f"`{c}`").cast("string")).alias(f"c{i}") for i, c in enumerate(names)]
+    if not names:
+        return spark.createDataFrame([], "column_name string, value string")
+    head = df.orderBy(key).limit(max(HEAD_ROWS, count)).select(*cells).collect()
+    found = {c: [r[i] for r in head if r[i] is not None][:count] for i, c in enumerate(names)}
+    short = [c for c in names if len(found[c]) < count] if len(head) == max(HEAD_ROWS, count) else []
+    rows = [(c, v) for c in names if c not in short for v in found[c]]
+    known = spark.createDataFrame(rows, "column_name string, value string")
+    if not short:
+        return known
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), cells[names.index(c)].alias("value")) for c in short])
+    long = df.select(F.col(key).alias("at"), F.explode(F.filter(pairs, lambda s: s["value"].isNotNull())).alias("cell")).select("at", "cell.*")
+    nth = F.row_number().over(Window.partitionBy("column_name").orderBy("at"))
+    return known.unionByName(long.withColumn("nth", nth).where(F.col("nth") <= count).select("column_name", "value"))
+
+
+def _sketches(df: DataFrame, names: list[str], value: Callable[[DataFrame, str], Column]) -> list[Column]:
+    hashed = [F.when(value(df, c).isNotNull(), F.xxhash64(value(df, c))) for c in names]
+    return [F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(h, SKETCH_BITS)), F.lit(0)).alias(f"__d{i}") for i, h in enumerate(hashed)]
+
+
+def distinct_counts(df: DataFrame, names: list[str], value: Callable[[DataFrame, str], Column] = C.distinct_key, about: dict[str, int] | None = None) -> dict[str, int]:
+    """Exact number of different values per column, without a copy of the rows for each column.
+
+    Sketches of all columns take one pass, if ``about`` does not hold them. Columns with few
+    values are then counted by sets inside one more pass; each other column by a scan of
+    that column alone, all in one job.
+    """
+    if about is None:
+        found = C.wide_aggregate(df, _sketches(df, names, value))
+        about = {c: found[f"__d{i}"] for i, c in enumerate(names)}
+    few = [c for c in names if about[c] <= SET_VALUES]
+    sets = [F.size(F.collect_set(value(df, c))).cast("long").alias(c) for c in few]
+    exact = C.wide_aggregate(df, sets, SET_COLUMNS)
+    many = [c for c in names if about[c] > SET_VALUES]
+    if many:
+        each = [df.agg(F.count_distinct(value(df, c)).alias("n")).select(F.lit(c).alias("c"), "n") for c in many]
+        exact |= {r["c"]: r["n"] for r in reduce(DataFrame.unionByName, each).collect()}
+    return exact
+
+
+def _near(count: int, border: float) -> bool:
+    """Whether a sketch leaves open on which side of the border the true count lies."""
+    return abs(count - border) <= SKETCH_SPREAD * SKETCH_ERROR * max(count, border) + 1
+
+
+def column_facts(df: DataFrame) -> dict:
+    """Rows, missing cells of every column and about the distinct values of every text column, in one pass."""
+    strings = C.string_columns(df)
+    exprs = [F.count(F.lit(1)).alias("__rows"), *[F.count_if(C.is_missing(df, c)).alias(f"__m{i}") for i, c in enumerate(df.columns)]]
+    found = C.wide_aggregate(df, [*exprs, *_sketches(df, strings, C.distinct_key)])
+    return {
+        "rows": found["__rows"],
+        "missing": {c: found[f"__m{i}"] for i, c in enumerate(df.columns)},
+        "distinct": {c: found[f"__d{i}"] for i, c in enumerate(strings)},
+    }
 
 
-def type_map(df: DataFrame, key: str) -> dict[str, str]:
+def type_map(df: DataFrame, key: str, facts: dict | None = None) -> dict[str, str]:
     """Column name to numeric / categorical / datetime / text."""
     found: dict[str, str] = {}
     strings = C.string_columns(df)
@@ -51,13 +119,14 @@ def type_map(df: DataFrame, key: str) -> dict[str, str]:
             .agg(F.avg(dated.cast("int")).alias("dated"), F.avg(F.char_length("value")).alias("length"))
         )
         seen = {r["column_name"]: r for r in sampled.collect()}
-        distinct = [F.count_distinct(C.distinct_key(df, c)).alias(c) for c in strings]
-        counts = C.wide_aggregate(df, [F.count(F.lit(1)).alias("__rows"), *distinct])
+        facts = facts or column_facts(df)
+        border = facts["rows"] * REPEATED_SHARE
+        counts = facts["distinct"] | distinct_counts(df, [c for c in strings if _near(facts["distinct"][c], border)], about=facts["distinct"])
         for name in strings:
             sample = seen.get(name)
             if sample and sample["dated"] > 0.5:
                 found[name] = "datetime"
-            elif counts["__rows"] and counts[name] / counts["__rows"] < 0.1:
+            elif facts["rows"] and counts[name] / facts["rows"] < REPEATED_SHARE:
                 found[name] = "categorical"
             elif sample and sample["length"] > 20:
                 found[name] = "text"
@@ -111,24 +180,20 @@ def missing_ranking(df: DataFrame) -> DataFrame:
 
 
 def task_types(df: DataFrame, names: list[str] | None = None, threshold: float = 0.05) -> DataFrame:
-    """classification / regression per column, from one distinct-count pass."""
+    """classification / regression per column, with the exact distinct counts."""
     names = names or df.columns
-    counts = df.agg(
-        F.count(F.lit(1)).alias("__rows"), *[F.count_distinct(C.distinct_key(df, c)).alias(f"__u{i}") for i, c in enumerate(names)]
-    )
-    rows = []
-    for i, c in enumerate(names):
-        kind = df.schema[c].dataType
-        unique = F.col(f"__u{i}")
+    rows, exact = df.count(), distinct_counts(df, names)
+    found = []
+    for c in names:
+        kind, unique = df.schema[c].dataType, exact[c]
         if isinstance(kind, C.INTEGER_TYPES):
             classes = unique <= TASK_CLASSES
         elif isinstance(kind, C.NUMERIC_TYPES + (T.BooleanType,)):
-            classes = (unique <= TASK_CLASSES) & (C.safe_divide(unique, F.col("__rows")) < threshold)
+            classes = unique <= TASK_CLASSES and (unique / rows if rows else 0.0) < threshold
         else:
-            classes = F.lit(True)
-        task = F.when(classes, "classification").otherwise("regression")
-        rows.append({"column_name": F.lit(c), "n_unique": unique, "task_type": task})
-    return C.inline_rows(counts, rows)
+            classes = True
+        found.append((c, unique, "classification" if classes else "regression"))
+    return df.sparkSession.createDataFrame(found, "column_name string, n_unique bigint, task_type string")
 
 
 def task_type_of(df: DataFrame, target: str, threshold: float = 0.05) -> str:
@@ -169,10 +234,13 @@ def duplicate_rows(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     return groups.agg(extra.alias("duplicate_rows"), C.safe_divide(extra, total).alias("duplicate_ratio"))
 
 
-def cardinalities(df: DataFrame, names: list[str], approximate: bool = False) -> DataFrame:
-    count = F.approx_count_distinct if approximate else F.count_distinct
-    row = df.agg(*[count(F.col(c)).alias(f"u{i}") for i, c in enumerate(names)])
-    return C.inline_rows(row, [{"column_name": F.lit(c), "n_unique": F.col(f"u{i}")} for i, c in enumerate(names)])
+def cardinalities(df: DataFrame, names: list[str], approximate: bool = False, about: dict[str, int] | None = None) -> DataFrame:
+    """Different values per column; ``approximate`` leaves it at the sketches."""
+    if approximate:
+        row = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"u{i}") for i, c in enumerate(names)])
+        return C.inline_rows(row, [{"column_name": F.lit(c), "n_unique": F.col(f"u{i}")} for i, c in enumerate(names)])
+    exact = distinct_counts(df, names, about=about)
+    return df.sparkSession.createDataFrame([(c, exact[c]) for c in names], "column_name string, n_unique bigint")
 
 
 def table_footprint(df: DataFrame) -> DataFrame:
@@ -284,7 +352,8 @@ def quality_report(df: DataFrame, key: str) -> DataFrame:
     """Types, missing values, outliers, duplicates and sizes as long rows."""
     from loomframe.operators.outliers import iqr_counts
 
-    types = type_map(df, key)
+    facts = column_facts(df)
+    types = type_map(df, key, facts)
     numeric = [c for c in C.numeric_columns(df)]
     categorical = [c for c, t in types.items() if t == "categorical"]
     spark = df.sparkSession
@@ -298,8 +367,8 @@ def quality_report(df: DataFrame, key: str) -> DataFrame:
     typed = spark.createDataFrame(list(types.items()), "column_name string, column_type string")
     parts = [
         rows(typed, "type", F.col("column_name"), F.col("column_type"), F.lit(1)),
-        rows(_missing_counts(df, df.columns), "missing", F.col("column_name"), F.lit("count"), F.col("missing")),
-        rows(df.agg(F.count(F.lit(1)).alias("n")), "shape", whole, F.lit("rows"), F.col("n")),
+        rows(spark.createDataFrame(list(facts["missing"].items()), "column_name string, missing long"), "missing", F.col("column_name"), F.lit("count"), F.col("missing")),
+        rows(spark.range(1), "shape", whole, F.lit("rows"), F.lit(facts["rows"])),
         rows(spark.range(1), "shape", whole, F.lit("columns"), F.lit(len(df.columns))),
         rows(duplicate_rows(df), "duplicates", whole, F.lit("rows"), F.col("duplicate_rows")),
     ]
@@ -308,5 +377,5 @@ def quality_report(df: DataFrame, key: str) -> DataFrame:
     if numeric:
         parts.append(rows(iqr_counts(df, numeric), "outliers", F.col("column_name"), F.lit("count"), F.col("n_outliers")))
     if categorical:
-        parts.append(rows(cardinalities(df, categorical), "cardinality", F.col("column_name"), F.lit("distinct"), F.col("n_unique")))
+        parts.append(rows(cardinalities(df, categorical, about=facts["distinct"] if all(c in facts["distinct"] for c in categorical) else None), "cardinality", F.col("column_name"), F.lit("distinct"), F.col("n_unique")))
     return reduce(DataFrame.unionByName, parts)

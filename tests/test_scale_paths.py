@@ -255,3 +255,45 @@ def test_correlation_of_many_columns(spark):
     assert features.correlation_pairs(df, names[:1]).collect() == []
     none = features.correlation_pairs(df.where("false"), ["x0", "x2"]).collect()
     assert [tuple(r) for r in none] == [("x0", "x2", None)]
+
+
+def wide_table(spark):
+    """300 text columns: dates, few values, many values, long text, and some empty for the first thousand rows."""
+    shapes = ["concat('2024-01-', lpad(id % 28 + 1, 2, '0'))", "concat('k', id % 7)", "concat('u', id)", "concat('long and longer text ', id)", "if(id < 1000, null, concat('late text of some words ', id))", "concat('v', id % 200)"]
+    return spark.range(2_000).select("id", *[F.expr(shapes[i % 6]).alias(f"c{i}") for i in range(300)]).repartition(4)
+
+
+def test_profile_of_a_wide_table_takes_few_jobs(spark):
+    df = wide_table(spark)
+    context = spark.sparkContext
+    context.setJobGroup("wide", "profile of many columns")
+    try:
+        kinds = quality.type_map(df, "id")
+        jobs_run = len(context.statusTracker().getJobIdsForGroup("wide"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert [kinds[f"c{i}"] for i in range(6)] == ["datetime", "categorical", "categorical", "text", "text", "categorical"]
+    assert all(kinds[f"c{i}"] == kinds[f"c{i % 6}"] for i in range(300))
+    assert jobs_run < 40
+
+
+def test_distinct_counts_are_exact_on_both_paths(spark, monkeypatch):
+    df = wide_table(spark).withColumn("x", F.when(F.col("id") % 3 == 0, float("nan")).otherwise(F.col("id") % 90))
+    names = ["c0", "c1", "c2", "c4", "c5", "x"]
+    want = {"c0": 28, "c1": 7, "c2": 2_000, "c4": 1_000, "c5": 200, "x": 60}
+    assert quality.distinct_counts(df, names) == want
+    monkeypatch.setattr(quality, "SET_VALUES", 100)
+    assert quality.distinct_counts(df, names) == want
+    # at the border of a tenth the sketch does not decide
+    for n, kind in ((200, "text"), (199, "categorical")):
+        rows = spark.range(2_000).selectExpr("id", f"concat('a value of more than twenty ', id % {n}) as c")
+        assert quality.type_map(rows, "id")["c"] == kind
+    assert quality.type_map(df.where("false"), "id")["c3"] == "categorical" and quality.task_types(df.where("false"), ["x"]).first()["n_unique"] == 0
+
+
+def test_first_values_skip_missing_cells(spark):
+    df = wide_table(spark).select("id", "c3", "c4")
+    got: dict = {}
+    for r in quality.first_values(df, "id", ["c3", "c4"]).collect():
+        got.setdefault(r["column_name"], set()).add(r["value"])
+    assert got == {"c3": {f"long and longer text {i}" for i in range(10)}, "c4": {f"late text of some words {i}" for i in range(1000, 1010)}}
