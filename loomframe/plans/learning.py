@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from loomframe.operators import ensemble, explain, history, metrics, models, neighbours, preprocess, scoring, split
+from loomframe.operators import ensemble, explain, history, metrics, models, neighbours, preprocess, scoring, split, treeparts
 from loomframe.plans import views
 from loomframe.plans.profiles import knn_sql
 from loomframe.plans.registry import Tables, num, query, union, whole
@@ -380,3 +380,40 @@ def score_file(t: Tables) -> DataFrame:
     source, sink = scratch_path(t.spark, "score-in") + ".csv", scratch_path(t.spark, "score-out") + ".csv"
     tables.write_table(rows, source)
     return scoring.score_file(t.spark, source, sink, rows.schema, model, "p_partkey")
+
+
+def _tree_part_sql() -> str:
+    """Path-dependent attributions of the depth-2 tree over two flags, from its four groups.
+
+    The root splits on the flag that explains more; the other flag is split below it, so
+    without the root flag a row follows both sides by their size.
+    """
+    rows = "(select p_partkey, p_retailprice as y, cast(p_size > 25 as int) as big, cast(length(p_name) > 18 as int) as long from part)"
+    return f"""with p as {rows},
+g as (select big, long, avg(y) as m, count(*) as n from p group by 1, 2),
+t as (select avg(y) as m, count(*) as n from p),
+a as (select big, avg(y) as m, count(*) as n from p group by 1),
+b as (select long, avg(y) as m, count(*) as n from p group by 1),
+r as (select (select sum(a.n * (a.m - t.m) * (a.m - t.m)) from a, t) >= (select sum(b.n * (b.m - t.m) * (b.m - t.m)) from b, t) as big_first),
+f as (select p.*, t.m as f0, g.m as f12, case when big_first then a.m else (select sum(b2.n * coalesce(g2.m, b2.m)) / t.n from b b2 left join g g2 on g2.long = b2.long and g2.big = p.big) end as f1,
+ case when big_first then (select sum(a2.n * coalesce(g2.m, a2.m)) / t.n from a a2 left join g g2 on g2.big = a2.big and g2.long = p.long) else b.m end as f2
+ from p join g using (big, long) join a using (big) join b using (long), t, r),
+c as (select *, (f1 - f0 + f12 - f2) / 2 as c1, (f2 - f0 + f12 - f1) / 2 as c2 from f)
+select {whole('p_partkey', 'p_partkey')}, {num('f0', 'base')}, {num('f12', 'output')}, feature, {num('case when feature = ' + "'big'" + ' then big else long end', 'value')},
+ {num('case when feature = ' + "'big'" + ' then c1 else c2 end', 'contribution')} from c cross join (values ('big'), ('long')) as v(feature)"""
+
+
+@query("attribution_tree", _tree_part_sql())
+def attribution_tree(t: Tables) -> DataFrame:
+    flag = lambda test: test.cast("double")
+    rows = t.part.select("p_partkey", F.col("p_retailprice").alias("y"), flag(F.col("p_size") > 25).alias("big"), flag(F.length("p_name") > 18).alias("long"))
+    model = models.fit_model(rows, ["big", "long"], "y", "random_forest", "regression", {"n_estimators": 1, "max_depth": 2, "bootstrap": False})
+    return treeparts.tree_attributions(rows, "p_partkey", ["big", "long"], model)
+
+
+@query("attribution_forest")
+def attribution_forest(t: Tables) -> DataFrame:
+    """Exact contributions in a forest; base and contributions add up to the prediction."""
+    rows = part_rows(t)
+    model = models.fit_model(rows, list(WEIGHTS), "y", "random_forest", "regression")
+    return treeparts.tree_attributions(rows, "p_partkey", list(WEIGHTS), model)
