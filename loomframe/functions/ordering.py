@@ -8,6 +8,7 @@ bounded by the number of buckets.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.ml.feature import Bucketizer
@@ -61,6 +62,45 @@ def _bucketize(df: DataFrame, source: Column, edges: list[float], out: str) -> D
     return stage.transform(df.withColumn(temp, source)).drop(temp)
 
 
+# moduli of the two mixing steps; products of what is below them and a key fit into 64 bits
+MIX_PRIMES = (2_147_483_647, 2_147_483_629)
+MIX_ROUNDS = 4
+
+
+def permutation_keys(seed: str | int) -> list[tuple[int, int, int]]:
+    """Three numbers for each round of ``permuted``, drawn from the seed."""
+    draw = lambda i, j: 1 + int(hashlib.md5(f"{seed}:{i}:{j}".encode()).hexdigest()[:7], 16)
+    return [(draw(i, 0), draw(i, 1), draw(i, 2)) for i in range(MIX_ROUNDS)]
+
+
+def permutation_sides(n: int) -> tuple[int, int]:
+    """Sides of the smallest near-square that holds ``n`` places."""
+    a = max(1, math.isqrt(max(n - 1, 0)) + 1)
+    return a, max(1, -(-n // a))
+
+
+def permuted(place: Column, n: int, keys: list[tuple]) -> Column:
+    """A keyed bijection of 0..n-1, computed for each place on its own; keys are numbers or columns.
+
+    A place is written as row and column of a near-square; rounds add a mix of the one
+    to the other, which can be undone whatever the mix. Results beyond ``n`` (less than
+    one in a row's length) go through it again until they are below.
+    """
+    a, b = permutation_sides(n)
+
+    def once(x: Column) -> Column:
+        side = [F.floor(x / F.lit(b)).cast("long"), (x % F.lit(b)).cast("long")]
+        for i, (k, add, last) in enumerate(keys):
+            own, other, width = i % 2, 1 - i % 2, b if i % 2 else a
+            u = (side[other] * k + add) % F.lit(MIX_PRIMES[0])
+            side[own] = (side[own] + (u * last + add) % F.lit(MIX_PRIMES[1])) % F.lit(width)
+        return side[0] * b + side[1]
+
+    first = once(place.cast("long"))
+    again = F.aggregate(F.sequence(F.lit(1), F.lit(64)), first, lambda x, _: F.when(x < n, x).otherwise(once(x)))
+    return F.when(first < n, first).otherwise(F.when(again < n, again).otherwise(F.raise_error(F.lit("no place found")).cast("long")))
+
+
 def _shares(count: int) -> list[float]:
     return [i / count for i in range(1, count)]
 

@@ -12,8 +12,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomframe.functions import columns as C
-from loomframe.functions.ordering import seeded_rank
+from loomframe.functions.ordering import MIX_ROUNDS, permutation_keys, permuted, seeded_rank
 from loomframe.operators import metrics, models, quality
+from loomframe.session import materialize
 
 
 def builtin_importance(spark, model: PipelineModel, features: list[str]) -> DataFrame:
@@ -50,23 +51,29 @@ def permutation_importance(
 ) -> DataFrame:
     """Mean and spread of the score drop when one feature is shuffled.
 
-    Receivers and donors are both ranked in seeded hash order and joined on
-    the rank, which is a distributed shuffle of the column: every rank is
-    found in hash buckets, no window spans the table.  ``predict`` adds a
-    ``pred`` column, so an expression and a fitted model both fit.
+    Rows are ranked once in seeded hash order. For each feature and repeat a keyed
+    bijection says to which rank a row's value goes, so only (rank, value) moves, and
+    rows meet all values meant for them in one join. ``predict`` adds a ``pred``
+    column, so an expression and a fitted model both fit.
     """
     base = df.select(key, y, *features)
     reference = predict(base).agg(_score(metric, y).alias("s")).first()["s"]
-    turns = F.explode(
-        F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat")) for f in features for r in range(repeats)])
-    )
-    receivers = seeded_rank(base, seed, key, out="rn").withColumn("turn", turns).select("*", "turn.feature", "turn.repeat").drop("turn")
-    picked = F.coalesce(*[F.when(F.col("feature") == f, F.col(f).cast("double")) for f in features])
-    donors = base.withColumn("turn", turns).select(key, "turn.feature", "turn.repeat", *features)
-    tag = F.concat_ws(":", F.col("repeat").cast("string"), F.col("feature"), F.col(key).cast("string"))
-    donors = donors.select("feature", "repeat", picked.alias("donor"), tag.alias("tag"))
-    donors = seeded_rank(donors, seed, "tag", by=["feature", "repeat"], out="rn")
-    mixed = receivers.join(donors, ["feature", "repeat", "rn"])
+    # read by both sides of the join
+    ranked = materialize(seeded_rank(base, seed, key, out="rn").withColumn("place", F.col("rn") - 1).drop("rn"), "permutation")
+    n_rows = ranked.count()
+    turns = [(f, r) for f in features for r in range(repeats)]
+    names = [(f"k{i}", f"add{i}", f"last{i}") for i in range(MIX_ROUNDS)]
+    rows = []
+    for i, (f, r) in enumerate(turns):
+        keys = [F.lit(x).cast("long").alias(c) for part, triple in zip(names, permutation_keys(f"{seed}:{r}:{f}")) for c, x in zip(part, triple)]
+        rows.append(F.struct(F.lit(i).alias("turn"), *keys, F.col(f).cast("double").alias("value")))
+    goal = permuted(F.col("place"), n_rows, [tuple(F.col(c) for c in part) for part in names])
+    moves = ranked.select("place", F.inline(F.array(*rows))).select(goal.alias("to"), "turn", "value")
+    # a value for each feature and repeat
+    given = moves.groupBy("to").agg(F.map_from_entries(F.collect_list(F.struct("turn", "value"))).alias("given"))
+    met = ranked.join(given, F.col("place") == F.col("to"))
+    each = F.inline(F.array(*[F.struct(F.lit(i).alias("turn"), F.lit(f).alias("feature"), F.lit(r).alias("repeat")) for i, (f, r) in enumerate(turns)]))
+    mixed = met.select(key, y, *features, "given", each).withColumn("donor", F.element_at("given", F.col("turn"))).drop("given")
     swapped = mixed.withColumns({f: F.when(F.col("feature") == f, F.col("donor")).otherwise(F.col(f)) for f in features})
     drops = predict(swapped).groupBy("feature", "repeat").agg((F.lit(reference) - _score(metric, y)).alias("drop"))
     return drops.groupBy("feature").agg(F.avg("drop").alias("importance"), F.stddev_pop("drop").alias("std"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from loomframe.functions import ordering
 from loomframe.operators import ensemble, explain, history, metrics, models, neighbours, preprocess, scoring, split, treeparts
 from loomframe.plans import views
 from loomframe.plans.profiles import knn_sql
@@ -269,17 +270,39 @@ def importance_builtin(t: Tables) -> DataFrame:
 
 
 def _permutation_sql() -> str:
+    """The keyed bijection of ranks as ``permuted`` describes it, walked until it stays below n."""
     pred = "880 + 0.4 * {0} + 1.5 * {1}"
-    turns = ", ".join(f"('{f}', {r})" for f in WEIGHTS for r in range(5))
+    one, two = ordering.MIX_PRIMES
+    keys = [(f, r, *[k for part in ordering.permutation_keys(f"42:{r}:{f}") for k in part]) for f in WEIGHTS for r in range(5)]
+    turns = ", ".join(f"('{row[0]}', {', '.join(map(str, row[1:]))})" for row in keys)
+    names = "feature, rep, " + ", ".join(f"k{i}{j}" for i in range(ordering.MIX_ROUNDS) for j in range(3))
+
+    def mixed(i: int, source: str) -> str:
+        return f"((({source} * k{i}0 + k{i}1) % {one} * k{i}2 + k{i}1) % {two})"
+
+    def rounds(x: str, source: str) -> str:
+        """Four nested selects, a round each, over (row, column) of the place ``x``."""
+        inner = f"select *, {x} // b as s0, {x} % b as s1 from {source}"
+        for i in range(ordering.MIX_ROUNDS):
+            own, other, width = f"s{i % 2}", f"s{1 - i % 2}", "b" if i % 2 else "a"
+            inner = f"select * replace (({own} + {mixed(i, other)}) % {width} as {own}) from ({inner}) q{i}"
+        return inner
+
+    cells = f"place, n, a, b, {names}"
     size = "case when d.feature = 'p_size' then d.v else b.p_size end"
     name = "case when d.feature = 'name_length' then d.v else b.name_length end"
-    return f"""with p as materialized {PART_SQL},
-b as materialized (select *, row_number() over (order by md5('42:' || cast(p_partkey as varchar)), p_partkey) as rn from p),
-t as (select * from (values {turns}) v(feature, rep)),
-g as (select feature, rep, case feature when 'p_size' then p_size else name_length end as v, rep || ':' || feature || ':' || p_partkey as tag from p, t),
-d as (select *, row_number() over (partition by feature, rep order by md5('42:' || tag), tag) as rn from g),
+    return f"""with recursive p as materialized {PART_SQL},
+b as materialized (select *, row_number() over (order by md5('42:' || cast(p_partkey as varchar)), p_partkey) - 1 as place from p),
+z as (select n, a, cast(ceil(n / cast(a as double)) as bigint) as b from (select n, cast(floor(sqrt(n - 1)) as bigint) + 1 as a from (select count(*) as n from p) x) y),
+t as (select * from (values {turns}) v({names})),
+w as (
+ select {cells}, s0 * b + s1 as goal from ({rounds('place', '(select b.place, z.*, t.* from b, z, t)')}) first
+ union all
+ select {cells}, s0 * b + s1 from ({rounds('goal', '(select * from w where goal >= n)')}) again
+),
+d as (select w.feature, w.rep, w.goal, case w.feature when 'p_size' then b.p_size else b.name_length end as v from w join b using (place) where w.goal < w.n),
 r as (select 1 - avg(power(y - ({pred.format('p_size', 'name_length')}), 2)) / var_pop(y) as s from p),
-s as (select feature, rep, 1 - avg(power(y - ({pred.format(size, name)}), 2)) / var_pop(y) as s from d join b on d.rn = b.rn group by 1, 2)
+s as (select feature, rep, 1 - avg(power(y - ({pred.format(size, name)}), 2)) / var_pop(y) as s from d join b on d.goal = b.place group by 1, 2)
 select feature, {num('avg(r.s - s.s)', 'importance')}, {num('stddev_pop(r.s - s.s)', 'std')} from s, r group by 1"""
 
 

@@ -5,9 +5,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from loomframe.functions.ordering import global_row_number, order_index, seeded_rank
+from loomframe.functions.ordering import global_row_number, order_index, permutation_keys, permuted, seeded_rank
 from loomframe.functions.quantiles import exact_quantiles
-from loomframe.operators import features, metrics, neighbours, quality, split
+from loomframe.operators import explain, features, metrics, neighbours, quality, split
 from loomframe.streaming import jobs
 
 HOT = "cast(case when id % 3 = 0 then 7 else (id * 7919) % 10007 end as double)"
@@ -297,3 +297,33 @@ def test_first_values_skip_missing_cells(spark):
     for r in quality.first_values(df, "id", ["c3", "c4"]).collect():
         got.setdefault(r["column_name"], set()).add(r["value"])
     assert got == {"c3": {f"long and longer text {i}" for i in range(10)}, "c4": {f"late text of some words {i}" for i in range(1000, 1010)}}
+
+
+def test_permuted_places_are_a_bijection(spark):
+    seen = set()
+    for n in [*range(1, 40), 99, 100, 101, 1_000, 9_973]:
+        got = [r["to"] for r in spark.range(n).select(permuted(F.col("id"), n, permutation_keys(n)).alias("to")).collect()]
+        assert sorted(got) == list(range(n))
+        if n > 900:
+            assert abs(np.corrcoef(np.arange(n), got)[0, 1]) < 0.1 and sum(i == g for i, g in enumerate(got)) < 12
+    for seed in range(5):
+        seen.add(tuple(r["to"] for r in spark.range(50).select(permuted(F.col("id"), 50, permutation_keys(seed)).alias("to")).collect()))
+    assert len(seen) == 5
+
+
+def test_permutation_importance_moves_every_value(spark):
+    """Each repeat holds every value of the feature once, and other features stay."""
+    df = spark.range(300).selectExpr("id", "cast(id as double) as a", "if(id % 5 = 0, null, id * 2.0) as b", "id * 3.0 as y")
+    seen = []
+
+    def predict(rows):
+        if "repeat" in rows.columns:
+            seen.append(rows.groupBy("feature", "repeat").agg(F.sort_array(F.collect_list("a")).alias("a"), F.sort_array(F.collect_list("b")).alias("b"), F.sum(F.when(F.col("a") == F.col("id"), 1)).alias("own")).collect())
+        return rows.withColumn("pred", F.col("a") * 3)
+
+    got = {r["feature"]: r for r in explain.permutation_importance(df, "id", ["a", "b"], "y", predict, repeats=3).collect()}
+    assert got["b"]["importance"] == 0 and got["a"]["importance"] > 1
+    assert len(seen[0]) == 6
+    for r in seen[0]:
+        assert r["a"] == [float(i) for i in range(300)] and sorted(x for x in r["b"] if x is not None) == [2.0 * i for i in range(300) if i % 5]
+        assert r["own"] == 300 if r["feature"] == "b" else (r["own"] or 0) < 20
