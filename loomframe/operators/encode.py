@@ -9,12 +9,15 @@ from loomframe.functions.ordering import order_index
 from loomframe.session import materialize
 
 OTHER = "other"
+# categories that become columns of one table without being asked for
+MOST_CATEGORIES = 10_000
 
 
 def fit_onehot(df: DataFrame, names: list[str], max_categories: int | None = None) -> dict[str, dict]:
     """Sorted categories per column.
 
-    With ``max_categories`` only that many of the most frequent are kept (ties to
+    Every category becomes a column, so without ``max_categories`` a column with more
+    than MOST_CATEGORIES values is refused; onehot_cells needs no dictionary. With ``max_categories`` only that many of the most frequent are kept (ties to
     the smaller value) and the rest map to ``other``, at fit and at apply time
     alike.  All columns are counted in one shuffle of (column, value) pairs.
     """
@@ -23,7 +26,12 @@ def fit_onehot(df: DataFrame, names: list[str], max_categories: int | None = Non
         return state
     cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(names)])
     counts = df.select(F.inline(cells)).where(F.col("v").isNotNull()).groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
-    if max_categories is not None:
+    if max_categories is None:
+        counts = materialize(counts, "categories")
+        wide = counts.groupBy("i").count().where(F.col("count") > MOST_CATEGORIES).select("i").collect()
+        if wide:
+            raise ValueError(f"more than {MOST_CATEGORIES} categories in {[names[r['i']] for r in wide]}; name max_categories or use onehot_cells")
+    else:
         rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("n"), "v"))
         counts = counts.withColumn("rank", rank).where(F.col("rank") <= max_categories + 1)
     found: dict[int, list] = {i: [] for i in range(len(names))}
@@ -53,6 +61,12 @@ def apply_onehot(df: DataFrame, state: dict[str, dict], unknown: str = "ignore",
     return encoded.drop(*state) if drop else encoded
 
 
+def onehot_cells(df: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """Sparse form for any number of categories: (key, feature, category), without a fit."""
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("category")) for c in names])
+    return df.select(key, F.inline(cells)).where(F.col("category").isNotNull())
+
+
 def onehot_long(df: DataFrame, key: str, state: dict[str, dict]) -> DataFrame:
     """Sparse form: (key, feature, category) for each hot cell only."""
     cells = []

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import json
+import zlib
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomframe.functions import text as X
-from loomframe.session import spread
+from loomframe.functions.ordering import order_index
+from loomframe.session import materialize, spread
+
+
+# terms of a bounded vocabulary that share a slot of its lookup, on average
+SLOT_TERMS = 4
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Terms in alphabetical order with their idf; at most ``max_features`` if that was asked for."""
+    """At most ``max_features`` terms in alphabetical order with their idf."""
 
     terms: list[str]
     idf: list[float]
@@ -21,11 +28,37 @@ class Vocabulary:
     plain: bool
     stop_words: list[str]
 
+    def slots(self) -> tuple[Column, int]:
+        """The terms by a hash, as one constant: arrays of (term, place, idf)."""
+        n = max(1, len(self.terms) // SLOT_TERMS)
+        table: list[list[dict]] = [[] for _ in range(n)]
+        for i, (term, idf) in enumerate(zip(self.terms, self.idf)):
+            table[zlib.crc32(term.encode()) % n].append({"t": term, "i": i, "v": idf})
+        return F.from_json(F.lit(json.dumps(table)), "array<array<struct<t:string,i:bigint,v:double>>>"), n
+
     def known_terms(self, df: DataFrame, text: Column, out: str) -> DataFrame:
-        """Counts of the vocabulary's terms in each text."""
+        """(term, tf, feature, idf) of the vocabulary's terms in each text; a term is looked up once a text."""
+        table, n = self.slots()
         found = analyse(df, text, self.bigrams, self.plain, self.stop_words)
-        kept = F.filter("__terms", lambda w: w.isin(self.terms))
-        return X.count_terms(found, kept, out).drop("__terms")
+        counted = X.count_terms(found, F.col("__terms"), "__all").drop("__terms")
+
+        def look_up(s: Column) -> Column:
+            slot = F.get(table, F.pmod(F.crc32(s["term"]), F.lit(n)).cast("int"))
+            return F.struct(s["term"].alias("term"), s["tf"].alias("tf"), F.get(F.filter(slot, lambda x: x["t"] == s["term"]), F.lit(0)).alias("hit"))
+
+        hits = counted.withColumn("__hits", F.filter(F.transform("__all", look_up), lambda s: s["hit"].isNotNull())).drop("__all")
+        flat = F.transform("__hits", lambda s: F.struct(s["term"].alias("term"), s["tf"].alias("tf"), s["hit"]["i"].alias("feature"), s["hit"]["v"].alias("idf")))
+        return hits.withColumn(out, flat).drop("__hits")
+
+
+@dataclass(frozen=True)
+class TermTable:
+    """A vocabulary without a bound: (term, feature, idf) as a table, which texts are joined with."""
+
+    rows: DataFrame
+    bigrams: bool
+    plain: bool
+    stop_words: list[str]
 
 
 def analyse(df: DataFrame, text: Column, bigrams: bool, plain: bool, stop_words: list[str] | None) -> DataFrame:
@@ -44,9 +77,11 @@ def fit_tfidf(
     bigrams: bool = False,
     plain: bool = False,
     stop_words: list[str] | None = None,
-) -> Vocabulary:
+) -> Vocabulary | TermTable:
     """Vocabulary of a corpus made of all given text columns, stacked.
 
+    With ``max_features`` it is a bounded list; without, a table, and nothing is collected.
+
     Terms are flagged where they first occur in a document, so one pass with
     map-side counts gives both corpus and document frequency; the shuffle
     holds one row per term and task, not one per (document, term).
@@ -63,42 +98,45 @@ def fit_tfidf(
         .agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
         .where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
     )
-    top = counted if max_features is None else counted.orderBy(F.desc("total"), "term").limit(max_features)
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0
+    if max_features is None:
+        terms = materialize(counted.select("term", idf.alias("idf")), "terms")
+        numbered = order_index(terms, "term", "feature").withColumnRenamed("value", "term")
+        return TermTable(materialize(terms.join(numbered, "term").select("term", "feature", "idf"), "term-table"), bigrams, plain, list(stop_words))
+    top = counted.orderBy(F.desc("total"), "term").limit(max_features)
     rows = sorted((r["term"], r["idf"]) for r in top.select("term", idf.alias("idf")).collect())
     return Vocabulary([t for t, _ in rows], [i for _, i in rows], bigrams, plain, list(stop_words))
 
 
-def apply_tfidf(df: DataFrame, key: str, text: Column, vocabulary: Vocabulary) -> DataFrame:
+def apply_tfidf(df: DataFrame, key: str, text: Column, vocabulary: Vocabulary | TermTable) -> DataFrame:
     """Long (key, feature, term, weight) rows, unit length per document.
 
-    Counting, weighting and the norm all happen inside the row.
+    With a bounded vocabulary counting, weighting and the norm all happen inside the
+    row; with a table of terms the counts are joined with it.
     """
-    terms = F.array(*[F.lit(t) for t in vocabulary.terms])
-    idf = F.array(*[F.lit(i) for i in vocabulary.idf])
-    known = vocabulary.known_terms(spread(df.select(key, text.alias("__text"))), F.col("__text"), "__counts")
-    weighted = F.transform(
-        "__counts",
-        lambda s: F.struct(
-            s["term"].alias("term"),
-            (F.array_position(terms, s["term"]) - 1).alias("feature"),
-            (s["tf"] * F.element_at(idf, F.array_position(terms, s["term"]).cast("int"))).alias("w"),
-        ),
-    )
+    shown = [key, F.col("feature").cast("bigint").alias("feature"), "term", (F.col("w") / F.col("__norm")).alias("weight")]
+    texts = spread(df.select(key, text.alias("__text")))
+    if isinstance(vocabulary, TermTable):
+        found = analyse(texts, F.col("__text"), vocabulary.bigrams, vocabulary.plain, vocabulary.stop_words)
+        counts = X.count_terms(found, F.col("__terms"), "__counts").select(key, F.inline_outer("__counts")).where(F.col("term").isNotNull())
+        weighted = counts.join(vocabulary.rows, "term").withColumn("w", F.col("tf") * F.col("idf"))
+        return weighted.withColumn("__norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))).select(*shown)
+    known = vocabulary.known_terms(texts, F.col("__text"), "__counts")
+    weighted = F.transform("__counts", lambda s: F.struct(s["term"].alias("term"), s["feature"].alias("feature"), (s["tf"] * s["idf"]).alias("w")))
     # inline_outer: a plain inline adds a size filter that the optimizer pushes
     # down through the staged columns, undoing the staging
     rows = known.select(F.col(key), weighted.alias("ws"))
     norm = F.sqrt(F.aggregate("ws", F.lit(0.0), lambda a, s: a + s["w"] * s["w"]))
-    terms_of = rows.select(key, norm.alias("__norm"), F.inline_outer("ws")).where(F.col("term").isNotNull())
-    return terms_of.select(key, F.col("feature").cast("bigint").alias("feature"), "term", (F.col("w") / F.col("__norm")).alias("weight"))
+    return rows.select(key, norm.alias("__norm"), F.inline_outer("ws")).where(F.col("term").isNotNull()).select(*shown)
 
 
 def tfidf_columns(df: DataFrame, key: str, text: Column, vocabulary: Vocabulary, prefix: str) -> DataFrame:
     """One column per term, for model input; built from the row, no pivot."""
-    terms = F.array(*[F.lit(t) for t in vocabulary.terms])
-    pairs = F.transform("__counts", lambda s: F.struct(F.array_position(terms, s["term"]), s["tf"]))
+    if isinstance(vocabulary, TermTable):
+        raise ValueError("columns need a bounded vocabulary; name max_features")
+    pairs = F.transform("__counts", lambda s: F.struct(s["feature"], s["tf"]))
     named = vocabulary.known_terms(df, text, "__counts").withColumn("__tf", F.map_from_entries(pairs))
-    raw = [F.coalesce(F.element_at("__tf", F.lit(i + 1).cast("bigint")), F.lit(0)) * F.lit(v) for i, v in enumerate(vocabulary.idf)]
+    raw = [F.coalesce(F.element_at("__tf", F.lit(i).cast("bigint")), F.lit(0)) * F.lit(v) for i, v in enumerate(vocabulary.idf)]
     named = named.withColumn("__w", F.array(*raw)).withColumn("__n", F.sqrt(F.aggregate("__w", F.lit(0.0), lambda a, w: a + w * w)))
     unit = {f"{prefix}{i}": F.when(F.col("__n") > 0, F.get("__w", F.lit(i)) / F.col("__n")).otherwise(0.0) for i in range(len(raw))}
     return named.withColumns(unit).drop("__counts", "__tf", "__w", "__n")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomframe.functions.ordering import global_row_number, order_index, permutation_keys, permuted, seeded_rank
 from loomframe.functions.quantiles import exact_quantiles
-from loomframe.operators import explain, features, metrics, neighbours, quality, split
+from loomframe.operators import encode, explain, features, metrics, neighbours, quality, split, textfeatures
 from loomframe.streaming import jobs
 
 HOT = "cast(case when id % 3 = 0 then 7 else (id * 7919) % 10007 end as double)"
@@ -327,3 +327,24 @@ def test_permutation_importance_moves_every_value(spark):
     for r in seen[0]:
         assert r["a"] == [float(i) for i in range(300)] and sorted(x for x in r["b"] if x is not None) == [2.0 * i for i in range(300) if i % 5]
         assert r["own"] == 300 if r["feature"] == "b" else (r["own"] or 0) < 20
+
+
+def test_vocabulary_as_a_table_gives_the_same_weights(spark):
+    rows = spark.range(300).selectExpr("id", "if(id % 50 = 0, null, concat('café term', id % 7, ' word', id % 40, ' ', 'same same \u65e5\u672c t', id)) as t")
+    some = textfeatures.fit_tfidf(rows, [F.col("t")], 10_000, 1, bigrams=True)
+    table = textfeatures.fit_tfidf(rows, [F.col("t")], None, 1, bigrams=True)
+    assert isinstance(table, textfeatures.TermTable) and table.rows.count() == len(some.terms) > 500
+    both = [{(r["id"], r["feature"], r["term"]): r["weight"] for r in textfeatures.apply_tfidf(rows, "id", F.col("t"), v).collect()} for v in (some, table)]
+    assert both[0].keys() == both[1].keys() and all(both[1][k] == pytest.approx(w) for k, w in both[0].items())
+    with pytest.raises(ValueError):
+        textfeatures.tfidf_columns(rows, "id", F.col("t"), table, "t_")
+
+
+def test_a_million_values_are_not_collected(spark):
+    df = spark.range(1_000_000).selectExpr("id", "concat('v', id) as c", "id % 3 as d")
+    with pytest.raises(ValueError, match="c"):
+        encode.fit_onehot(df, ["d", "c"])
+    assert encode.onehot_cells(df, "id", ["c", "d"]).count() == 2_000_000
+    assert encode.fit_onehot(df, ["d"])["d"]["columns"] == ["0", "1", "2"]
+    table = textfeatures.fit_tfidf(df.where("id < 200000"), [F.col("c")], None, 1)
+    assert isinstance(table, textfeatures.TermTable) and table.rows.agg(F.max("feature")).first()[0] == 199_999
