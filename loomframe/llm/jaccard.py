@@ -12,8 +12,9 @@ Texts are never shuffled, and no group of similar documents becomes all of its p
    two sets can share; pairs that cannot link go. One pair for each set is verified
    on the shingles themselves, and the links found give components.
 4. Of the other pairs, and of those that step 2 left out in long lists, only pairs whose
-   members are still in different components can change the result; they are
-   verified until no such pair is left.
+   members are still in different components can change the result. The pairs are
+   verified until no such pair is left; then long lists are dealt into parts, and a
+   task compares two parts on their sets, so that links leave it and no pairs.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ ENTRIES, BLOCK = 1_000_000, 1_000_000
 THINNED = 1
 #: Longest list that gives all its pairs at once.
 SHORT = 8
-#: Members of a part of a long list, two of which a task compares, and pairs that leave it at once.
-PART, EMITTED = 2_000, 500_000
+#: Members of a part of a long list, two of which a task compares, and their shingles.
+PART, PART_SHINGLES = 2_000, 1_000_000
 #: Bytes of a shingle's hash that the comparison reads; a wrong match of two of
 #: n shingles has the chance n * n / 2^48.
 KEPT_BYTES = 6
@@ -385,14 +386,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if rounds <= THINNED:
                 rounds = THINNED
                 continue
-            # Lists are opened only when no known pair can join two components any more.
-            fresh = open_in_lists(lists, found, readers) if done is None else open_in_lists(lists, found, readers).join(done, ["a", "b"], "left_anti")
-            fresh = materialize(fresh, "open-in-lists")
-            if fresh.isEmpty():
-                break
-            pairs = materialize(pairs.unionByName(fresh), "set-pairs")
-            sets = materialize(sets.unionByName(sets_of(named_docs, readers, fresh)).dropDuplicates(["sid"]), "shingle-sets")
-            continue
+            # Lists are compared only when no known pair can join two components any more; that settles them.
+            opened = materialize(links_in_lists(lists, found, readers, named_docs), "list-links")
+            if not opened.isEmpty():
+                found = materialize(components(opened if links is None else links.unionByName(opened)), "set-components")
+            break
         found_links = verify(fresh, sets).distinct()
         links = materialize(found_links if links is None else links.unionByName(found_links), "set-links")
         done = fresh if done is None else materialize(done.unionByName(fresh), "pairs-verified")
@@ -429,16 +427,22 @@ def sets_of(docs: DataFrame, readers: DataFrame, pairs: DataFrame) -> DataFrame:
     return fetch_sets(docs, materialize(readers.join(wanted, "sid", "left_semi").select("id"), "sets-wanted"))
 
 
-def cross_pairs(names: np.ndarray, n: np.ndarray, component: np.ndarray, part: np.ndarray, maps: list[bytes], within: bool) -> Iterator[np.ndarray]:
-    """Pairs in different components that neither their sizes nor their bit maps rule out, in batches; of different parts unless ``within``."""
+def cross_links(names: list[int], n: np.ndarray, component: np.ndarray, part: np.ndarray, maps: list[bytes], bodies: list[bytes], within: bool) -> list[tuple[int, int]]:
+    """Links between members in different components, as many as join them; between different parts unless ``within``.
+
+    Sizes and bit maps rule most pairs out, sets decide the rest. Members that a link
+    found here has joined already are not compared.
+    """
     order = np.argsort(n, kind="stable")
-    names, n, component, part, maps = names[order], n[order], component[order], part[order], [maps[k] for k in order]
+    names, n, part, maps, bodies = [names[k] for k in order], n[order], part[order], [maps[k] for k in order], [bodies[k] for k in order]
+    _, root = np.unique(component[order], return_inverse=True)
     rows: dict[int, list[int]] = {}
     for k, body in enumerate(maps):
         rows.setdefault(len(body), []).append(k)
     places = {size: np.array(k) for size, k in rows.items()}
     stacked = {size: np.stack([np.frombuffer(maps[k], np.uint64) for k in own]) for size, own in rows.items()}
-    out, held = [], 0
+    sets: dict[int, np.ndarray] = {}
+    links = []
     for k, body in enumerate(maps):
         mine = np.frombuffer(body, np.uint64)
         # Sizes are ascending, so a partner's map is as long or twice as long.
@@ -446,7 +450,7 @@ def cross_pairs(names: np.ndarray, n: np.ndarray, component: np.ndarray, part: n
             if size not in places:
                 continue
             at = places[size]
-            near = np.flatnonzero((at > k) & (component[at] != component[k]) & (within | (part[at] != part[k])) & fits(n[k], n[at]))
+            near = np.flatnonzero((at > k) & (root[at] != root[k]) & (within | (part[at] != part[k])) & fits(n[k], n[at]))
             if not len(near):
                 continue
             others = stacked[size][near]
@@ -455,46 +459,59 @@ def cross_pairs(names: np.ndarray, n: np.ndarray, component: np.ndarray, part: n
                 others = others[:, :half] | others[:, half:]
             m = n[at[near]]
             most = np.minimum(n[k] - np.bitwise_count(mine & ~others).sum(1), m - np.bitwise_count(others & ~mine).sum(1))
-            may = at[near][7 * most >= 3 * (n[k] + m)]
-            out.append(np.column_stack([np.minimum(names[k], names[may]), np.maximum(names[k], names[may])]))
-            held += len(may)
-        if held >= EMITTED:
-            yield np.concatenate(out)
-            out, held = [], 0
-    if held:
-        yield np.concatenate(out)
+            for j in at[near][7 * most >= 3 * (n[k] + m)].tolist():
+                if root[j] == root[k]:
+                    continue
+                for x in (k, j):
+                    if x not in sets:
+                        sets[x] = unpack(bodies[x])
+                common = overlap(sets[k], sets[j])
+                if 4 * common >= 3 * (len(sets[k]) + len(sets[j]) - common):
+                    links.append((min(names[k], names[j]), max(names[k], names[j])))
+                    root[root == root[j]] = root[k]
+    return links
 
 
 def deal_lists(placed: DataFrame) -> DataFrame:
     """The rows of lists that lie in several components, once for each pair (low, high) of parts they are compared in."""
-    kinds = placed.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c"))
-    mixed = kinds.filter("low <> high").select("list", F.ceil(F.col("c") / PART).cast("int").alias("parts"))
+    kinds = placed.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c"), F.sum("n").alias("shingles"))
+    parts = F.greatest(F.ceil(F.col("c") / PART), F.ceil(F.col("shingles") / PART_SHINGLES)).cast("int")
+    mixed = kinds.filter("low <> high").select("list", parts.alias("parts"))
     rows = placed.join(mixed, "list").withColumn("part", F.pmod(F.xxhash64(F.lit(7), "s"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return rows.select("list", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "s", "component")
+    return rows.select("list", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "s", "n", "component")
+
 
+def links_in_lists(lists: DataFrame, found: DataFrame, names: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) within long lists that join components; a task compares two parts of a list, on their sets.
 
-def open_in_lists(lists: DataFrame, found: DataFrame, names: DataFrame) -> DataFrame:
-    """Pairs of a long list in different components that may link; a task compares two parts of a list."""
+    Only links leave a task, fewer than it has members.
+    """
     placed = lists.join(found.select(F.col("node").alias("s"), "component"), "s", "left").withColumn("component", F.coalesce("component", "s"))
-    placed = deal_lists(placed).join(names.select(F.col("sid").alias("s"), F.col("n").alias("size"), "bits"), "s")
+    dealt = materialize(deal_lists(placed), "lists-dealt")
+    wanted = dealt.select(F.col("s").alias("sid")).distinct()
+    readers = materialize(names.join(wanted, "sid", "left_semi"), "list-members")
+    bodies = fetch_sets(docs, readers).join(readers.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
+    known = materialize(readers.select("sid", "bits").join(bodies, "sid").withColumnRenamed("sid", "s"), "list-sets")
+    dealt = dealt.join(known, "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(key: tuple, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            name, size, component, part, maps = zip(*rows)
-            for pairs in cross_pairs(*(np.array(x, np.int64) for x in (name, size, component, part)), list(maps), key[1] == key[2]):
-                yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        def close(key: list, rows: list[tuple]) -> pa.RecordBatch:
+            name, size, component, part, maps, bodies = zip(*rows)
+            links = cross_links(list(name), *(np.array(x, np.int64) for x in (size, component, part)), list(maps), list(bodies), key[1] == key[2])
+            return pa.record_batch([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
 
         last, rows = None, []
         for batch in batches:
-            for *key, name, size, component, part, bits in zip(*(batch.column(c).to_pylist() for c in ("list", "low", "high", "s", "size", "component", "part", "bits"))):
+            for *key, name, size, component, part, bits, body in zip(*(batch.column(c).to_pylist() for c in ("list", "low", "high", "s", "n", "component", "part", "bits", "body"))):
                 if key != last and rows:
-                    yield from close(last, rows)
+                    yield close(last, rows)
                     rows = []
                 last = key
-                rows.append((name, size, component, part, bits))
+                rows.append((name, size, component, part, bits, body))
         if rows:
-            yield from close(last, rows)
+            yield close(last, rows)
+        release()
 
-    dealt = placed.select("list", "low", "high", "s", "size", "component", "part", "bits").repartition("list", "low", "high").sortWithinPartitions("list", "low", "high")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    ready = dealt.select("list", "low", "high", "s", "n", "component", "part", "bits", "body").repartition("list", "low", "high").sortWithinPartitions("list", "low", "high")
+    return ready.mapInArrow(run, "a long, b long").distinct()

@@ -106,16 +106,46 @@ def test_near_duplicates_of_a_large_group(spark, monkeypatch, short, counted, bl
     assert near(documents(spark, rows, 5)) == plain_components(rows)
 
 
-def test_long_lists_are_dealt_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "PART", 10)
-    members, bits = range(100), jaccard.bit_map(np.arange(20, dtype=np.uint64))
-    lists = spark.createDataFrame([(1, s) for s in members] + [(2, 0)], "list long, s long")
-    found = spark.createDataFrame([(s, s % 2) for s in members], "node long, component long")
-    names = spark.createDataFrame([(s, 20, bytearray(bits)) for s in members], "sid long, n long, bits binary")
-    dealt = jaccard.deal_lists(lists.withColumn("component", F.col("s") % 2))
-    assert max(r["count"] for r in dealt.groupBy("list", "low", "high").count().collect()) < 50
-    got = [(r["a"], r["b"]) for r in jaccard.open_in_lists(lists, found, names).collect()]
-    assert sorted(got) == [(a, b) for a in members for b in members if a < b and a % 2 != b % 2]
+def list_input(spark, texts):
+    """Documents, their set names, and one list that holds them all."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    names = jaccard.scan_sets(docs).filter("row").select("sid", "n", "id", "bits").cache()
+    return docs, names, names.select(F.lit(1).alias("list"), F.col("sid").alias("s"), "n")
+
+
+@pytest.mark.parametrize("part, shingles", [(10, 10**6), (10**6, 300), (10**6, 10**6)])
+def test_long_lists_are_dealt_in_parts(spark, monkeypatch, part, shingles):
+    monkeypatch.setattr(jaccard, "PART", part)
+    monkeypatch.setattr(jaccard, "PART_SHINGLES", shingles)
+    base = [f"w{k}" for k in range(30)]
+    docs, names, lists = list_input(spark, [" ".join([*base, f"own{k}"]) for k in range(100)])
+    dealt = jaccard.deal_lists(lists.withColumn("component", F.col("s")))
+    most = max(r["count"] for r in dealt.groupBy("list", "low", "high").count().collect())
+    assert most < 60 if part == 10 or shingles == 300 else most == 100
+    links = [(r["a"], r["b"]) for r in jaccard.links_in_lists(lists, spark.createDataFrame([], "node long, component long"), names, docs).collect()]
+    nodes = [r["sid"] for r in names.collect()]
+    assert set(smallest(links, nodes).values()) == {min(nodes)} and len(links) < 100 * 99 / 2
+    # members of one component are not compared
+    same = names.select(F.col("sid").alias("node"), F.lit(min(nodes)).alias("component"))
+    assert jaccard.links_in_lists(lists, same, names, docs).collect() == []
+
+
+def test_shared_passages_without_links_leave_no_pairs(spark, monkeypatch, n=100):
+    """Documents that share most of their text and are no duplicates meet in tasks; no pair leaves them."""
+    shared = " ".join(f"s{k}" for k in range(200))
+    texts = [shared + " " + " ".join(f"o{k}x{j}" for j in range(36)) for k in range(n)]
+    docs, names, lists = list_input(spark, texts)
+    assert jaccard.links_in_lists(lists, spark.createDataFrame([], "node long, component long"), names, docs).collect() == []
+    made, plain = {}, jaccard.materialize
+
+    def kept(df, label):
+        made[label] = plain(df, label)
+        return made[label]
+
+    monkeypatch.setattr(jaccard, "materialize", kept)
+    got = near_duplicates(docs.withColumnRenamed("id", "doc_id")).collect()
+    assert all(r["id"] == r["component_id"] for r in got) and len(got) == n
+    assert made["list-links"].count() == 0
 
 
 # Long repeats
