@@ -1,20 +1,26 @@
-"""Near-duplicate embeddings through overlapping cluster shards.
+"""Near-duplicate embeddings through robust-pruned graphs on overlapping cluster shards.
 
 1. Equal unit vectors become one, weighted by how many they are.
 2. A bounded sample gives cluster centres for each vector length; every vector joins
-   its nearest few shards.
-3. The members of a shard are dealt into blocks of bounded size, and each pair of
-   blocks is compared in double precision, a bounded number of pairs at a time. So
-   every link within a shard is found, and a pair that meets in several shards counts
-   in the first one they share. Counts and local components leave a task, pairs never do.
-4. An audit compares a hundredth of the vectors with all others; while too few of their
-   links were found, the search is repeated with twice the overlap, and at last with
-   one shard for each length, which misses nothing.
+   its nearest few shards, and a shard is dealt into blocks of bounded size.
+3. Each block builds a flat graph: the nearest candidates of a vector, pruned so that
+   the neighbours kept point in different directions. The adjacency lists of a vector
+   from all its shards are united.
+4. Each pair of blocks of a shard is searched: the members of one walk greedily over the
+   graph of the other from its medoid, and from their own node where they have one, then
+   expand through everything within range. What is found is verified by cosine in
+   double precision; a link found from either end holds for both, and a pair that meets
+   in several shards counts in the first one they share. Counts and local components
+   leave a task, pairs never do.
+5. An audit compares vectors with all others; while too few of their links were found,
+   the search is repeated with twice the overlap and beam. Where that does not help, the
+   blocks of one shard for each length are compared in full, which misses nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +31,17 @@ from pyspark.sql import DataFrame, functions as F
 from loomframe.llm.components import components
 from loomframe.session import materialize
 
-#: Vectors that the centres are fitted on (documented bound), vectors a centre stands
-#: for, and centres at most: their table is what every executor gets.
-SAMPLE, PER_SHARD, MOST_SHARDS = 20_000, 1_000, 65_536
-#: Members of a block; larger shards are cut into blocks, and a task compares two of them.
+_LOG = logging.getLogger(__name__)
+
+#: Vectors that the centres are fitted on (documented bound; so there are no more centres,
+#: whose table is what every executor gets), and vectors a centre stands for.
+SAMPLE, PER_SHARD = 20_000, 1_000
+#: Members of a block; larger shards are cut into blocks, and a task searches one for another.
 BLOCK = 20_000
-#: Pairs that a task compares at a time.
-PAIRS = 2_000_000
+#: Candidates and neighbours of a node, slack of the pruning.
+CANDIDATES, DEGREE, SLACK = 48, 24, 1.2
+#: (query, node) pairs that a task keeps marks of, and pairs scored at a time.
+PAIRS, SCORED = 2_000_000, 200_000
 #: Equal vectors from which on their result is sent to every executor; so it has a row for every HOT vectors at most.
 HOT = 1_000
 #: Vectors that the audit compares with all others besides those with an identifier that
@@ -88,10 +98,10 @@ def fit_shards(sample: list[np.ndarray], counts: dict[int, int]) -> dict[int, tu
     drawn: dict[int, list[np.ndarray]] = {}
     for v in sample:
         drawn.setdefault(len(v), []).append(v)
-    out, first, total = {}, 0, sum(counts.values())
+    out, first = {}, 0
     for size, n in sorted(counts.items()):
         own = drawn.get(size, [])
-        k = min(len(own), -(-n // PER_SHARD), max(1, MOST_SHARDS * n // total))
+        k = min(len(own), -(-n // PER_SHARD))
         out[size] = (first, centres(np.stack(own), k) if k > 1 else None)
         first += max(1, k)
     return out
@@ -141,31 +151,199 @@ def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = root[label]
 
 
-def _spread(assigned: DataFrame, blocks: dict[int, int]) -> DataFrame:
-    """A row for each (shard, low, high) pair of blocks that a vector takes part in; ``own`` is its block."""
-    spark = assigned.sparkSession
+def pruned_graph(x: np.ndarray) -> np.ndarray:
+    """Robust-pruned neighbour places of each row of float32 units, -1 where there are fewer than DEGREE."""
+    m = len(x)
+    out = np.full((m, DEGREE), -1, np.int64)
+    wide = min(CANDIDATES, m - 1)
+    if wide < 1:
+        return out
+    step = max(1, min(512, PAIRS // m))
+    for a in range(0, m, step):
+        sims = x[a : a + step] @ x.T
+        rows = np.arange(len(sims))
+        sims[rows, a + rows] = -2
+        cand = np.argpartition(-sims, wide - 1, axis=1)[:, :wide]
+        far = 2 - 2 * np.take_along_axis(sims, cand, 1)
+        bodies = x[cand]
+        alive = np.ones(cand.shape, bool)
+        for k in range(min(DEGREE, wide)):
+            pick = np.where(alive, far, np.inf).argmin(1)
+            has = alive[rows, pick]
+            if not has.any():
+                break
+            out[a + rows[has], k] = cand[rows[has], pick[has]]
+            # A candidate nearer to the pick than, with slack, to the node is reached through it.
+            to_pick = 2 - 2 * np.einsum("ijk,ik->ij", bodies, bodies[rows, pick])
+            alive &= (SLACK * to_pick > far) & has[:, None]
+            alive[rows, pick] = False
+    return out
+
+
+class Graph:
+    """Mutual adjacency lists over the places of a block: ``ends[k]:ends[k + 1]`` of ``near`` are those of place k."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, lists: list[np.ndarray]):
+        m = len(ids)
+        node = np.repeat(np.arange(m), [len(one) for one in lists])
+        near = np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64)
+        order = np.argsort(ids)
+        at = order[np.minimum(np.searchsorted(ids, near, sorter=order), m - 1)]
+        here = (ids[at] == near) & (at != node)  # neighbours of other shards are not members
+        node, at = node[here], at[here]
+        # What points at a node can be reached from it.
+        both = np.unique(np.concatenate([node * m + at, at * m + node]))
+        self.near = both % m
+        self.ends = np.searchsorted(both // m, np.arange(m + 1))
+        self.x = x
+        self.medoid = int((x @ x.sum(0)).argmax())
+
+    def around(self, rows: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, neighbour) for each neighbour of each row's node."""
+        n = self.ends[nodes + 1] - self.ends[nodes]
+        first = np.repeat(self.ends[nodes] - (np.cumsum(n) - n), n)
+        return np.repeat(rows, n), self.near[first + np.arange(len(first))]
+
+
+def range_search(graph: Graph, queries: np.ndarray, own: np.ndarray, least: float, beam: int) -> np.ndarray:
+    """(query, node) marks of all nodes found within range. ``own`` is a query's node, or -1."""
+    m, q = len(graph.x), len(queries)
+    seen, near, expanded = np.zeros((q, m), bool), np.zeros((q, m), bool), np.zeros((q, m), bool)
+    wide = min(beam, m)
+    node, score = np.zeros((q, wide), np.int64), np.full((q, wide), -3, np.float32)
+    spent = np.ones((q, wide), bool)
+
+    def look(rows: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs not seen before, with their similarities."""
+        fresh = ~seen[rows, nodes]
+        rows, nodes = rows[fresh], nodes[fresh]
+        seen[rows, nodes] = True
+        sims = np.empty(len(rows), np.float32)
+        for at in range(0, len(rows), SCORED):
+            part = slice(at, at + SCORED)
+            sims[part] = np.einsum("ij,ij->i", queries[rows[part]], graph.x[nodes[part]])
+        hit = sims >= least - 1e-3  # single precision; what is found is verified in double
+        near[rows[hit], nodes[hit]] = True
+        return rows, nodes, sims
+
+    def push(rows: np.ndarray, nodes: np.ndarray) -> None:
+        """Put pairs into the beams of their queries, which keep their best."""
+        rows, nodes, sims = look(rows, nodes)
+        if not len(rows):
+            return
+        order = np.lexsort((-sims, rows))
+        rows, nodes, sims = rows[order], nodes[order], sims[order]
+        which, first, place = np.unique(rows, return_index=True, return_inverse=True)
+        rank = np.arange(len(rows)) - first[place]
+        place, nodes, sims, rank = (z[rank < wide] for z in (place, nodes, sims, rank))
+        shape = (len(which), int(rank.max()) + 1)
+        new_n, new_s, new_e = np.zeros(shape, np.int64), np.full(shape, -3, np.float32), np.ones(shape, bool)
+        new_n[place, rank], new_s[place, rank], new_e[place, rank] = nodes, sims, False
+        all_s = np.concatenate([score[which], new_s], 1)
+        top = np.argpartition(-all_s, wide - 1, axis=1)[:, :wide]
+        score[which] = np.take_along_axis(all_s, top, 1)
+        node[which] = np.take_along_axis(np.concatenate([node[which], new_n], 1), top, 1)
+        spent[which] = np.take_along_axis(np.concatenate([spent[which], new_e], 1), top, 1)
+
+    active = np.arange(q)
+    push(active, np.full(q, graph.medoid))
+    push(active[own >= 0], own[own >= 0])
+    while True:
+        # The best unexpanded node of each beam; a beam whose nodes are all expanded is finished.
+        best = np.where(spent[active], np.float32(-3), score[active]).argmax(1)
+        go = ~spent[active, best]
+        active, best = active[go], best[go]
+        if not len(active):
+            break
+        spent[active, best] = True
+        expanded[active, node[active, best]] = True
+        push(*graph.around(active, node[active, best]))
+    while True:
+        rows, nodes = np.nonzero(near & ~expanded)
+        if not len(rows):
+            return near
+        expanded[rows, nodes] = True
+        for at in range(0, len(rows), SCORED // DEGREE):
+            r, n = graph.around(rows[at : at + SCORED // DEGREE], nodes[at : at + SCORED // DEGREE])
+            pairs = np.unique((r * m + n)[~seen[r, n]])
+            look(pairs // m, pairs % m)
+
+
+def _blocks(assigned: DataFrame, blocks: dict[int, int]) -> DataFrame:
+    """A row for each shard of a vector, with the number ``n`` of its blocks and the vector's ``own``."""
     # One row for each shard of more than one block.
-    cut = spark.createDataFrame([(s, n) for s, n in blocks.items() if n > 1], "shard int, n int")
+    cut = assigned.sparkSession.createDataFrame([(s, n) for s, n in blocks.items() if n > 1], "shard int, n int")
     rows = assigned.withColumn("shard", F.explode("shards")).join(F.broadcast(cut), "shard", "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64(F.lit(7), "id"), F.col("n")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    return rows.select("shard", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "w", "unit", "shards")
+    return rows.withColumn("own", F.pmod(F.xxhash64(F.lit(7), "id"), F.col("n")).cast("int"))
 
 
-def search_shards(assigned: DataFrame, blocks: dict[int, int], least: float) -> DataFrame:
-    """(id, links, root) of the vectors with a link, for each pair of blocks they were compared in."""
+def build_lists(assigned: DataFrame, blocks: dict[int, int]) -> DataFrame:
+    """(id, near): the united adjacency lists of each vector, at most DEGREE neighbours from each of its few shards."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id", ignore_index=True)
+        ids = group["id"].to_numpy()
+        graph = pruned_graph(np.stack(group["unit"].to_numpy()))
+        return pd.DataFrame({"id": ids, "near": [ids[row[row >= 0]] for row in graph]})
+
+    rows = _blocks(assigned, blocks).select("shard", "own", "id", F.col("unit").cast("array<float>").alias("unit"))
+    built = rows.groupBy("shard", "own").applyInPandas(run, "id long, near array<long>")
+    return built.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+
+
+def _spread(assigned: DataFrame, blocks: dict[int, int]) -> DataFrame:
+    """A row for each (shard, low, high) pair of blocks that a vector takes part in; ``own`` is its block."""
+    rows = _blocks(assigned, blocks).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    # Only the nodes of the graph that is searched need their lists.
+    near = F.when(F.col("own") == high, F.col("near"))
+    return rows.select("shard", low.alias("low"), high.alias("high"), "own", "id", "w", "unit", "shards", near.alias("near"))
+
+
+def found_pairs(left: np.ndarray, right: np.ndarray, own: np.ndarray, graph: Graph | None, least: float, beam: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, marks of pairs with rows of ``right``) for runs of rows of ``left``, verified in double precision.
+
+    Without a graph all pairs are compared. Where the nodes themselves are the queries,
+    a pair found from either end is marked at both.
+    """
+    step = max(8, PAIRS // max(1, len(right)) // 8 * 8)
+    if graph is None:
+        for at in range(0, len(left), step):
+            yield at, left[at : at + step] @ right.T >= least
+        return
+    bits = []
+    for at in range(0, len(left), step):
+        mark = range_search(graph, left[at : at + step].astype(np.float32), own[at : at + step], least, beam)
+        r, c = np.nonzero(mark)
+        for k in range(0, len(r), SCORED):
+            i, j = r[k : k + SCORED], c[k : k + SCORED]
+            mark[i, j] = np.einsum("ij,ij->i", left[at + i], right[j]) >= least
+        bits.append(np.packbits(mark, axis=1))
+    packed = np.concatenate(bits)
+    for at in range(0, len(left), step):
+        mark = np.unpackbits(packed[at : at + step], axis=1, count=len(right)).view(bool)
+        if (own >= 0).all():
+            mark |= np.unpackbits(packed[:, at // 8 : -(-(at + len(mark)) // 8)], axis=1, count=len(mark)).view(bool).T
+        yield at, mark
+
+
+def search_shards(assigned: DataFrame, blocks: dict[int, int], least: float, beam: int | None) -> DataFrame:
+    """(id, links, root) of the vectors with a link, for each pair of blocks they were searched in; without ``beam`` compared in."""
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         shard, low, high = map(int, key)
         group = group.sort_values("id", ignore_index=True)
-        own, ids, weight = (group[c].to_numpy() for c in ("own", "id", "w"))
+        block, ids, weight = (group[c].to_numpy() for c in ("own", "id", "w"))
         units, shards = np.stack(group["unit"].to_numpy()), np.stack(group["shards"].to_numpy())
-        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        others = units[right].T
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
         links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        step = max(1, PAIRS // max(1, len(right)))
-        for at in range(0, len(left), step):
-            r, c = np.nonzero(units[left[at : at + step]] @ others >= least)
+        if not (len(left) and len(right)):
+            return pd.DataFrame({"id": [], "links": [], "root": []})
+        nodes = units[right]
+        graph = None if beam is None else Graph(nodes.astype(np.float32), ids[right], list(group["near"].iloc[right]))
+        own = np.arange(len(left)) if low == high else np.full(len(left), -1)
+        for at, mark in found_pairs(units[left], nodes, own, graph, least, beam or 0):
+            r, c = np.nonzero(mark)
             a, b = left[at + r], right[c]
             if low == high:
                 a, b = a[a < b], b[a < b]
@@ -207,27 +385,32 @@ def true_links(nodes: DataFrame, queries: pd.DataFrame, least: float) -> DataFra
     return nodes.select("id", "unit", "w").mapInArrow(run, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
 
 
-def audit_truth(nodes: DataFrame, least: float) -> DataFrame:
-    """(id, true) of the audited vectors that have a link to another distinct vector."""
-    some = nodes.orderBy(F.xxhash64("id"), "id").limit(AUDITED).select("id")
-    chosen = some.union(nodes.filter(F.col("id") % SHARE == 0).select("id")).distinct()
+def audit_truth(nodes: DataFrame, found: DataFrame, least: float) -> DataFrame:
+    """(id, true) of the audited vectors that have a link to another distinct vector.
+
+    Those are a share of all, some by hash, and some of those that ``found`` has a link
+    of, so that a table with few links has links to measure by.
+    """
+    some = [t.orderBy(F.xxhash64("id"), "id").limit(AUDITED).select("id") for t in (nodes, found)]
+    chosen = some[0].union(some[1]).union(nodes.filter(F.col("id") % SHARE == 0).select("id")).distinct()
     chosen = materialize(nodes.join(chosen, "id", "left_semi").select("id", "unit"), "audited")
     passes = max(1, -(-chosen.count() // AUDIT_PASS))
-    found = nodes.sparkSession.createDataFrame([], "id long, true long")
+    known = nodes.sparkSession.createDataFrame([], "id long, true long")
     for k in range(passes):
         queries = chosen.filter(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(passes)) == k).toPandas()
         if len(queries):
-            found = found.unionByName(materialize(true_links(nodes, queries, least), "audit-pass"))
-    return materialize(found.filter(F.col("true") > 0), "audit-truth")
+            known = known.unionByName(materialize(true_links(nodes, queries, least), "audit-pass"))
+    return materialize(known.filter(F.col("true") > 0), "audit-truth")
 
 
 def audit(truth: DataFrame, found: DataFrame) -> float:
-    """Share of its true links that ``found`` (id, links) holds of a vector, on average over those with a link."""
+    """Share of its true links that ``found`` (id, links) holds of a vector, on average over those with a link; 1 without any."""
     share = F.avg(F.least("true", F.coalesce("links", F.lit(0))) / F.col("true"))
-    return truth.join(found, "id", "left").agg(share).first()[0]
+    value = truth.join(found, "id", "left").agg(share).first()[0]
+    return 1.0 if value is None else value
 
 
-def near_vectors(table: DataFrame, least: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", overlap: int = 3, recall: float = 0.99, tries: int = 3) -> DataFrame:
+def near_vectors(table: DataFrame, least: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", overlap: int = 2, beam: int = 32, recall: float = 0.99, tries: int = 3) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept.
 
     Vectors link at a cosine of ``least`` or more, in double precision; never below
@@ -235,8 +418,8 @@ def near_vectors(table: DataFrame, least: float = 0.9, id_col: str = "vec_id", v
     Null, zero and non-finite vectors, vectors with a null component and null
     identifiers link with nothing. Rows that repeat an identifier are one vector
     (the smallest of them); each gets its result. The search ends when the audited
-    recall reaches ``recall``; after ``tries`` searches, each with twice the overlap of
-    the one before, all vectors of a length are compared with all.
+    recall, which is logged, reaches ``recall``; after ``tries`` searches, each with twice
+    the overlap and beam of the one before, all vectors of a length are compared with all.
     An empty table gives an empty result; other columns are not read.
     """
     every = materialize(unit_vectors(table, id_col, vec_col), "unit-vectors")
@@ -250,20 +433,26 @@ def near_vectors(table: DataFrame, least: float = 0.9, id_col: str = "vec_id", v
     # One row for each length; T components have at most the root of 2 T lengths.
     counts = {r["n"]: r["count"] for r in nodes.groupBy(F.size("unit").alias("n")).count().collect()}
     sample = nodes.orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(SAMPLE).select("unit").toPandas()
-    places = fit_shards(list(sample["unit"]), counts)
-    # All are compared with all beyond the last try, where it costs as little, and where no link is known to measure by.
-    cheap = [(overlap << k) ** 2 * PER_SHARD >= sum(counts.values()) for k in range(tries)] + [True]
-    truth = None if cheap[0] else audit_truth(nodes, least)
+    places, truth = fit_shards(list(sample["unit"]), counts), None
     for attempt in range(tries + 1):
-        wide = overlap << attempt
-        whole = cheap[attempt] or truth.isEmpty()
+        whole = attempt == tries
         if whole:
             places = {size: (k, None) for k, size in enumerate(sorted(counts))}
-        assigned = materialize(assign(nodes, places, wide), "shard-members")
+        assigned = materialize(assign(nodes, places, overlap << attempt), "shard-members")
         sizes = assigned.select(F.explode("shards").alias("s")).groupBy("s").count().collect()  # one row per shard
-        rows = materialize(search_shards(assigned, {r["s"]: -(-r["count"] // BLOCK) for r in sizes}, least), "shard-links")
+        blocks = {r["s"]: -(-r["count"] // BLOCK) for r in sizes}
+        if whole:
+            members = assigned.withColumn("near", F.lit(None).cast("array<long>"))
+        else:
+            members = assigned.join(materialize(build_lists(assigned, blocks), "adjacency"), "id")
+        rows = materialize(search_shards(members, blocks, least, None if whole else beam << attempt), "shard-links")
         found = materialize(rows.groupBy("id").agg(F.sum("links").alias("links")), "vector-links")
-        if whole or audit(truth, found) >= recall:
+        if whole:
+            break
+        truth = audit_truth(nodes, found, least) if truth is None else truth
+        reached = audit(truth, found)
+        _LOG.info("overlap %d, beam %d: audited recall %.4f", overlap << attempt, beam << attempt, reached)
+        if reached >= recall:
             break
     parts = components(rows.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     own = equal.join(found.withColumnRenamed("id", "least"), "least", "left").join(parts.withColumnRenamed("node", "least"), "least", "left")

@@ -102,6 +102,66 @@ def test_search_goes_on_until_the_links_are_found(spark, monkeypatch):
     assert got == links_of_every_length(rows)
 
 
+def test_graphs_find_the_links_without_full_comparison(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PER_SHARD", 100)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(150, 12))
+    rows = [(k, v.tolist()) for k, v in enumerate(base)]
+    rows += [(1000 + k, (base[k % 90] + 0.08 * rng.normal(size=12)).tolist()) for k in range(600)]
+    beams, search = [], vectors.search_shards
+    monkeypatch.setattr(vectors, "search_shards", lambda *args: beams.append(args[3]) or search(*args))
+    got = {r["id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()}
+    want = links_of_every_length(rows)
+    assert beams and None not in beams  # the search by graphs was enough
+    shares = [min(1, got[k][0] / n) for k, (n, _, _) in want.items() if n]
+    assert sum(shares) / len(shares) >= 0.99
+    assert all(got[k][0] <= n for k, (n, _, _) in want.items())
+
+
+def test_clean_tables_are_not_compared_in_full(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PER_SHARD", 50)
+    rng = np.random.default_rng(9)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.normal(size=(300, 32)))], "vec_id long, embedding array<double>")
+    beams, search = [], vectors.search_shards
+    monkeypatch.setattr(vectors, "search_shards", lambda *args: beams.append(args[3]) or search(*args))
+    assert {r["n_links"] for r in near_vectors(table).collect()} == {0}
+    assert beams == [32]
+
+
+def unit_rows(seed, n, width):
+    x = np.random.default_rng(seed).normal(size=(n, width))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_pruned_neighbours_point_in_different_directions():
+    x = unit_rows(10, 400, 6).astype(np.float32)
+    graph = vectors.pruned_graph(x)
+    assert graph.shape == (400, vectors.DEGREE) and (graph != np.arange(400)[:, None]).all()
+    for k in range(0, 400, 37):
+        near = [j for j in graph[k] if j >= 0]
+        far = {j: 2 - 2 * float(x[k] @ x[j]) for j in near}
+        assert near and near[0] == min((j for j in range(400) if j != k), key=lambda j: 2 - 2 * float(x[k] @ x[j]))
+        for i, j in enumerate(near):
+            # No neighbour is reached through one picked before it.
+            assert all(vectors.SLACK * (2 - 2 * float(x[i2] @ x[j])) > far[j] - 1e-4 for i2 in near[:i])
+    assert (vectors.pruned_graph(x[:1]) == -1).all()
+
+
+def test_range_search_from_the_medoid_scores_few_nodes():
+    centre = unit_rows(11, 60, 8)
+    x = centre[np.arange(3000) % 60] + 0.1 * unit_rows(12, 3000, 8)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    x32, ids = x.astype(np.float32), np.arange(3000)
+    graph = vectors.Graph(x32, ids, [row[row >= 0] for row in vectors.pruned_graph(x32)])
+    queries = x32[::100]
+    near = vectors.range_search(graph, queries, np.full(len(queries), -1), 0.97, 48)
+    true = queries @ x32.T >= 0.97
+    assert (near & true).sum() >= 0.95 * true.sum()
+    # A list may name members of other shards only; then it is as good as empty.
+    lone = vectors.Graph(x32[:3], ids[:3], [np.array([77]), np.zeros(0, np.int64), np.array([2, 500])])
+    assert lone.ends.tolist() == [0, 0, 0, 0]
+
+
 def test_audit_is_an_average_over_vectors(spark):
     truth = spark.createDataFrame([(0, 1000)] + [(k, 1) for k in range(1, 10)], "id long, true long")
     found = spark.createDataFrame([(0, 1000)], "id long, links long")
