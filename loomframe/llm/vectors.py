@@ -7,7 +7,7 @@
    the neighbours kept point in different directions. The adjacency lists of a vector
    from all its shards are united.
 4. Each pair of blocks of a shard is searched: the members of one walk greedily over the
-   graph of the other from its medoid, and from their own node where they have one, then
+   graph of the other from its medoids, and from their own node where they have one, then
    expand through everything within range. What is found is verified by cosine in
    double precision; a link found from either end holds for both, and a pair that meets
    in several shards counts in the first one they share. Counts and local components
@@ -38,8 +38,9 @@ _LOG = logging.getLogger(__name__)
 SAMPLE, PER_SHARD = 20_000, 1_000
 #: Members of a block; larger shards are cut into blocks, and a task searches one for another.
 BLOCK = 20_000
-#: Candidates and neighbours of a node, slack of the pruning.
-CANDIDATES, DEGREE, SLACK = 48, 24, 1.2
+#: Nearest candidates, neighbours of a node, those of them that lead far away (drawn among
+#: the block), slack of the pruning.
+CANDIDATES, DEGREE, FAR, SLACK = 48, 24, 6, 1.2
 #: (query, node) pairs that a task keeps marks of, and pairs scored at a time.
 PAIRS, SCORED = 2_000_000, 200_000
 #: Equal vectors from which on their result is sent to every executor; so it has a row for every HOT vectors at most.
@@ -151,32 +152,38 @@ def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = root[label]
 
 
-def pruned_graph(x: np.ndarray) -> np.ndarray:
-    """Robust-pruned neighbour places of each row of float32 units, -1 where there are fewer than DEGREE."""
+def pruned_graph(x: np.ndarray, seed: int = 5) -> np.ndarray:
+    """Robust-pruned neighbour places of each row of float32 units, -1 where there are fewer than DEGREE.
+
+    The last FAR neighbours are picked among candidates drawn from all rows, so that a
+    walk gets from one dense region to another.
+    """
     m = len(x)
     out = np.full((m, DEGREE), -1, np.int64)
     wide = min(CANDIDATES, m - 1)
     if wide < 1:
         return out
+    rng = np.random.default_rng(seed)
     step = max(1, min(512, PAIRS // m))
     for a in range(0, m, step):
         sims = x[a : a + step] @ x.T
         rows = np.arange(len(sims))
         sims[rows, a + rows] = -2
         cand = np.argpartition(-sims, wide - 1, axis=1)[:, :wide]
+        cand = np.concatenate([cand, rng.integers(0, m, (len(rows), 2 * FAR))], 1)
         far = 2 - 2 * np.take_along_axis(sims, cand, 1)
         bodies = x[cand]
-        alive = np.ones(cand.shape, bool)
-        for k in range(min(DEGREE, wide)):
-            pick = np.where(alive, far, np.inf).argmin(1)
-            has = alive[rows, pick]
-            if not has.any():
-                break
+        alive = cand != (a + rows)[:, None]
+        drawn = np.arange(cand.shape[1]) >= wide
+        for k in range(DEGREE):
+            turn = drawn if k >= DEGREE - FAR else ~drawn
+            pick = np.where(alive & turn, far, np.inf).argmin(1)
+            has = (alive & turn)[rows, pick]
             out[a + rows[has], k] = cand[rows[has], pick[has]]
             # A candidate nearer to the pick than, with slack, to the node is reached through it.
             to_pick = 2 - 2 * np.einsum("ijk,ik->ij", bodies, bodies[rows, pick])
-            alive &= (SLACK * to_pick > far) & has[:, None]
-            alive[rows, pick] = False
+            alive &= (SLACK * to_pick > far) | ~has[:, None]
+            alive[rows[has], pick[has]] = False
     return out
 
 
@@ -196,7 +203,12 @@ class Graph:
         self.near = both % m
         self.ends = np.searchsorted(both // m, np.arange(m + 1))
         self.x = x
-        self.medoid = int((x @ x.sum(0)).argmax())
+        # Walks start from the medoid of each part that is connected.
+        part = merged(np.arange(m), both // m, both % m)
+        sums = np.zeros_like(x)
+        np.add.at(sums, part, x)
+        order = np.lexsort((-np.einsum("ij,ij->i", x, sums[part]), part))
+        self.medoids = order[np.unique(part[order], return_index=True)[1]]
 
     def around(self, rows: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, neighbour) for each neighbour of each row's node."""
@@ -246,7 +258,7 @@ def range_search(graph: Graph, queries: np.ndarray, own: np.ndarray, least: floa
         spent[which] = np.take_along_axis(np.concatenate([spent[which], new_e], 1), top, 1)
 
     active = np.arange(q)
-    push(active, np.full(q, graph.medoid))
+    push(np.repeat(active, len(graph.medoids)), np.tile(graph.medoids, q))
     push(active[own >= 0], own[own >= 0])
     while True:
         # The best unexpanded node of each beam; a beam whose nodes are all expanded is finished.

@@ -141,6 +141,7 @@ def test_pruned_neighbours_point_in_different_directions():
         near = [j for j in graph[k] if j >= 0]
         far = {j: 2 - 2 * float(x[k] @ x[j]) for j in near}
         assert near and near[0] == min((j for j in range(400) if j != k), key=lambda j: 2 - 2 * float(x[k] @ x[j]))
+        assert len(set(near)) == len(near) and k not in near
         for i, j in enumerate(near):
             # No neighbour is reached through one picked before it.
             assert all(vectors.SLACK * (2 - 2 * float(x[i2] @ x[j])) > far[j] - 1e-4 for i2 in near[:i])
@@ -157,6 +158,10 @@ def test_range_search_from_the_medoid_scores_few_nodes():
     near = vectors.range_search(graph, queries, np.full(len(queries), -1), 0.97, 48)
     true = queries @ x32.T >= 0.97
     assert (near & true).sum() >= 0.95 * true.sum()
+    # Parts that no list connects are entered by their own medoids.
+    apart = vectors.Graph(x32, ids, [np.array([(k + 60) % 3000]) for k in range(3000)])
+    assert sorted(apart.medoids % 60) == list(range(60))
+    assert (vectors.range_search(apart, queries, np.full(len(queries), -1), 0.97, 48) & true).sum() >= 0.95 * true.sum()
     # A list may name members of other shards only; then it is as good as empty.
     lone = vectors.Graph(x32[:3], ids[:3], [np.array([77]), np.zeros(0, np.int64), np.array([2, 500])])
     assert lone.ends.tolist() == [0, 0, 0, 0]
