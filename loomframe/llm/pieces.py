@@ -13,22 +13,48 @@ library that the vocabulary file belongs to.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from loomframe.llm.bytewords import text_chunks
+from loomframe.llm.bytewords import text_bytes, text_chunks
 from loomframe.llm.common import id_and_text
 
 MARK = "▁"
 #: Words that a Python worker remembers.
 WORD_CACHE = 400_000
-#: Words with the marks before them; line breaks stand alone. The vocabulary has no
-#: piece with a mark behind another character, nor one with a line break.
-_WORDS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
+#: Id lists that a task decodes at a time.
+ID_ROWS = 200
+
+
+def marked_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in a row, and where each text's words start (one more entry at the end).
+
+    A text begins with a mark, and its spaces are marks. A word is a run of marks with
+    what follows them; line breaks stand alone. The vocabulary has no piece with a mark
+    behind another character, nor one with a line break.
+    """
+    full = pc.binary_join_element_wise(pa.scalar(MARK, pa.large_string()), pc.replace_substring(texts, " ", MARK), pa.scalar("", pa.large_string()))
+    full = pc.if_else(pc.equal(pc.binary_length(texts), 0), pa.scalar("", pa.large_string()), full)
+    data = text_bytes(full)
+    offsets = np.frombuffer(full.buffers()[1], np.int64)[full.offset : full.offset + len(full) + 1]
+    offsets = offsets - offsets[0]
+    first, second, third = MARK.encode("utf-8")
+    mark = np.zeros(len(data) + 3, bool)  # mark[i + 3]: a mark begins at byte i
+    if len(data) > 2:
+        mark[3:-2] = (data[:-2] == first) & (data[1:-1] == second) & (data[2:] == third)
+    cut = np.zeros(len(data) + 1, bool)
+    cut[:-1] = mark[3:] & ~mark[:-3]
+    line = np.flatnonzero(data == 10)
+    cut[line] = True
+    cut[line + 1] = True
+    cut[offsets] = True  # also the end of the last text
+    starts = np.flatnonzero(cut)
+    words = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(data))
+    return words, np.searchsorted(starts, offsets)
 
 
 class PieceModel:
@@ -53,6 +79,7 @@ class PieceModel:
         self.values = [p.encode("utf-8") if p in self.ids else b"" for p in self.pieces]
         for b, k in self.bytes.items():
             self.values[k] = bytes([b])
+        self.table = pa.array(self.values, pa.large_binary())
         self.longest = max(map(len, self.ids))
         # Nothing merges across two neighbours that no piece holds side by side.
         self.neighbours = {piece[k : k + 2] for piece in self.ids for k in range(len(piece) - 1)}
@@ -60,7 +87,7 @@ class PieceModel:
         self.whole = {piece for piece in self.ids if len(piece) > 1 and self.merge(piece) == [piece]}
         self.compatible: dict[tuple[str, str], bool] = {}
         self.units: dict[str, list[int]] = {}
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, np.ndarray] = {}
 
     def merge(self, text: str) -> list[str]:
         """The pieces of a short text by its definition: the best adjacent pair merges first, the leftmost of equals."""
@@ -126,32 +153,45 @@ class PieceModel:
                 at = k
         return [*out, word[at:]]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        rows = [_WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        distinct = {w for row in rows for w in row}
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and where each text's ids start (one more entry at the end)."""
+        words, bounds = marked_words(texts)
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
         new = [w for w in distinct if w not in self.words]
         if len(self.words) + len(new) > WORD_CACHE:
             self.words.clear()
-            new = list(distinct)
+            new = distinct
         if len(self.units) > WORD_CACHE or len(self.compatible) > 5 * WORD_CACHE:
             self.units.clear()
             self.compatible.clear()
         cuts = {w: self.cut(w) for w in new}
         self.encode_sorted(sorted({u for units in cuts.values() for u in units if u not in self.units}))
         for w, units in cuts.items():
-            self.words[w] = [k for u in units for k in self.units[u]]
-        known = self.words
-        return [[k for w in row for k in known[w]] for row in rows]
-
-    def decode(self, rows: list[list[int]]) -> list[str]:
+            self.words[w] = np.array([k for u in units for k in self.units[u]], np.int32)
+        lists = [self.words[w] for w in distinct]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        known = np.concatenate([*lists, np.zeros(0, np.int32)])
+        first = np.cumsum(sizes) - sizes
+        word = coded.indices.to_numpy(zero_copy_only=False)
+        size = sizes[word]
+        total = np.concatenate([[0], np.cumsum(size)])
+        ids = known[np.repeat(first[word] - total[:-1], size) + np.arange(total[-1])]
+        return ids, total[bounds]
+
+    def decode(self, rows: pa.Array) -> pa.Array:
         """Texts of id lists: bytes are joined to characters, marks become spaces, the first one goes."""
-        value = self.values
-        out = []
-        for row in rows:
-            raw = b"".join([value[k] for k in row])
-            text = raw.decode("utf-8", "replace").replace(MARK, " ")
-            out.append(text[1:] if text.startswith(" ") else text)
-        return out
+        sizes = pc.fill_null(rows.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        parts = self.table.take(rows.flatten())
+        data = text_bytes(parts)
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(parts).to_numpy(zero_copy_only=False))])
+        bounds = ends[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int64)
+        raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+        try:
+            texts = raw.cast(pa.large_string())
+        except pa.ArrowInvalid:  # ids whose bytes are no characters
+            texts = pa.array([r.decode("utf-8", "replace") for r in raw.to_pylist()], pa.large_string())
+        return pc.replace_substring_regex(pc.replace_substring(texts, MARK, " "), r"\A ", "", max_replacements=1)
 
 
 _MODELS: dict[str, PieceModel] = {}
@@ -175,10 +215,8 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(model_path)
         for batch, texts in text_chunks(batches):
-            rows = model.encode(texts.to_pylist())
-            flat = np.fromiter((k for row in rows for k in row), np.int32)
-            ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-            yield pa.record_batch([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "ids"])
+            flat, ends = model.encode(texts)
+            yield pa.record_batch([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], names=["id", "ids"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "id long, ids array<int>")
 
@@ -188,9 +226,10 @@ def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(model_path)
-        for batch in batches:
-            rows = [r or [] for r in batch.column("ids").to_pylist()]
-            yield pa.record_batch([batch.column("id"), batch.column("ids"), pa.array(model.decode(rows), pa.string())], names=["id", "ids", "text"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ID_ROWS):
+                batch = whole.slice(at, ID_ROWS)
+                yield pa.record_batch([batch.column("id"), batch.column("ids"), model.decode(batch.column("ids")).cast(pa.string())], names=["id", "ids", "text"])
 
     return encoded.select("id", "ids").mapInArrow(run, "id long, ids array<int>, text string")
 
