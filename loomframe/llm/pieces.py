@@ -80,14 +80,37 @@ class PieceModel:
         for b, k in self.bytes.items():
             self.values[k] = bytes([b])
         self.table = pa.array(self.values, pa.large_binary())
-        self.longest = max(map(len, self.ids))
         # Nothing merges across two neighbours that no piece holds side by side.
         self.neighbours = {piece[k : k + 2] for piece in self.ids for k in range(len(piece) - 1)}
         # Pieces that their own characters merge into; no others occur.
         self.whole = {piece for piece in self.ids if len(piece) > 1 and self.merge(piece) == [piece]}
+        # How long the pieces are that end in two characters, longest first.
+        self.lengths: dict[str, list[int]] = {}
+        for pair, size in sorted({(piece[-2:], -len(piece)) for piece in self.whole}):
+            self.lengths.setdefault(pair, []).append(-size)
         self.compatible: dict[tuple[str, str], bool] = {}
-        self.units: dict[str, list[int]] = {}
-        self.words: dict[str, np.ndarray] = {}
+        self.units: dict[str, tuple[int, ...]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """No words: ``words`` gives a word's place, ``store`` all ids and where those of each place start."""
+        self.words: dict[str, int] = {}
+        self.store = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def learn(self, new: list[str]) -> None:
+        """Encode new words, those units of them first that were not met before."""
+        cuts = [self.cut(w) for w in new]
+        units = self.units
+        self.encode_sorted(sorted({u for one in cuts for u in one if u not in units}))
+        ids, sizes = [], np.zeros(len(new), np.int64)
+        for k, one in enumerate(cuts):
+            before = len(ids)
+            for u in one:
+                ids += units[u]
+            sizes[k] = len(ids) - before
+        self.words.update(zip(new, range(len(self.words), len(self.words) + len(new))))
+        flat, starts = self.store
+        self.store = np.concatenate([flat, np.array(ids, np.int32)]), np.concatenate([starts, starts[-1] + np.cumsum(sizes)])
 
     def merge(self, text: str) -> list[str]:
         """The pieces of a short text by its definition: the best adjacent pair merges first, the leftmost of equals."""
@@ -113,16 +136,17 @@ class PieceModel:
     def encode_sorted(self, units: list[str]) -> None:
         """Encode sorted distinct units, each from the state of the prefix it shares with the one before."""
         last: list[str] = [""]  # last[i]: the piece that ends the best path to place i
-        before, whole, longest, known = "", self.whole, self.longest, self.compatible
+        before, whole, lengths, known, single = "", self.whole, self.lengths, self.compatible, self.ids.get
         for unit in units:
             shared, limit = 0, min(len(unit), len(before))
             while shared < limit and unit[shared] == before[shared]:
                 shared += 1
             del last[shared + 1 :]
             for end in range(shared + 1, len(unit) + 1):
-                for start in range(max(0, end - longest), end - 1):
+                for size in lengths.get(unit[end - 2 : end], ()) if end > 1 else ():
+                    start = end - size
                     piece = unit[start:end]
-                    if piece in whole:
+                    if start >= 0 and piece in whole:
                         left = last[start]
                         fits = known.get((left, piece)) if start else True
                         if fits or fits is None and self.follows(left, piece):
@@ -134,7 +158,14 @@ class PieceModel:
             while at:
                 path.append(last[at])
                 at -= len(last[at])
-            self.units[unit] = [k for piece in reversed(path) for k in self.lookup(piece)]
+            ids: list[int] = []
+            for piece in reversed(path):
+                k = single(piece)
+                if k is None:
+                    ids += self.lookup(piece)
+                else:
+                    ids.append(k)
+            self.units[unit] = tuple(ids)
             before = unit
 
     def lookup(self, piece: str) -> list[int]:
@@ -160,23 +191,18 @@ class PieceModel:
         distinct = coded.dictionary.to_pylist()
         new = [w for w in distinct if w not in self.words]
         if len(self.words) + len(new) > WORD_CACHE:
-            self.words.clear()
+            self.forget()
             new = distinct
         if len(self.units) > WORD_CACHE or len(self.compatible) > 5 * WORD_CACHE:
             self.units.clear()
             self.compatible.clear()
-        cuts = {w: self.cut(w) for w in new}
-        self.encode_sorted(sorted({u for units in cuts.values() for u in units if u not in self.units}))
-        for w, units in cuts.items():
-            self.words[w] = np.array([k for u in units for k in self.units[u]], np.int32)
-        lists = [self.words[w] for w in distinct]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        known = np.concatenate([*lists, np.zeros(0, np.int32)])
-        first = np.cumsum(sizes) - sizes
-        word = coded.indices.to_numpy(zero_copy_only=False)
-        size = sizes[word]
+        self.learn(new)
+        known, starts = self.store
+        place = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy(zero_copy_only=False)]
+        first = starts[place]
+        size = starts[place + 1] - first
         total = np.concatenate([[0], np.cumsum(size)])
-        ids = known[np.repeat(first[word] - total[:-1], size) + np.arange(total[-1])]
+        ids = known[np.repeat(first - total[:-1], size) + np.arange(total[-1])]
         return ids, total[bounds]
 
     def decode(self, rows: pa.Array) -> pa.Array:

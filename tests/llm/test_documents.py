@@ -306,3 +306,21 @@ def test_pieces(docs, nothing):
     back = Counter((r["id"], r["text"]) for r in decode_pieces(encoded, default_pieces()).collect())
     assert back == Counter((k, t or "") for k, t in ROWS)
     assert decode_pieces(encode_pieces(nothing, default_pieces()), default_pieces()).count() == 0
+
+
+def test_marked_words_and_odd_id_lists():
+    import re
+
+    import pyarrow as pa
+    from loomframe.llm.pieces import MARK, PieceModel, marked_words
+
+    texts = ["", " ", "a", "a  b\n\n c", f"{MARK}x{MARK}{MARK}y", "\n", "é ü\n", "", "tail "]
+    words, bounds = marked_words(pa.array(["skipped", *texts], pa.large_string()).slice(1))
+    plain = [re.findall(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n", MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+    assert [words.slice(a, b - a).to_pylist() for a, b in zip(bounds[:-1], bounds[1:])] == plain
+    assert marked_words(pa.array([], pa.large_string()))[1].tolist() == [0]
+    model = PieceModel(default_pieces())
+    byte = {b: k for b, k in model.bytes.items()}
+    rows = pa.array([None, [], [byte[0xC3]], [byte[0xC3], byte[0xA9]], [model.ids[MARK], byte[65]]], pa.list_(pa.int32()))
+    assert model.decode(rows).to_pylist() == ["", "", "�", "é", "A"]
+    assert model.decode(rows.slice(3)).to_pylist() == ["é", "A"]
