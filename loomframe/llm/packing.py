@@ -19,14 +19,16 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from loomframe.llm.bytewords import FOLD, text_bytes, text_chunks, tokens
+from loomframe.llm.bytewords import FOLD, release, text_bytes, text_chunks, tokens
 from loomframe.llm.common import id_and_text
 from loomframe.session import materialize
 
 #: Rows of the rank table that may be sent to every executor (some 100 MB).
 SENT_ROWS = 2_000_000
-#: Words remembered by a Python worker between texts, and the least slots of their table.
-WORD_CACHE, SLOTS = 1_000_000, 1 << 21
+#: Words remembered by a Python worker within a task, and the least slots of their table.
+WORD_CACHE, SLOTS = 1_000_000, 1 << 18
+#: Bytes of text encoded at once.
+ENCODED_BYTES = 1 << 19
 
 # Byte classes for cutting words into parts that are encoded on their own: 1 letters
 # and digits, 2 ASCII symbols, 3 anything that makes the whole word stay in one part
@@ -183,7 +185,7 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
-    """One for each Python worker, kept from task to task."""
+    """One for each Python worker, kept from task to task without its words."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
@@ -201,7 +203,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
         coder = encoder(tokenizer_path)
         seen = [0] * (capacity + 1)
         part = TaskContext.get().partitionId()
-        for batch, texts in text_chunks(batches):
+        for batch, texts in text_chunks(batches, ENCODED_BYTES):
             ids, bounds = coder.encode(texts)
             out: list[list] = [[] for _ in range(8)]
             for key, lo, hi in zip(batch.column("id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -213,6 +215,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
                         column.append(value)
                     seen[length] += 1
             yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64()))], names=["id", "piece", "start", "length", "ids_crc32", "ids", "part", "nth"])
+        coder.clear()
+        release()
 
     schema = "id long, piece int, start long, length int, ids_crc32 long, ids binary, part int, nth long"
     return id_and_text(docs, id_col, text_col).mapInArrow(run, schema)
