@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomframe.llm.common import fold, id_and_text
+from loomframe.llm.rows import free_names
 from loomframe.session import materialize
 
 #: What must agree for two texts to count as equal: the digest names the group, the
@@ -83,15 +84,17 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that exact_dedup keeps, with all their columns.
 
     Rows that agree in identifier and text beyond case are one document; one of
-    them stays.
+    them stays. Null texts count as empty, null identifiers as one identifier; an empty
+    table gives an empty result; other columns pass through, whatever their names.
     """
-    verdicts = exact_dedup(docs, id_col, text_col, best).groupBy(F.col("id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
-    others = materialize(verdicts.filter("not kept or n > 1"), "copies")
-    marked = docs.withColumn("__own_sha", F.sha2(fold(F.col(text_col).cast("string")), 256))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own_sha") == F.col("__sha"))
+    own_id, sha, own_sha, kept, n = free_names(docs, "__id", "__sha", "__own_sha", "kept", "n")
+    verdicts = exact_dedup(docs, id_col, text_col, best).groupBy(F.col("id").alias(own_id), F.col("text_sha256").alias(sha)).agg(F.bool_or("kept").alias(kept), F.count("*").alias(n))
+    others = materialize(verdicts.filter(~F.col(kept) | (F.col(n) > 1)), "copies")
+    marked = docs.withColumn(own_sha, F.sha2(fold(F.col(text_col).cast("string")), 256))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & (F.col(own_sha) == F.col(sha))
     # One plan at every size: texts are dealt by identifier, and the list of copies is hashed beside them.
     out = marked.join(others.hint("shuffle_hash"), same, "left_anti")
-    repeats = others.filter("kept and n > 1")
+    repeats = others.filter(F.col(kept) & (F.col(n) > 1))
     if not repeats.isEmpty():
-        out = out.unionByName(marked.join(repeats.hint("shuffle_hash"), same, "left_semi").dropDuplicates([id_col, "__own_sha"]))
+        out = out.unionByName(marked.join(repeats.hint("shuffle_hash"), same, "left_semi").dropDuplicates([id_col, own_sha]))
     return out.select(*docs.columns)

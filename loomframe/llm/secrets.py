@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loomframe.llm.bytewords import release
 from loomframe.llm.common import id_and_text
 from loomframe.llm.membership import build, perhaps
+from loomframe.llm.rows import free_names
 from loomframe.session import materialize, scratch_path
 
 FOUND = "array<struct<kind:string,first:int,last:int>>"
@@ -204,7 +205,12 @@ def mask_spans(text: str | None, found: list | None, mask: str) -> str | None:
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", ledger: str | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with all columns, its secrets masked; rows without findings stay as they are, null texts too."""
+    """``docs`` with all columns, its secrets masked; rows without findings stay as they are, null texts too.
+
+    Repeated rows and null identifiers are rows like any other; an empty table gives an
+    empty result; other columns pass through, whatever their names.
+    """
+    own, maybe, found = free_names(docs, "_address", "_maybe", "_found")
     _, by_blob = findings(docs, ledger, rules, id_col, text_col)
     secret = materialize(by_blob, "secret-blobs")
     address = F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
@@ -216,7 +222,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", ledger: str | None = None, r
     def may_hold(key: pd.Series) -> pd.Series:
         return pd.Series(perhaps(shared.value, key.to_numpy()))
 
-    marked = docs.withColumn("_address", address).withColumn("_maybe", may_hold(F.xxhash64("_address")))
-    held = marked.filter("_maybe").join(secret.select(F.col("address").alias("_address"), F.col("found").alias("_found")), "_address", "left")
-    clean = held.withColumn(text_col, masked(F.col(text_col).cast("string"), F.col("_found")))
-    return marked.filter("not _maybe").select(*docs.columns).unionByName(clean.select(*docs.columns))
+    marked = docs.withColumn(own, address).withColumn(maybe, may_hold(F.xxhash64(own)))
+    held = marked.filter(F.col(maybe)).join(secret.select(F.col("address").alias(own), F.col("found").alias(found)), own, "left")
+    clean = held.withColumn(text_col, masked(F.col(text_col).cast("string"), F.col(found)))
+    return marked.filter(~F.col(maybe)).select(*docs.columns).unionByName(clean.select(*docs.columns))

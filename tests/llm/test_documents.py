@@ -324,3 +324,28 @@ def test_marked_words_and_odd_id_lists():
     rows = pa.array([None, [], [byte[0xC3]], [byte[0xC3], byte[0xA9]], [model.ids[MARK], byte[65]]], pa.list_(pa.int32()))
     assert model.decode(rows).to_pylist() == ["", "", "�", "é", "A"]
     assert model.decode(rows.slice(3)).to_pylist() == ["é", "A"]
+
+
+def test_own_columns_keep_their_values_whatever_their_names(spark):
+    from pyspark.sql import functions as F
+    from loomframe.llm.exact_dedup import drop_copies
+    from loomframe.llm.rows import drop_rows, text_key
+    from loomframe.llm.secrets import redact
+
+    names = ["_address", "_maybe", "_found", "__id", "__key", "__MAYBE", "__bad_id", "__bad_key", "__own_sha", "__sha", "kept", "n"]
+    texts = [(1, "password=abcdefgh12 x"), (2, "plain"), (3, "Plain"), (3, "Plain"), (4, None), (None, "lone"), (5, "")]
+    rows = [(k, t, *[f"{c}{i}" for c in names]) for i, (k, t) in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    own = lambda df: Counter(tuple(r[c] for c in names) for r in df.collect())
+    masked = redact(table)
+    assert masked.columns == table.columns and own(masked) == own(table)
+    assert "abcdefgh12" not in masked.filter("doc_id = 1").first()["text"]
+    fewer = drop_rows(table, table.filter("doc_id = 2").select(F.col("doc_id").alias("id"), text_key(F.col("text")).alias("text_key")))
+    assert fewer.columns == table.columns and own(fewer) == own(table.filter("doc_id is null or doc_id <> 2"))
+    kept = drop_copies(table)
+    assert kept.columns == table.columns
+    # "plain" goes before "Plain" (3), of which one stays; the null text (4) is equal to the empty one (5).
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, "lone"), (1, "password=abcdefgh12 x"), (3, "Plain"), (5, "")]
+    assert set(own(kept)) <= set(own(table))
+    for one in (redact(table.limit(0)), drop_copies(table.limit(0)), drop_rows(table.limit(0), table.limit(0).select(F.col("doc_id").alias("id"), text_key(F.col("text")).alias("text_key")))):
+        assert one.count() == 0 and one.columns == table.columns
