@@ -24,6 +24,11 @@ from loomframe.session import materialize
 DIGITS = 9
 BLOCK_POINTS = 2_048
 BLOCK_QUERIES = 4_096
+# from so many dimensions on bounds prune little and a pair is cheap: blocks of both sides are larger
+WIDE = 16
+WIDE_BLOCK = 8_192
+# from so many dimensions on a matrix product rules pairs out before distances are taken
+PRODUCT_WIDTH = 8
 # children of a node of the pivot tree
 FAN = 256
 # distances are rounded, bounds are not
@@ -45,6 +50,50 @@ def _distances(a: np.ndarray, b: np.ndarray, metric: str, p: float) -> np.ndarra
     return out
 
 
+def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distance of each row of ``a`` from the same row of ``b``, a few at a time."""
+    out, step = np.empty(len(a)), max(1, 1_000_000 // a.shape[1])
+    for start in range(0, len(a), step):
+        gap = np.abs(a[start : start + step] - b[start : start + step])
+        out[start : start + step] = np.sqrt((gap * gap).sum(axis=1))
+    return out
+
+
+def _nearest(a: np.ndarray, b: np.ndarray, bound: np.ndarray, keep: int, metric: str, p: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, rounded distance) of the ``keep`` nearest rows of ``b`` within each bound, ties to the earlier row.
+
+    Wide euclidean pairs are ruled out by |a|^2 + |b|^2 - 2ab, whose rounding is allowed for;
+    what is left gets its distance from explicit differences, as all other pairs do.
+    """
+    bound = bound + SLACK
+    product = metric == "euclidean" and a.shape[1] >= PRODUCT_WIDTH and bool(np.isfinite(a).all() and np.isfinite(b).all())
+    if product:
+        own, other = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+        gaps = a @ b.T
+        gaps *= -2.0
+        gaps += own[:, None]
+        gaps += other
+        off = 4 * (a.shape[1] + 8) * np.finfo(np.float64).eps * (own + other.max())
+        near = gaps <= (bound * bound + off)[:, None]
+    else:
+        gaps, off = np.round(_distances(a, b, metric, p), DIGITS), np.zeros(len(a))
+        near = gaps <= bound[:, None]
+    many = np.flatnonzero(np.count_nonzero(near, axis=1) > keep)
+    if len(many):
+        kth = np.partition(gaps[many], keep - 1, axis=1)[:, keep - 1]
+        kth = np.where(np.isnan(kth), np.inf, kth)
+        if product:
+            kth = (np.sqrt(np.maximum(kth + off[many], 0.0)) + SLACK) ** 2 + off[many]
+        near[many] &= gaps[many] <= kth[:, None]
+    q, c = np.nonzero(near)
+    found = np.round(_paired(a[q], b[c]), DIGITS) if product else gaps[q, c]
+    order = np.lexsort((c, found, q))
+    q, c, found = q[order], c[order], found[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    best = (place < keep) & (found <= bound[q])
+    return q[best], c[best], found[best]
+
+
 def _stack(vectors: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
 
@@ -167,7 +216,7 @@ class PivotTree:
 
 def _search(asked: DataFrame, placed: DataFrame, tree: PivotTree, key_type: str, block_points: int, block_queries: int) -> DataFrame:
     """(qid, neighbour, distance): the ``keep`` best of each query in each block of its leaf, within its bound."""
-    keep, gap = tree.keep, tree.gaps
+    keep, metric, p = tree.keep, tree.metric, tree.p
     lanes = asked.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / block_queries).alias("lanes"))
     lots = lanes.join(placed.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / block_points).alias("blocks")), "node")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -180,17 +229,14 @@ def _search(asked: DataFrame, placed: DataFrame, tree: PivotTree, key_type: str,
         if not len(asked) or not len(given):
             return pd.DataFrame(found)
         given = given.sort_values("gid").reset_index(drop=True)
-        ids, first = given["ids"].to_numpy(), given["gid"].to_numpy()
+        ids, first, vectors = given["ids"].to_numpy(), given["gid"].to_numpy(), _stack(given["vec"])
         alone = all(len(x) == 1 for x in ids)
         parts = []
         for start in range(0, len(asked), 256):
             part = asked[start : start + 256]
-            gaps = np.round(gap(part["qvec"], given["vec"]), DIGITS)
-            # stable sort on rows ordered by key: ties go to the smaller key
-            order = np.argsort(gaps, axis=1, kind="stable")[:, :keep]
-            best = np.take_along_axis(gaps, order, axis=1)
-            q, c = np.nonzero(best <= part["bound"].to_numpy()[:, None] + SLACK)
-            qid, at, near = part["qid"].to_numpy()[q], order[q, c], best[q, c]
+            # rows are ordered by key: ties go to the smaller key
+            q, at, near = _nearest(_stack(part["qvec"]), vectors, part["bound"].to_numpy(), keep, metric, p)
+            qid = part["qid"].to_numpy()[q]
             if alone:
                 parts.append(pd.DataFrame({"qid": qid, "neighbour": first[at], "distance": near}))
                 continue
@@ -211,8 +257,8 @@ def knn_join(
     points: DataFrame | None = None,
     metric: str = "euclidean",
     p: float = 2.0,
-    block_points: int = BLOCK_POINTS,
-    block_queries: int = BLOCK_QUERIES,
+    block_points: int | None = None,
+    block_queries: int | None = None,
     pivots: int = FAN,
 ) -> DataFrame:
     """(key, rank, neighbour, distance): the k nearest points of every query.
@@ -223,7 +269,8 @@ def knn_join(
 
     A query searches the leaf it descends to first; the k-th distance found
     there bounds which other leaves it has to visit.  A node of the tree has
-    at most ``pivots`` children, a leaf about ``block_points`` points.
+    at most ``pivots`` children, a leaf about ``block_points`` points; by default
+    the blocks of both sides follow from the width of the vectors.
     """
     own = points is None
     keep = k + 1 if own else k
@@ -231,6 +278,9 @@ def knn_join(
     point_set = materialize(_distinct_vectors(queries if own else points, key, vector, keep), "knn-points")
     query_set = point_set if own else materialize(_distinct_vectors(queries, key, vector, 1), "knn-queries")
     key_type = queries.schema[key].dataType.simpleString()
+    wide = (point_set.agg(F.max(F.size("vec")).alias("n")).first()["n"] or 0) >= WIDE
+    block_points = block_points or (WIDE_BLOCK if wide else BLOCK_POINTS)
+    block_queries = block_queries or (WIDE_BLOCK if wide else BLOCK_QUERIES)
 
     tree = PivotTree(point_set, keep, block_points, pivots, metric, p)
     home = tree.home(query_set)
