@@ -204,7 +204,8 @@ def explain_fitted(
 def explain_model(df: DataFrame, model: PipelineModel, features: list[str], y: str, task: str) -> DataFrame:
     """Long (section, name, value) rows: type, size, score, errors, importances."""
     spark = df.sparkSession
-    scored = models.predict(df, model, [y])
+    # read by each section
+    scored = materialize(models.predict(df, model, [y]), "explained")
     fitted = model.stages[-1]
     if task == "regression":
         tables = {"score": metrics.regression_errors(scored, y), "residuals": metrics.residual_statistics(scored, y)}

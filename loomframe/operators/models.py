@@ -15,7 +15,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as MC
 from pyspark.ml import regression as MR
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
@@ -171,6 +171,47 @@ def steady(df: DataFrame, rows: int) -> DataFrame:
     return df.repartition(parts, F.xxhash64(*df.columns)).sortWithinPartitions(*df.columns)
 
 
+#: Rows from which trees of a regression are fitted on groups of rows, and about how many groups there are then.
+GROUPED_ROWS, GROUPS = 2_000_000, 1_000_000
+#: Values up to which a feature is left to the trees' own bins; one with more is cut into as many bins as they take.
+PLAIN_VALUES, TREE_BINS = 256, 32
+
+
+def tree_groups(df: DataFrame, features: list[str], label: str, rows: int, draws: bool, seed: int) -> tuple[list[Bucketizer], DataFrame] | None:
+    """Binning stages, and groups of rows with equal bins: their mean label and, in ``__rows``, how many they are.
+
+    Trees see a feature by its bin, and rows with equal bins go the same way at every
+    split. So the spread of their labels cancels from all gains and a group weighs as its
+    rows do. Where the fit draws rows, those of equal bins are dealt into many groups at
+    random, which are drawn as wholes. None where missing values or too many different
+    bins leave nothing to group.
+    """
+    number = lambda c: F.col(f"`{c}`").cast("double")
+    odd = reduce(lambda a, b: a | b, [number(c).isNull() | F.isnan(number(c)) for c in [*features, label]])
+    facts = df.agg(F.count_if(odd).alias("odd"), *[F.approx_count_distinct(number(c)).alias(f"d{i}") for i, c in enumerate(features)]).first()
+    if facts["odd"]:
+        return None
+    many = [c for i, c in enumerate(features) if facts[f"d{i}"] > PLAIN_VALUES]
+    stages = []
+    if many:
+        shares = [i / TREE_BINS for i in range(1, TREE_BINS)]
+        cuts = df.agg(*[F.percentile_approx(number(c), shares).alias(f"q{i}") for i, c in enumerate(many)]).first()
+        edges = [[-math.inf, *sorted(set(q)), math.inf] for q in cuts]
+        stages = [Bucketizer(splits=e, inputCol=c, outputCol=f"__bin_{c}", handleInvalid="keep") for c, e in zip(many, edges)]
+    binned = [f"`__bin_{c}`" if c in many else f"`{c}`" for c in features]
+    # the layout fixes which rows are drawn together
+    found = PipelineModel(stages).transform(steady(df, rows) if draws else df)
+    cells = PipelineModel(stages).transform(df).agg(F.approx_count_distinct(F.xxhash64(*binned))).first()[0]
+    if cells > GROUPS:
+        return None
+    parts = max(1, GROUPS // cells) if draws else 1
+    dealt = found.withColumn("__part", F.floor(F.rand(seed) * parts) if parts > 1 else F.lit(0))
+    # a sum, so that trees read a bin as a number: the binning stage marks it as a category
+    keys = [(F.col(b).cast("double") + F.lit(0.0)).alias(b.strip("`")) for b in binned]
+    groups = dealt.groupBy(*keys, "__part").agg(F.avg(number(label)).alias(label), F.count(F.lit(1)).cast("double").alias("__rows")).drop("__part")
+    return stages, materialize(groups, "fit-groups")
+
+
 def fit_model(
     df: DataFrame, features: list[str], label: str, family: str, task: str, params: dict | None = None, seed: int = 42, weight: str | None = None, shape: Shape | None = None
 ):
@@ -187,6 +228,16 @@ def fit_model(
         if not estimator.hasParam("weightCol"):
             raise ValueError(f"{family} takes no row weights")
         estimator = estimator.setWeightCol(weight)
+    if task == "regression" and family in ("random_forest", "gradient_boosting", "boosted_preset") and not weight and shape.rows > GROUPED_ROWS and estimator.getMinInstancesPerNode() == 1:
+        draws = estimator.getSubsamplingRate() < 1 or (family == "random_forest" and estimator.getBootstrap())
+        grouped = tree_groups(df, features, label, shape.rows, draws, seed)
+        if grouped:
+            bins, groups = grouped
+            named = {b.getInputCol(): b.getOutputCol() for b in bins}
+            assembler = VectorAssembler(inputCols=[named.get(c, c) for c in features], outputCol="features", handleInvalid="keep")
+            fitted = estimator.setWeightCol("__rows").fit(assembler.transform(steady(groups, groups.count())))
+            fitted.clear(fitted.weightCol)
+            return PipelineModel([*bins, assembler, fitted])
     stages = [VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), estimator]
     return Pipeline(stages=stages).fit(steady(df, shape.rows))
 

@@ -17,6 +17,7 @@ from math import factorial
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomframe.functions import columns as C
@@ -98,9 +99,11 @@ def read_leaves(spark: SparkSession, fitted, target_class: int = 1) -> list[Leaf
             split = node["split"]
             if split["numCategories"] != -1:
                 raise ValueError("splits of categories are not read; assemble plain numbers")
-            rows = [nodes[node[side]]["rawCount"] for side in ("leftChild", "rightChild")]
+            # weights: of the classes, else the first of the moments; a training row may stand for many
+            stats = [nodes[node[side]]["impurityStats"] for side in ("leftChild", "rightChild")]
+            rows = [sum(x) if by_class else x[0] for x in stats]
             for side, left, n in (("leftChild", True, rows[0]), ("rightChild", False, rows[1])):
-                todo.append((node[side], leaf.step(split["featureIndex"], split["leftCategoriesOrThreshold"][0], left, n / max(sum(rows), 1))))
+                todo.append((node[side], leaf.step(split["featureIndex"], split["leftCategoriesOrThreshold"][0], left, n / (sum(rows) or 1))))
     return leaves
 
 
@@ -174,13 +177,18 @@ def tree_attributions(df: DataFrame, key: str, features: list[str], model: Pipel
     spark = df.sparkSession
     base, groups = group_leaves(read_leaves(spark, model.stages[-1], target_class))
     shared = spark.sparkContext.broadcast(groups)
+    # features that the model cuts into bins before its trees see them
+    cuts = {features.index(s.getInputCol()): np.array(s.getSplits()[1:-1]) for s in model.stages if isinstance(s, Bucketizer)}
     chosen = df if wanted is None else df.where(wanted)
     rows = chosen.select(F.col(key).alias("key"), *[C.as_number(df, c).alias(f"x{i}") for i, c in enumerate(features)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns[1:]])
-            parts = contributions(x, shared.value)
+            seen = x.copy()
+            for i, edges in cuts.items():
+                seen[:, i] = np.where(np.isnan(x[:, i]), np.nan, np.searchsorted(edges, x[:, i], side="right"))
+            parts = contributions(seen, shared.value)
             offsets = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
             lists = lambda values: pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel(), from_pandas=True))
             yield pa.record_batch([batch.column(0), pa.array(base + parts.sum(axis=1)), lists(x), lists(parts)], names=["key", "output", "x", "parts"])
