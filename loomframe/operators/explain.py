@@ -71,7 +71,8 @@ def permutation_importance(
     moves = ranked.select("place", F.inline(F.array(*rows))).select(goal.alias("to"), "turn", "value")
     # a value for each feature and repeat
     given = moves.groupBy("to").agg(F.map_from_entries(F.collect_list(F.struct("turn", "value"))).alias("given"))
-    met = ranked.join(given, F.col("place") == F.col("to"))
+    # both sides grow with the table, and files tell too little of the size of rows in memory: not sent whole through the driver
+    met = ranked.hint("merge").join(given, F.col("place") == F.col("to"))
     each = F.inline(F.array(*[F.struct(F.lit(i).alias("turn"), F.lit(f).alias("feature"), F.lit(r).alias("repeat")) for i, (f, r) in enumerate(turns)]))
     mixed = met.select(key, y, *features, "given", each).withColumn("donor", F.element_at("given", F.col("turn"))).drop("given")
     swapped = mixed.withColumns({f: F.when(F.col("feature") == f, F.col("donor")).otherwise(F.col(f)) for f in features})
