@@ -258,7 +258,8 @@ class NeighbourModel:
         p = self.params
         asked = materialize(df.withColumn("__row", F.monotonically_increasing_id()).withColumn("__vec", self._vector()), "knn-asked")
         near = neighbours.knn_join(asked.select("__row", "__vec"), "__row", "__vec", int(p["n_neighbors"]), self.points.select("__row", "__vec"), p.get("metric", "euclidean"), float(p.get("p", 2)))
-        voted = near.join(self.points.select(F.col("__row").alias("neighbour"), "__y"), "neighbour")
+        # tables as large as these are merged: their files are small, and their rows would pass through the driver
+        voted = near.join(self.points.select(F.col("__row").alias("neighbour"), "__y").hint("merge"), "neighbour")
         if p.get("weights") == "distance":
             # equal points decide alone
             least = near.groupBy("__row").agg(F.min("distance").alias("__least"))
@@ -267,11 +268,11 @@ class NeighbourModel:
             voted = voted.withColumn("__w", F.lit(1.0))
         total = F.sum("__w")
         if self.task == "regression":
-            return asked.join(voted.groupBy("__row").agg((F.sum(F.col("__w") * F.col("__y")) / total).alias("prediction")), "__row", "left").drop("__row", "__vec")
+            return asked.hint("merge").join(voted.groupBy("__row").agg((F.sum(F.col("__w") * F.col("__y")) / total).alias("prediction")), "__row", "left").drop("__row", "__vec")
         shares = F.array(*[F.round(F.sum(F.when(F.col("__y") == i, F.col("__w")).otherwise(0.0)) / total, 9) for i in range(self.n_classes)])
         votes = voted.groupBy("__row").agg(shares.alias("probability"))
         best = (F.array_position("probability", F.array_max("probability")) - 1).cast("double")
-        return asked.join(votes, "__row", "left").withColumn("prediction", best).drop("__row", "__vec")
+        return asked.hint("merge").join(votes, "__row", "left").withColumn("prediction", best).drop("__row", "__vec")
 
 
 def predict(df: DataFrame, model, keep: list[str]) -> DataFrame:

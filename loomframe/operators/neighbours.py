@@ -297,7 +297,8 @@ def knn_join(
     if own and point_set.count() == queries.count():
         answered = lists.withColumnRenamed("qid", "id")
     else:
-        groups = query_set.select(F.col("gid").alias("qid"), F.col("vec").alias("gvec"))
+        # as large as the table, though the file of it may be small: not sent whole through the driver
+        groups = query_set.select(F.col("gid").alias("qid"), F.col("vec").alias("gvec")).hint("merge")
         answered = rows.join(groups, F.col("vec") == F.col("gvec")).join(lists, "qid").select("id", "near")
     if own:
         answered = answered.withColumn("near", F.filter("near", lambda s: s["neighbour"] != F.col("id")))
@@ -311,7 +312,7 @@ def knn_predict(
     neighbours: DataFrame, key: str, labels: DataFrame, label_key: str, label: str, weights: str = "uniform", task: str = "classification"
 ) -> DataFrame:
     """Vote or mean over the neighbours; with distance weights a zero distance decides alone."""
-    joined = neighbours.join(labels.select(F.col(label_key).alias("neighbour"), F.col(label).alias("__y")), "neighbour")
+    joined = neighbours.join(labels.select(F.col(label_key).alias("neighbour"), F.col(label).alias("__y")).hint("merge"), "neighbour")
     if weights == "distance":
         nearest = F.min("distance").over(Window.partitionBy(key))
         w = F.when(nearest == 0, (F.col("distance") == 0).cast("double")).otherwise(1.0 / F.col("distance"))
