@@ -11,9 +11,11 @@ Texts are never shuffled, and no group of similar documents becomes all of its p
 3. Group pairs are expanded to their members. A small bit map of each set bounds what
    two sets can share; pairs that cannot link go. One pair for each set is verified
    on the shingles themselves, and the links found give components.
-4. Of the other pairs, and of those that step 2 left out in long lists, only pairs whose
-   members are still in different components can change the result; they are
-   verified until no such pair is left.
+4. Of the other pairs only those whose members are still in different components can
+   change the result; they are verified until no such pair is left.
+5. Of the pairs that step 2 left out in long lists, bit maps tell which components may
+   link at all. Components that may are put into clusters; the sets of a cluster meet in
+   tasks, which compare them exactly and give one link for each two components joined.
 """
 
 from __future__ import annotations
@@ -36,13 +38,15 @@ from loomframe.session import materialize
 #: and a level each on every executor); they change the speed, never the result.
 COUNTED, FREQUENT = 1_000_000, 400_000
 #: Entries a task of step 2 handles at once, and entries of one shingle in one block.
-ENTRIES, BLOCK = 1_000_000, 1_000_000
+ENTRIES, BLOCK = 250_000, 1_000_000
 #: Rounds that verify one pair for each component before all open pairs are; each costs some jobs.
 THINNED = 1
 #: Longest list that gives all its pairs at once.
 SHORT = 8
 #: Members of a part of a long list, two of which a task compares, and pairs that leave it at once.
 PART, EMITTED = 2_000, 500_000
+#: Shingles of a part of a cluster, two of which a task compares.
+WEIGHT = 500_000
 #: Bytes of a shingle's hash that the comparison reads; a wrong match of two of
 #: n shingles has the chance n * n / 2^48.
 KEPT_BYTES = 6
@@ -201,6 +205,14 @@ def fits(small: np.ndarray, large: np.ndarray) -> np.ndarray:
     return (4 * small >= 3 * large) | (large == (1 << 24) - 1)
 
 
+def distinct_rows(rows: np.ndarray) -> np.ndarray:
+    """The distinct rows of two columns, sorted; without the copies that ``np.unique`` makes of whole rows."""
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    fresh = np.ones(len(rows), bool)
+    fresh[1:] = (rows[1:] != rows[:-1]).any(1)
+    return rows[fresh]
+
+
 def list_pairs(token: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of groups to compare (m, 2), and the (shingle, group) entries of long lists."""
     sort = np.lexsort((group, token))
@@ -222,7 +234,7 @@ def list_pairs(token: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.nda
     def take(a: np.ndarray, b: np.ndarray) -> None:
         low, high = np.minimum(a, b), np.maximum(a, b)
         ok = (low != high) & fits(low >> np.uint64(40), high >> np.uint64(40))
-        pairs.append(np.unique(np.column_stack([low[ok], high[ok]]), axis=0))
+        pairs.append(distinct_rows(np.column_stack([low[ok], high[ok]])))
 
     short = np.flatnonzero(size <= SHORT)
     for k in range(1, SHORT):
@@ -239,7 +251,7 @@ def list_pairs(token: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.nda
             mixed = long[np.lexsort((mix(group[long] + token[long] * np.uint64(seed)), run[long]))]
             near = run[mixed[1:]] == run[mixed[:-1]]
             take(group[mixed[:-1]][near], group[mixed[1:]][near])
-    found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.uint64)
+    found = distinct_rows(np.concatenate(pairs)) if pairs else np.zeros((0, 2), np.uint64)
     return found, np.column_stack([token[long], group[long]])
 
 
@@ -385,18 +397,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if rounds <= THINNED:
                 rounds = THINNED
                 continue
-            # Lists are opened only when no known pair can join two components any more.
-            fresh = open_in_lists(lists, found, readers) if done is None else open_in_lists(lists, found, readers).join(done, ["a", "b"], "left_anti")
-            fresh = materialize(fresh, "open-in-lists")
-            if fresh.isEmpty():
-                break
-            pairs = materialize(pairs.unionByName(fresh), "set-pairs")
-            sets = materialize(sets.unionByName(sets_of(named_docs, readers, fresh)).dropDuplicates(["sid"]), "shingle-sets")
-            continue
+            break
         found_links = verify(fresh, sets).distinct()
         links = materialize(found_links if links is None else links.unionByName(found_links), "set-links")
         done = fresh if done is None else materialize(done.unionByName(fresh), "pairs-verified")
         found = materialize(components(links), "set-components")
+    # Lists are opened only when no known pair can join two components any more.
+    stars = materialize(open_in_lists(lists, found, readers, stars=True), "open-in-lists")
+    if not stars.isEmpty():
+        clusters = components(stars).withColumnRenamed("component", "cluster").withColumnRenamed("node", "component")
+        placed = place(lists.select("s").distinct(), found).join(clusters, "component")
+        placed = materialize(placed.join(readers.select(F.col("sid").alias("s"), "id", F.col("n").alias("size")), "s"), "clusters")
+        sets = materialize(fetch_sets(named_docs, placed.select("id")).dropDuplicates(["sid"]), "cluster-sets")
+        found_links = link_clusters(placed, sets)
+        links = materialize(found_links if links is None else links.unionByName(found_links), "set-links")
+        found = materialize(components(links), "set-components")
     # A component of sets takes the smallest identifier of their documents.
     named = found.join(readers.select(F.col("sid").alias("node"), "id"), "node")
     smallest = named.join(named.groupBy("component").agg(F.min("id").alias("component_id")), "component").select(F.col("node").alias("sid"), "component_id")
@@ -429,8 +444,11 @@ def sets_of(docs: DataFrame, readers: DataFrame, pairs: DataFrame) -> DataFrame:
     return fetch_sets(docs, materialize(readers.join(wanted, "sid", "left_semi").select("id"), "sets-wanted"))
 
 
-def cross_pairs(names: np.ndarray, n: np.ndarray, component: np.ndarray, part: np.ndarray, maps: list[bytes], within: bool) -> Iterator[np.ndarray]:
-    """Pairs in different components that neither their sizes nor their bit maps rule out, in batches; of different parts unless ``within``."""
+def cross_pairs(names: np.ndarray, n: np.ndarray, component: np.ndarray, part: np.ndarray, maps: list[bytes], within: bool, stars: bool = False) -> Iterator[np.ndarray]:
+    """Pairs in different components that neither their sizes nor their bit maps rule out, in batches; of different parts unless ``within``.
+
+    With ``stars`` pairs of components instead, one less than the components that such pairs connect.
+    """
     order = np.argsort(n, kind="stable")
     names, n, component, part, maps = names[order], n[order], component[order], part[order], [maps[k] for k in order]
     rows: dict[int, list[int]] = {}
@@ -456,6 +474,13 @@ def cross_pairs(names: np.ndarray, n: np.ndarray, component: np.ndarray, part: n
             m = n[at[near]]
             most = np.minimum(n[k] - np.bitwise_count(mine & ~others).sum(1), m - np.bitwise_count(others & ~mine).sum(1))
             may = at[near][7 * most >= 3 * (n[k] + m)]
+            if stars:
+                if len(may):
+                    joined = np.unique(np.append(component[may], component[k]))
+                    component[np.isin(component, joined)] = joined[0]
+                    out.append(np.column_stack([np.full(len(joined) - 1, joined[0]), joined[1:]]))
+                    held += len(joined) - 1
+                continue
             out.append(np.column_stack([np.minimum(names[k], names[may]), np.maximum(names[k], names[may])]))
             held += len(may)
         if held >= EMITTED:
@@ -474,15 +499,23 @@ def deal_lists(placed: DataFrame) -> DataFrame:
     return rows.select("list", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "s", "component")
 
 
-def open_in_lists(lists: DataFrame, found: DataFrame, names: DataFrame) -> DataFrame:
-    """Pairs of a long list in different components that may link; a task compares two parts of a list."""
-    placed = lists.join(found.select(F.col("node").alias("s"), "component"), "s", "left").withColumn("component", F.coalesce("component", "s"))
-    placed = deal_lists(placed).join(names.select(F.col("sid").alias("s"), F.col("n").alias("size"), "bits"), "s")
+def place(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``members`` (s) with their component, which is their own name where no link was found."""
+    return members.join(found.select(F.col("node").alias("s"), "component"), "s", "left").withColumn("component", F.coalesce("component", "s"))
+
+
+def open_in_lists(lists: DataFrame, found: DataFrame, names: DataFrame, stars: bool = False) -> DataFrame:
+    """Pairs of a long list in different components that may link; a task compares two parts of a list.
+
+    With ``stars`` the components that may link by such pairs: (a, b) connects all of them, in rows that
+    a task makes fewer of than it has components.
+    """
+    placed = deal_lists(place(lists, found)).join(names.select(F.col("sid").alias("s"), F.col("n").alias("size"), "bits"), "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(key: tuple, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             name, size, component, part, maps = zip(*rows)
-            for pairs in cross_pairs(*(np.array(x, np.int64) for x in (name, size, component, part)), list(maps), key[1] == key[2]):
+            for pairs in cross_pairs(*(np.array(x, np.int64) for x in (name, size, component, part)), list(maps), key[1] == key[2], stars):
                 yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         last, rows = None, []
@@ -498,3 +531,79 @@ def open_in_lists(lists: DataFrame, found: DataFrame, names: DataFrame) -> DataF
 
     dealt = placed.select("list", "low", "high", "s", "size", "component", "part", "bits").repartition("list", "low", "high").sortWithinPartitions("list", "low", "high")
     return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def deal_clusters(placed: DataFrame) -> DataFrame:
+    """The members of clusters (s, component, cluster, size), once for each block (cluster, x, y) they are compared in.
+
+    The largest component of a cluster that fills several parts meets the parts of the others only.
+    """
+    weight = lambda: (F.count("*").alias("c"), F.sum("size").alias("w"))
+    parts = lambda c, w: F.greatest(F.ceil(c / PART), F.ceil(w / WEIGHT), F.lit(1)).cast("int")
+    kinds = placed.groupBy("cluster", "component").agg(*weight())
+    all_of = kinds.groupBy("cluster").agg(F.sum("c").alias("c_all"), F.sum("w").alias("w_all"), F.max(F.struct("w", "c", "component")).alias("top"))
+    all_of = all_of.withColumn("one", parts(F.col("c_all"), F.col("w_all")) == 1)
+    all_of = all_of.withColumn("main", F.when(~F.col("one"), F.col("top.component")))
+    all_of = all_of.withColumn("mains", F.when(F.col("one"), 0).otherwise(parts(F.col("top.c"), F.col("top.w"))))
+    all_of = all_of.withColumn("others", F.when(F.col("one"), 1).otherwise(parts(F.col("c_all") - F.col("top.c"), F.col("w_all") - F.col("top.w"))))
+    rows = placed.join(all_of.select("cluster", "main", "mains", "others"), "cluster").withColumn("is_main", F.coalesce(F.col("component") == F.col("main"), F.lit(False)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(7), "s"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.when(F.col("is_main"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(-F.col("mains"), F.col("others") - 1))))
+    # Blocks of two parts of the others have y >= 0, blocks with a part of the main component -1 - its number.
+    x = F.when(F.col("is_main"), F.col("other")).when(F.col("other") < 0, F.col("part")).otherwise(F.least("part", "other"))
+    y = F.when(F.col("is_main"), -1 - F.col("part")).when(F.col("other") < 0, F.col("other")).otherwise(F.greatest("part", "other"))
+    return rows.select("cluster", x.alias("x"), y.alias("y"), "s", "component")
+
+
+def joining_links(names: np.ndarray, component: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Similar pairs that join the components of some sets, one less than the components each joins."""
+    size = np.array([len(s) for s in sets])
+    value, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    _, value, times = np.unique(value, return_inverse=True, return_counts=True)
+    postings, starts = owner[np.argsort(value, kind="stable")], np.cumsum(times) - times
+    ends = np.cumsum(size)
+    label, out = np.unique(component, return_inverse=True)[1], []
+    # Pairs inside the largest component need no look, those with it are met from the other side.
+    for k in np.flatnonzero(label != np.bincount(label).argmax()).tolist():
+        own = value[ends[k] - size[k] : ends[k]]
+        own = own[times[own] > 1]
+        if not len(own):
+            continue
+        length = times[own]
+        at = np.repeat(starts[own] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+        common = np.bincount(postings[at], minlength=len(sets))
+        linked = np.flatnonzero((4 * common >= 3 * (size + size[k] - common)) & (label != label[k]))
+        if len(linked):
+            labels, first = np.unique(label[linked], return_index=True)
+            other = names[linked[first]]
+            out.append(np.column_stack([np.minimum(names[k], other), np.maximum(names[k], other)]))
+            label[np.isin(label, labels)] = label[k]
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
+def link_clusters(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join the components of clusters; a task compares the sets of two parts of a cluster."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            names, component, bodies = zip(*rows)
+            links = joining_links(np.array(names, np.int64), np.array(component, np.int64), [unpack(body) for body in bodies])
+            if len(links):
+                yield pa.record_batch([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+
+        last, rows = None, []
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("cluster", "x", "y")))
+            for key, name, component, body in zip(keys, batch.column("s").to_pylist(), batch.column("component").to_pylist(), batch.column("body")):
+                if key != last and rows:
+                    yield from close(rows)
+                    rows = []
+                last = key
+                rows.append((name, component, body.as_py()))
+        if rows:
+            yield from close(rows)
+        release()
+
+    dealt = deal_clusters(placed).join(sets.withColumnRenamed("sid", "s"), "s")
+    dealt = dealt.select("cluster", "x", "y", "s", "component", "body").repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
+    return dealt.mapInArrow(run, "a long, b long").distinct()

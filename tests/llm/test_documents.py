@@ -118,6 +118,35 @@ def test_long_lists_are_dealt_in_parts(spark, monkeypatch):
     assert sorted(got) == [(a, b) for a in members for b in members if a < b and a % 2 != b % 2]
 
 
+def test_lists_give_fewer_rows_than_members(spark):
+    """What long lists give grows with their members, not with the pairs that the bit maps leave."""
+    members, bits = range(300), jaccard.bit_map(np.arange(20, dtype=np.uint64))
+    lists = spark.createDataFrame([(1, s) for s in members], "list long, s long")
+    found = spark.createDataFrame([(s, s % 150) for s in members], "node long, component long")
+    names = spark.createDataFrame([(s, 20, bytearray(bits)) for s in members], "sid long, n long, bits binary")
+    stars = [(r["a"], r["b"]) for r in jaccard.open_in_lists(lists, found, names, stars=True).collect()]
+    assert len(stars) == 149
+    assert set(smallest(stars, range(150)).values()) == {0}
+
+
+@pytest.mark.parametrize("part, weight", [(2_000, 500_000), (7, 500_000), (2_000, 60)])
+def test_clusters_are_compared_in_parts(spark, monkeypatch, part, weight):
+    """Links between clusters' components, found in any parts, give the components of all similar pairs."""
+    monkeypatch.setattr(jaccard, "PART", part)
+    monkeypatch.setattr(jaccard, "WEIGHT", weight)
+    rng = np.random.default_rng(2)
+    sets = {s: np.unique(np.concatenate([np.arange(30) + 1000 * (s % 5), rng.integers(30, 70, rng.integers(0, 14)) + 1000 * (s % 5)])).astype(np.uint64) << np.uint64(16) for s in range(60)}
+    component = {s: 0 if s % 10 == 0 else s for s in sets}  # the largest component of cluster 0 is known
+    rows = [(s, component[s], s % 5, len(own)) for s, own in sets.items()]
+    body = [(s, bytearray(np.ascontiguousarray(own.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes())) for s, own in sets.items()]
+    placed = spark.createDataFrame(rows, "s long, component long, cluster long, size long")
+    got = [(r["a"], r["b"]) for r in jaccard.link_clusters(placed, spark.createDataFrame(body, "sid long, body binary")).collect()]
+    similar = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))
+    known = [(s, c) for s, c in component.items()]
+    assert all(similar(a, b) and component[a] != component[b] for a, b in got)
+    assert smallest(got + known, sets) == smallest(known + [(a, b) for a in sets for b in sets if a < b and similar(a, b)], sets)
+
+
 # Long repeats
 
 
