@@ -49,6 +49,15 @@ def with_bigrams(words: Column) -> Column:
     return F.when(size >= 2, F.concat(words, pairs)).otherwise(words)
 
 
+def bigrams_among(df: DataFrame, words: str, among: list[str]) -> DataFrame:
+    """The table with ``words`` replaced by the pairs of neighbouring words that are both ``among`` the given ones."""
+    size, marked = F.size(words), F.col("__marked")
+    pair = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.concat_ws(" ", a, b))
+    pairs = F.filter(F.zip_with(F.slice(marked, 1, size - 1), F.slice(marked, 2, size - 1), pair), lambda p: p.isNotNull())
+    staged = df.withColumn("__marked", F.transform(words, lambda w: F.when(w.isin(among), w)))
+    return staged.withColumn(words, F.when(size >= 2, pairs)).drop("__marked")
+
+
 def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != ""))
 

@@ -16,6 +16,8 @@ from loomframe.session import materialize, spread
 
 # terms of a bounded vocabulary that share a slot of its lookup, on average
 SLOT_TERMS = 4
+# words that an expression names; more are looked up or counted without
+LISTED = 5_000
 
 
 @dataclass(frozen=True)
@@ -40,6 +42,8 @@ class Vocabulary:
         """(term, tf, feature, idf) of the vocabulary's terms in each text; a term is looked up once a text."""
         table, n = self.slots()
         found = analyse(df, text, self.bigrams, self.plain, self.stop_words)
+        if len(self.terms) <= LISTED:
+            found = found.withColumn("__terms", F.filter("__terms", lambda w: w.isin(self.terms)))
         counted = X.count_terms(found, F.col("__terms"), "__all").drop("__terms")
 
         def look_up(s: Column) -> Column:
@@ -84,20 +88,27 @@ def fit_tfidf(
 
     Terms are flagged where they first occur in a document, so one pass with
     map-side counts gives both corpus and document frequency; the shuffle
-    holds one row per term and task, not one per (document, term).
+    holds one row per term and task, not one per (document, term).  A pair of
+    words is no more frequent than either of them, so with ``max_features``
+    only pairs of words that reach the last place among the words are counted.
     """
     stop_words = X.STOP_WORDS if stop_words is None else stop_words
-    parts = [analyse(spread(df.select(t.alias("__text"))), F.col("__text"), bigrams, plain, stop_words).select("__terms") for t in texts]
-    corpus = reduce(DataFrame.unionAll, parts)
+
+    def terms_of(bigrams: bool) -> DataFrame:
+        parts = [analyse(spread(df.select(t.alias("__text"))), F.col("__text"), bigrams, plain, stop_words).select("__terms") for t in texts]
+        return reduce(DataFrame.unionAll, parts)
+
     n_docs = df.count() * len(texts)
-    counted = (
-        X.count_terms(corpus, F.col("__terms"), "__counts")
-        .select(F.inline_outer("__counts"))
-        .where(F.col("term").isNotNull())
-        .groupBy("term")
-        .agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-        .where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
-    )
+    in_range = (F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs)
+    counted = None
+    if bigrams and max_features:
+        words = materialize(_counts(terms_of(False)), "word-counts")
+        last = words.where(in_range).orderBy(F.desc("total"), "term").limit(max_features).agg(F.min("total").alias("total"), F.count("*").alias("n")).first()
+        if last["n"] == max_features:
+            among = [r["term"] for r in words.where(F.col("total") >= last["total"]).select("term").limit(LISTED + 1).collect()]
+            if len(among) <= LISTED:
+                counted = words.unionByName(_counts(X.bigrams_among(terms_of(False), "__terms", among)))
+    counted = (_counts(terms_of(bigrams)) if counted is None else counted).where(in_range)
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0
     if max_features is None:
         terms = materialize(counted.select("term", idf.alias("idf")), "terms")
@@ -108,6 +119,12 @@ def fit_tfidf(
     return Vocabulary([t for t, _ in rows], [i for _, i in rows], bigrams, plain, list(stop_words))
 
 
+def _counts(corpus: DataFrame) -> DataFrame:
+    """(term, total, df) of a table of ``__terms``."""
+    rows = X.count_terms(corpus, F.col("__terms"), "__counts").select(F.inline_outer("__counts")).where(F.col("term").isNotNull())
+    return rows.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+
+
 def apply_tfidf(df: DataFrame, key: str, text: Column, vocabulary: Vocabulary | TermTable) -> DataFrame:
     """Long (key, feature, term, weight) rows, unit length per document.
 

@@ -348,3 +348,18 @@ def test_a_million_values_are_not_collected(spark):
     assert encode.fit_onehot(df, ["d"])["d"]["columns"] == ["0", "1", "2"]
     table = textfeatures.fit_tfidf(df.where("id < 200000"), [F.col("c")], None, 1)
     assert isinstance(table, textfeatures.TermTable) and table.rows.agg(F.max("feature")).first()[0] == 199_999
+
+
+def test_only_pairs_of_frequent_words_are_counted(spark, monkeypatch):
+    """The vocabulary is that of all pairs, though pairs with a word below the last place are not counted."""
+    rows = [(k, " ".join(f"w{(k * k + j * j * 7) % (3 + j % 40)}x" for j in range(k % 50))) for k in range(120)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    counted = []
+    plain_counts = textfeatures._counts
+    monkeypatch.setattr(textfeatures, "_counts", lambda corpus: counted.append(plain_counts(corpus)) or counted[-1])
+    fit = lambda n: textfeatures.fit_tfidf(df, [F.col("text")], n, 2, 0.9, bigrams=True)
+    few = {n: fit(n) for n in (5, 20, 10_000)}
+    assert counted[1].count() < counted[-1].count() / 4
+    monkeypatch.setattr(textfeatures, "LISTED", 0)
+    assert few == {n: fit(n) for n in few}
+    assert any(" " in t for t in few[20].terms)
