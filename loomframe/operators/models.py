@@ -17,9 +17,10 @@ from pyspark.ml import classification as MC
 from pyspark.ml import regression as MR
 from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, functions as F
 
-from loomframe.operators import encode, metrics, neighbours, quality, split
+from loomframe.operators import encode, metrics, neighbours, perceptron, quality, split
 from loomframe.session import materialize
 
 # Search ranges per model family.
@@ -212,6 +213,26 @@ def tree_groups(df: DataFrame, features: list[str], label: str, rows: int, draws
     return stages, materialize(groups, "fit-groups")
 
 
+#: Rows from which a perceptron's gradients are summed by ``perceptron.fit_weights``.
+BLOCKED_ROWS = 100_000
+
+
+def fit_perceptron(estimator: MC.MultilayerPerceptronClassifier, df: DataFrame, features: list[str], label: str, rows: int) -> PipelineModel | None:
+    """Spark's perceptron with weights fitted on blocks of rows, from the weights it starts with itself.
+
+    None where missing values would pass into the weights.
+    """
+    odd = reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNull() | F.isnan(F.col(f"`{c}`").cast("double")) for c in features])
+    if df.where(odd).limit(1).count():
+        return None
+    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
+    max_iter, ready = estimator.getMaxIter(), assembler.transform(df)
+    unfitted = estimator.copy().setMaxIter(0)
+    start = unfitted.fit(ready.limit(1)).weights
+    weights = perceptron.fit_weights(df, features, label, estimator.getLayers(), start.toArray(), rows, max_iter, estimator.getTol())
+    return PipelineModel([assembler, unfitted.setInitialWeights(Vectors.dense(weights)).fit(ready)])
+
+
 def fit_model(
     df: DataFrame, features: list[str], label: str, family: str, task: str, params: dict | None = None, seed: int = 42, weight: str | None = None, shape: Shape | None = None
 ):
@@ -238,6 +259,10 @@ def fit_model(
             fitted = estimator.setWeightCol("__rows").fit(assembler.transform(steady(groups, groups.count())))
             fitted.clear(fitted.weightCol)
             return PipelineModel([*bins, assembler, fitted])
+    if family == "mlp" and shape.rows > BLOCKED_ROWS and estimator.getSolver() == "l-bfgs":
+        fitted = fit_perceptron(estimator, df, features, label, shape.rows)
+        if fitted:
+            return fitted
     stages = [VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), estimator]
     return Pipeline(stages=stages).fit(steady(df, shape.rows))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomframe.functions.ordering import global_row_number, order_index, permutation_keys, permuted, seeded_rank
 from loomframe.functions.quantiles import exact_quantiles
-from loomframe.operators import encode, explain, features, metrics, neighbours, quality, split, textfeatures
+from loomframe.operators import encode, explain, features, metrics, models, neighbours, perceptron, quality, split, textfeatures
 from loomframe.streaming import jobs
 
 HOT = "cast(case when id % 3 = 0 then 7 else (id * 7919) % 10007 end as double)"
@@ -363,3 +363,33 @@ def test_only_pairs_of_frequent_words_are_counted(spark, monkeypatch):
     monkeypatch.setattr(textfeatures, "LISTED", 0)
     assert few == {n: fit(n) for n in few}
     assert any(" " in t for t in few[20].terms)
+
+
+def test_perceptron_gradient_is_that_of_its_loss():
+    rng, sizes = np.random.default_rng(5), [3, 4, 2, 3]
+    x, y, w = rng.normal(size=(20, 3)), rng.integers(0, 3, 20), rng.normal(size=3 * 4 + 4 + 4 * 2 + 2 + 2 * 3 + 3)
+    steps = 1e-6 * np.eye(len(w))
+    slopes = [(perceptron.loss_and_gradient(w + s, sizes, x, y)[0] - perceptron.loss_and_gradient(w - s, sizes, x, y)[0]) / 2e-6 for s in steps]
+    assert perceptron.loss_and_gradient(w, sizes, x, y)[1] == pytest.approx(np.array(slopes), abs=1e-5)
+
+
+def test_perceptron_on_blocks_equals_sparks(spark, monkeypatch):
+    df = spark.range(900).selectExpr("cast((id * 37) % 101 as double) / 50 - 1 as a", "cast((id * 53) % 89 as double) / 44 - 1 as x")
+    df = df.withColumn("y", F.when(F.col("a") * F.col("a") + F.col("x") * F.col("x") < 0.5, 0).when(F.col("a") > 0, 1).otherwise(2))
+    fit = lambda rows: models.fit_model(rows, ["a", "x"], "y", "mlp", "classification", {"hidden_layer_sizes": "6,4", "max_iter": 60})
+    rows = df.cache()
+    want = fit(rows)
+    taken = []
+    monkeypatch.setattr(models, "BLOCKED_ROWS", 100)
+    monkeypatch.setattr(perceptron, "BLOCK_ROWS", 16)
+    weights = perceptron.fit_weights
+    monkeypatch.setattr(perceptron, "fit_weights", lambda *a: taken.append(weights(*a)) or taken[-1])
+    got = fit(rows)
+    assert len(taken) == 1 and got.stages[-1].weights.toArray() == pytest.approx(taken[0])
+    share = [models.predict(rows, m, ["y"]).agg(F.avg((F.col("y") == F.col("pred")).cast("double"))).first()[0] for m in (want, got)]
+    assert share[1] > 0.8 and share[1] > share[0] - 0.05
+    # Spark's value of its own weights, and of those fitted on blocks
+    value = [m.stages[-1].summary().objectiveHistory[-1] for m in (want, got)]
+    assert value[1] < value[0] + 0.05
+    # missing values stay with Spark's fit
+    assert models.fit_perceptron(models.make_estimator("mlp", "classification", "y", n_inputs=2, n_classes=3), rows.withColumn("x", F.when(F.col("y") != 2, F.col("x"))), ["a", "x"], "y", 900) is None
