@@ -120,18 +120,14 @@ class AdvancedPreprocessor:
 
 def _expand(df: DataFrame, state: AdvancedPreprocessor) -> DataFrame:
     """Text features, and polynomial terms once they are fitted; a projection without a job."""
-    from pyspark.ml.functions import vector_to_array
-
     from loomframe.operators import textfeatures as TF
 
     out = TF.length_features(df, state.text, f"{state.text}_")
     if state.vocabulary is not None:
         out = TF.tfidf_columns(out, state.key, F.col(state.text), state.vocabulary, f"{state.text}_tfidf_")
     if state.word_model is not None:
-        out = state.word_model.transform(out.withColumn("words", TF.hashed_words(F.col(state.text), getattr(state.word_model, "buckets", 1 << 18))))
-        width = state.word_model.getVectorSize()
-        arr = out.withColumn("__e", vector_to_array("vector"))
-        out = arr.withColumns({f"{state.text}_embed_{i}": F.get("__e", F.lit(i)) for i in range(width)}).drop("__e", "vector", "words")
+        arr = out.withColumn("__e", state.word_model.average(TF.hashed_words(F.col(state.text), state.word_model.buckets)))
+        out = arr.withColumns({f"{state.text}_embed_{i}": F.get("__e", F.lit(i)) for i in range(state.word_model.size)}).drop("__e")
     return features.apply_polynomial(out, state.polynomial) if state.polynomial else out
 
 

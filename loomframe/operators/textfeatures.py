@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomframe.functions import text as X
 from loomframe.functions.ordering import order_index
+from loomframe.operators.wordvectors import WordVectors, fit_vectors
 from loomframe.session import materialize, spread
 
 
@@ -195,33 +196,24 @@ def sentiment(df: DataFrame, key: str, text: str, lexicon: dict[str, tuple[float
 
 
 def hashed_words(text: Column, buckets: int) -> Column:
-    """Every word of a text as the name of its hash bucket; none is left out."""
-    return F.transform(X.tokens(text), lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("string"))
+    """Every word of a text as the number of its hash bucket; none is left out."""
+    return F.transform(X.tokens(text), lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
 
 
-def word_vectors(df: DataFrame, key: str, text: str, size: int = 16, min_count: int = 5, seed: int = 42, iterations: int = 1, buckets: int = 1 << 18, parts: int = 16):
+def word_vectors(df: DataFrame, key: str, text: str, size: int = 16, min_count: int = 5, seed: int = 42, iterations: int = 1, buckets: int = 1 << 18, parts: int = 16) -> WordVectors:
     """Fit word vectors; the model averages them over each document.
 
-    The vectors live on the driver while they are trained, so words share
+    The vectors live on the driver between iterations, so words share
     ``buckets`` hash buckets: a table of fixed size for any vocabulary.  Documents
     are dealt by a hash of their key into ``parts`` ordered parts, on any number of
-    cores; words of equal count start in the order Spark's fit meets them.
+    cores; words of equal count are ordered by their buckets.
     """
-    from pyspark.ml.feature import Word2Vec
+    words = spread(df.select(key, text)).select(F.col(key).alias("key"), hashed_words(F.col(text), buckets).alias("words"))
+    return fit_vectors(materialize(words, "hashed-words"), "key", "words", buckets, size, min_count, seed, iterations, parts)
 
-    words = df.select(key, hashed_words(F.col(text), buckets).alias("words"))
-    steady = words.repartition(parts, F.xxhash64(F.col(key))).sortWithinPartitions(key)
-    stage = Word2Vec(vectorSize=size, minCount=min_count, seed=seed, maxIter=iterations, numPartitions=parts)
-    model = stage.setInputCol("words").setOutputCol("vector").fit(steady)
-    model.buckets = buckets
-    return model
 
-
-def embed_text(df: DataFrame, key: str, text: str, model) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
-    words = spread(df.select(key, text)).select(key, hashed_words(F.col(text), getattr(model, "buckets", 1 << 18)).alias("words"))
-    return model.transform(words).select(key, vector_to_array("vector").alias("embedding"))
+def embed_text(df: DataFrame, key: str, text: str, model: WordVectors) -> DataFrame:
+    return spread(df.select(key, text)).select(key, model.average(hashed_words(F.col(text), model.buckets)).alias("embedding"))
 
 
 def embedding_columns(df: DataFrame, key: str, column: str, width: int, max_features: int | None = None) -> DataFrame:
