@@ -117,15 +117,18 @@ def train_block(places: np.ndarray, vectors: np.ndarray, nodes: np.ndarray, path
         error = way_nodes @ (near_vectors * np.float32(0.5)).transpose(0, 2, 1)
         np.tanh(error, out=error)
         np.subtract(np.take(sign, words, axis=0)[:, :deep, None], error, out=error)
-        to_vectors, to_nodes = error.transpose(0, 2, 1) @ way_nodes, error @ near_vectors
+        # what fills up short ways takes no part in the sums: thousands of additions to one row are slow
+        there = np.flatnonzero(way.ravel() != len(nodes) - 1)
+        rows = way.ravel()[there]
+        to_vectors, to_nodes = error.transpose(0, 2, 1) @ way_nodes, (error @ near_vectors).reshape(-1, size)[there]
         np.add.at(bend_vectors, near.ravel(), np.repeat(np.einsum("sij,sij->s", way_nodes, way_nodes), 2 * reach))
-        np.add.at(bend_nodes, way.ravel(), np.repeat(np.einsum("sij,sij->s", near_vectors, near_vectors), deep))
+        np.add.at(bend_nodes, rows, np.repeat(np.einsum("sij,sij->s", near_vectors, near_vectors), length[words]))
         to_vectors *= (alpha / 2 / (1 + alpha / 4 * bend_vectors[near]))[:, :, None]
-        to_nodes *= (alpha / 2 / (1 + alpha / 4 * bend_nodes[way]))[:, :, None]
+        to_nodes *= (alpha / 2 / (1 + alpha / 4 * bend_nodes[rows]))[:, None]
         bend_vectors[near] = 0
-        bend_nodes[way] = 0
+        bend_nodes[rows] = 0
         _add_rows(vectors, near, to_vectors)
-        _add_rows(nodes, way, to_nodes)
+        _add_rows(nodes, rows, to_nodes)
         vectors[gap] = 0
 
 
