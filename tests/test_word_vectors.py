@@ -34,6 +34,16 @@ def test_neighbours_get_near_vectors(spark):
     assert np.linalg.norm(halves[0] - halves[1]) > 5 * max(np.std([v for k, v in got.items() if k % 2 == h], axis=0).max() for h in (0, 1))
 
 
+def test_large_tables_have_more_parts(spark, monkeypatch):
+    monkeypatch.setattr(W, "PART_WORDS", 20_000)
+    monkeypatch.setattr(W, "BLOCK_WORDS", 5_000)
+    table = spark.createDataFrame(texts(4000), "id long, text string")
+    model = T.word_vectors(table, "id", "text", size=4, min_count=2, iterations=2, parts=2)
+    got = {r["id"]: r["embedding"] for r in T.embed_text(table, "id", "text", model).collect()}
+    halves = [np.mean([v for k, v in got.items() if k % 2 == h], axis=0) for h in (0, 1)]
+    assert len(got) == 4000 and np.linalg.norm(halves[0] - halves[1]) > 5 * max(np.std([v for k, v in got.items() if k % 2 == h], axis=0).max() for h in (0, 1))
+
+
 def test_mean_counts_rare_words_and_null_texts(spark):
     table = spark.createDataFrame([(1, "aa aa bb bb"), (2, "aa once"), (3, None), (4, "")], "id long, text string")
     model = T.word_vectors(table, "id", "text", size=4, min_count=2, parts=2)
