@@ -67,15 +67,15 @@ def clear_scratch(spark: SparkSession) -> int:
     return gone
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def materialize(df: DataFrame, label: str, **options: str | int) -> DataFrame:
+    """Write ``df`` once to the shared folder, with the writer's ``options``, and read it back.
 
     Cuts the lineage with a table that survives the loss of executors, for
     frames that several later jobs read.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
