@@ -243,7 +243,10 @@ def _distinct_vectors(df: DataFrame, key: str, vector: str, keep: int) -> DataFr
     rows = df.select(F.col(key).alias("id"), _numbers(df, vector).alias("vec")).where("vec is not null")
     order = Window.partitionBy("vec").orderBy("id")
     first = rows.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= keep)
-    return first.groupBy("vec").agg(F.min("id").alias("gid"), F.array_sort(F.collect_list("id")).alias("ids"))
+    # a second window, not groupBy: that would shuffle the vectors again
+    copies = Window.partitionBy("vec")
+    groups = first.select("vec", "rn", F.min("id").over(copies).alias("gid"), F.array_sort(F.collect_list("id").over(copies)).alias("ids"))
+    return groups.where("rn = 1").drop("rn")
 
 
 class PivotTree:
