@@ -39,7 +39,7 @@ PRODUCT_WIDTH = 8
 FAN = 256
 # distances are rounded, bounds are not
 SLACK = 1e-8
-# wide vectors go down the tree if a query visits fewer of the root's children, on the average of so many queries
+# wide vectors go down the tree if a query visits fewer of the root's children, and fewer than half, on the average of so many queries
 VISITS = 4
 ASKED = 256
 # vectors of a packet, and of the part of the points that a task reads
@@ -492,7 +492,8 @@ def _lists_of_all(queries: DataFrame, points: DataFrame, width: int, keep: int,
     packets = _packets(points, width)
     asked = packets if queries is points else _packets(queries, width)
     n = points.count()
-    if n > leaf and _visited(packets, points, queries, min(fan, math.ceil(n / leaf)), keep, metric, p) < VISITS:
+    children = min(fan, math.ceil(n / leaf))
+    if children > VISITS and _visited(packets, points, queries, children, keep, metric, p) < min(VISITS, children / 2):
         return None
     single = tuple(x.schema["vec"].dataType.elementType == T.FloatType() for x in (queries, points))
     kinds = tuple(x.schema["gid"].dataType.simpleString() for x in (queries, points))
